@@ -1,8 +1,6 @@
 """Link functions and the normal distribution as column expressions."""
 
 import math
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,8 +39,18 @@ QUANTILE_TAIL_BOTTOM = (
 )
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    Without this the nested approximations below would be written out many times
+    over and outgrow the generated code.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _polynomial(x: Column, coefficients) -> Column:
-    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
+    terms = F.array(*[F.lit(c) for c in coefficients])
+    return F.aggregate(terms, F.lit(0.0), lambda acc, c: acc * x + c)
 
 
 def clip(c, eps: float = 1e-12) -> Column:
@@ -71,27 +79,37 @@ def normal_pdf(c) -> Column:
 
 def normal_cdf(c) -> Column:
     """Standard normal CDF, good to about 1e-15."""
+
+    def tail(size: Column) -> Column:
+        bell = F.exp(size * size * -0.5)
+        near = bell * _polynomial(size, CDF_TOP) / _polynomial(size, CDF_BOTTOM)
+        chain = size + F.lit(0.65)
+        for step in (4.0, 3.0, 2.0, 1.0):
+            chain = size + F.lit(step) / chain
+        far = bell / chain / math.sqrt(2 * math.pi)
+        return F.when(size < CDF_SWITCH, near).otherwise(far)
+
     x = as_column(c)
-    size = F.abs(x)
-    bell = F.exp(size * size * -0.5)
-    near = bell * _polynomial(size, CDF_TOP) / _polynomial(size, CDF_BOTTOM)
-    chain = size + F.lit(0.65)
-    for step in (4.0, 3.0, 2.0, 1.0):
-        chain = size + F.lit(step) / chain
-    far = bell / chain / math.sqrt(2 * math.pi)
-    tail = F.when(size < CDF_SWITCH, near).otherwise(far)
-    return F.when(x > 0, 1 - tail).otherwise(tail)
+    return bind(x, lambda v: bind(tail(F.abs(v)), lambda t: F.when(v > 0, 1 - t).otherwise(t)))
 
 
 def normal_quantile(c) -> Column:
     """Inverse normal CDF: a rational start and one Halley step."""
+
+    def start(p: Column) -> Column:
+        low = F.least(p, 1 - p)
+        q = p - 0.5
+        r = q * q
+        middle = _polynomial(r, QUANTILE_MID_TOP) * q / _polynomial(r, QUANTILE_MID_BOTTOM)
+        outer = bind(
+            F.sqrt(F.log(low) * -2),
+            lambda t: _polynomial(t, QUANTILE_TAIL_TOP) / _polynomial(t, QUANTILE_TAIL_BOTTOM),
+        )
+        return F.when(low >= QUANTILE_TAIL, middle).otherwise(F.when(p < 0.5, outer).otherwise(-outer))
+
+    def refine(p: Column, x: Column) -> Column:
+        return bind((normal_cdf(x) - p) / normal_pdf(x), lambda e: x - e / (1 + x * e / 2))
+
     p = as_column(c)
-    low = F.least(p, 1 - p)
-    q = p - 0.5
-    r = q * q
-    middle = _polynomial(r, QUANTILE_MID_TOP) * q / _polynomial(r, QUANTILE_MID_BOTTOM)
-    t = F.sqrt(F.log(low) * -2)
-    tail = _polynomial(t, QUANTILE_TAIL_TOP) / _polynomial(t, QUANTILE_TAIL_BOTTOM)
-    start = F.when(low >= QUANTILE_TAIL, middle).otherwise(F.when(p < 0.5, tail).otherwise(-tail))
-    error = (normal_cdf(start) - p) / normal_pdf(start)
-    return F.when((p > 0) & (p < 1), start - error / (1 + start * error / 2))
+    found = bind(p, lambda v: bind(start(v), lambda x: refine(v, x)))
+    return F.when((p > 0) & (p < 1), found)

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.links import clip, expit, normal_cdf, normal_pdf
+from ..functions.links import clip, expit, normal_cdf, normal_pdf, normal_quantile
 from ..session import cut_lineage, scratch_path
 from ..sources.sinks import materialize
 from .stats import zscores
@@ -39,7 +39,7 @@ def _score_and_weight(n: Column, k: Column, eta: Column, link: str) -> tuple[Col
     return slope * (k - n * mu) / spread, n * slope * slope / spread
 
 
-def fit_absorbed(cells: DataFrame, stratum: str, link: str = PROBIT, max_steps: int = 40, tolerance: float = 1e-9) -> tuple[DataFrame, float]:
+def fit_absorbed(cells: DataFrame, stratum: str, link: str = PROBIT, max_steps: int = 40, tolerance: float = 1e-8) -> tuple[DataFrame, float]:
     """Fisher scoring with one intercept per stratum, however many there are.
 
     The intercepts are a column of the stratum table and are eliminated row by
@@ -49,7 +49,10 @@ def fit_absorbed(cells: DataFrame, stratum: str, link: str = PROBIT, max_steps:
     """
     mixed = (F.col("k0") + F.col("k1") > 0) & (F.col("k0") + F.col("k1") < F.col("n0") + F.col("n1"))
     base = materialize(cells, scratch_path(cells.sparkSession, "cells"))
-    state = base.filter(mixed).withColumn("a", F.lit(0.0))
+    # Start from the stratum's smoothed rate.
+    rate = (F.col("k0") + F.col("k1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
+    start = normal_quantile(rate) if link == PROBIT else F.log(rate / (1 - rate))
+    state = cut_lineage(base.filter(mixed).withColumn("a", start))
     beta = 0.0
     for step in range(max_steps):
         s0, w0 = _score_and_weight(F.col("n0"), F.col("k0"), F.col("a"), link)
@@ -127,8 +130,14 @@ def covariate_glm(df: DataFrame, label: str, covariates: Sequence[str], link: st
     model = GeneralizedLinearRegression(family="binomial", link=link, tol=1e-10, maxIter=50).fit(shaped)
     s = model.summary
     values = [*model.coefficients.toArray().tolist(), float(model.intercept)]
-    rows = list(zip([*names, "intercept"], values, s.coefficientStandardErrors, s.tValues, s.pValues))
+    try:
+        errors = [s.coefficientStandardErrors, s.tValues, s.pValues]
+    except Exception as missing:
+        # Covariates that depend on one another leave no standard errors.
+        if "No Std. Error" not in str(missing):
+            raise
+        errors = [[None] * len(values)] * 3
     return df.sparkSession.createDataFrame(
-        [(n, float(c), float(e), float(z), float(p)) for n, c, e, z, p in rows],
+        list(zip([*names, "intercept"], values, *errors)),
         "term string, coefficient double, std_error double, z double, p_value double",
     )

@@ -1,25 +1,18 @@
 """Readers: posts, map documents, CSV tables, file samples, per-entity files."""
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .schema import MAP_OF_LISTS, POST
 
 
-def as_schema(schema) -> T.StructType:
-    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-
-
 def read_posts(spark: SparkSession, path: str, schema=None, pattern: str = "*.ndjson") -> DataFrame:
     """Posts of a folder, one JSON object per line.
 
     The schema is declared, so nothing is scanned to infer it, and a schema with
     fewer fields (``"id bigint, created_at string"``) parses only those.
     """
-    reader = spark.read.schema(as_schema(schema) if schema is not None else POST)
+    reader = spark.read.schema(POST if schema is None else schema)
     return reader.option("pathGlobFilter", pattern).json(path)
 
 
@@ -41,7 +34,7 @@ def read_map_document(spark: SparkSession, path: str, key: str = "post_id", memb
 def read_csv(spark: SparkSession, path: str, schema, line_sep: str = "\n") -> DataFrame:
     """CSV with a header row; quotes are doubled inside quoted text."""
     return (
-        spark.read.schema(as_schema(schema))
+        spark.read.schema(schema)
         .option("header", True)
         .option("lineSep", line_sep)
         .option("escape", '"')
@@ -100,8 +93,6 @@ def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int = 64)
     raise ``buckets`` with the number of ids.  Only the last batch of a bucket
     is not full.
     """
-    from pyspark.sql import Window
-
     bucket = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 4), 16, 10).cast("long")
     spread = ids.select(key).dropna().distinct().withColumn("bucket", F.pmod(bucket, F.lit(buckets)))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
@@ -110,7 +101,3 @@ def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int = 64)
         .groupBy("bucket", "batch")
         .agg(F.sort_array(F.collect_list(key)).alias("ids"))
     )
-
-
-def wanted_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*columns)

@@ -1,7 +1,5 @@
 """Schemas of posts and of the files around them."""
 
-from pyspark.sql import types as T
-
 # Field names of the public post format.
 USER_FIELDS = [
     "screen_name", "followers_count", "friends_count", "listed_count",
@@ -17,13 +15,12 @@ INNER = (
     "struct<id: bigint, id_str: string, created_at: string, full_text: string, "
     "display_text_range: array<int>, user: struct<screen_name: string>>"
 )
-POST_DDL = (
+POST = (
     "id bigint, id_str string, created_at string, full_text string, text string, "
     "truncated boolean, display_text_range array<int>, lang string, source string, "
     "is_quote_status boolean, in_reply_to_status_id bigint, in_reply_to_status_id_str string, "
     f"in_reply_to_screen_name string, user {USER}, quoted_status {INNER}, retweeted_status {INNER}"
 )
-POST = T.StructType.fromDDL(POST_DDL)
 
 # Post id -> ids of the users who reposted it.
 MAP_OF_LISTS = "map<string, array<bigint>>"
