@@ -4,7 +4,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .times import as_column
+from .columns import as_column, bind
 
 # Rational approximation of the normal CDF (Hart 1968, as given by
 # West 2005), highest power first.
@@ -39,15 +39,6 @@ QUANTILE_TAIL_BOTTOM = (
 )
 
 
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often it is used.
-
-    Without this the nested approximations below would be written out many times
-    over and outgrow the generated code.
-    """
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _polynomial(x: Column, coefficients) -> Column:
     terms = F.array(*[F.lit(c) for c in coefficients])
     return F.aggregate(terms, F.lit(0.0), lambda acc, c: acc * x + c)

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import as_column
+
 MICROS = {
     "second": 1_000_000,
     "minute": 60 * 1_000_000,
@@ -11,10 +13,6 @@ MICROS = {
 }
 
 
-def as_column(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def epoch_us(c) -> Column:
     """Microseconds since 1970, for timestamps with or without a zone."""
     return F.unix_micros(as_column(c).cast("timestamp"))

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .times import as_column
+from .columns import as_column, bind
 
 # What counts as an address, a handle and a token of a post.
 ADDRESS = r"^\w+://"
@@ -44,11 +44,23 @@ def ngrams(tokens, n: int) -> Column:
     )
 
 
+def ngram_sets(tokens, low: int, high: int) -> Column:
+    """One ``(size, terms)`` struct per n-gram size from ``low`` to ``high``."""
+    return bind(
+        as_column(tokens),
+        lambda arr: F.array(
+            *[F.struct(F.lit(n).alias("size"), ngrams(arr, n).alias("terms")) for n in range(low, high + 1)]
+        ),
+    )
+
+
 def pad_front(ids, length: int) -> Column:
     """Last ``length`` ids, zeros in front when there are fewer."""
-    arr = as_column(ids)
-    kept = F.when(F.size(arr) > length, F.slice(arr, -length, length)).otherwise(arr)
-    return F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size(arr), F.lit(0))), kept)
+    def pad(arr: Column) -> Column:
+        kept = F.when(F.size(arr) > length, F.slice(arr, -length, length)).otherwise(arr)
+        return F.concat(F.array_repeat(F.lit(0), F.greatest(F.lit(length) - F.size(arr), F.lit(0))), kept)
+
+    return bind(as_column(ids), pad)
 
 
 def wrap_back(ids, length: int, begin: int, end: int) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.links import clip, expit, logit
-from ..functions.times import as_column, epoch_us, round_time, seconds_to_us
+from ..functions.columns import as_column
+from ..functions.times import epoch_us, round_time, seconds_to_us
 from .stats import pearson, pearson_test
 
 ZERO, DROP = "zero", "drop"

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.times import as_column, round_time
+from ..functions.columns import as_column
+from ..functions.times import round_time
 from .skew import ROWS_PER_TASK, join_unique
 from .stats import describe, summarise
 

@@ -5,7 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.times import as_column, epoch_us, seconds_to_us
+from ..functions.columns import as_column
+from ..functions.times import epoch_us, seconds_to_us
 from .skew import ROWS_PER_TASK, SLICE, join_unique, with_slices
 
 

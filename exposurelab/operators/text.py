@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.times import as_column
+from ..functions.columns import as_column
 from .stats import describe
 
 Scorer = Callable[[pd.Series], pd.DataFrame]
@@ -115,10 +115,7 @@ def regroup_tokens(rows: DataFrame, key: str, token: str = "token", name: str =
 
 def ngram_rows(df: DataFrame, key: str, tokens: str, low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
     """Occurrences per (key, term) for all n-grams with ``low <= n <= high``."""
-    sizes = F.array(
-        *[F.struct(F.lit(n).alias("size"), tk.ngrams(tokens, n).alias("terms")) for n in range(low, high + 1)]
-    )
-    by_size = df.select(key, *keep, F.explode(sizes).alias("_g"))
+    by_size = df.select(key, *keep, F.explode(tk.ngram_sets(tokens, low, high)).alias("_g"))
     return (
         by_size.select(key, *keep, F.col("_g.size").alias("size"), F.explode("_g.terms").alias("term"))
         .groupBy(key, *keep, "size", "term")

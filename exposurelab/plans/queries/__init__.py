@@ -8,7 +8,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Tables
 
-for _name in ("effects", "matching", "posts", "exploring"):
+for _name in ("effects", "matching", "posts", "exploring", "files", "texts"):
     import_module(f"{__name__}.{_name}")
 
 __all__ = ["REGISTRY", "Tables"]

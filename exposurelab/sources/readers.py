@@ -31,12 +31,17 @@ def read_map_document(spark: SparkSession, path: str, key: str = "post_id", memb
     return text.select(F.explode(F.from_json("value", MAP_OF_LISTS)).alias(key, members))
 
 
-def read_csv(spark: SparkSession, path: str, schema, line_sep: str = "\n") -> DataFrame:
-    """CSV with a header row; quotes are doubled inside quoted text."""
+def read_csv(spark: SparkSession, path: str, schema, line_sep: str = "\n", multi_line: bool = False) -> DataFrame:
+    """CSV with a header row; quotes are doubled inside quoted text.
+
+    ``multi_line`` allows line ends inside quotes; such files are not split, so
+    keep them small or use another format.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
+    if not multi_line:
+        reader = reader.option("lineSep", line_sep)
     return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("lineSep", line_sep)
+        reader
         .option("escape", '"')
         .csv(path)
     )
@@ -81,7 +86,7 @@ def landed_entities(spark: SparkSession, path: str, pattern: str = "*.ndjson", n
 
 def fetch_backlog(lists: DataFrame, members: str, landed: DataFrame, landed_id: str) -> DataFrame:
     """Distinct list members that have not landed yet."""
-    wanted = lists.select(F.explode(members).cast("string").alias("member")).distinct()
+    wanted = lists.select(F.explode(members).alias("member")).select(F.col("member").cast("string")).distinct()
     have = landed.select(F.col(landed_id).cast("string").alias("member"))
     return wanted.join(have, "member", "left_anti")
 

@@ -24,9 +24,15 @@ def materialize(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# ISO timestamps down to the microsecond (the default stops at milliseconds).
+ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+ISO_NO_ZONE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines, a file per task; timestamps as ISO text."""
-    df.write.mode("overwrite" if overwrite else "errorifexists").json(path)
+    writer = df.write.mode("overwrite" if overwrite else "errorifexists")
+    writer.option("timestampFormat", ISO).option("timestampNTZFormat", ISO_NO_ZONE).json(path)
 
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
