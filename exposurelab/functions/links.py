@@ -69,7 +69,7 @@ def normal_pdf(c) -> Column:
 
 
 def normal_cdf(c) -> Column:
-    """Standard normal CDF, good to about 1e-15."""
+    """Standard normal CDF, absolute error about 1e-15."""
 
     def tail(size: Column) -> Column:
         bell = F.exp(size * size * -0.5)

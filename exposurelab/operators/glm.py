@@ -123,7 +123,8 @@ def covariate_glm(df: DataFrame, label: str, covariates: Sequence[str], link: st
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     names = [f"{c}_norm" for c in covariates]
-    ready = zscores(df.dropna(subset=[label, *covariates]), covariates)
+    # A constant covariate has no z-score and no influence.
+    ready = zscores(df.dropna(subset=[label, *covariates]), covariates).fillna(0.0, names)
     shaped = VectorAssembler(inputCols=names, outputCol="features").transform(ready).select(
         F.col(label).cast("double").alias("label"), "features"
     )

@@ -84,13 +84,15 @@ def with_slices(
     source = df.join(F.broadcast(hot.select(*keys)), keys, "left_semi") if keys else df
     cuts = source.groupBy(*keys).agg(F.percentile_approx(order, shares, 10_000).alias("_cuts"))
     local = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    number = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(order))), F.lit(0))
+    # The number of cut points below the value: its place among them.
+    place = F.array_position(F.sort_array(F.array_append("_cuts", F.col(order))), F.col(order))
+    number = F.coalesce(place - 1, F.lit(0)).cast("int")
     if keys:
         joined = df.join(F.broadcast(local), keys, "left")
     else:
         points = local.first()["_cuts"]
         joined = df.withColumn("_cuts", F.array(*[F.lit(p) for p in points]))
-    return joined.withColumn(SLICE, F.greatest(number, F.lit(0))).drop("_cuts"), True
+    return joined.withColumn(SLICE, number).drop("_cuts"), True
 
 
 def running_weight(

@@ -157,12 +157,12 @@ def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, bound: int
     if bound is not None and bound <= BROADCAST_ROWS:
         vocab = F.broadcast(vocab)
     rows = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    ids = rows.join(vocab, "token", "left")
+    ids = rows.join(vocab.withColumnRenamed("id", "_id"), "token", "left")
     if unknown is not None:
-        ids = ids.withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(unknown))))
-    entry = F.when(F.col("id").isNotNull(), F.struct("pos", "id"))
+        ids = ids.withColumn("_id", F.when(F.col("token").isNotNull(), F.coalesce("_id", F.lit(unknown))))
+    entry = F.when(F.col("_id").isNotNull(), F.struct("pos", "_id"))
     packed = F.sort_array(F.collect_list(entry))
-    return ids.groupBy(key).agg(F.transform(packed, lambda p: p["id"]).alias(name))
+    return ids.groupBy(key).agg(F.transform(packed, lambda p: p["_id"]).alias(name))
 
 
 def padded_sequences(df: DataFrame, key: str, text: str, num_words: int = 20_000, length: int = 30) -> DataFrame:

@@ -168,8 +168,8 @@ select round(max(d) filter (where x = 1) - max(d) filter (where x = 0), 6) as at
        round(sqrt(sum(v)), 6) as std_error from arms
 """)
 def before_after_ate(t):
-    kept = keep_both_sides(sided(t), ["usr", "post"], "is_after")
-    result = causal.before_after_ate(kept, "x", "post", "usr", "is_after", "y")
+    # Users seen on one side only add nothing, so they need not be joined away.
+    result = causal.before_after_ate(sided(t), "x", "post", "usr", "is_after", "y")
     return result.select(
         F.round("ate", 6).alias("ate"), F.round("variance", 8).alias("variance"), F.round("std_error", 6).alias("std_error")
     )

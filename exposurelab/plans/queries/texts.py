@@ -39,7 +39,7 @@ polarity as (select doc_id, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0
 
 def lexicon(t: Tables) -> DataFrame:
     """Word valences learnt from the labels."""
-    counts = tx.word_counts(t.documents, "doc_id", tk.words("text")).join(t.labels, "doc_id")
+    counts = tx.word_counts(t.texts, "doc_id", tk.words("text")).join(t.labels, "doc_id")
     good = F.sum(F.when(F.col("quality") == 1, F.col("n")))
     bad = F.coalesce(F.sum(F.when(F.col("quality") == 0, F.col("n"))), F.lit(0))
     return counts.groupBy("token").agg(
@@ -50,7 +50,7 @@ def lexicon(t: Tables) -> DataFrame:
 
 
 def polarity(t: Tables) -> DataFrame:
-    return tx.polarity(t.documents, "doc_id", "text", lexicon(t))
+    return tx.polarity(t.texts, "doc_id", "text", lexicon(t))
 
 
 @query(f"with {LEXICON} select doc_id, round(polarity, 6) as polarity, round(subjectivity, 6) as subjectivity from polarity")
@@ -74,13 +74,13 @@ stems as (select distinct token, regexp_replace(token, '(ing|ed|s)$', '') as ste
 stemmed as (select doc_id, pos, coalesce(stem, token) as token from token_rows left join stems using (token))
 select doc_id, count(*) as n, md5(string_agg(token, ' ' order by pos)) as tokens from stemmed group by doc_id""")
 def tokenize_posts(t):
-    rows = tx.stem_tokens(t.documents, "doc_id", "text")
+    rows = tx.stem_tokens(t.texts, "doc_id", "text")
     stems = (
         rows.filter(F.length("token") > 4)
         .select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem"))
         .distinct()
     )
-    packed = tx.regroup_tokens(tx.stem_tokens(t.documents, "doc_id", "text", stems), "doc_id")
+    packed = tx.regroup_tokens(tx.stem_tokens(t.texts, "doc_id", "text", stems), "doc_id")
     return packed.select(
         "doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens")
     )
@@ -101,7 +101,7 @@ with k as (select doc_id, {KEPT} as toks from documents),
 g as ({grams_sql(1, 2, 'k')})
 select size, term, count(*) as n, count(distinct doc_id) as n_docs from g group by size, term""")
 def term_counts(t):
-    rows = tx.ngram_rows(tx.prepare_terms(t.documents, "text", STOP_WORDS), "doc_id", "tokens", 1, 2)
+    rows = tx.ngram_rows(tx.prepare_terms(t.texts, "text", STOP_WORDS), "doc_id", "tokens", 1, 2)
     return rows.groupBy("size", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -110,7 +110,7 @@ with k as (select doc_id, {KEPT} as toks from documents),
 g as ({grams_sql(1, 6, 'k')})
 select doc_id, size, count(*) as n, count(distinct term) as n_terms from g group by doc_id, size""")
 def ngram_counts(t):
-    rows = tx.ngram_rows(tx.prepare_terms(t.documents, "text", STOP_WORDS), "doc_id", "tokens", 1, 6)
+    rows = tx.ngram_rows(tx.prepare_terms(t.texts, "text", STOP_WORDS), "doc_id", "tokens", 1, 6)
     return rows.groupBy("doc_id", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
 
 
@@ -124,7 +124,7 @@ def labelled(t: Tables) -> DataFrame:
 
 def labelled_terms(t: Tables, high: int) -> tuple[DataFrame, DataFrame]:
     docs = labelled(t)
-    tokens = tx.prepare_terms(t.documents.join(docs, "doc_id"), "text", STOP_WORDS)
+    tokens = tx.prepare_terms(t.texts.join(docs, "doc_id"), "text", STOP_WORDS)
     rows = tx.ngram_rows(tokens, "doc_id", "tokens", 1, high, keep=["quality", "is_test", "fold"])
     # Read by the term table, the totals and the scores: tokenize once.
     return docs, cut_lineage(rows)
@@ -250,14 +250,14 @@ def as_text(name: str):
 @query(f"with {VOCAB} select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as ids from all_ids")
 def id_sequences(t):
     words = tk.words("text")
-    ids = tx.encode(t.documents, "doc_id", words, tx.vocabulary(t.documents, words, 500), bound=500)
+    ids = tx.encode(t.texts, "doc_id", words, tx.vocabulary(t.texts, words, 500), bound=500)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(as_text("ids").cast("binary")).alias("ids"))
 
 
 @query(f"""with {VOCAB}
 select doc_id, array_to_string(list_concat(list_transform(range(0, greatest(30 - len(ids), 0)), lambda i: 0), ids[greatest(len(ids) - 29, 1):]), ',') as ids from all_ids""")
 def padded_sequences(t):
-    return tx.padded_sequences(t.documents, "doc_id", "text", 500, 30).select("doc_id", as_text("ids"))
+    return tx.padded_sequences(t.texts, "doc_id", "text", 500, 30).select("doc_id", as_text("ids"))
 
 
 @query(f"""with {VOCAB},
@@ -267,8 +267,8 @@ select doc_id, len(ids) > 218 as was_cut, least(len(ids), 218) + 2 as n_mask,
        array_to_string(list_concat([101], ids[1:218], [102], list_transform(range(0, greatest(218 - len(ids), 0)), lambda i: 0)), ',') as ids from every""")
 def subword_sequences(t):
     words = tk.words("text")
-    vocab = tx.vocabulary(t.documents, words, 500).withColumn("id", F.col("id") + 102)
-    rows = tx.subword_sequences(t.documents, "doc_id", "text", vocab, begin=101, end=102, unknown=100, bound=500)
+    vocab = tx.vocabulary(t.texts, words, 500).withColumn("id", F.col("id") + 102)
+    rows = tx.subword_sequences(t.texts, "doc_id", "text", vocab, begin=101, end=102, unknown=100, bound=500)
     marks = F.aggregate("mask", F.lit(0), lambda a, b: a + b).cast("long").alias("n_mask")
     return rows.select("doc_id", "was_cut", marks, as_text("ids"))
 
@@ -278,14 +278,14 @@ with c as (select lang, row_number() over (order by lang) - 1 as code from (sele
 select doc_id, cast(code as int) as code, array_to_string(list_transform(range(0, (select count(*) from c)), lambda i: case when i = code then 1 else 0 end), ',') as one_hot
 from documents join c using (lang)""")
 def one_hot(t):
-    return tx.one_hot(t.documents, "lang").select("doc_id", "code", as_text("one_hot"))
+    return tx.one_hot(t.texts, "lang").select("doc_id", "code", as_text("one_hot"))
 
 
 # ---- vectors and model scores --------------------------------------------------------------
 
 def vectors(t: Tables) -> DataFrame:
     """The i-th most frequent word gets the i-th vector."""
-    vocab = tx.vocabulary(t.documents, tk.words("text"), 500)
+    vocab = tx.vocabulary(t.texts, tk.words("text"), 500)
     return vocab.join(t.embeddings.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector")), "id")
 
 
@@ -296,7 +296,7 @@ select doc_id, n_words, array_to_string(list(x order by dim), ',') as mean_vecto
   select doc_id, dim, count(*) as n_words, cast(cast(floor(avg(cast(x as double)) * 10000 + 0.5) as bigint) as varchar) as x from long group by doc_id, dim)
 group by doc_id, n_words""")
 def mean_vector(t):
-    means = tx.mean_vectors(t.documents, "doc_id", "text", vectors(t), 64)
+    means = tx.mean_vectors(t.texts, "doc_id", "text", vectors(t), 64)
     scaled = F.transform("mean_vector", lambda x: F.floor(x * 10000 + 0.5))
     return means.select("doc_id", "n_words", scaled.alias("mean_vector")).withColumn("mean_vector", as_text("mean_vector"))
 
@@ -304,11 +304,11 @@ def mean_vector(t):
 @query()
 def score_batch(t):
     """Two independent probabilities per document from a model shipped to every task."""
-    counts = tx.word_counts(t.documents, "doc_id", tk.words("text")).join(t.labels, "doc_id")
+    counts = tx.word_counts(t.texts, "doc_id", tk.words("text")).join(t.labels, "doc_id")
     lean = lambda c: F.log((F.sum(F.col("n") * F.col(c)) + 1) / (F.sum(F.col("n") * (1 - F.col(c))) + 1)).alias(c)
     model = counts.groupBy("token").agg(F.sum("n").alias("n"), lean("quality"), lean("toxic"))
     # The model has a fixed size; it is the one thing that visits the driver.
     rows = model.orderBy(F.desc("n"), "token").limit(2000).collect()
     scorer = tx.LinearScorer({r["token"]: (r["quality"], r["toxic"]) for r in rows}, [0.0, 0.0], ["quality", "toxic"])
-    scored = t.documents.select("doc_id", tx.score_text("text", scorer, "quality double, toxic double").alias("s"))
+    scored = t.texts.select("doc_id", tx.score_text("text", scorer, "quality double, toxic double").alias("s"))
     return rounded(scored.select("doc_id", "s.quality", "s.toxic"), 4)

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import HOT_KEYS, join_unique
+
 LIST_PART = 10_000
 
 
@@ -47,13 +49,16 @@ def collect_lists(pairs: DataFrame, key: str, member: str, part_size: int = LIST
     The number of parts follows from the number of members, so a key with very
     many members becomes many rows instead of one list without bound.
     """
-    from ..operators.skew import join_unique
-
     unique = pairs.select(key, member).dropna().distinct()
-    parts = unique.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part_size).alias("_parts"))
-    numbered = join_unique(unique, parts, [key]).withColumn(
-        "part", F.pmod(F.xxhash64(member), F.col("_parts"))
-    )
+    parts = unique.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part_size).alias("_parts")).filter("_parts > 1")
+    few = parts.limit(HOT_KEYS + 1).collect()
+    if len(few) <= HOT_KEYS:
+        # Long lists are few: their part counts fit into a broadcast.
+        local = pairs.sparkSession.createDataFrame(few, parts.schema)
+        joined = unique.join(F.broadcast(local), key, "left") if few else unique.withColumn("_parts", F.lit(1))
+    else:
+        joined = join_unique(unique, parts, [key], "left")
+    numbered = joined.withColumn("part", F.pmod(F.xxhash64(member), F.coalesce("_parts", F.lit(1))))
     return numbered.groupBy(key, "part").agg(F.sort_array(F.collect_set(member)).alias("members"))
 
 
