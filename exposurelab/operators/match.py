@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
 from ..functions.times import epoch_us, seconds_to_us
-from .skew import ROWS_PER_TASK, SLICE, join_unique, with_slices
+from .skew import ROWS_PER_TASK, SLICE, join_unique, running_weight, with_slices
 
 
 def join_source(
@@ -156,6 +156,41 @@ def range_join(
     ).drop("_pb", "_mb")
 
 
+def counts_around(
+    posts: DataFrame,
+    marks: DataFrame,
+    user: str,
+    time: str,
+    seconds: float,
+    rows_per_task: int = ROWS_PER_TASK,
+) -> DataFrame:
+    """Per (user, moment) the number of posts, and of marks less than ``seconds`` away.
+
+    Both sides name their user and time alike.  No pair is built: a mark adds one
+    when its reach begins and takes it back when it ends, and a running sum over
+    the moments gives the number of marks in reach.
+    """
+    width = seconds_to_us(seconds)
+    us, one, none = epoch_us(time), F.lit(1).cast("long"), F.lit(0).cast("long")
+    begin = F.struct((us - (width - 1)).alias("us"), one.alias("change"))
+    end = F.struct((us + width).alias("us"), (-one).alias("change"))
+    reach = marks.select(user, F.explode(F.array(begin, end)).alias("_d")).select(
+        user, F.col("_d.us").alias("us"), F.col("_d.change").alias("change"), none.alias("n_posts")
+    )
+    stays = posts.select(user, us.alias("us"), none.alias("change"), one.alias("n_posts"))
+    moments = (
+        stays.unionByName(reach)
+        .dropna(subset=[user, "us"])
+        .groupBy(user, "us")
+        .agg(F.sum("change").alias("change"), F.sum("n_posts").alias("n_posts"))
+    )
+    return (
+        running_weight(moments, [user], "us", "change", rows_per_task)
+        .filter("n_posts > 0")
+        .select(user, "us", "n_posts", F.col("running").alias("n_marks"))
+    )
+
+
 def keep_users(
     df: DataFrame,
     user: str,

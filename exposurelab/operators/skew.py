@@ -6,7 +6,6 @@ their own.  Every path returns the same rows; only the split differs.
 """
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,9 @@ ROWS_PER_TASK = 4_000_000
 # hot keys is small enough to broadcast whatever the size of the data.
 HOT_KEYS = 1_000
 MAX_SLICES = 1_000
+# Lookup tables: the longest one that is broadcast, and the copies of longer ones.
+BROADCAST_ROWS = 200_000
+SALTS = 32
 
 SLICE = "_slice"
 
@@ -59,6 +61,29 @@ def join_unique(
     return usual.unionByName(apart)
 
 
+def lookup_join(
+    left: DataFrame,
+    table: DataFrame,
+    on: str,
+    spread_by: str,
+    how: str = "inner",
+    broadcast_rows: int = BROADCAST_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join rows to a lookup table that is small beside them, such as a word list.
+
+    A table of at most ``broadcast_rows`` rows (counted, up to that bound) goes
+    to every executor.  A longer one is shuffled in ``salts`` copies, and the
+    rows of a key are spread over the copies by the hash of ``spread_by``, so
+    that the most frequent word does not end up in one task.
+    """
+    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return left.join(F.broadcast(table), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+
+
 def with_slices(
     df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK
 ) -> tuple[DataFrame, bool]:
@@ -141,7 +166,3 @@ def running_weight(
         .withColumn("total_sum", F.col("_total_sum"))
         .drop(SLICE, "_offset", "_total", "_total_sum")
     )
-
-
-def all_of(conditions):
-    return reduce(lambda a, b: a & b, conditions)

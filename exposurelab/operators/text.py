@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.columns import as_column
+from .skew import BROADCAST_ROWS, lookup_join
 from .stats import describe
 
+VECTOR_ROWS = 20_000
+
 Scorer = Callable[[pd.Series], pd.DataFrame]
-# The most rows that are sent to every executor by an explicit hint.
-BROADCAST_ROWS = 200_000
 
 
 def score_text(text, factory: Callable[[], Scorer], fields: str = "label string, score double") -> Column:
@@ -85,7 +86,7 @@ def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, name: str =
     The valences of all known words are summed to ``s``; the polarity is
     ``s / sqrt(s*s + 15)``.  Texts without a known word get 0 and 0.
     """
-    known = word_counts(df, key, tk.words(text), outer=True).join(lexicon, "token", "left")
+    known = lookup_join(word_counts(df, key, tk.words(text), outer=True), lexicon, "token", key, "left")
     total = F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0))
     hits = F.sum(F.when(F.col("valence").isNotNull(), F.col("n")))
     leaning = F.coalesce(F.sum(F.col("n") * F.col("subjectivity")) / hits, F.lit(0.0))
@@ -102,7 +103,7 @@ def stem_tokens(df: DataFrame, key: str, text: str, stems: DataFrame | None = No
     rows = df.select(key, F.posexplode(tk.post_tokens(text)).alias("pos", "token"))
     if stems is None:
         return rows
-    return rows.join(stems, "token", "left").select(
+    return lookup_join(rows, stems, "token", key, "left").select(
         key, "pos", F.coalesce("stem", "token").alias("token")
     )
 
@@ -151,13 +152,15 @@ def vocabulary(df: DataFrame, tokens: Column, num_words: int) -> DataFrame:
 def encode(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, bound: int | None = None, unknown: int | None = None, name: str = "ids") -> DataFrame:
     """Token arrays as id arrays in text order.
 
-    Unknown words are skipped, or get the ``unknown`` id.  A vocabulary of a
-    known size is broadcast; otherwise Spark decides by its size.
+    Unknown words are skipped, or get the ``unknown`` id.  ``bound`` is the size
+    of a vocabulary that is known to have no more words; others are counted.
     """
-    if bound is not None and bound <= BROADCAST_ROWS:
-        vocab = F.broadcast(vocab)
     rows = df.select(key, F.posexplode_outer(tokens).alias("pos", "token"))
-    ids = rows.join(vocab.withColumnRenamed("id", "_id"), "token", "left")
+    vocab = vocab.withColumnRenamed("id", "_id")
+    if bound is not None and bound <= BROADCAST_ROWS:
+        ids = rows.join(F.broadcast(vocab), "token", "left")
+    else:
+        ids = lookup_join(rows, vocab, "token", key, "left")
     if unknown is not None:
         ids = ids.withColumn("_id", F.when(F.col("token").isNotNull(), F.coalesce("_id", F.lit(unknown))))
     entry = F.when(F.col("_id").isNotNull(), F.struct("pos", "_id"))
@@ -206,7 +209,8 @@ def mean_vectors(df: DataFrame, key: str, text: str, vectors: DataFrame, dim: in
     One sum per dimension in a single aggregation, so a token row is never
     multiplied by the dimension.
     """
-    known = word_counts(df, key, tk.words(text)).join(vectors, "token")
+    # Vectors are wide, so fewer of them are broadcast.
+    known = lookup_join(word_counts(df, key, tk.words(text)), vectors, "token", key, broadcast_rows=VECTOR_ROWS)
     weight = F.sum("n")
     sums = [
         (F.sum(F.col("n") * F.col(vector).getItem(i).cast("double")) / weight).alias(f"_d{i}") for i in range(dim)

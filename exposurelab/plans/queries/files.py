@@ -107,7 +107,7 @@ def fetch_backlog(t):
 
 
 @query("""
-with b as (select distinct o_custkey as id, cast(('0x' || substr(md5(cast(o_custkey as varchar)), 1, 4)) as bigint) % 64 as bucket from orders),
+with b as (select distinct o_custkey as id, cast(('0x' || substr(md5(cast(o_custkey as varchar)), 1, 8)) as bigint) % 64 as bucket from orders),
 n as (select *, (row_number() over (partition by bucket order by id) - 1) // 100 as batch from b)
 select bucket, batch, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as ids from n group by bucket, batch""")
 def lookup_batches(t):

@@ -135,7 +135,8 @@ def gap_summary(t):
 
 @query(f"with {AROUND} select user_id, count(*) as n from around group by user_id")
 def around_counts(t):
-    return around_marks(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = match.counts_around(t.events, t.events.filter(is_mark()), "user_id", "ts", 10 * 3600)
+    return counted.groupBy("user_id").agg(F.sum(F.col("n_posts") * F.col("n_marks")).alias("n")).filter("n > 0")
 
 
 @query("""

@@ -13,6 +13,7 @@ from .registry import Tables, query, rounded
 
 # Fixed values of these queries; the operators take any list.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "by", "on", "with", "for", "as", "it", "this", "be"]
+NUM_WORDS = 20_000
 CLASSES = [0, 1]
 RANGES = [(1, 1), (1, 2), (2, 2), (1, 3), (2, 3), (3, 3), (1, 4), (1, 5), (1, 6)]
 ALPHAS = [math.exp(-2 + i / 10) for i in range(40)]
@@ -42,11 +43,13 @@ def lexicon(t: Tables) -> DataFrame:
     counts = tx.word_counts(t.texts, "doc_id", tk.words("text")).join(t.labels, "doc_id")
     good = F.sum(F.when(F.col("quality") == 1, F.col("n")))
     bad = F.coalesce(F.sum(F.when(F.col("quality") == 0, F.col("n"))), F.lit(0))
-    return counts.groupBy("token").agg(
+    words = counts.groupBy("token").agg(
         (F.lit(4.0) * (good - bad) / (F.sum("n") + 10)).alias("valence"),
         F.avg(F.col("toxic").cast("double")).alias("subjectivity"),
         good.alias("good"),
     ).filter("good > 0").drop("good")
+    # A lexicon is an input; written once, it is not learnt again at every use.
+    return cut_lineage(words)
 
 
 def polarity(t: Tables) -> DataFrame:
@@ -80,6 +83,7 @@ def tokenize_posts(t):
         .select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem"))
         .distinct()
     )
+    stems = cut_lineage(stems)
     packed = tx.regroup_tokens(tx.stem_tokens(t.texts, "doc_id", "text", stems), "doc_id")
     return packed.select(
         "doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens")
@@ -237,7 +241,7 @@ def nb_best(t):
 VOCAB = f"""
 word_rows as (select doc_id, unnest({WORDS}) as token, generate_subscripts({WORDS}, 1) as pos from documents),
 vocab as (select token, row_number() over (order by count(*) desc, token) as id from word_rows group by token
-          order by count(*) desc, token limit 499),
+          order by count(*) desc, token limit 19999),
 ids as (select doc_id, list(id order by pos) filter (where id is not null) as ids from word_rows left join vocab using (token) group by doc_id),
 all_ids as (select doc_id, coalesce(ids, []) as ids from documents left join ids using (doc_id))
 """
@@ -250,14 +254,14 @@ def as_text(name: str):
 @query(f"with {VOCAB} select doc_id, len(ids) as n, md5(array_to_string(ids, ',')) as ids from all_ids")
 def id_sequences(t):
     words = tk.words("text")
-    ids = tx.encode(t.texts, "doc_id", words, tx.vocabulary(t.texts, words, 500), bound=500)
+    ids = tx.encode(t.texts, "doc_id", words, tx.vocabulary(t.texts, words, NUM_WORDS), bound=NUM_WORDS)
     return ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.md5(as_text("ids").cast("binary")).alias("ids"))
 
 
 @query(f"""with {VOCAB}
 select doc_id, array_to_string(list_concat(list_transform(range(0, greatest(30 - len(ids), 0)), lambda i: 0), ids[greatest(len(ids) - 29, 1):]), ',') as ids from all_ids""")
 def padded_sequences(t):
-    return tx.padded_sequences(t.texts, "doc_id", "text", 500, 30).select("doc_id", as_text("ids"))
+    return tx.padded_sequences(t.texts, "doc_id", "text", NUM_WORDS, 30).select("doc_id", as_text("ids"))
 
 
 @query(f"""with {VOCAB},
@@ -267,8 +271,8 @@ select doc_id, len(ids) > 218 as was_cut, least(len(ids), 218) + 2 as n_mask,
        array_to_string(list_concat([101], ids[1:218], [102], list_transform(range(0, greatest(218 - len(ids), 0)), lambda i: 0)), ',') as ids from every""")
 def subword_sequences(t):
     words = tk.words("text")
-    vocab = tx.vocabulary(t.texts, words, 500).withColumn("id", F.col("id") + 102)
-    rows = tx.subword_sequences(t.texts, "doc_id", "text", vocab, begin=101, end=102, unknown=100, bound=500)
+    vocab = tx.vocabulary(t.texts, words, NUM_WORDS).withColumn("id", F.col("id") + 102)
+    rows = tx.subword_sequences(t.texts, "doc_id", "text", vocab, begin=101, end=102, unknown=100, bound=NUM_WORDS)
     marks = F.aggregate("mask", F.lit(0), lambda a, b: a + b).cast("long").alias("n_mask")
     return rows.select("doc_id", "was_cut", marks, as_text("ids"))
 
@@ -285,8 +289,8 @@ def one_hot(t):
 
 def vectors(t: Tables) -> DataFrame:
     """The i-th most frequent word gets the i-th vector."""
-    vocab = tx.vocabulary(t.texts, tk.words("text"), 500)
-    return vocab.join(t.embeddings.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector")), "id")
+    vocab = tx.vocabulary(t.texts, tk.words("text"), NUM_WORDS)
+    return cut_lineage(vocab).join(t.embeddings.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector")), "id")
 
 
 @query(f"""with {VOCAB},

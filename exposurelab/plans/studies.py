@@ -69,16 +69,25 @@ def before_and_after(
     """
     at = (lambda name: f"{path.rstrip('/')}/{name}") if path else (lambda name: None)
     source = source_features(sources, scorer, at("source_scored"), overwrite)
+    answers = F.col("in_reply_to_status_id_str").isNotNull() | F.col("quoted_status").isNotNull()
+    # Only answers reach the result; other interactions are needed as marks, so
+    # their texts stay behind and everything else is dropped before the shuffle.
+    texts = {c: F.when(F.col("_answers"), F.col(c)) for c in ("full_text", "text", "retweeted_status")}
     timed = (
-        responses.withColumn("_user", F.col("user.id_str"))
-        .withColumn("_time", parse_post_time("created_at"))
-        .withColumn("_mark", op.response_id())
-        .filter(F.col("_time").isNotNull())
+        responses.withColumns(
+            {
+                "_user": F.col("user.id_str"),
+                "_time": parse_post_time("created_at"),
+                "_mark": F.when(op.is_response_to(account), op.response_id()),
+                "_answers": answers,
+            }
+        )
+        .filter(F.col("_time").isNotNull() & (F.col("_answers") | F.col("_mark").isNotNull()))
+        .withColumns(texts)
     )
-    matched = asof_neighbours(timed, "_user", "_time", op.is_response_to(account), "_mark")
-    near = near_marks(matched, "_time", near_seconds)
-    answering = near.filter(F.col("in_reply_to_status_id_str").isNotNull() | F.col("quoted_status").isNotNull())
-    pairs = neighbour_pairs(answering, [*responses.columns, "_time", "before_us", "after_us"])
+    matched = asof_neighbours(timed, "_user", "_time", F.col("_mark").isNotNull(), "_mark")
+    near = near_marks(matched, "_time", near_seconds).filter("_answers")
+    pairs = neighbour_pairs(near, [*responses.columns, "_time", "before_us", "after_us"])
     gap = F.abs(epoch_us("_time") - epoch_us("source_created_at"))
     joined = join_source(pairs, source, "mark_id", "source_status_id").filter(gap < seconds_to_us(band_seconds))
     # Scoring comes last, when only the rows of the result are left.

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from .schema import MAP_OF_LISTS, POST
 
+IDS_PER_BUCKET = 1_000_000
+
 
 def read_posts(spark: SparkSession, path: str, schema=None, pattern: str = "*.ndjson") -> DataFrame:
     """Posts of a folder, one JSON object per line.
@@ -101,18 +103,21 @@ def fetch_backlog(lists: DataFrame, members: str, landed: DataFrame, landed_id:
     return wanted.join(have, "member", "left_anti")
 
 
-def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int = 64) -> DataFrame:
+def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int | None = None) -> DataFrame:
     """Distinct ids in batches of at most ``size``.
 
-    Ids are spread over ``buckets`` by digest and numbered inside their bucket;
-    raise ``buckets`` with the number of ids.  Only the last batch of a bucket
-    is not full.
+    Ids are spread over buckets by digest and numbered inside their bucket; the
+    number of buckets grows with the number of ids.  Only the last batch of a
+    bucket is not full.
     """
-    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 4), 16, 10).cast("long")
-    spread = ids.select(key).dropna().distinct().withColumn("bucket", F.pmod(bucket, F.lit(buckets)))
+    unique = ids.select(key).dropna().distinct()
+    if buckets is None:
+        buckets = max(64, unique.count() // IDS_PER_BUCKET)
+    digest = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
     return (
-        spread.withColumn("batch", F.floor((place - 1) / size).cast("long"))
+        unique.withColumn("bucket", F.pmod(digest, F.lit(buckets)))
+        .withColumn("batch", F.floor((place - 1) / size).cast("long"))
         .groupBy("bucket", "batch")
         .agg(F.sort_array(F.collect_list(key)).alias("ids"))
     )

@@ -69,6 +69,28 @@ def test_range_join_equals_theta_join(timeline):
     assert sorted((r["id"], r["mark_id"]) for r in got) == sorted(expected)
 
 
+@pytest.mark.parametrize("rows_per_task", [10**9, 40])
+def test_counts_around_equal_counted_pairs(timeline, rows_per_task):
+    rows, df = timeline
+    counted = match.counts_around(df, df.filter("mark"), "usr", "ts", 13, rows_per_task).collect()
+    got = {(r["usr"], r["us"] // 10**6): (r["n_posts"], r["n_marks"]) for r in counted}
+    expected = {}
+    for _, u, s, _ in rows:
+        if u is not None:
+            marks = sum(m and v == u and abs(s - t) < 13 for _, v, t, m in rows)
+            expected[u, s] = (expected.get((u, s), (0, 0))[0] + 1, marks)
+    assert got == expected
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookup_join_takes_both_paths(spark, how):
+    left = spark.createDataFrame([(i, "the" if i % 3 else f"w{i % 7}") for i in range(90)], "id int, token string")
+    table = spark.createDataFrame([("the", 1), ("w0", 2), ("zzz", 3)], "token string, v int")
+    sent = skew.lookup_join(left, table, "token", "id", how)
+    salted = skew.lookup_join(left, table, "token", "id", how, broadcast_rows=2)
+    assert sorted(map(repr, sent.collect())) == sorted(map(repr, salted.collect()))
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_join_unique_takes_both_paths(spark, how):
     left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2, 3, 3, 4, None])], "k int, i int")
