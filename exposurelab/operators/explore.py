@@ -154,7 +154,8 @@ def describe_dense(hourly: DataFrame, user: str, n_periods: Column) -> DataFrame
         .select(user, F.lit(0.0).alias("n_posts"), (n_periods - F.col("_seen")).cast("long").alias("n"))
         .filter(F.col("n") > 0)
     )
-    return summarise(seen.unionByName(zeros), [user], "n_posts")
+    # A user has at most one row per period, so no user is large.
+    return summarise(seen.unionByName(zeros), [user], "n_posts", rows_per_task=None)
 
 
 # ---- calendars ---------------------------------------------------------------

@@ -77,24 +77,36 @@ def lookup_join(
     rows of a key are spread over the copies by the hash of ``spread_by``, so
     that the most frequent word does not end up in one task.
     """
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits_broadcast(table, broadcast_rows):
         return left.join(F.broadcast(table), on, how)
+    return salted_join(left, table, on, spread_by, how, salts)
+
+
+def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """The table has at most ``rows`` rows; counting stops beyond that."""
+    return table.limit(rows + 1).count() <= rows
+
+
+def salted_join(left: DataFrame, table: DataFrame, on: str, spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
 
 
 def with_slices(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int = ROWS_PER_TASK
+    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int | None = ROWS_PER_TASK
 ) -> tuple[DataFrame, bool]:
     """Add a slice number that cuts the rows of hot keys along ``order``.
 
     Slices follow the order and equal values share a slice.  The cut points come
     from mergeable quantile sketches (HOT_KEYS x MAX_SLICES numbers at most), so
     slices are even whatever the distribution; any cut gives the same results.
-    Without keys the whole table is one group.
+    Without keys the whole table is one group.  ``rows_per_task=None`` skips the
+    search, for callers who know that no key can be large.
     """
     keys = list(keys)
+    if rows_per_task is None:
+        return df.withColumn(SLICE, F.lit(0)), False
     if keys:
         hot = hot_keys(df, keys, rows_per_task)
         if hot is None:
@@ -125,7 +137,7 @@ def running_weight(
     keys: Sequence[str],
     value: str,
     weight: str,
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = ROWS_PER_TASK,
 ) -> DataFrame:
     """Cumulative weight along ``value`` inside each key, with the key's totals.
 
@@ -135,20 +147,20 @@ def running_weight(
     slice is summed by itself and the slices before it are added as an offset.
     """
     keys = list(keys)
-    sliced, cut = with_slices(df, keys, value, rows_per_task)
+    sliced, cut = with_slices(df.withColumn("_product", F.col(weight) * F.col(value)), keys, value, rows_per_task)
     inside = Window.partitionBy(*keys, SLICE)
     along = inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    product = F.col(weight) * F.col(value)
     rows = (
         sliced.withColumn("running", F.sum(weight).over(along))
         .withColumn("total", F.sum(weight).over(inside))
-        .withColumn("total_sum", F.sum(product).over(inside))
+        .withColumn("total_sum", F.sum("_product").over(inside))
+        .drop("_product")
     )
     if not cut:
         return rows.drop(SLICE)
     # One row per slice: at most MAX_SLICES of them for a key.
     per_slice = sliced.groupBy(*keys, SLICE).agg(
-        F.sum(weight).alias("_w"), F.sum(product).alias("_ws")
+        F.sum(weight).alias("_w"), F.sum("_product").alias("_ws")
     )
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)

@@ -33,7 +33,7 @@ def _quantile(value: str, share: float) -> Column:
     return low + (high - low) * part
 
 
-def summarise(weights: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def summarise(weights: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float] | None = None, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """count, mean, std, min, quantiles and max from a ``value, n`` table."""
     quantiles = QUARTILES if quantiles is None else quantiles
     ranked = running_weight(weights, keys, value, "n", rows_per_task)
@@ -50,7 +50,7 @@ def summarise(weights: DataFrame, keys: Sequence[str], value: str, quantiles: di
     )
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = (), quantiles: dict[str, float] | None = None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def describe(df: DataFrame, value: str, by: Sequence[str] = (), quantiles: dict[str, float] | None = None, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
     """Summary of a numeric column, overall or per key, with exact quantiles.
 
     Values are collapsed to (value, count) first; ranks come from running sums

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.columns import as_column
-from .skew import BROADCAST_ROWS, lookup_join
+from .skew import BROADCAST_ROWS, fits_broadcast, lookup_join, salted_join
 from .stats import describe
 
 VECTOR_ROWS = 20_000
@@ -80,13 +80,29 @@ def word_counts(df: DataFrame, key: str, tokens: Column, outer: bool = False, ke
     return df.select(key, *keep, spread).groupBy(key, *keep, "token").agg(F.count("token").alias("n"))
 
 
-def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, name: str = "polarity") -> DataFrame:
+def look_up_words(
+    df: DataFrame, key: str, text: str, table: DataFrame, how: str = "inner", broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Words of the texts with the columns of ``table(token, ...)`` and a number ``n``.
+
+    With a short table nothing is shuffled here: every word meets the table where
+    its text lies, and the caller's sums per text follow at once.  With a long one
+    words are counted per text first and then joined in salted copies.
+    """
+    if fits_broadcast(table, broadcast_rows):
+        explode = F.explode if how == "inner" else F.explode_outer
+        rows = df.select(key, explode(tk.words(text)).alias("token")).withColumn("n", F.lit(1).cast("long"))
+        return rows.join(F.broadcast(table), "token", how)
+    return salted_join(word_counts(df, key, tk.words(text), outer=how != "inner"), table, "token", key, how)
+
+
+def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, name: str = "polarity", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Polarity in [-1, 1] and mean subjectivity from ``lexicon(token, valence, subjectivity)``.
 
     The valences of all known words are summed to ``s``; the polarity is
     ``s / sqrt(s*s + 15)``.  Texts without a known word get 0 and 0.
     """
-    known = lookup_join(word_counts(df, key, tk.words(text), outer=True), lexicon, "token", key, "left")
+    known = look_up_words(df, key, text, lexicon, "left", broadcast_rows)
     total = F.coalesce(F.sum(F.col("n") * F.col("valence")), F.lit(0.0))
     hits = F.sum(F.when(F.col("valence").isNotNull(), F.col("n")))
     leaning = F.coalesce(F.sum(F.col("n") * F.col("subjectivity")) / hits, F.lit(0.0))
@@ -203,14 +219,14 @@ def one_hot(df: DataFrame, label: str) -> DataFrame:
     return coded.withColumn("one_hot", tk.one_hot("code", F.col("_k"))).drop("_k")
 
 
-def mean_vectors(df: DataFrame, key: str, text: str, vectors: DataFrame, dim: int, vector: str = "vector") -> DataFrame:
+def mean_vectors(df: DataFrame, key: str, text: str, vectors: DataFrame, dim: int, vector: str = "vector", broadcast_rows: int = VECTOR_ROWS) -> DataFrame:
     """Mean of the word vectors per text; words without a vector are left out.
 
     One sum per dimension in a single aggregation, so a token row is never
     multiplied by the dimension.
     """
     # Vectors are wide, so fewer of them are broadcast.
-    known = lookup_join(word_counts(df, key, tk.words(text)), vectors, "token", key, broadcast_rows=VECTOR_ROWS)
+    known = look_up_words(df, key, text, vectors, broadcast_rows=broadcast_rows)
     weight = F.sum("n")
     sums = [
         (F.sum(F.col("n") * F.col(vector).getItem(i).cast("double")) / weight).alias(f"_d{i}") for i in range(dim)

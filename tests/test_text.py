@@ -14,9 +14,10 @@ def docs(spark):
     return spark.createDataFrame(rows, "id int, text string")
 
 
-def test_polarity(spark, docs):
+@pytest.mark.parametrize("rows", [100, 1])
+def test_polarity(spark, docs, rows):
     lexicon = spark.createDataFrame([("good", 2.0, 0.5), ("bad", -1.0, 1.0)], "token string, valence double, subjectivity double")
-    got = {r["id"]: r for r in tx.polarity(docs, "id", "text", lexicon).collect()}
+    got = {r["id"]: r for r in tx.polarity(docs, "id", "text", lexicon, broadcast_rows=rows).collect()}
     assert got[1]["polarity"] == pytest.approx(3 / math.sqrt(24)) and got[1]["subjectivity"] == pytest.approx(2 / 3)
     assert got[5]["polarity"] == pytest.approx(-1 / 4)
     assert [got[i]["polarity"] for i in (2, 3, 4)] == [0, 0, 0] and got[2]["subjectivity"] == 0
@@ -55,8 +56,9 @@ def test_one_hot_and_vectors(spark):
     df = spark.createDataFrame([(1, "x", "a b b"), (2, "w", "c"), (3, "x", "b zzz")], "id int, l string, text string")
     assert {r["id"]: r["one_hot"] for r in tx.one_hot(df, "l").collect()} == {1: [0, 1], 2: [1, 0], 3: [0, 1]}
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [4.0, 3.0])], "token string, vector array<float>")
-    got = {r["id"]: (r["n_words"], r["mean_vector"]) for r in tx.mean_vectors(df, "id", "text", vectors, 2).collect()}
-    assert got == {1: (3, [3.0, 2.0]), 3: (1, [4.0, 3.0])}
+    for rows in (100, 1):
+        means = tx.mean_vectors(df, "id", "text", vectors, 2, broadcast_rows=rows)
+        assert {r["id"]: (r["n_words"], r["mean_vector"]) for r in means.collect()} == {1: (3, [3.0, 2.0]), 3: (1, [4.0, 3.0])}
 
 
 def corpus(spark):
