@@ -9,7 +9,8 @@ from .columns import as_column, bind
 
 # What counts as an address, a handle and a token of a post.
 ADDRESS = r"^\w+://"
-HANDLE = r"(^|[^A-Za-z0-9_!@#$%&*])@\w+"
+# (The handle starts with the sign itself, so that the search can skip to it.)
+HANDLE = r"@(?<![A-Za-z0-9_!@#$%&*]@)\w+"
 POST_TOKEN = r"\w+://\S+|#?[\p{L}\p{N}_]+(?:['-][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}]"
 NOT_LETTERS = r"[^\p{L}]+"
 
@@ -21,7 +22,7 @@ def words(text) -> Column:
 
 def post_tokens(text) -> Column:
     """Lower-case tokens of a post: handles and addresses removed, marks kept."""
-    bare = F.regexp_replace(F.lower(as_column(text)), HANDLE, "$1 ")
+    bare = F.regexp_replace(F.lower(as_column(text)), HANDLE, " ")
     found = F.regexp_extract_all(bare, F.lit(POST_TOKEN), F.lit(0))
     return F.filter(found, lambda t: ~t.rlike(ADDRESS))
 

@@ -17,7 +17,7 @@ ROWS_PER_TASK = 4_000_000
 HOT_KEYS = 1_000
 MAX_SLICES = 1_000
 # Lookup tables: the longest one that is broadcast, and the copies of longer ones.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 SALTS = 32
 
 SLICE = "_slice"

@@ -1,5 +1,8 @@
 """Readers: posts, map documents, CSV tables, file samples, per-entity files."""
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,13 +65,13 @@ def read_csv(spark: SparkSession, path: str, schema, line_sep: str = "\n", multi
 def sample_files(df: DataFrame, n: int, seed: str = "") -> DataFrame:
     """Rows of ``n`` part files, drawn without replacement in digest order.
 
-    The names are few and short; the rows of files outside the draw are dropped
-    by a semi-join on the file name.
+    The draw uses the file listing the scan already has; the others are pruned
+    by the filter on the file path and never opened.
     """
-    named = df.withColumn("_file", F.col("_metadata.file_path"))
-    order = F.md5(F.concat(F.lit(seed), F.col("_file")).cast("binary"))
-    drawn = named.select("_file").distinct().orderBy(order, "_file").limit(n)
-    return named.join(drawn, "_file", "left_semi").drop("_file")
+    digest = lambda name: (hashlib.md5((seed + name).encode()).hexdigest(), name)
+    drawn = sorted(df.inputFiles(), key=digest)[:n]
+    # The listing writes local paths with three slashes, the metadata column with one.
+    return df.filter(F.col("_metadata.file_path").isin([re.sub("^file:/+", "file:/", f) for f in drawn]))
 
 
 def entity_of_file(df: DataFrame, name: str = "entity") -> DataFrame:
