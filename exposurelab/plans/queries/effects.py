@@ -43,29 +43,30 @@ exposures as (
 """
 
 
-def backdoor_sql(stratum: str, user: str | None = None, missing: str = "zero", days: int = 10, source: str = "exposures") -> str:
+def backdoor_sql(stratum: str, user: str | None = None, missing: str = "zero", days: int = 10, digits: int = 6) -> str:
     u, ju = (f"{user}, ", f"{user}, ") if user else ("", "")
     fill = "where m0 is not null and m1 is not null" if missing == "drop" else ""
     group = f"group by {user}" if user else ""
     return f"""
 with {EXPOSURES},
-kept as (select * from {source} where response_time > post_time + interval '{days}' day),
+kept as (select * from exposures where response_time > post_time + interval '{days}' day),
 cond as (select {u}{stratum} as g, post, x, avg(y) as m from kept group by {u}{stratum}, post, x),
 arms as (select {ju}g, x, sum(m) / count(*) as m, sum(m * (1 - m)) / (count(*) * count(*)) as v from cond group by {ju}g, x),
 cells as (select {ju}g, max(case when x = 0 then m end) as m0, max(case when x = 1 then m end) as m1,
                  max(case when x = 0 then v end) as v0, max(case when x = 1 then v end) as v1
           from arms group by {ju}g)
-select {u}round(avg(coalesce(m1, 0)) - avg(coalesce(m0, 0)), 6) as ate,
-       round(2 * sqrt((avg(coalesce(v1, 0)) + avg(coalesce(v0, 0))) / count(*)), 6) as band, count(*) as n_strata
+select {u}round(avg(coalesce(m1, 0)) - avg(coalesce(m0, 0)), {digits}) as ate,
+       round(2 * sqrt((avg(coalesce(v1, 0)) + avg(coalesce(v0, 0))) / count(*)), {digits}) as band, count(*) as n_strata
 from cells {fill} {group}
 """
 
 
-def ate(t: Tables, stratum: str, **options) -> DataFrame:
+def ate(t: Tables, stratum: str, digits: int = 6, **options) -> DataFrame:
     return rounded(
         causal.estimate_ate(
             exposures(t), "x", "y", stratum, "post", "post_time", "response_time", 10 * DAY, **options
-        )
+        ),
+        digits,
     )
 
 
@@ -84,9 +85,10 @@ def backdoor_ate_overlap(t):
     return ate(t, "day", missing=causal.DROP)
 
 
-@query(backdoor_sql("month", user="usr"))
+# Means of a few small fractions often end in 5, so more digits are kept.
+@query(backdoor_sql("month", user="usr", digits=9))
 def backdoor_ate_by_user(t):
-    return ate(t, "month", user="usr")
+    return ate(t, "month", 9, user="usr")
 
 
 @query(

@@ -105,9 +105,9 @@ def rounded_times(t):
 
 # ---- counts -----------------------------------------------------------------------------
 
-@query("select user_id, round(avg(value), 6) as mean from events where user_id is not null group by user_id")
+@query("select user_id, round(avg(value), 9) as mean from events where user_id is not null group by user_id")
 def group_mean(t):
-    return rounded(explore.group_mean(t.events, ["user_id"], "value"))
+    return rounded(explore.group_mean(t.events, ["user_id"], "value"), 9)
 
 
 @query("""
@@ -375,11 +375,11 @@ def shape(t):
 # ---- order, samples, sets ----------------------------------------------------------------------
 
 @query("""
-select user_id, round(mean, 6) as mean from (select user_id, avg(value) as mean from events group by user_id)
+select user_id, round(mean, 9) as mean from (select user_id, avg(value) as mean from events group by user_id)
 order by mean, user_id limit 10""")
 def n_smallest(t):
     means = explore.group_mean(t.events, ["user_id"], "value")
-    return rounded(explore.n_smallest(means, "mean", ["user_id"], 10))
+    return rounded(explore.n_smallest(means, "mean", ["user_id"], 10), 9)
 
 
 @query("""

@@ -224,7 +224,7 @@ grid as (select low, high, alpha_index, alpha, fit_prior, avg(a) as mean_accurac
 """
 
 
-@query(GRID + "select low, high, alpha_index, round(alpha, 6) as alpha, fit_prior, round(mean_accuracy, 4) as mean_accuracy from grid")
+@query(GRID + "select low, high, cast(alpha_index as int) as alpha_index, round(alpha, 6) as alpha, fit_prior, round(mean_accuracy, 4) as mean_accuracy from grid")
 def nb_grid(t):
     return grid(t).select(
         "low", "high", "alpha_index", F.round("alpha", 6).alias("alpha"), "fit_prior", F.round("mean_accuracy", 4).alias("mean_accuracy")

@@ -28,7 +28,7 @@ def plain(value):
     if isinstance(value, decimal.Decimal):
         value = float(value)
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.6g}") + 0.0
+        return None if math.isnan(value) else value + 0.0
     if isinstance(value, (datetime.datetime, datetime.date)):
         return str(value)
     if isinstance(value, (list, tuple)):
