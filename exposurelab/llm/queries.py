@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, simhash, toxicity
+from . import crosspolytope, exact_dedup, html_text, mixing, packing, secrets, simhash, suffix_dedup, toxicity, url_filter
 
 VOCABULARY = "word_bpe_49k.json"
 CATEGORIES = ["low_quality", "toxic"]
@@ -67,6 +67,18 @@ from documents d join counts n on d.doc_id = n.doc_id join parts p on d.source i
 """
 
 
+@query
+def op3_url_redirects(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+@query
+def op4_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    rows = crosspolytope.links(table(spark, folder, "embeddings"))
+    kept = F.col("id") == F.col("component")
+    return rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def toxicity_chain(spark: SparkSession, folder: str) -> toxicity.Chain:
     labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return toxicity.train(table(spark, folder, "documents"), labels, CATEGORIES)
@@ -97,6 +109,11 @@ from folded
 """
 
 
+@query
+def op7_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -105,3 +122,31 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query
+def op9_secret_entropy(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secrets.scan(table(spark, folder, "documents"))
+
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    everything = secrets.in_order(F.concat("base", "added"))
+    return rows.select(
+        F.col("id").alias("doc_id"), count("assign"), count("access"), count("hex"),
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined(everything).alias("spans"),
+    )
+
+
+@query
+def op10_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["b"] - s["a"])
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
