@@ -7,10 +7,12 @@ with what is left of the three limits; if nothing fits whole, the best one is cu
 to fill the rest.  No shuffle is needed, and a task never holds more than a window.
 """
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,47 +22,101 @@ from .common import arrow_schema, quoted
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 WINDOW = 1024
-CACHED_WORDS = 300_000
+CACHED = 150_000
 PIECES = (
     "start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary"
 )
 
 
+class Recent:
+    """A table of what was made lately: two generations of at most ``size`` entries."""
+
+    def __init__(self, make, size: int = CACHED):
+        self.make, self.size = make, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            for i, value in enumerate(found):
+                if value is None:
+                    found[i] = self.one(keys[i])
+        return found
+
+    def one(self, key: str) -> bytes:
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is None:
+                value = self.make(key)
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+
 class WordTokenizer:
-    """Token ids as little-endian 32-bit bytes, for vocabularies that drop white space.
+    """Token ids as little-endian 32-bit bytes, for byte-level vocabularies that drop white space.
 
-    Such a tokenizer treats the words between blanks one by one, so each distinct
-    word is tokenized once and looked up afterwards.  The table of words is emptied
-    when it is full, so memory stays bounded whatever the texts hold.
+    Such a tokenizer treats the words between blanks one by one, so recent words are
+    looked up.  A new word of Latin letters and signs is split by the tokenizer's own
+    pattern, whose parts are looked up again or go to its merges; other words go
+    through the whole tokenizer.  Memory is bounded whatever the texts hold.
     """
 
-    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached_words = cached_words
-        self.known: dict[str, bytes] = {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        return [self.encode(t) for t in texts]
+        self.model = self.tokenizer.model
+        self.spelled = [as_bytes([i]) for i in range(self.tokenizer.get_vocab_size())]
+        self.words = Recent(self.word)
+        self.parts = Recent(self.part)
 
     def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        # One word at a time: long runs without a blank are rare and need no table.
-        new = list({w for w in words if w not in known})
-        if len(known) + len(new) > self.cached_words:
-            known = self.known = {}
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, made in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[word] = np.array(made.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(self.words.all(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+    def word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain:
+            letters, signs = plain.groups()
+            made = self.parts.one(letters.lower())
+            return made + self.parts.one(signs) if signs else made
+        if SIMPLE.fullmatch(word) and "<|" not in word:
+            return b"".join(self.parts.all(PATTERN.findall(word.lower())))
+        return as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+
+    def part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_SIGNS)
+        return b"".join([self.spelled[t.id] for t in self.model.tokenize(part)])
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+# Words whose case, normal form and classes of characters are the same in every library.
+SIMPLE = re.compile("[\x21-\x7e\xc0-\xff]*")
+# Most of them: letters, then signs other than an apostrophe.
+PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
+# Fixed value: how the vocabulary's tokenizer splits normalized text.
+PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Byte-level vocabularies spell bytes that are not printable as characters from 256 on.
+BYTE_SIGNS = {
+    b: chr(256 + k)
+    for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))
+}
+
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """One tokenizer per worker process, so that its tables outlast a task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
 
 
 class Packer:
@@ -202,9 +258,9 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenize = WordTokenizer(vocabulary)
+        tokenize = tokenizer_of(vocabulary)
         packer = Packer(*limits, cut, window)
-        end = np.array([end_id], "<u4").tobytes()
+        end = as_bytes([end_id])
         number = TaskContext.get().partitionId() << 33
         made, size = [], 0
 
