@@ -1,11 +1,13 @@
-"""Near-duplicates by 64-bit SimHash, compared exactly in tiles.
+"""Near-duplicates by SimHash, compared exactly in tiles.
 
-Distinct fingerprints are filed by the bit counts of their four 16-bit words.
-Two fingerprints within ``radius`` bits differ by at most ``radius`` in the sum of
-these counts, so all other pairs of tiles are skipped; the rest is compared by
-exclusive-or and bit counts in numpy.
+Distinct fingerprints are filed into tiles by counts that bound their distance, above
+all by the number of bits that are set.  Pairs of tiles whose counts differ beyond the
+radius are skipped; the rest is compared by exclusive-or and bit counts in numpy.
 """
 
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -17,153 +19,224 @@ from .common import id_and_text, map_rows, quoted, remove, store
 from .components import connected_components
 from .tiles import merge_labels, part_pairs, parts_for
 
-SHINGLE = 3
-RADIUS = 2
-WORDS = 4
 TILE = 2048
 SEED = 42
-CHUNK = 1 << 16
+CHUNK = 65_535  # the most votes that 16-bit sums hold
+# Odd numbers that spread one hash over further words of a wide fingerprint.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The SimHash of one text, unsigned.
+@dataclass(frozen=True)
+class Close:
+    """Fingerprints of 64 bits over all shingles that differ in at most ``radius`` bits.
 
-    Words are runs of anything but space and \\t-\\r, A-Z in lower case; every
-    shingle (repeats included) votes with its XXH64.  Fewer words than a shingle:
-    the whole sequence; none: zero.
+    Filed by the bit counts of four 16-bit words: the sum of the differences of these
+    counts is at most the distance.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate([[0], ends[:-1]])
-    first, last = starts[: 1 - shingle].tolist(), (ends[shingle - 1 :] - 1).tolist()
-    votes = np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, len(first), CHUNK):
-        part = [digest(joined[s:e], seed) for s, e in zip(first[at : at + CHUNK], last[at : at + CHUNK])]
-        bits = np.unpackbits(np.array(part, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        votes += bits.sum(axis=0, dtype=np.int64)
-    ones = votes * 2 > len(first)
-    return int.from_bytes(np.packbits(ones).tobytes(), "big")
 
+    shingle: int = 3
+    radius: int = 2
+    repeats: bool = True
+    bits: int = 64
+
+    def node(self, words: np.ndarray, n: int) -> bytes:
+        return words.astype(">u8").tobytes()
+
+    def key(self, words: np.ndarray, n: int) -> list[int]:
+        return np.bitwise_count(words.view(np.uint16)).tolist()
+
+    def steps(self) -> list[tuple[int, ...]]:
+        near = product(range(-self.radius, self.radius + 1), repeat=4)
+        return [d for d in near if sum(map(abs, d)) <= self.radius and d >= (0,) * 4]
+
+    def apart(self, a: list[bytes], b: list[bytes]):
+        """A function of a slice of ``a`` that marks which of ``b`` are linked."""
+        x, y = (np.frombuffer(b"".join(s), ">u8").astype(np.uint64) for s in (a, b))
+        return lambda at: np.bitwise_count(x[at, None] ^ y[None, :]) <= self.radius
+
+
+@dataclass(frozen=True)
+class Alike:
+    """Texts whose sets of shingles are alike: wide fingerprints that agree in ``similarity`` of their bits.
+
+    The sizes of the sets have to be within the same ratio, as those of sets with
+    such a Jaccard similarity are.  Filed by size, in steps of the ratio, and by bit
+    count, in steps of the radius; only neighbouring steps can be linked.
+    """
+
+    shingle: int = 5
+    similarity: float = 0.8
+    repeats: bool = False
+    bits: int = 256
+
+    @property
+    def radius(self) -> int:
+        return int((1 - self.similarity) * self.bits + 1e-9)
 
-def signed(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+    def node(self, words: np.ndarray, n: int) -> bytes:
+        return words.astype("<u8").tobytes() + n.to_bytes(8, "little")
 
+    def key(self, words: np.ndarray, n: int) -> list[int]:
+        size = int(math.log(max(n, 1)) / -math.log(self.similarity) + 1e-9)
+        return [size, int(np.bitwise_count(words).sum()) // (self.radius + 1)]
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``id, fp`` (signed 64-bit) of every document; null texts count as empty."""
+    def steps(self) -> list[tuple[int, ...]]:
+        return [d for d in product((-1, 0, 1), repeat=2) if d >= (0, 0)]
+
+    def apart(self, a: list[bytes], b: list[bytes]):
+        words = self.bits // 64
+        x, y = (np.frombuffer(b"".join(s), "<u8").reshape(len(s), words + 1) for s in (a, b))
+        sizes, others = x[:, -1].astype(float), y[:, -1].astype(float)
+
+        def linked(at):
+            far = np.zeros((len(x[at]), len(y)), np.uint16)
+            for w in range(words):
+                far += np.bitwise_count(x[at, w, None] ^ y[None, :, w])
+            p, q = sizes[at, None], others[None, :]
+            return (far <= self.radius) & (np.minimum(p, q) >= self.similarity * np.maximum(p, q))
+
+        return linked
+
+
+def fingerprint(text: str, scheme: Close | Alike = Close()) -> tuple[np.ndarray, int]:
+    """The SimHash of one text as 64-bit words, and how many shingles voted.
+
+    Words are runs of anything but space and \\t-\\r, A-Z in lower case.  Every
+    shingle votes with its XXH64; a bit is set by more than half.  Fewer words than
+    a shingle: the whole sequence; none: zero.
+    """
+    n_words = scheme.bits // 64
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(n_words, np.uint64), 0
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    size = scheme.shingle
+    if len(words) <= size:
+        hashes = [digest(joined, SEED)]
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts = np.concatenate([[0], ends[:-1]])
+        pairs = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())
+        hashes = [digest(joined[s:e], SEED) for s, e in pairs]
+        if not scheme.repeats:
+            hashes = list(set(hashes))
+    votes = np.zeros(scheme.bits, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        one = np.array(hashes[at : at + CHUNK], np.uint64)
+        wide = np.empty((len(one), n_words), ">u8")
+        wide[:, 0] = one
+        for w in range(1, n_words):
+            mixed = (one ^ (one >> np.uint64(29))) * np.uint64(SPREAD[w % 4])
+            wide[:, w] = one = mixed ^ (mixed >> np.uint64(32))
+        bits = np.unpackbits(wide.view(np.uint8), axis=1)
+        votes += bits.sum(axis=0, dtype=np.uint16)
+    ones = np.packbits(votes * 2 > len(hashes)).view(">u8")
+    return ones.astype(np.uint64), len(hashes)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Close()) -> DataFrame:
+    """``id, node, key`` of every document; null texts count as empty.
+
+    ``node`` holds the fingerprint (and, for alike texts, the number of shingles);
+    ``key`` says which tiles to look in.
+    """
 
     def run(rows):
-        return [(i, signed(fingerprint(t, shingle))) for i, t in rows]
+        made = []
+        for key, text in rows:
+            words, n = fingerprint(text, scheme)
+            made.append((key, scheme.node(words, n), scheme.key(words, n)))
+        return made
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(id_and_text(docs, id_col, text_col), run, f"id {kind}, fp long")
+    return map_rows(id_and_text(docs, id_col, text_col), run, f"id {kind}, node binary, key array<int>")
 
 
-def linked(values: DataFrame, radius: int = RADIUS, words: int = WORDS, tile: int = TILE) -> DataFrame:
-    """``a, b``: links that span the groups of the distinct ``fp`` within ``radius`` bits.
+def linked(values: DataFrame, scheme: Close | Alike = Close(), tile: int = TILE) -> DataFrame:
+    """``a, b``: links that span the groups of the distinct ``node, key`` rows.
 
-    Every pair within the radius is compared; of those found in one pair of tiles
-    only a spanning set is returned, so groups are right though not every pair is listed.
+    Every pair that can be linked is compared; of the links found in one pair of
+    tiles only a spanning set is returned, so groups are right though not every link
+    is listed.
     """
-    width = 64 // words
-    mask = F.lit((1 << width) - 1 if words > 1 else -1)
-    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(mask)) for i in range(words)]
-    filed = values.select("fp", *[c.cast("int").alias(f"c{i}") for i, c in enumerate(counts)])
-    key = [f"c{i}" for i in range(words)]
-    # At most (width + 1) ** words rows whatever the input: 83,521 for four words.
+    steps = scheme.steps()
+    key = [f"c{i}" for i in range(len(steps[0]))]
+    filed = values.select("node", *[F.col("key")[i].alias(k) for i, k in enumerate(key)])
+    # The number of keys is bounded whatever the input: 17**4 for close fingerprints,
+    # and for alike ones five bit counts times the logarithm of the longest text.
     sizes, sizes_path = store(parts_for(filed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), tile), "tile-sizes")
     tiles = (
         filed.join(F.broadcast(sizes.filter("parts > 1").select(*key, "parts")), key, "left")
-        .withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
         .groupBy(*key, "part")
-        .agg(F.collect_list("fp").alias("fps"))
+        .agg(F.collect_list("node").alias("nodes"))
     )
     tiles, tiles_path = store(tiles, "tiles")
-    near = [d for d in product(range(-radius, radius + 1), repeat=words) if sum(map(abs, d)) <= radius]
-    near = [d for d in near if d >= (0,) * words]
-    steps = F.explode(F.array(*[F.array(*[F.lit(x) for x in d]) for d in near]))
-    a = sizes.select(*[F.col(k).alias(f"a_{k}") for k in key], F.col("parts").alias("parts_a"), steps.alias("step"))
+    step = F.explode(F.array(*[F.array(*[F.lit(x) for x in d]) for d in steps]))
+    a = sizes.select(*[F.col(k).alias(f"a_{k}") for k in key], F.col("parts").alias("parts_a"), step.alias("step"))
     a = a.select("*", *[(F.col(f"a_{k}") + F.col("step")[i]).alias(f"b_{k}") for i, k in enumerate(key)]).drop("step")
     b = sizes.select(*[F.col(k).alias(f"b_{k}") for k in key], F.col("parts").alias("parts_b"))
     pairs = a.join(b, [f"b_{k}" for k in key])
     same = " and ".join(f"a_{k} = b_{k}" for k in key)
     pairs = part_pairs(pairs, same).withColumn("same", F.expr(f"{same} and part_a = part_b"))
-    sides = []
     for s in "ab":
         names = [F.col(k).alias(f"{s}_{k}") for k in key]
-        sides.append(tiles.select(*names, F.col("part").alias(f"part_{s}"), F.col("fps").alias(f"fps_{s}")))
-    for s, side in zip("ab", sides):
+        side = tiles.select(*names, F.col("part").alias(f"part_{s}"), F.col("nodes").alias(f"nodes_{s}"))
         pairs = pairs.join(side, [*[f"{s}_{k}" for k in key], f"part_{s}"])
 
     def compare(rows):
         made = []
         for x, y, same_tile in rows:
-            made.extend(compare_tiles(x, y, radius, same_tile))
+            made.extend(compare_tiles(x, y, same_tile, scheme))
         return made
 
-    links = map_rows(pairs.select("fps_a", "fps_b", "same"), compare, "a long, b long", batch=16)
-    links, links_path = store(links.distinct(), "links")
+    links = map_rows(pairs.select("nodes_a", "nodes_b", "same"), compare, "a binary, b binary", batch=16)
+    links, _ = store(links.distinct(), "links")
     remove(values.sparkSession, sizes_path, tiles_path)
     return links
 
 
-def compare_tiles(x: list[int], y: list[int], radius: int, same: bool) -> list[tuple[int, int]]:
+def compare_tiles(x: Sequence[bytes], y: Sequence[bytes], same: bool, scheme: Close | Alike) -> list[tuple[bytes, bytes]]:
     """Members of each group inside a pair of tiles, tied to one of its members."""
-    left = np.array(x, np.int64).view(np.uint64)
-    right = left if same else np.array(y, np.int64).view(np.uint64)
-    offset = 0 if same else len(left)
-    labels = np.arange(offset + len(right))
-    for at in range(0, len(left), 256):
-        apart = np.bitwise_count(left[at : at + 256, None] ^ right[None, :])
-        i, j = np.nonzero(apart <= radius)
+    everyone = list(x) if same else [*x, *y]
+    offset = 0 if same else len(x)
+    labels = np.arange(len(everyone))
+    marks = scheme.apart(x, x if same else y)
+    for at in range(0, len(x), 128):
+        i, j = np.nonzero(marks(slice(at, at + 128)))
         i += at
         j += offset
         off = i != j
         labels = merge_labels(labels, i[off], j[off])
-    tied = np.flatnonzero(labels != np.arange(len(labels)))
-    if not len(tied):
-        return []
-    everyone = (left if same else np.concatenate([left, right])).view(np.int64)
-    return list(zip(everyone[tied].tolist(), everyone[labels[tied]].tolist()))
+    return [(everyone[k], everyone[labels[k]]) for k in np.flatnonzero(labels != np.arange(len(labels)))]
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
-    words: int = WORDS,
-) -> DataFrame:
-    """``id, fp, component``: the smallest id that links reach from each document.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Close()) -> DataFrame:
+    """``id, node, component``: the smallest id that links reach from each document.
 
     Documents with equal fingerprints are linked, those without words among them.
     Null ids take part but never name a component unless its ids are all null.
     Repeated rows come back as often as they came; an empty table gives no rows.
     """
-    prints, prints_path = store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes, classes_path = store(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    roots = connected_components(linked(classes.select("fp"), radius, words))
-    grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("root")
+    prints, _ = store(fingerprints(docs, id_col, text_col, scheme), "fingerprints")
+    classes, _ = store(prints.groupBy("node", "key").agg(F.min("id").alias("first")), "classes")
+    roots = connected_components(linked(classes.select("node", "key"), scheme))
+    grouped = classes.join(roots, "node", "left").select(
+        "node", "first", F.coalesce("component", "node").alias("root")
     )
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    named = grouped.join(smallest, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    named = grouped.join(smallest, "root").select("node", "component")
+    return prints.join(named, "node").select("id", "node", "component")
 
 
-def kept_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, words: int = 1
-) -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Alike()) -> DataFrame:
     """One document of each group, the one with the smallest id, with all columns.
 
-    Five-word shingles and a wider radius than the default, for texts that are alike
-    rather than almost equal.  Identical rows that repeat the kept id leave one row;
-    different texts under the kept id all stay.
+    Identical rows that repeat the kept id leave one row; different texts under the
+    kept id all stay.
     """
-    groups = near_duplicates(docs, id_col, text_col, shingle, radius, words)
+    groups = near_duplicates(docs, id_col, text_col, scheme)
     stay = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_stay")).distinct()
     rows = docs.select(
         F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), quoted(id_col).alias("_id"),
