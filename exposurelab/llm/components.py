@@ -32,7 +32,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if after == before:
             break
         before = after
-    return table.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+    roots = table.select("lo").distinct()
+    return table.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+        roots.select(F.col("lo").alias("node"), F.col("lo").alias("component"))
+    )
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

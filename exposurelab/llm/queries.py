@@ -72,6 +72,66 @@ def op3_url_redirects(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(table(spark, folder, "pages"))
 
 
+SQL["op3_url_redirects"] = r"""
+with recursive named as (
+    select page_id, url, html,
+        case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest
+    from pages
+), parsed as (
+    select page_id, url, html,
+        coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+        coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') as path,
+        coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^#]*)', 1), '') as tail
+    from named
+), tags as (
+    select *, list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'),
+            lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?[^"''>]*\bcanonical\b'))[1] as canonical,
+        list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'),
+            lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b'))[1] as refresh
+    from parsed
+), targets as (
+    select url, host, path, trim(replace(regexp_extract(canonical, '(?is)\bhref\s*=\s*["'']?([^"''>]*)', 1), '&amp;', '&')) as target from tags
+    union all
+    select url, host, path, trim(replace(regexp_extract(refresh, '(?is)\burl\s*=\s*[''"]?([^"''>\s]+)', 1), '&amp;', '&')) from tags
+), resolved as (
+    select url as source, case when contains(target, '://') then target when starts_with(target, '//') then 'http:' || target
+        when starts_with(target, '/') then 'http://' || host || target
+        else 'http://' || host || case when path = '' then '/' else regexp_extract(path, '(?s)^(.*/)', 1) end || target end as target
+    from targets where target <> '' and contains(url, '://')
+), ends as (
+    select source as u, target as v from resolved union select target, source from resolved
+), addressed as (
+    select translate(regexp_extract(substr(u, strpos(u, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(substr(u, strpos(u, '://') + 3), '(?s)^[^/?#]*([^#]*)', 1) as a,
+        translate(regexp_extract(substr(v, strpos(v, '://') + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(substr(v, strpos(v, '://') + 3), '(?s)^[^/?#]*([^#]*)', 1) as b
+    from ends
+), reach(node, other) as (
+    select a, a from addressed where a <> b union select r.node, e.b from reach r join addressed e on r.other = e.a
+), groups as (
+    select node, min(other) as component from reach group by node
+), rules(verdict, host, path) as (
+    values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), places as (
+    select distinct host, path from parsed
+    union select regexp_extract(node, '^([^/?#]*)', 1), regexp_extract(node, '(?s)^[^/?#]*([^?#]*)', 1) from groups
+), decided as (
+    select p.host, p.path, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+    from places p join rules r on (p.host = r.host or ends_with(p.host, '.' || r.host)) and starts_with(p.path, r.path)
+    group by p.host, p.path
+), known as (
+    select g.component, bool_or(d.verdict = 'block') as blocked, bool_or(d.verdict = 'allow') as allowed
+    from groups g left join decided d on d.host = regexp_extract(g.node, '^([^/?#]*)', 1)
+        and d.path = regexp_extract(g.node, '(?s)^[^/?#]*([^?#]*)', 1)
+    group by g.component
+)
+select p.page_id, p.host, p.path, d.rule, coalesce(d.verdict, case when k.allowed then 'allow' when k.blocked then 'block' else 'allow' end) as verdict,
+    coalesce(g.component, p.host || p.tail) as component
+from parsed p left join decided d on d.host = p.host and d.path = p.path
+left join groups g on g.node = p.host || p.tail left join known k on k.component = g.component
+"""
+
+
 @query
 def op4_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     rows = crosspolytope.links(table(spark, folder, "embeddings"))
@@ -119,7 +179,7 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
     return rows.select(
         F.col("id").alias("doc_id"),
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.lower(F.hex("node")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
 
