@@ -3,7 +3,8 @@
 Every round replaces the edges by stars around the smallest neighbour, once over
 all neighbours and once over the smaller ones.  Only minimums per node are
 gathered, never lists of neighbours, so a node with very many edges costs a
-partially aggregated minimum and a join that adaptive execution can split.
+partially aggregated minimum and a join that adaptive execution can split (which it
+does for joins of stored tables).
 """
 
 from pyspark.sql import DataFrame
@@ -25,8 +26,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     table, path = store(current, "edges")
     before = _mark(table)
     while before[0]:
-        following, new_path = store(_small_star(_large_star(table)), "edges")
-        remove(spark, path)
+        lowest, lowest_path = store(_lowest_neighbours(table), "lowest")
+        following, new_path = store(_small_star(_large_star(table, lowest)), "edges")
+        remove(spark, path, lowest_path)
         table, path = following, new_path
         after = _mark(table)
         if after == before:
@@ -38,12 +40,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Larger neighbours of each node are tied to its smallest neighbour (or itself)."""
+def _lowest_neighbours(edges: DataFrame) -> DataFrame:
+    """The smallest neighbour of each node, or the node itself if that is smaller."""
     both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).unionByName(
         edges.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
     )
-    lowest = both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+    return both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+    """Larger neighbours of each node are tied to its smallest neighbour (or itself)."""
     larger = edges.select(F.col("lo").alias("node"), F.col("hi").alias("other"))
     return larger.join(lowest, "node").select(F.col("other").alias("hi"), F.col("m").alias("lo")).distinct()
 

@@ -183,7 +183,7 @@ def links(
     counts = found.groupBy("node").agg(F.sum("n").alias("linked"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component"))
+    smallest, _ = store(named.groupBy("root").agg(F.min("first").alias("component")), "components")
     summary = (
         named.drop("component").join(smallest, "root").join(counts, "node", "left")
         .select("label", "same", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component")

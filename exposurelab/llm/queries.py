@@ -147,7 +147,7 @@ def toxicity_chain(spark: SparkSession, folder: str) -> toxicity.Chain:
 @query
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scores = toxicity.score(table(spark, folder, "documents"), toxicity_chain(spark, folder))
-    return scores.withColumn("rejected", F.col("p_toxic") >= 0.5).withColumnRenamed("id", "doc_id")
+    return scores.withColumn("rejected", F.col("p_toxic") >= toxicity.THRESHOLD).withColumnRenamed("id", "doc_id")
 
 
 @query

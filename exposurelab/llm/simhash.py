@@ -136,7 +136,7 @@ def fingerprint(text: str, scheme: Close | Alike = Close()) -> tuple[np.ndarray,
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Close()) -> DataFrame:
-    """``id, node, key`` of every document; null texts count as empty.
+    """``id, text_hash, node, key`` of every document; null texts count as empty.
 
     ``node`` holds the fingerprint (and, for alike texts, the number of shingles);
     ``key`` says which tiles to look in.
@@ -144,13 +144,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(rows):
         made = []
-        for key, text in rows:
+        for key, text, text_hash in rows:
             words, n = fingerprint(text, scheme)
-            made.append((key, scheme.node(words, n), scheme.key(words, n)))
+            made.append((key, text_hash, scheme.node(words, n), scheme.key(words, n)))
         return made
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_rows(id_and_text(docs, id_col, text_col), run, f"id {kind}, node binary, key array<int>")
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return map_rows(texts, run, f"id {kind}, text_hash long, node binary, key array<int>")
 
 
 def linked(values: DataFrame, scheme: Close | Alike = Close(), tile: int = TILE) -> DataFrame:
@@ -213,8 +214,9 @@ def compare_tiles(x: Sequence[bytes], y: Sequence[bytes], same: bool, scheme: Cl
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Close()) -> DataFrame:
-    """``id, node, component``: the smallest id that links reach from each document.
+    """``id, node, component, root, text_hash``: the smallest id that links reach from each document.
 
+    ``root`` is the same for all documents of a group, ``text_hash`` tells rows with equal ids apart.
     Documents with equal fingerprints are linked, those without words among them.
     Null ids take part but never name a component unless its ids are all null.
     Repeated rows come back as often as they came; an empty table gives no rows.
@@ -225,23 +227,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = classes.join(roots, "node", "left").select(
         "node", "first", F.coalesce("component", "node").alias("root")
     )
-    smallest = grouped.groupBy("root").agg(F.min("first").alias("component"))
-    named = grouped.join(smallest, "root").select("node", "component")
-    return prints.join(named, "node").select("id", "node", "component")
+    smallest, _ = store(grouped.groupBy("root").agg(F.min("first").alias("component")), "components")
+    named = grouped.join(smallest, "root").select("node", "component", "root")
+    return prints.join(named, "node").select("id", "node", "component", "root", "text_hash")
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Alike()) -> DataFrame:
     """One document of each group, the one with the smallest id, with all columns.
 
-    Identical rows that repeat the kept id leave one row; different texts under the
-    kept id all stay.
+    Where rows repeat that id, the text with the smallest hash stays, and of identical
+    rows one.
     """
     groups = near_duplicates(docs, id_col, text_col, scheme)
-    stay = groups.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_stay")).distinct()
+    stay = groups.filter(F.col("id").eqNullSafe(F.col("component"))).groupBy("root").agg(
+        F.min(F.struct("text_hash", "id")).alias("s")
+    ).select(F.col("s.id").alias("_stay"), F.col("s.text_hash").alias("_hash"))
     rows = docs.select(
         F.struct(*[quoted(c) for c in docs.columns]).alias("_row"), quoted(id_col).alias("_id"),
-        F.sha2(quoted(text_col).cast("binary"), 256).alias("_digest"),
+        F.xxhash64(F.coalesce(quoted(text_col), F.lit(""))).alias("_text"),
     )
-    kept = rows.join(stay, F.col("_id").eqNullSafe(F.col("_stay")), "left_semi")
-    # The kept rows of an id are already in one partition.
-    return kept.dropDuplicates(["_id", "_digest"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    same = F.col("_id").eqNullSafe(F.col("_stay")) & (F.col("_text") == F.col("_hash"))
+    kept = rows.join(stay, same, "left_semi")
+    return kept.dropDuplicates(["_id", "_text"]).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

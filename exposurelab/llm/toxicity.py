@@ -25,6 +25,8 @@ FEATURES = 512
 FOLDS = 5
 PREFIXES = (4, 6)
 Z_LEAST = 4.0
+# Toxic texts are about a tenth, so the penalty keeps a single insult below one half.
+THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
 
 
@@ -194,7 +196,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     return map_rows(id_and_text(docs, id_col, text_col), run, f"id {kind}, {columns}")
 
 
-def non_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def non_toxic(docs: DataFrame, chain: Chain, category: str = "toxic", threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents whose probability of ``category`` is below the threshold, all columns.
 
     A filter on one Arrow column, so rows stay where they are.

@@ -4,7 +4,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from exposurelab.llm import mixing
+from exposurelab.llm import mixing, toxicity
 from exposurelab.llm.queries import VOCABULARY, toxicity_chain
 
 from .helpers import fold, no_docs, odd_docs
@@ -26,7 +26,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
         kept.append(docs.collect())
     chain = toxicity_chain(spark, SF)
     everything = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    clean = {r["doc_id"] for r in everything if chain.predict(r["text"] or "")[1] < 0.5}
+    clean = {r["doc_id"] for r in everything if chain.predict(r["text"] or "")[1] < toxicity.THRESHOLD}
     assert {r["doc_id"] for r in kept[0]} == clean
     first = {}
     for r in sorted(kept[0], key=lambda r: r["doc_id"]):

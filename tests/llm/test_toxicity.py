@@ -33,7 +33,7 @@ def test_held_out_accuracy(spark):
         right = [(found[r[0]][f"p_{name}"] >= 0.5) == bool(r[place]) for r in labels[600:]]
         assert np.mean(right) > 0.97
     kept = {r["doc_id"] for r in toxicity.non_toxic(frame, chain).collect()}
-    assert kept == {i for i, r in found.items() if r["p_toxic"] < 0.5}
+    assert kept == {i for i, r in found.items() if r["p_toxic"] < toxicity.THRESHOLD}
 
 
 def test_the_chain_passes_probabilities_on():
@@ -54,12 +54,12 @@ def test_query_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").selectExpr("doc_id", "1 - quality as low_quality", "toxic")
     chain = toxicity.train(docs, labels.filter("doc_id % 2 = 0"), ["low_quality", "toxic"])
     held = {r["doc_id"]: r["toxic"] for r in labels.filter("doc_id % 2 = 1").collect()}
-    found = {r["id"]: r["p_toxic"] >= 0.5 for r in toxicity.score(docs.filter("doc_id % 2 = 1"), chain).collect()}
+    found = {r["id"]: r["p_toxic"] >= toxicity.THRESHOLD for r in toxicity.score(docs.filter("doc_id % 2 = 1"), chain).collect()}
     toxic = [found[i] for i, y in held.items() if y == 1]
     clean = [found[i] for i, y in held.items() if y == 0]
     assert np.mean(toxic) > 0.9 and np.mean(clean) < 0.01
     rows = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 200 and all(r["rejected"] == (r["p_toxic"] >= 0.5) for r in rows)
+    assert len(rows) == 200 and all(r["rejected"] == (r["p_toxic"] >= toxicity.THRESHOLD) for r in rows)
 
 
 def test_odd_documents_and_labels(spark):
