@@ -15,7 +15,8 @@ Three steps find those strings without a suffix array of the whole corpus:
    match with any other place for every position, from the samples alone.
 
 Groups of different segments that are too large for one index are compared by
-digests of all their strings, which Spark counts; the result is the same.
+digests that Spark counts: first of what stands before and after the anchor at some
+distances, then of the strings that these leave open; the result is the same.
 """
 
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ GRAM = 32
 CHUNK = 1 << 20
 GROUP = 2_000
 BATCH = 1_000_000
+STEPS = 8
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -269,7 +271,9 @@ def repeated_runs(
     long_enough = rows.filter(F.octet_length("data") >= length)
     every, every_path = store(map_rows(long_enough, cut, ddl, batch=64), "segments")
     # Anchors that occur twice, and among their segments the equal ones.
+    # What is joined on hot anchors is stored first, so that the join may split them.
     shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("anchor")
+    shared, _ = store(shared, "shared-anchors")
     again, again_path = store(every.join(shared, "anchor"), "shared-segments")
     remove(docs.sparkSession, every_path)
     kinds = again.groupBy("anchor", "digest").agg(
@@ -279,9 +283,10 @@ def repeated_runs(
     kinds, kinds_path = store(kinds, "segment-kinds")
     variety = kinds.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("different"), F.min("copies").alias("least")
-    ).filter("different > 1 and least = 1")
+    ).filter("different > 1 and least = 1").select("anchor", "different")
+    variety, _ = store(variety, "mixed-anchors")
     # Only groups in which a segment occurs once have anything left to decide.
-    compared = kinds.join(variety.select("anchor", "different"), "anchor").select(
+    compared = kinds.join(variety, "anchor").select(
         "anchor", "digest", "copies", "different", "example.id", "example.print", "example.first", "example.n"
     )
     wanted = compared.groupBy("id", "print").agg(
@@ -300,18 +305,19 @@ def repeated_runs(
     spelled, spelled_path = store(spelled, "segment-bytes")
     small = spelled.filter(~F.col("large")).repartition("anchor").sortWithinPartitions("anchor", "digest")
     partial = small.mapInArrow(index_batches(arrow_schema(docs.sparkSession, MARKS), length), MARKS)
-    large = large_groups(spelled.filter("large"), length)
+    large = large_groups(spelled.filter("large"), length, gram)
     marks, marks_path = store(partial.unionByName(large), "segment-marks")
     # A segment with copies is repeated as a whole, others in the runs that were found.
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("example.n").alias("b")))
     states = kinds.join(marks, ["anchor", "digest"], "left").select(
         "anchor", "digest", F.when(F.col("copies") > 1, whole).otherwise(F.col("runs")).alias("runs")
     ).filter("runs is not null")
+    states, _ = store(states, "segment-states")
     moved = F.transform(
         "runs", lambda r: F.struct((F.col("first") + r["a"]).alias("a"), (F.col("first") + r["b"] + length - 1).alias("b"))
     )
     placed = again.join(states, ["anchor", "digest"]).select("id", "print", moved.alias("runs"))
-    return placed.groupBy("id", "print").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    return placed.groupBy("id", "print").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 MARKS = "anchor long, digest long, runs array<struct<a:int,b:int>>"
@@ -353,19 +359,61 @@ def index_batches(schema: pa.Schema, length: int):
     return run
 
 
-def large_groups(spelled: DataFrame, length: int) -> DataFrame:
-    """The same marks for groups too large for one index: digests of all strings, counted by Spark."""
+def large_groups(spelled: DataFrame, length: int, gram: int, steps: int = STEPS) -> DataFrame:
+    """The same marks for groups too large for one index, from digests that Spark counts.
+
+    A string holds the anchor, some bytes before it and some after it, ``length`` in
+    all.  It can only repeat if both parts do, so digests of the bytes before and
+    after the anchor, taken at ``steps`` distances each, bound the strings that need
+    a digest of their own.
+    """
+    rest = length - gram
+    levels = sorted({-(-rest * k // steps) for k in range(1, steps + 1)}) if rest else []
+
+    def sides(part):
+        made = []
+        for anchor, digest, _, _, data in part:
+            at = anchor_place(data, anchor, gram)
+            for n in levels:
+                if n <= at:
+                    made.append((anchor, digest, -n, xxhash.xxh3_128_digest(data[at - n : at])))
+                if at + gram + n <= len(data):
+                    made.append((anchor, digest, n, xxhash.xxh3_128_digest(data[at + gram : at + gram + n])))
+        return made
+
+    around = map_rows(spelled, sides, "anchor long, digest long, side int, string binary", batch=64)
+    around, _ = store(around, "anchor-sides")
+    often, _ = store(
+        around.groupBy("anchor", "side", "string").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "shared-sides"
+    )
+    reach = around.join(often, ["anchor", "side", "string"]).groupBy("anchor", "digest").agg(
+        F.max(F.when(F.col("side") < 0, -F.col("side"))).alias("before"), F.max(F.when(F.col("side") > 0, F.col("side"))).alias("after")
+    )
+    open_ones = spelled.join(reach, ["anchor", "digest"], "left").select("anchor", "digest", "bytes", "before", "after")
 
     def windows(part):
         made = []
-        for anchor, digest, copies, _, data in part:
-            for i in range(len(data) - length + 1):
-                raw = xxhash.xxh3_128_digest(data[i : i + length])
-                made.append((anchor, digest, i, raw, copies))
+        for anchor, digest, data, before, after in part:
+            at = anchor_place(data, anchor, gram)
+            # Below the next level a side may still be shared.
+            most_before, most_after = (
+                min((n for n in levels if n > (x or 0)), default=rest + 1) - 1 for x in (before, after)
+            )
+            for i in range(max(0, at - most_before), min(at, len(data) - length) + 1):
+                if i + length - at - gram <= most_after:
+                    made.append((anchor, digest, i, xxhash.xxh3_128_digest(data[i : i + length])))
         return made
 
-    strings = map_rows(spelled, windows, "anchor long, digest long, i int, string binary, copies long", batch=64)
-    counts = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    strings = map_rows(open_ones, windows, "anchor long, digest long, i int, string binary", batch=64)
+    strings, _ = store(strings, "group-strings")
+    counts = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
+    counts, _ = store(counts, "repeated-strings")
     places = strings.join(counts, ["anchor", "string"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("i")).alias("starts"))
     run = F.transform("starts", lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
     return places.select("anchor", "digest", run.alias("runs"))
+
+
+def anchor_place(data: bytes, anchor: int, gram: int) -> int:
+    """Where a segment's anchor stands: the place in all of its strings."""
+    hashes = gram_hashes(np.frombuffer(data, np.uint8), gram).view(np.int64)
+    return int(np.argmax(hashes == anchor))
