@@ -1,4 +1,4 @@
-"""Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line."""
+"""All registered queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line."""
 
 import json
 import os
@@ -7,16 +7,7 @@ import time
 from exposurelab.plans.queries import REGISTRY, Tables
 from exposurelab.session import local_session
 
-QUERIES = [
-    "backdoor_ate", "backdoor_ate_daily", "backdoor_ate_by_user", "before_after_ate", "exposed_users",
-    "both_sides_pairs", "score_association", "asof_before_after", "near_interactions", "range_join_hours",
-    "gap_summary", "response_join", "band_join", "reattach_features", "posts_without_responders",
-    "fetch_backlog", "lookup_batches", "flatten_posts", "reply_study", "before_after_study",
-    "group_mean", "count_of_counts", "binned_counts", "pivot_counts", "hourly_activity", "active_users",
-    "describe", "describe_user_hours", "histogram_by_label", "activity_cdf", "calendar_grid",
-    "once_vs_repeating", "list_member_counts", "write_map", "lexicon_polarity", "tokenize_posts",
-    "term_counts", "nb_predict", "padded_sequences", "mean_vector",
-]
+QUERIES = list(REGISTRY)
 
 
 def main() -> None:

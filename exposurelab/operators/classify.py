@@ -22,6 +22,15 @@ def _argmax(scores: Sequence[Column], classes: Sequence) -> Column:
     return name
 
 
+def _log(value: Column) -> Column:
+    """The logarithm, minus infinity at zero (where Spark has null)."""
+    return F.when(value > 0, F.log(value)).otherwise(F.lit(float("-inf")))
+
+
+# Fixed value: smaller smoothing counts as this, so that unseen words keep a finite score.
+LEAST_ALPHA = 1e-10
+
+
 def _of(label: str, c, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(F.col(label) == c, value)), F.lit(0))
 
@@ -47,8 +56,9 @@ def naive_bayes(
 
     ``docs`` has one row per document with ``label`` and ``is_test``; ``counts``
     carries both columns too.  Terms that no training document has are ignored.
+    A class without training documents scores minus infinity with a fitted prior.
     """
-    k = len(classes)
+    k, alpha = len(classes), max(alpha, LEAST_ALPHA)
     table = term_table(counts.filter(~F.col(is_test)), label, classes)
     parts = [F.sum(f"c{i}").alias(f"n{i}") for i in range(k)]
     totals = table.agg(F.struct(*parts, F.count(F.lit(1)).alias("v")).alias("t")).scalar()
@@ -66,7 +76,7 @@ def naive_bayes(
         words = F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) - F.coalesce(F.col("_n"), F.lit(0)) * F.log(
             F.col(f"_t.n{i}") + F.lit(alpha) * F.col("_t.v")
         )
-        prior = F.log(F.col(f"_p.d{i}") / seen) if fit_prior else F.lit(0.0)
+        prior = _log(F.try_divide(f"_p.d{i}", seen)) if fit_prior else F.lit(0.0)
         scores.append(words + prior)
     named = rows.withColumns({f"score_{i}": s for i, s in enumerate(scores)})
     cols = [F.col(f"score_{i}") for i in range(k)]
@@ -94,6 +104,7 @@ def naive_bayes_grid(
     sizes; all alphas are sums over the same joined rows.
     """
     k, n_alpha = len(classes), len(alphas)
+    smoothing = [max(float(a), LEAST_ALPHA) for a in alphas]
     cells = [(f, i) for f in range(folds) for i in range(k)]
     table = counts.groupBy("term", "size").agg(
         *[_of(label, c, F.col("n")).alias(f"c{i}") for i, c in enumerate(classes)],
@@ -156,7 +167,7 @@ def naive_bayes_grid(
     pairs = [(a, i) for a in range(n_alpha) for i in range(k)]
     sums = known.groupBy(key, "size").agg(
         F.sum("n").alias("m"),
-        *[F.sum(F.col("n") * F.log(F.col(f"k{i}") + F.lit(float(alphas[a])))).alias(f"s_{a}_{i}") for a, i in pairs],
+        *[F.sum(F.col("n") * F.log(F.col(f"k{i}") + F.lit(smoothing[a]))).alias(f"s_{a}_{i}") for a, i in pairs],
     )
     sum_names = ["m", *[f"s_{a}_{i}" for a, i in pairs]]
     per_range = spread(sums, [key, *sum_names]).groupBy(key, "low", "high").agg(
@@ -177,6 +188,7 @@ def naive_bayes_grid(
                 F.struct(
                     F.lit(a).alias("alpha_index"),
                     F.lit(float(alphas[a])).alias("alpha"),
+                    F.lit(smoothing[a]).alias("smoothing"),
                     *[F.coalesce(f"s_{a}_{i}", F.lit(0.0)).alias(f"s{i}") for i in range(k)],
                 )
                 for a in range(n_alpha)
@@ -186,10 +198,10 @@ def naive_bayes_grid(
     prior_sizes = [(F.col(f"_d.d{i}") - F.col(f"d{i}")).alias(f"p{i}") for i in range(k)]
     long = rows.select(label, fold, "low", "high", "words", "vocab", F.coalesce("m", F.lit(0)).alias("m"), *prior_sizes, settings)
     words = [
-        F.col(f"_a.s{i}") - F.col("m") * F.log(F.get("words", F.lit(i)) + F.col("_a.alpha") * F.col("vocab"))
+        F.col(f"_a.s{i}") - F.col("m") * F.log(F.get("words", F.lit(i)) + F.col("_a.smoothing") * F.col("vocab"))
         for i in range(k)
     ]
-    fitted = [w + F.log(F.col(f"p{i}") / sum((F.col(f"p{j}") for j in range(k)), F.lit(0))) for i, w in enumerate(words)]
+    fitted = [w + _log(F.try_divide(f"p{i}", sum((F.col(f"p{j}") for j in range(k)), F.lit(0)))) for i, w in enumerate(words)]
     hit = lambda scores: (_argmax(scores, classes) == F.col(label)).cast("int")
     both = F.array(
         F.struct(F.lit(True).alias("fit_prior"), hit(fitted).alias("hit")),
@@ -206,7 +218,8 @@ def naive_bayes_grid(
 
 def best_setting(grid: DataFrame) -> DataFrame:
     """The setting with the best mean accuracy; ties go to the first in order."""
-    return grid.orderBy(F.desc("mean_accuracy"), "low", "high", "alpha_index", F.desc("fit_prior")).limit(1)
+    score = F.round("mean_accuracy", 9)
+    return grid.orderBy(score.desc(), "low", "high", "alpha_index", F.desc("fit_prior")).limit(1)
 
 
 def confusion(predictions: DataFrame, actual: str, predicted: str, labels: Sequence) -> DataFrame:

@@ -39,13 +39,14 @@ def _score_and_weight(n: Column, k: Column, eta: Column, link: str) -> tuple[Col
     return slope * (k - n * mu) / spread, n * slope * slope / spread
 
 
-def fit_absorbed(cells: DataFrame, stratum: str, link: str = PROBIT, max_steps: int = 40, tolerance: float = 1e-8) -> tuple[DataFrame, float]:
+def fit_absorbed(cells: DataFrame, stratum: str, link: str = PROBIT, max_steps: int = 100, tolerance: float = 1e-8) -> tuple[DataFrame, float]:
     """Fisher scoring with one intercept per stratum, however many there are.
 
     The intercepts are a column of the stratum table and are eliminated row by
     row; only the sums for the one shared coefficient reach the driver.  A
     stratum whose outcomes are all equal has its intercept at infinity and says
-    nothing about the coefficient, so it is left out of the steps.
+    nothing about the coefficient, so it is left out of the steps.  Raises
+    RuntimeError if the coefficient still moves after ``max_steps``.
     """
     mixed = (F.col("k0") + F.col("k1") > 0) & (F.col("k0") + F.col("k1") < F.col("n0") + F.col("n1"))
     base = materialize(cells, scratch_path(cells.sparkSession, "cells"))
@@ -75,6 +76,8 @@ def fit_absorbed(cells: DataFrame, stratum: str, link: str = PROBIT, max_steps:
         beta += change
         if abs(change) < tolerance:
             break
+    else:
+        raise RuntimeError(f"no convergence in {max_steps} steps; the last one moved by {change:.2g}")
     fitted = base.join(state.select(stratum, "a"), stratum, "left")
     return fitted, beta
 

@@ -1,9 +1,10 @@
 """Logistic model with random effects, fitted by variational updates on Spark.
 
-The rows are collapsed to binomial cells once.  Every factor of random effects
-is a table (level, mean, variance) in the shared folder; an update joins these
-tables to the cells, sums per level and writes the factor's new table.  The
-driver holds the fixed effects and one variance per factor.
+The rows are collapsed to binomial cells once.  The factors of random effects that
+share a grouping column are one table (level, means, variances) in the shared
+folder; an update joins these tables to the cells, sums per level, solves the
+level's factors one after the other and replaces the table.  The driver holds the
+fixed effects and one variance per factor.
 """
 
 import math
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.links import normal_quantile
 from ..session import scratch_path
-from ..sources.sinks import materialize
+from ..sources.sinks import materialize, remove_table
 from .skew import running_weight
 from .stats import value_weights
 
@@ -32,6 +33,7 @@ class MixedFit:
     sigmas: dict[str, float]
     effects: dict[str, DataFrame]
     sweeps: int
+    change: float
     frame: DataFrame
 
     def coefficients(self) -> DataFrame:
@@ -40,10 +42,11 @@ class MixedFit:
         return self.frame.sparkSession.createDataFrame([tuple(map(float, self.means))], ddl)
 
     def summary(self) -> DataFrame:
-        """Fixed effects with posterior SD, and the SD of each random factor."""
+        """Fixed effects with posterior SD, the SD of each random factor, and the sweeps of the fit."""
         sds = np.sqrt(np.diag(self.covariance))
         rows = [("fixed", n, float(m), float(s)) for n, m, s in zip(self.names, self.means, sds)]
         rows += [("random", n, float(s), None) for n, s in self.sigmas.items()]
+        rows += [("fit", "converged", 1.0, None), ("fit", "sweeps", float(self.sweeps), None)]
         return self.frame.sparkSession.createDataFrame(rows, "kind string, name string, value double, sd double")
 
 
@@ -52,19 +55,24 @@ def fit_mixed_model(
     outcome: str,
     fixed: dict[str, Column],
     random: dict[str, tuple[str, Column]],
-    max_sweeps: int = 30,
-    tolerance: float = 1e-3,
+    max_sweeps: int = 500,
+    tolerance: float = 1e-4,
 ) -> MixedFit:
     """``logit P(outcome) = sum fixed + sum random[level] * covariate``.
 
     ``fixed`` maps names to design columns (``lit(1)`` is the intercept);
     ``random`` maps names to (grouping column, covariate).  Mean-field updates
-    with the Jaakkola-Jordan bound; factor variances are point estimates.
+    with the Jaakkola-Jordan bound; factor variances are point estimates.  The fit
+    ends when no fixed effect, random effect or factor SD moves by more than
+    ``tolerance`` in a sweep, and raises RuntimeError if ``max_sweeps`` do not get there.
     """
     spark = df.sparkSession
     keys = list(dict.fromkeys(k for k, _ in random.values()))
+    of_key = {k: [name for name, (own, _) in random.items() if own == k] for k in keys}
     f_cols = [f"f{i}" for i in range(len(fixed))]
     z_cols = {name: f"z{i}" for i, name in enumerate(random)}
+    m_cols = {name: f"m_{z}" for name, z in z_cols.items()}
+    v_cols = {name: f"v_{z}" for name, z in z_cols.items()}
     design = df.dropna(subset=[*keys, outcome]).select(
         *keys,
         F.col(outcome).cast("double").alias("_y"),
@@ -80,7 +88,12 @@ def fit_mixed_model(
     p = len(f_cols)
     beta, cov = np.zeros(p), np.eye(p)
     sigma2 = {name: 1.0 for name in random}
-    effects: dict[str, DataFrame] = {}
+    levels: dict[str, DataFrame] = {}
+    paths: dict[str, str] = {}
+    # Random effects on the design of a fixed effect share their mean with it.
+    gaps = [(name, i) for name in random for i in range(p)]
+    row = cells.agg(*[F.max(F.abs(F.col(z_cols[n]) - F.col(f_cols[i]))).alias(f"g{j}") for j, (n, i) in enumerate(gaps)]).first()
+    partner = {n: i for j, (n, i) in enumerate(gaps) if row[f"g{j}"] == 0}
 
     def state() -> DataFrame:
         """Cells with the linear predictor's mean, and the bound's weight."""
@@ -90,13 +103,14 @@ def fit_mixed_model(
             (F.col(f_cols[i]) * F.col(f_cols[j]) * float(cov[i, j]) for i in range(p) for j in range(p)),
             F.lit(0.0),
         )
+        for key in keys:
+            rows = rows.join(levels[key], key, "left") if key in levels else rows
         for name, (key, _) in random.items():
-            z, m, v = F.col(z_cols[name]), f"m_{z_cols[name]}", f"v_{z_cols[name]}"
-            if name in effects:
-                table = effects[name].select(key, F.col("mean").alias(m), F.col("variance").alias(v))
-                rows = rows.join(table, key, "left").fillna({m: 0.0, v: sigma2[name]})
+            z, m, v = F.col(z_cols[name]), m_cols[name], v_cols[name]
+            if key in levels:
+                rows = rows.fillna({m: 0.0, v: sigma2[name]})
             else:
-                rows = rows.withColumn(m, F.lit(0.0)).withColumn(v, F.lit(sigma2[name]))
+                rows = rows.withColumns({m: F.lit(0.0), v: F.lit(sigma2[name])})
             mean, var = mean + z * F.col(m), var + z * z * F.col(v)
         xi = F.sqrt(F.col("_mean") * F.col("_mean") + F.col("_var"))
         lam = F.when(F.col("_xi") < 1e-6, 0.125).otherwise(F.tanh(F.col("_xi") / 2) / (F.col("_xi") * 4))
@@ -105,60 +119,95 @@ def fit_mixed_model(
             .withColumn("_var", var)
             .withColumn("_xi", xi)
             .withColumn("_w", F.col("n") * lam * 2)
+            .withColumn("_gap", F.col("k") - F.col("n") / 2 - F.col("_w") * F.col("_mean"))
         )
 
     def update_fixed() -> float:
         nonlocal beta, cov
-        own = sum((F.col(f) * float(b) for f, b in zip(f_cols, beta)), F.lit(0.0))
-        rest = F.col("k") - F.col("n") / 2 - F.col("_w") * (F.col("_mean") - own)
         pairs = [(i, j) for i in range(p) for j in range(i, p)]
         row = state().agg(
             *[F.sum(F.col("_w") * F.col(f_cols[i]) * F.col(f_cols[j])).alias(f"p{i}_{j}") for i, j in pairs],
-            *[F.sum(rest * F.col(f)).alias(f"r{i}") for i, f in enumerate(f_cols)],
+            *[F.sum(F.col("_gap") * F.col(f)).alias(f"r{i}") for i, f in enumerate(f_cols)],
         ).first()
-        precision = np.eye(p) / FIXED_PRIOR_VARIANCE
+        if row["p0_0"] is None:
+            return 0.0
+        weight = np.zeros((p, p))
         for i, j in pairs:
-            precision[i, j] += row[f"p{i}_{j}"]
-            if i != j:
-                precision[j, i] += row[f"p{i}_{j}"]
-        cov = np.linalg.inv(precision)
-        new = cov @ np.array([row[f"r{i}"] for i in range(p)])
+            weight[i, j] = weight[j, i] = row[f"p{i}_{j}"]
+        cov = np.linalg.inv(weight + np.eye(p) / FIXED_PRIOR_VARIANCE)
+        new = cov @ (np.array([row[f"r{i}"] for i in range(p)]) + weight @ beta)
         change = float(np.max(np.abs(new - beta)))
         beta = new
         return change
 
-    def update_random(name: str) -> None:
-        key, _ = random[name]
-        z, m = F.col(z_cols[name]), F.col(f"m_{z_cols[name]}")
-        rest = F.col("k") - F.col("n") / 2 - F.col("_w") * (F.col("_mean") - z * m)
-        per_level = (
-            state().filter(z != 0).groupBy(key).agg(F.sum(F.col("_w") * z * z).alias("_p"), F.sum(rest * z).alias("_l"))
+    def update_levels(key: str) -> float:
+        """New effects of the factors of one grouping column, and their variances."""
+        names = of_key[key]
+        cross = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+        sums = state().groupBy(key).agg(
+            *[F.sum(F.col("_w") * F.col(z_cols[a]) * F.col(z_cols[b])).alias(f"_w_{a}_{b}") for a, b in cross],
+            *[F.sum(F.col("_gap") * F.col(z_cols[a])).alias(f"_r_{a}") for a in names],
+            *[F.first(m_cols[a]).alias(f"_old_{a}") for a in names],
         )
-        precision = F.col("_p") + 1.0 / sigma2[name]
-        table = per_level.select(key, (F.col("_l") / precision).alias("mean"), (1 / precision).alias("variance"))
-        effects[name] = materialize(table, scratch_path(spark, "mixed-effects"))
-        row = effects[name].agg(
-            F.sum(F.col("mean") * F.col("mean") + F.col("variance")).alias("s"), F.count(F.lit(1)).alias("g")
+        for i, a in enumerate(names):
+            # The gaps still hold the old effects; those already solved have moved since.
+            moved = sum((F.col(f"_w_{b}_{a}") * (F.col(m_cols[b]) - F.col(f"_old_{b}")) for b in names[:i]), F.lit(0.0))
+            own = F.col(f"_w_{a}_{a}")
+            precision = own + 1.0 / sigma2[a]
+            sums = sums.withColumn(m_cols[a], (F.col(f"_r_{a}") - moved + own * F.col(f"_old_{a}")) / precision)
+            sums = sums.withColumn(v_cols[a], 1 / precision)
+        table = sums.select(
+            key, *[m_cols[a] for a in names], *[v_cols[a] for a in names],
+            *[F.abs(F.col(m_cols[a]) - F.col(f"_old_{a}")).alias(f"_move_{a}") for a in names],
+            *[(F.col(f"_w_{a}_{a}") > 0).alias(f"_has_{a}") for a in names],
+        )
+        path = scratch_path(spark, "mixed-levels")
+        written = materialize(table, path)
+        has = lambda a, c: F.coalesce(F.sum(F.when(F.col(f"_has_{a}"), c)), F.lit(0.0))
+        row = written.agg(
+            *[has(a, F.col(m_cols[a]) ** 2).alias(f"m_{a}") for a in names],
+            *[has(a, 1 - F.col(v_cols[a]) / sigma2[a]).alias(f"g_{a}") for a in names],
+            *[has(a, F.col(m_cols[a])).alias(f"t_{a}") for a in names],
+            *[has(a, F.lit(1.0)).alias(f"n_{a}") for a in names],
+            *[F.max(f"_move_{a}").alias(f"d_{a}") for a in names],
         ).first()
-        if row["g"]:
-            sigma2[name] = (row["s"] + 2 * VARIANCE_PRIOR) / (row["g"] + 2 * VARIANCE_PRIOR)
-
-    done = 0
-    for done in range(1, max_sweeps + 1):
-        change = update_fixed()
-        for name in random:
-            update_random(name)
-        if done > 1 and change < tolerance:
+        # The common part of the effects goes to the fixed effect, which saves many sweeps:
+        # the prior of a fixed effect is so wide that the bound only gains by it.
+        shift = {a: row[f"t_{a}"] / row[f"n_{a}"] if a in partner and row[f"n_{a}"] else 0.0 for a in names}
+        for a in names:
+            beta[partner.get(a, 0)] += shift[a]
+        levels[key] = written.drop(*[f"_move_{a}" for a in names]).withColumns(
+            {m_cols[a]: F.col(m_cols[a]) - F.lit(shift[a]) for a in names}
+        )
+        if key in paths:
+            remove_table(spark, paths[key])
+        paths[key] = path
+        change = 0.0
+        for a in names:
+            # The same fixed point as (sum of squares + variances) / levels, reached in fewer steps.
+            squares = row[f"m_{a}"] - row[f"n_{a}"] * shift[a] ** 2
+            new = (squares + 2 * VARIANCE_PRIOR) / (row[f"g_{a}"] + 2 * VARIANCE_PRIOR)
+            change = max(change, row[f"d_{a}"] or 0.0, abs(math.sqrt(new) - math.sqrt(sigma2[a])))
+            sigma2[a] = new
+        return change
+
+    for sweep in range(1, max_sweeps + 1):
+        change = max([update_fixed(), *[update_levels(key) for key in keys]])
+        if sweep > 1 and change < tolerance:
             break
+    else:
+        raise RuntimeError(f"no convergence in {max_sweeps} sweeps; the last one moved by {change:.2g}")
     return MixedFit(
         names=list(fixed),
         means=beta,
         covariance=cov,
         sigmas={n: math.sqrt(s) for n, s in sigma2.items()},
         effects={
-            n: e.select(random[n][0], "mean", F.sqrt("variance").alias("sd")) for n, e in effects.items()
+            n: levels[key].filter(f"_has_{n}").select(key, F.col(m_cols[n]).alias("mean"), F.sqrt(v_cols[n]).alias("sd"))
+            for n, (key, _) in random.items()
         },
-        sweeps=done,
+        sweeps=sweep,
+        change=change,
         frame=cells,
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
 from ..functions.columns import as_column
+from ..functions.links import expit
 from .skew import BROADCAST_ROWS, fits_broadcast, lookup_join, salted_join
 from .stats import describe
 
@@ -71,6 +72,20 @@ class LinearScorer:
         return pd.DataFrame(1 / (1 + np.exp(-(out + np.array(self.bias)))), columns=self.names)
 
 
+def linear_scores(
+    df: DataFrame, key: str, text: str, weights: DataFrame, names: Sequence[str], broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Independent logistic scores: the mean weight of the known words, per column of ``names``.
+
+    ``weights`` has one row per ``token``, however many there are.  Texts without a
+    known word score one half.
+    """
+    known = look_up_words(df, key, text, weights, "left", broadcast_rows)
+    hits = F.sum(F.when(F.col(names[0]).isNotNull(), F.col("n")))
+    means = known.groupBy(key).agg(*[(F.sum(F.col("n") * F.col(c)) / hits).alias(c) for c in names])
+    return means.select(key, *[expit(F.coalesce(c, F.lit(0.0))).alias(c) for c in names])
+
+
 def word_counts(df: DataFrame, key: str, tokens: Column, outer: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Occurrences per (key, token).
 

@@ -273,14 +273,13 @@ def glm_covariates(t):
     return rounded(glm.covariate_glm(rows, "label", ["o_totalprice", "c_acctbal"]), 4)
 
 
-def reply_model(t: Tables, sweeps: int = 5) -> mixed.MixedFit:
+def reply_model(t: Tables) -> mixed.MixedFit:
     one = F.lit(1)
     return mixed.fit_mixed_model(
         exposures(t),
         "y",
         {"intercept": one, "x": F.col("x")},
         {"group": ("month", one), "user_bias": ("usr", one), "user_effect": ("usr", F.col("x"))},
-        max_sweeps=sweeps,
     )
 
 
@@ -291,7 +290,7 @@ def mixed_model(t):
 
 @query()
 def mixed_model_effect(t):
-    fit = reply_model(t, sweeps=3)
+    fit = reply_model(t)
     return rounded(causal.average_individual_effect(fit.coefficients(), "intercept", ["x"]), 4)
 
 
@@ -309,20 +308,19 @@ def mixed_before_after(t):
             "user_bias": ("usr", after),
             "user_effect": ("usr", F.col("x") * after),
         },
-        max_sweeps=2,
     )
     return rounded(causal.difference_in_differences(fit.coefficients(), "intercept", "after", "x_after"), 4)
 
 
 @query()
 def random_effect_qq(t):
-    fit = reply_model(t, sweeps=2)
+    fit = reply_model(t)
     return rounded(mixed.random_effect_qq(fit.effects["user_bias"], fit.sigmas["user_bias"]), 4)
 
 
 @query()
 def random_effect_spread(t):
-    fit = reply_model(t, sweeps=2)
+    fit = reply_model(t)
     return rounded(histogram(fit.effects["user_bias"], "sd", 10), 4)
 
 

@@ -47,11 +47,11 @@ select s_nationkey as nation, count(*) as n_lists, sum(n)::bigint as n_users fro
   (select s_nationkey, count(distinct l_orderkey) as n from lineitem join supplier on l_suppkey = s_suppkey group by all)
 group by s_nationkey""")
 def map_document(t):
-    """The lists of busy keys come in parts; a reader adds them up."""
+    """The lists come in parts; a reader adds them up."""
     path = scratch_path(t.spark, "map")
     nations = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     rows = t.lineitem.select("l_orderkey", "l_suppkey").join(nations, "l_suppkey")
-    sinks.write_map(rows, "s_nationkey", "l_orderkey", path, part_size=500)
+    sinks.write_map(rows, "s_nationkey", "l_orderkey", path, parts=4)
     sizes = explore.list_lengths(readers.read_map(t.spark, path), "post_id", "users")
     return sizes.groupBy(F.col("post_id").cast("int").alias("nation")).agg(
         F.count(F.lit(1)).alias("n_lists"), F.sum("n").alias("n_users")
@@ -75,11 +75,16 @@ def csv_roundtrip(t):
     return rounded(readers.read_csv(t.spark, path, columns.schema), 2)
 
 
-@query()
+@query("""
+with parts as (select distinct event_id % 8 as part from events),
+drawn as (select part from parts order by md5('part=' || part) limit 3)
+select event_type, count(*) as n from events where event_id % 8 in (select part from drawn) group by event_type""")
 def file_sample(t):
+    """Three of eight folders with a file each, drawn by their names."""
     path = scratch_path(t.spark, "parts")
-    t.events.repartition(8, "event_id").write.parquet(path)
-    sampled = readers.sample_files(t.spark.read.parquet(path), 3)
+    rows = t.events.withColumn("part", F.col("event_id") % 8)
+    rows.repartition(8, "part").write.partitionBy("part").parquet(path)
+    sampled = readers.sample_files(t.spark.read.parquet(path), 3, name=lambda file: file.split("/")[-2])
     return sampled.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -38,9 +38,15 @@ polarity as (select doc_id, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0
 """
 
 
+def labelled_words(t: Tables) -> DataFrame:
+    """Words per labelled document, counted after the labels have picked the documents."""
+    labelled = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    return tx.word_counts(labelled, "doc_id", tk.words("text"), keep=["quality", "toxic"])
+
+
 def lexicon(t: Tables) -> DataFrame:
     """Word valences learnt from the labels."""
-    counts = tx.word_counts(t.texts, "doc_id", tk.words("text")).join(t.labels, "doc_id")
+    counts = labelled_words(t)
     good = F.sum(F.when(F.col("quality") == 1, F.col("n")))
     bad = F.coalesce(F.sum(F.when(F.col("quality") == 0, F.col("n"))), F.lit(0))
     words = counts.groupBy("token").agg(
@@ -231,11 +237,42 @@ def nb_grid(t):
     )
 
 
-@query()
+BEST = GRID + """, best as (
+select * from grid order by round(mean_accuracy, 9) desc, low, high, alpha_index, fit_prior desc limit 1)
+"""
+
+
+@query(BEST + "select low, high, cast(alpha_index as int) as alpha_index, round(alpha, 4) as alpha, fit_prior, round(mean_accuracy, 4) as mean_accuracy from best")
 def nb_best(t):
     return rounded(classify.best_setting(grid(t)), 4)
 
 
+@query(BEST + f""",
+brows as ({grams_sql(1, 6, 'kept', 'doc_id, quality, is_test')}),
+btf as (select doc_id, is_test, quality, term, count(*) as n from brows, best where size between low and high group by all),
+bterms as (select term, coalesce(sum(n) filter (where quality = 0), 0) as c0, coalesce(sum(n) filter (where quality = 1), 0) as c1
+           from btf where not is_test group by term),
+btot as (select sum(c0) as n0, sum(c1) as n1, count(*) as v from bterms),
+bsums as (select doc_id, sum(n) as m, sum(n * ln(c0 + alpha)) as s0, sum(n * ln(c1 + alpha)) as s1
+          from btf join bterms using (term), best where is_test group by doc_id),
+bprior as (select ln(count(*) filter (where quality = 0) / count(*)) as p0, ln(count(*) filter (where quality = 1) / count(*)) as p1 from train),
+bscores as (select docs.quality, coalesce(s0, 0) - coalesce(m, 0) * ln(n0 + alpha * v) + case when fit_prior then p0 else 0 end as w0,
+                   coalesce(s1, 0) - coalesce(m, 0) * ln(n1 + alpha * v) + case when fit_prior then p1 else 0 end as w1
+            from docs left join bsums using (doc_id), btot, best, bprior where is_test),
+bpred as (select quality, case when w1 > w0 then 1 else 0 end as predicted from bscores)
+select a.x as quality, b.x as predicted, count(bpred.quality) as n from (values (0), (1)) a(x) cross join (values (0), (1)) b(x)
+left join bpred on bpred.quality = a.x and bpred.predicted = b.x group by all""")
+def nb_best_confusion(t):
+    """The best setting of the grid, fitted to all training documents and held against the others."""
+    best = classify.best_setting(grid(t)).first()
+    docs, counts = labelled_terms(t, best["high"])
+    chosen = counts.filter(F.col("size").between(best["low"], best["high"]))
+    made = classify.naive_bayes(
+        docs, chosen, "doc_id", "quality", CLASSES, alpha=best["alpha"], fit_prior=best["fit_prior"]
+    )
+    return classify.confusion(made, "quality", "predicted", CLASSES)
+
+
 # ---- sequences ----------------------------------------------------------------------------
 
 VOCAB = f"""
@@ -305,14 +342,16 @@ def mean_vector(t):
     return means.select("doc_id", "n_words", scaled.alias("mean_vector")).withColumn("mean_vector", as_text("mean_vector"))
 
 
-@query()
+@query(f"""
+with word_rows as (select doc_id, unnest({WORDS}) as token from documents),
+counts as (select doc_id, token, count(*) as n from word_rows group by all),
+model as (select token, ln((sum(n * quality) + 1) / (sum(n * (1 - quality)) + 1)) as q, ln((sum(n * toxic) + 1) / (sum(n * (1 - toxic)) + 1)) as t
+          from counts join labels using (doc_id) group by token),
+hits as (select doc_id, sum(n * q) / sum(n) as q, sum(n * t) / sum(n) as t from counts join model using (token) group by doc_id)
+select doc_id, round(1 / (1 + exp(-coalesce(q, 0))), 6) as quality, round(1 / (1 + exp(-coalesce(t, 0))), 6) as toxic
+from documents left join hits using (doc_id)""")
 def score_batch(t):
-    """Two independent probabilities per document from a model shipped to every task."""
-    counts = tx.word_counts(t.texts, "doc_id", tk.words("text")).join(t.labels, "doc_id")
+    """Two independent probabilities per document from the weights of all labelled words."""
     lean = lambda c: F.log((F.sum(F.col("n") * F.col(c)) + 1) / (F.sum(F.col("n") * (1 - F.col(c))) + 1)).alias(c)
-    model = counts.groupBy("token").agg(F.sum("n").alias("n"), lean("quality"), lean("toxic"))
-    # The model has a fixed size; it is the one thing that visits the driver.
-    rows = model.orderBy(F.desc("n"), "token").limit(2000).collect()
-    scorer = tx.LinearScorer({r["token"]: (r["quality"], r["toxic"]) for r in rows}, [0.0, 0.0], ["quality", "toxic"])
-    scored = t.texts.select("doc_id", tx.score_text("text", scorer, "quality double, toxic double").alias("s"))
-    return rounded(scored.select("doc_id", "s.quality", "s.toxic"), 4)
+    model = cut_lineage(labelled_words(t).groupBy("token").agg(lean("quality"), lean("toxic")))
+    return rounded(tx.linear_scores(t.texts, "doc_id", "text", model, ["quality", "toxic"]))

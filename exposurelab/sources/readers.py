@@ -1,14 +1,17 @@
 """Readers: posts, map documents, CSV tables, file samples, per-entity files."""
 
 import hashlib
+import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import MAP_OF_LISTS, POST
 
-IDS_PER_BUCKET = 1_000_000
+# What Spark adds to the names of the files it writes; it differs on every run.
+WRITE_ID = re.compile(r"-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 
 
 def read_posts(spark: SparkSession, path: str, schema=None, pattern: str = "*.ndjson") -> DataFrame:
@@ -62,14 +65,18 @@ def read_csv(spark: SparkSession, path: str, schema, line_sep: str = "\n", multi
     )
 
 
-def sample_files(df: DataFrame, n: int, seed: str = "") -> DataFrame:
+def sample_files(df: DataFrame, n: int, seed: str = "", name: Callable[[str], str] | None = None) -> DataFrame:
     """Rows of ``n`` part files, drawn without replacement in digest order.
 
-    The draw uses the file listing the scan already has; the others are pruned
+    The digest is that of ``name(path)``; by default the path below the folder that
+    all files share, without the id of the write, so that the draw does not depend
+    on where or when the files were written.  The draw uses the file listing the scan already has; the others are pruned
     by the filter on the file path and never opened.
     """
-    digest = lambda name: (hashlib.md5((seed + name).encode()).hexdigest(), name)
-    drawn = sorted(df.inputFiles(), key=digest)[:n]
+    files = df.inputFiles()
+    root = os.path.commonpath(files) if len(files) > 1 else os.path.dirname("".join(files))
+    stable = name or (lambda file: WRITE_ID.sub("", os.path.relpath(file, root)))
+    drawn = sorted(files, key=lambda f: (hashlib.md5((seed + stable(f)).encode()).hexdigest(), f))[:n]
     # The listing writes local paths with three slashes, the metadata column with one.
     return df.filter(F.col("_metadata.file_path").isin([re.sub("^file:/+", "file:/", f) for f in drawn]))
 
@@ -106,16 +113,15 @@ def fetch_backlog(lists: DataFrame, members: str, landed: DataFrame, landed_id:
     return wanted.join(have, "member", "left_anti")
 
 
-def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int | None = None) -> DataFrame:
+def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int = 64) -> DataFrame:
     """Distinct ids in batches of at most ``size``.
 
-    Ids are spread over buckets by digest and numbered inside their bucket; the
-    number of buckets grows with the number of ids.  Only the last batch of a
+    Ids are spread over buckets by digest and numbered inside their bucket, so an
+    id's bucket never depends on how many ids there are.  Choose ``buckets`` so that
+    one task can sort what falls into one.  Only the last batch of a
     bucket is not full.
     """
     unique = ids.select(key).dropna().distinct()
-    if buckets is None:
-        buckets = max(64, unique.count() // IDS_PER_BUCKET)
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
     return (

@@ -1,11 +1,8 @@
 """Writers and the write-once, read-back checkpoint."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.skew import HOT_KEYS, join_unique
-
-LIST_PART = 10_000
 
 
 def has_success(df: DataFrame, path: str) -> bool:
@@ -26,6 +23,12 @@ def materialize(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table of this run that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 # ISO timestamps down to the microsecond (the default stops at milliseconds).
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 ISO_NO_ZONE = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -43,27 +46,20 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     ).csv(path)
 
 
-def collect_lists(pairs: DataFrame, key: str, member: str, part_size: int = LIST_PART) -> DataFrame:
-    """Distinct members per key as lists of about ``part_size`` (whole, in parts).
+def collect_lists(pairs: DataFrame, key: str, member: str, parts: int = 1) -> DataFrame:
+    """Distinct members per key as sorted lists, ``parts`` of them for every key with as many members.
 
-    The number of parts follows from the number of members, so a key with very
-    many members becomes many rows instead of one list without bound.
+    The layout depends on ``parts`` alone, never on the size of the data: with one
+    part every key is one row.  Where keys have too many members for a row, choose
+    more parts; members are dealt out by their hash.
     """
-    unique = pairs.select(key, member).dropna().distinct()
-    parts = unique.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part_size).alias("_parts")).filter("_parts > 1")
-    few = parts.limit(HOT_KEYS + 1).collect()
-    if len(few) <= HOT_KEYS:
-        # Long lists are few: their part counts fit into a broadcast.
-        local = pairs.sparkSession.createDataFrame(few, parts.schema)
-        joined = unique.join(F.broadcast(local), key, "left") if few else unique.withColumn("_parts", F.lit(1))
-    else:
-        joined = join_unique(unique, parts, [key], "left")
-    numbered = joined.withColumn("part", F.pmod(F.xxhash64(member), F.coalesce("_parts", F.lit(1))))
-    return numbered.groupBy(key, "part").agg(F.sort_array(F.collect_set(member)).alias("members"))
-
-
-def write_map(pairs: DataFrame, key: str, member: str, path: str, part_size: int = LIST_PART) -> None:
-    """Map documents ``{key: [members]}``, one JSON object per line."""
-    lists = collect_lists(pairs, key, member, part_size)
+    part = F.pmod(F.xxhash64(member), F.lit(parts)).alias("part")
+    unique = pairs.select(key, part, member).dropna(subset=[key, member])
+    return unique.groupBy(key, "part").agg(F.sort_array(F.collect_set(member)).alias("members"))
+
+
+def write_map(pairs: DataFrame, key: str, member: str, path: str, parts: int = 1) -> None:
+    """Map documents ``{key: [members]}``, one JSON object per line and part of a key."""
+    lists = collect_lists(pairs, key, member, parts)
     line = F.to_json(F.create_map(F.col(key).cast("string"), F.col("members")))
     lists.select(line.alias("value")).write.text(path)

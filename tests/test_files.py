@@ -24,7 +24,7 @@ def test_map_documents(spark, tmp_path):
 
 def test_long_lists_come_in_parts(spark, tmp_path):
     pairs = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 1), (2, 1), (3, None)], "k int, m int")
-    sinks.write_map(pairs, "k", "m", str(tmp_path / "map"), part_size=10)
+    sinks.write_map(pairs, "k", "m", str(tmp_path / "map"), parts=8)
     lists = readers.read_map(spark, str(tmp_path / "map")).collect()
     members = sorted(u for r in lists if r["post_id"] == "1" for u in r["users"])
     assert members == list(range(100)) and sum(r["post_id"] == "1" for r in lists) > 4
@@ -47,6 +47,28 @@ def test_entity_files_and_backlog(spark, tmp_path):
     assert sampled.count() == 2 and readers.sample_files(posts, 2).count() == 2
 
 
+def test_one_layout_for_every_size(spark):
+    """The rows of a key depend on the number of parts alone."""
+    for n in (1, 50, 5000):
+        pairs = spark.range(n).selectExpr("1 as k", "id as m")
+        assert [len(r["members"]) for r in sinks.collect_lists(pairs, "k", "m").collect()] == [n]
+    buckets = {}
+    for n in (100, 1000):
+        rows = readers.lookup_batches(spark.range(n), "id", size=10).collect()
+        for r in rows:
+            for i in r["ids"]:
+                assert buckets.setdefault(i, r["bucket"]) == r["bucket"]
+
+
+def test_sampled_files_do_not_depend_on_the_write(spark, tmp_path):
+    drawn = []
+    for name in ("a", "b"):
+        spark.range(800).repartition(8, "id").write.parquet(str(tmp_path / name))
+        rows = readers.sample_files(spark.read.parquet(str(tmp_path / name)), 3).collect()
+        drawn.append(sorted(r["id"] for r in rows))
+    assert drawn[0] == drawn[1] and 0 < len(drawn[0]) < 800
+
+
 def test_batches_hold_every_id_once(spark):
     ids = spark.range(1000).union(spark.range(10))
     rows = readers.lookup_batches(ids, "id", size=100, buckets=4).collect()

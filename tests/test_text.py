@@ -154,3 +154,28 @@ def test_linear_scorer_runs_in_tasks(spark, docs):
     got = {r["id"]: r["s"] for r in docs.select("id", tx.score_text("text", scorer, "p double, q double").alias("s")).collect()}
     assert got[1]["p"] == pytest.approx(1 / (1 + math.exp(-1 / 3))) and got[4]["q"] == 0.5
     assert F is not None
+
+
+def test_a_class_without_training_documents_never_wins(spark):
+    docs = spark.createDataFrame([(1, 1, False), (2, 1, False), (3, 0, True)], "d long, y int, is_test boolean")
+    counts = spark.createDataFrame(
+        [(1, 1, False, "a", 2), (2, 1, False, "b", 1), (3, 0, True, "a", 1), (3, 0, True, "b", 1)],
+        "d long, y int, is_test boolean, term string, n long",
+    )
+    for alpha in (1.0, 0.0):
+        row = classify.naive_bayes(docs, counts, "d", "y", [0, 1], alpha=alpha).first()
+        assert row["predicted"] == 1 and row["score_0"] == float("-inf") and row["score_1"] > -100
+    # Without smoothing an unseen word is as good as impossible, but not undefined.
+    both = docs.union(spark.createDataFrame([(4, 0, False)], "d long, y int, is_test boolean"))
+    more = counts.union(spark.createDataFrame([(4, 0, False, "c", 3)], "d long, y int, is_test boolean, term string, n long"))
+    row = classify.naive_bayes(both, more, "d", "y", [0, 1], alpha=0.0).first()
+    assert row["predicted"] == 1 and row["score_0"] < row["score_1"] - 20
+
+
+def test_scores_from_all_words(spark):
+    docs = spark.createDataFrame([(1, "good good bad other"), (2, "other"), (3, None)], "d long, text string")
+    weights = spark.createDataFrame([("good", 1.0, -1.0), ("bad", -1.0, 0.0)], "token string, p double, q double")
+    for limit in (0, 10):
+        rows = {r["d"]: r for r in tx.linear_scores(docs, "d", "text", weights, ["p", "q"], broadcast_rows=limit).collect()}
+        assert rows[1]["p"] == pytest.approx(1 / (1 + math.exp(-1 / 3))) and rows[1]["q"] == pytest.approx(1 / (1 + math.exp(2 / 3)))
+        assert rows[2]["p"] == rows[3]["q"] == 0.5
