@@ -273,7 +273,18 @@ def glm_covariates(t):
     return rounded(glm.covariate_glm(rows, "label", ["o_totalprice", "c_acctbal"]), 4)
 
 
+_fits: dict[tuple[str, str], mixed.MixedFit] = {}
+
+
 def reply_model(t: Tables) -> mixed.MixedFit:
+    """The fit that several queries report on; made once for a session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _fits:
+        _fits[key] = fit_reply_model(t)
+    return _fits[key]
+
+
+def fit_reply_model(t: Tables) -> mixed.MixedFit:
     one = F.lit(1)
     return mixed.fit_mixed_model(
         exposures(t),

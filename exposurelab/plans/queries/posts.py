@@ -239,5 +239,4 @@ def before_after_study(t):
 @query()
 def reply_report(t):
     study = studies.reply_analysis(*accounts(t), ACCOUNT, SCORER, path=scratch_path(t.spark, "reply"))
-    report = studies.reply_report(study)
-    return rounded(report["label_model"], 4)
+    return rounded(studies.long_report(studies.reply_report(study)), 4)

@@ -114,3 +114,17 @@ def reply_report(study: DataFrame, frequency: str = "day", min_gap_seconds: floa
             "source_created_at", "response_created_at", min_gap_seconds, frequency, "source_status_id",
         ),
     }
+
+
+def long_report(report: dict[str, DataFrame]) -> DataFrame:
+    """The parts of a report as rows ``part, term, measure, value``."""
+    rows = []
+    for part, frame in report.items():
+        numbers = [c for c, kind in frame.dtypes if kind != "string"]
+        term = F.col("term") if "term" in frame.columns else F.lit(None).cast("string")
+        measures = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in numbers])
+        rows.append(frame.select(F.lit(part).alias("part"), term.alias("term"), F.explode(measures).alias("_m")))
+    long = rows[0]
+    for other in rows[1:]:
+        long = long.unionByName(other)
+    return long.select("part", "term", "_m.measure", "_m.value")

@@ -186,3 +186,18 @@ def test_fits_that_do_not_settle_raise(spark):
         mixed.fit_mixed_model(df, "y", {"one": F.lit(1)}, {"g": ("g", F.lit(1))}, max_sweeps=1)
     with pytest.raises(RuntimeError):
         glm.fit_absorbed(glm.stratum_cells(df, "g", "x", "y"), "g", max_steps=1)
+
+
+def test_reply_model_on_the_medium_tables(spark):
+    """The coefficient that the model settles on, worked out in advance."""
+    import os
+
+    from exposurelab.plans.queries.effects import reply_model
+    from exposurelab.plans.queries.registry import Tables
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    fit = reply_model(Tables(spark, folder))
+    assert fit.means[1] == pytest.approx(-0.0210, abs=1e-3) and fit.change < 1e-4
+    assert fit is reply_model(Tables(spark, folder + "/"))
