@@ -46,12 +46,11 @@ def rates(
         table = F.create_map(*named) if named else F.create_map().cast("map<string,double>")
         weight = F.coalesce(F.try_element_at(table, F.col("source").cast("string")), F.lit(0.0))
     weighted = sizes.withColumn("weight", weight)
-    total = weighted.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    share = F.try_divide("weight", "all_weight")
-    # One row on the other side.
-    return weighted.crossJoin(F.broadcast(total)).select(
+    all_size, all_weight = (weighted.agg(F.sum(c)).scalar() for c in ("size", "weight"))
+    share = F.try_divide(F.col("weight"), all_weight)
+    return weighted.select(
         "source", "size",
-        F.coalesce(share * F.lit(float(epochs)) * F.col("all_size") / F.col("size"), F.lit(0.0)).alias("rate"),
+        F.coalesce(share * F.lit(float(epochs)) * all_size / F.col("size"), F.lit(0.0)).alias("rate"),
     )
 
 

@@ -79,12 +79,12 @@ def train(
     """Fit the chain on at most about ``sample`` labelled rows.
 
     ``labels`` has the id and a 0/1 column for each category, in the order of the
-    chain; null labels are left out of their category.  The sample is drawn by a
+    chain; null labels are left out of their category and equal label rows count once.  The sample is drawn by a
     hash of the id.  Without any labelled row of both classes a category predicts
     its share of ones (one half without labels).
     """
     known = labels.select(quoted(id_col).alias("_label_id"), *[quoted(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
-    known = known.filter("_label_id is not null")
+    known = known.filter("_label_id is not null").distinct()
     total = known.count()
     share = int(min(1.0, sample / max(total, 1)) * (1 << 30))
     drawn = known.filter(F.pmod(F.xxhash64("_label_id"), F.lit(1 << 30)) < share)
