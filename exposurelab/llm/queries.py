@@ -139,6 +139,27 @@ def op4_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+SQL["op4_cross_polytope"] = """
+with recursive v as (
+    select vec_id, label, embedding::double[] as e from embeddings
+), usable as (
+    select * from v where label is not null and len(e) > 0
+        and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0
+), links as (
+    select a.vec_id as x, b.vec_id as y from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(node, other) as (
+    select vec_id, vec_id from v union select r.node, l.y from reach r join links l on r.other = l.x
+), components as (
+    select node, min(other) as component_id from reach group by node
+), counts as (
+    select x, count(*) as n from links group by x
+)
+select v.vec_id, coalesce(n, 0) as n_links, component_id, v.vec_id = component_id as kept
+from v join components on v.vec_id = node left join counts on v.vec_id = x
+"""
+
+
 def toxicity_chain(spark: SparkSession, folder: str) -> toxicity.Chain:
     labels = table(spark, folder, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     return toxicity.train(table(spark, folder, "documents"), labels, CATEGORIES)
@@ -202,6 +223,51 @@ def op9_secret_entropy(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _spans_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    """Spans of the matches of a pattern, from the lengths of the pieces around them."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+select doc_id, '{kind}' as kind, whole as match, before + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)::bigint as a
+from (select *, ms[i] as whole, gs[i] as measured, list_sum(list_transform(ps[1:i], lambda x: length(x)))::bigint as before
+      from (select doc_id, ms, ps, gs, unnest(range(1, len(ms) + 1)) as i
+            from (select doc_id, regexp_extract_all(t, '{pattern}') as ms, regexp_extract_all(t, '{pattern}', {group}) as gs,
+                         string_split_regex(t, '{pattern}') as ps
+                  from texts where regexp_matches(t, '{pattern}'))))
+where length(measured) >= {least}"""
+
+
+def _hot_sql(c: secrets.EntropyClass) -> str:
+    """Stretches of hot windows; a candidate of one repeated unit never has any."""
+    allowed = " ".join(f"and not regexp_matches(match, '{p}')" for p in secrets.ALLOWED[1:])
+    return f"""
+select doc_id, kind, min(a + w) as a, max(a + w) + {c.window} as b
+from (select doc_id, kind, a, match, unnest(range(0, length(match) - {c.window} + 1)) as w
+      from candidates where kind = '{c.kind}' {allowed})
+where list_entropy(string_split(substr(match, w + 1, {c.window}), '')) >= {c.bits} - 1e-9 group by doc_id, kind, a, match"""
+
+
+_KINDS = [b[0] for b in secrets.BASE] + [c.kind for c in secrets.CLASSES]
+SQL["op9_secret_entropy"] = f"""
+with texts as (select doc_id, coalesce(text, '') as t from documents),
+base as ({" union all ".join(f"select doc_id, kind, a, a + length(match) as b from ({_spans_sql(k, secrets.SEARCHED.get(k, p), g, n)})" for k, p, g, n in secrets.BASE)}),
+candidates as ({" union all ".join(_spans_sql(c.kind, c.pattern, 0, c.window) for c in secrets.CLASSES)}),
+hot_0 as ({_hot_sql(secrets.CLASSES[0])}),
+new_0 as (select * from hot_0 h where not exists (select 1 from base s where s.doc_id = h.doc_id and s.a <= h.a and h.b <= s.b)),
+hot_1 as ({_hot_sql(secrets.CLASSES[1])}),
+new_1 as (select * from hot_1 h where not exists (select 1 from (from base union all from new_0) s where s.doc_id = h.doc_id and s.a <= h.a and h.b <= s.b)),
+every as (from base union all from new_0 union all from new_1),
+joined as (
+    select doc_id, string_agg(kind || ':' || a || ':' || b, ',' order by a, list_position({_KINDS}, kind)) as spans,
+        string_agg(kind || ':' || a || ':' || b, ',' order by a, list_position({_KINDS}, kind)) filter (where not starts_with(kind, 'entropy')) as base,
+        count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex
+    from every group by doc_id
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from documents left join joined using (doc_id)
+"""
+
+
 @query
 def op10_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
