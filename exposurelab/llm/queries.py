@@ -276,3 +276,33 @@ def op10_run_length_index(spark: SparkSession, folder: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+SQL["op10_run_length_index"] = """
+with d as (
+    select doc_id, encode(coalesce(text, '')) as b from documents
+), strings as (
+    select doc_id, i, b[i + 1:i + 200] as s
+    from (select doc_id, b, unnest(range(0, octet_length(b) - 199)) as i from d where octet_length(b) >= 200)
+), repeated as (
+    select doc_id, i from strings where s in (select s from strings group by s having count(*) > 1)
+), begun as (
+    select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 200 then 0 else 1 end as fresh from repeated
+), spans as (
+    select doc_id, min(i) as a, max(i) + 200 as z
+    from (select *, sum(fresh) over (partition by doc_id order by i) as g from begun) group by doc_id, g
+), edges as (
+    select doc_id, a, z, coalesce(lag(z) over (partition by doc_id order by a), 0) as y from spans
+), pieces as (
+    select doc_id, y, a from edges
+    union all
+    select d.doc_id, coalesce(max(z), 0), octet_length(any_value(b)) from d left join spans using (doc_id) group by d.doc_id
+), kept as (
+    select doc_id, string_agg(hex(b[y + 1:a]), '' order by a) as h from pieces join d using (doc_id) group by doc_id
+), totals as (
+    select doc_id, sum(z - a)::bigint as n_removed, count(*) as n_spans from spans group by doc_id
+)
+select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(h)) as kept_sha256
+from d join kept using (doc_id) left join totals using (doc_id)
+"""
