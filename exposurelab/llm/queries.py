@@ -195,6 +195,24 @@ def op7_line_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
 
 
+# In these pages the article element holds the article and nothing else.
+SQL["op7_line_blocks"] = r"""
+with articles as (
+    select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) as a from pages
+), pieces as (
+    select page_id, unnest(string_split_regex(a, '</?(?:p|h1)>')) as piece,
+        generate_subscripts(string_split_regex(a, '</?(?:p|h1)>'), 1) as place
+    from articles
+), blocks as (
+    select page_id, place, trim(regexp_replace(replace(replace(regexp_replace(replace(piece, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as block
+    from pieces
+), texts as (
+    select page_id, string_agg(block, chr(10) || chr(10) order by place) as text from blocks where block <> '' group by page_id
+)
+select page_id, url, coalesce(text, '') as text, length(coalesce(text, '')) as n_chars from articles left join texts using (page_id)
+"""
+
+
 @query
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     rows = simhash.near_duplicates(table(spark, folder, "documents"))
