@@ -25,7 +25,7 @@ class Tables:
     @property
     def texts(self) -> DataFrame:
         """Documents spread over all cores, for work that is costly per text."""
-        return spread(self.documents)
+        return spread(self.documents, "doc_id")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in NAMES:

@@ -24,14 +24,15 @@ def read_posts(spark: SparkSession, path: str, schema=None, pattern: str = "*.nd
     return reader.option("pathGlobFilter", pattern).json(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """A scan with at least one partition per core, for costly work per row.
 
     Large inputs have more splits than cores and come back as they are; only a
-    few small or unsplittable files are shuffled apart.  Meant for plain scans.
+    few small or unsplittable files are shuffled apart, by ``keys`` if given, so that
+    what is then grouped by them stays where it is.  Meant for plain scans.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 
 def read_map(spark: SparkSession, path: str, key: str = "post_id", members: str = "users") -> DataFrame:
