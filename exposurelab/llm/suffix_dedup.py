@@ -35,6 +35,7 @@ CHUNK = 1 << 20
 GROUP = 2_000
 BATCH = 1_000_000
 STEPS = 8
+BLOCK = 16
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -391,26 +392,63 @@ def large_groups(spelled: DataFrame, length: int, gram: int, steps: int = STEPS)
     )
     open_ones = spelled.join(reach, ["anchor", "digest"], "left").select("anchor", "digest", "bytes", "before", "after")
 
-    def windows(part):
+    open_ones, _ = store(open_ones, "open-segments")
+
+    def reachable(data, anchor, before, after):
+        """The anchor's place, and the first and last start that both sides leave open."""
+        at = anchor_place(data, anchor, gram)
+        # Below the next level a side may still be shared.
+        most_before, most_after = (min((n for n in levels if n > (x or 0)), default=rest + 1) - 1 for x in (before, after))
+        return at, max(0, at - most_before), min(at, len(data) - length, most_after + at + gram - length)
+
+    def blocks(part):
         made = []
         for anchor, digest, data, before, after in part:
-            at = anchor_place(data, anchor, gram)
-            # Below the next level a side may still be shared.
-            most_before, most_after = (
-                min((n for n in levels if n > (x or 0)), default=rest + 1) - 1 for x in (before, after)
-            )
-            for i in range(max(0, at - most_before), min(at, len(data) - length) + 1):
-                if i + length - at - gram <= most_after:
-                    made.append((anchor, digest, i, xxhash.xxh3_128_digest(data[i : i + length])))
+            at, low, high = reachable(data, anchor, before, after)
+            for k in range(max(0, at - high + BLOCK - 1) // BLOCK, (at - low + 1) // BLOCK):
+                first = at - BLOCK * k - BLOCK + 1
+                made.append((anchor, digest, k, first, xxhash.xxh3_128_digest(data[first : first + length + BLOCK - 1])))
+        return made
+
+    # Starts at one distance from the anchor go together: if all bytes of a block repeat, each of its strings does.
+    together, _ = store(
+        map_rows(open_ones, blocks, "anchor long, digest long, k int, first int, string binary", batch=64), "blocks"
+    )
+    common = together.groupBy("anchor", "k", "string").agg(F.count(F.lit(1)).alias("m"), F.min("digest").alias("shown_by"))
+    common, _ = store(common.filter("m > 1").drop("m"), "repeated-blocks")
+    solved = together.join(common, ["anchor", "k", "string"]).groupBy("anchor", "digest").agg(
+        F.collect_list("first").alias("firsts"), F.collect_list("k").alias("solved"),
+        F.collect_list(F.when(F.col("digest") == F.col("shown_by"), F.col("k"))).alias("shown"),
+    )
+    solved, _ = store(solved, "solved-blocks")
+
+    def windows(part):
+        """Strings outside repeated blocks, and of each repeated block once, to hold the others against."""
+        made = []
+        for anchor, digest, data, before, after, done, shown in part:
+            at, low, high = reachable(data, anchor, before, after)
+            done, shown = set(done or ()), set(shown or ())
+            for i in range(low, high + 1):
+                k = (at - i) // BLOCK
+                if k not in done or k in shown:
+                    made.append((anchor, digest, i, k not in done, xxhash.xxh3_128_digest(data[i : i + length])))
         return made
 
-    strings = map_rows(open_ones, windows, "anchor long, digest long, i int, string binary", batch=64)
+    left = open_ones.join(solved.drop("firsts"), ["anchor", "digest"], "left").select(
+        "anchor", "digest", "bytes", "before", "after", "solved", "shown"
+    )
+    strings = map_rows(left, windows, "anchor long, digest long, i int, own boolean, string binary", batch=64)
     strings, _ = store(strings, "group-strings")
     counts = strings.groupBy("anchor", "string").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     counts, _ = store(counts, "repeated-strings")
-    places = strings.join(counts, ["anchor", "string"]).groupBy("anchor", "digest").agg(F.sort_array(F.collect_list("i")).alias("starts"))
-    run = F.transform("starts", lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
-    return places.select("anchor", "digest", run.alias("runs"))
+    places = strings.filter("own").join(counts, ["anchor", "string"]).groupBy("anchor", "digest").agg(
+        F.sort_array(F.collect_list("i")).alias("starts")
+    )
+    one = F.transform("starts", lambda i: F.struct(i.alias("a"), (i + 1).alias("b")))
+    many = F.transform("firsts", lambda i: F.struct(i.alias("a"), (i + BLOCK).alias("b")))
+    return places.select("anchor", "digest", one.alias("runs")).unionByName(
+        solved.select("anchor", "digest", many.alias("runs"))
+    )
 
 
 def anchor_place(data: bytes, anchor: int, gram: int) -> int:
