@@ -98,3 +98,57 @@ def test_components_of_every_shape(spark):
     real = [(a, b) for a, b in links if a is not None and b is not None and a != b]
     assert made == smallest_linked({x for pair in real for x in pair}, real)
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_alike_texts_are_confirmed_by_their_shingles(spark):
+    """Jaccard 0.8 exactly is removed, short texts included; 0.6 to 0.78 stay."""
+    texts, expected = [], []
+    for g in range(40):
+        nine = [f"g{g}w{i}" for i in range(9)]
+        many = [f"g{g}m{i}" for i in range(104)]
+        for size in (60, 70, 78):
+            # As many shingles behind the shared ones on either side: size of 100 are shared.
+            rest = (100 - size) // 2
+            shared = [f"g{g}s{size}x{i}" for i in range(size + 4)]
+            texts += [shared + [f"g{g}a{size}x{i}" for i in range(rest)], shared + [f"g{g}b{size}x{i}" for i in range(rest)]]
+            expected += [True, True]
+        texts += [nine, nine[:8], many, many[:84], many[:50]]
+        expected += [True, False, True, False, True]
+        three = [f"g{g}t{i}" for i in range(9)]
+        texts += [three, three[:7]]
+        expected += [True, True]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.kept_documents(docs).collect()}
+    assert kept == {i for i, stays in enumerate(expected) if stays}
+
+
+def test_tiles_of_sets_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(4):
+        words = [f"g{g}w{i}" for i in range(60)]
+        texts += [changed(words, 0.03, rng) for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string")
+    scheme = simhash.Alike()
+    prints = simhash.fingerprints(docs, "id", "text", scheme)
+    nodes = {r["id"]: bytes(r["node"]) for r in prints.collect()}
+    groups = spark.createDataFrame([(n, b"all") for n in set(nodes.values())], "node binary, component binary")
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    right = smallest_linked(set(nodes.values()), [(nodes[i], nodes[j]) for i, j in pairs])
+    assert 4 < len(set(right.values())) < len(right)
+    for tile, shingles in ((1024, 1 << 18), (5, 1 << 18), (1024, 300)):
+        links = simhash.confirmed(docs, prints, groups, "id", "text", scheme, tile, shingles).collect()
+        assert smallest_linked(set(nodes.values()), [(bytes(r["a"]), bytes(r["b"])) for r in links]) == right
+
+
+def test_kept_documents_against_all_pairs_of_shingle_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        words = fold(r["text"] or "").split()
+        sets[r["doc_id"]] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    ids = sorted(sets)
+    links = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    kept = {r["doc_id"] for r in simhash.kept_documents(docs).collect()}
+    assert kept == set(smallest_linked(ids, links).values())
