@@ -19,7 +19,8 @@ WINDOW = 3
 SURGE = 80
 
 # Fixed values of HTML: elements by how they are treated here.
-RAW = "script style noscript template svg iframe textarea select button title object canvas math".split()
+TO_END = frozenset("script style textarea title".split())
+RAW = [*sorted(TO_END), *"noscript template svg iframe select button object canvas".split()]
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer"
     " form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -38,14 +39,38 @@ NAMES = frozenset(
     " skip copyright disclaimer complementary contentinfo dialog form header".split()
 )
 
-DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)", re.IGNORECASE | re.DOTALL
-)
+RAW_OPEN = re.compile("<!--|<(" + "|".join(RAW) + r")(?=[\s/>])[^>]*>", re.IGNORECASE)
+RAW_CLOSE = {n: re.compile(rf"</{n}\s*>", re.IGNORECASE) for n in RAW}
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[/!?][^>]*>|<[a-zA-Z][^<>]*>|</?[a-zA-Z][^<>]*\Z")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
+def without_raw(page: str) -> str:
+    """The page without comments and without elements that hold no text of the page.
+
+    Self-closed elements are empty.  Without a closing tag, comments and the elements
+    of ``TO_END`` run to the end of the page; of others only the tag goes.
+    """
+    made, at, unclosed = [], 0, set()
+    while match := RAW_OPEN.search(page, at):
+        made += [page[at : match.start()], " "]
+        at = match.end()
+        name = (match.group(1) or "").lower()
+        if not name:
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+        elif name in unclosed or name not in TO_END and match.group().endswith("/>"):
+            continue
+        elif close := RAW_CLOSE[name].search(page, at):
+            at = close.end()
+        elif name in TO_END:
+            at = len(page)
+        else:
+            unclosed.add(name)
+    return "".join([*made, page[at:]])
+
+
 def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in FURNITURE:
         return True
@@ -67,7 +92,7 @@ def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
 
 def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
     """``text, length in links, inside an article, inside furniture`` per block in page order."""
-    page = DROPPED.sub(" ", page)
+    page = without_raw(page)
     stack: list[tuple[str, bool, bool, bool]] = []
     text: list[str] = []
     links = at = 0

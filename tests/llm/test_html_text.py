@@ -66,3 +66,18 @@ def test_odd_pages(spark):
     found = html_text.extract(pages).collect()
     assert sorted(r["text"] for r in found) == ["", "", "Hello there", "Hello there"]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One <svg class='i'/> two</p><p>Three</p></article>", "One two\n\nThree"),
+        ("<article><p>One <svg/> two <svg><title>x</title></svg></p><p>Three</p></article>", "One two\n\nThree"),
+        ("<article><button-bar>One</button-bar><title-card>two</title-card><select-box>three</select-box></article>", "Onetwothree"),
+        ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold</p></article>", "Let x=1 hold"),
+        ("<article><p>One <button>go</button> two <canvas> three</p><p>Four</p></article>", "One two three\n\nFour"),
+        ("<article><p>One</p><script>var a = '<p>no</p>'", "One"),
+    ],
+)
+def test_dropped_elements(page, text):
+    assert html_text.main_text(page) == text
