@@ -1,14 +1,15 @@
 """Main text of web pages by the distribution of text over line blocks.
 
 Markup is stripped into one line per block; lines inside menus, notices, forms and
-other furniture carry no text.  Lengths are summed over a sliding window of lines.
-Where the sum surges above a threshold a stretch of text begins, where it dives to
-zero it ends, and the lines between are kept.
+other furniture carry no text.  Lengths, without links and raised inside an article
+element, are summed over a sliding window of lines.  Where the sum surges above a
+threshold a stretch of text begins, where it dives to zero it ends; the lines between
+are kept, and so are those beside them with the same parent.
 """
 
 import html
 import re
-from collections.abc import Iterator
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from .common import map_rows, quoted
 
 WINDOW = 3
 SURGE = 80
+BOOST = 4  # how much more a character in an article or main element weighs
 
 # Fixed values of HTML: elements by how they are treated here.
 TO_END = frozenset("script style textarea title".split())
@@ -45,6 +47,17 @@ TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 
+# Words that say nothing by themselves beside a name of furniture, as in ad-box.
+PLAIN = frozenset(
+    "area bar block bottom box btn button container inner item items left link links list main outer panel"
+    " right section site slot top unit wrap wrapper".split()
+)
+# What readers add or notices: never the wrapper of a page, however much text it has.
+NEVER_WRAP = frozenset("comment comments disqus respond reply replies discussion cookie cookies consent gdpr copyright disclaimer".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAVES = HEADINGS | {"p", "pre", "blockquote"}
+TAKEN, DOUBTED, DROPPED = range(3)
+
 
 def without_raw(page: str) -> str:
     """The page without comments and without elements that hold no text of the page.
@@ -71,50 +84,82 @@ def without_raw(page: str) -> str:
     return "".join([*made, page[at:]])
 
 
-def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
+def furniture(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element is furniture: not, unless it wraps the page, or always."""
+    if tag in ("form", "fieldset"):
+        return DOUBTED
     if tag in FURNITURE:
-        return True
+        return DROPPED
     if tag == "header":
         # The header of an article holds its title; that of a page holds its menu.
-        return not in_main
+        return TAKEN if in_main else DOUBTED
     if not attributes or tag in ("body", "html") or tag in MAIN:
-        return False
+        return TAKEN
+    found = TAKEN
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next((v for v in values if v), "")
         key = name.lower()
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        parts = {p.lower() for p in NAME_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value))}
-        if parts & NAMES and not (in_main and parts & NAMES <= {"header"}):
-            return True
-    return False
+            return DROPPED
+        for token in value.split():
+            # The whole token has to name furniture: search-result or no-sidebar do not.
+            parts = {p.lower() for p in NAME_PARTS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))}
+            named = parts & NAMES
+            if not named or parts - NAMES - PLAIN or in_main and named <= {"header"}:
+                continue
+            if parts & NEVER_WRAP:
+                return DROPPED
+            found = DOUBTED
+    return found
+
 
+class Line(NamedTuple):
+    text: str
+    linked: int
+    main: bool
+    skipped: bool
+    parent: int
+    heading: bool
 
-def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
-    """``text, length in links, inside an article, inside furniture`` per block in page order."""
+
+def lines(page: str) -> list[Line]:
+    """The blocks of a page in order, with the length in links and the place of each.
+
+    Elements that may be furniture are judged at the end, by the text they hold:
+    one that holds all articles of the page, or most of its text, is a wrapper and stays.
+    """
     page = without_raw(page)
-    stack: list[tuple[str, bool, bool, bool]] = []
+    # Of each element: parent, kind of furniture, how many articles it is in, nearest container, heading.
+    elements: list[tuple[int, int, int, int, bool]] = [(-1, TAKEN, 0, 0, False)]
+    stack: list[tuple[str, int, bool]] = [("", 0, False)]
+    found: list[tuple[str, int, int]] = []
     text: list[str] = []
     links = at = 0
 
-    def state():
-        return stack[-1][1:] if stack else (False, False, False)
-
     def flush():
         nonlocal links
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         linked, links = links, 0
-        main, skipped, _ = state()
-        return [(words, linked, main, skipped)] if words else []
+        if words:
+            found.append((words, linked, stack[-1][1]))
 
     def add(piece):
         nonlocal links
         if piece:
             text.append(piece)
-            if state()[2]:
+            if stack[-1][2]:
                 links += len(piece.strip())
 
+    def opened(wanted):
+        """The open element of that name (a paragraph: in the innermost block), or None."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == wanted:
+                return k
+            if wanted == "p" and stack[k][0] in BLOCKS:
+                return None
+        return None
+
     for match in TAG.finditer(page):
         add(page[at : match.start()])
         at = match.end()
@@ -125,30 +170,62 @@ def lines(page: str) -> Iterator[tuple[str, int, bool, bool]]:
             text.append(" ")
             continue
         if tag in BLOCKS:
-            yield from flush()
+            flush()
         if closing:
-            at_tag = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            at_tag = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), None)
             if at_tag is not None:
-                if any(x[1:3] != state()[:2] for x in stack[at_tag:]) or (at_tag and stack[at_tag - 1][1:3] != state()[:2]):
-                    yield from flush()
+                if any(elements[x[1]][1] or x[0] in MAIN for x in stack[at_tag:]):
+                    flush()
                 del stack[at_tag:]
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        main, skipped, link = state()
         if tag in CLOSES_P or tag == "body":
             # A block ends an open paragraph and the inline elements in it; a body ends an open head.
-            wanted = "head" if tag == "body" else "p"
-            open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == wanted or wanted == "p" and stack[k][0] in BLOCKS), None)
-            if open_p is not None and stack[open_p][0] == wanted:
-                del stack[open_p:]
-                main, skipped, link = state()
-        furniture = skipped or is_furniture(tag, attributes, main)
-        if furniture != skipped or (tag in MAIN and not main):
-            yield from flush()
-        stack.append((tag, main or tag in MAIN, furniture, tag not in BLOCKS and (link or tag == "a")))
+            k = opened("head" if tag == "body" else "p")
+            if k is not None:
+                del stack[k:]
+        _, above, link = stack[-1]
+        _, _, main, container, heading = elements[above]
+        kind = furniture(tag, attributes, main > 0)
+        if kind or tag in MAIN:
+            flush()
+        me = len(elements)
+        inside = me if tag in BLOCKS and tag not in LEAVES else container
+        elements.append((above, kind, main + (tag in MAIN), inside, tag in HEADINGS or heading and tag not in BLOCKS))
+        stack.append((tag, me, tag not in BLOCKS and (link or tag == "a")))
     add(page[at:])
-    yield from flush()
+    flush()
+    return judged(found, elements)
+
+
+def judged(found: list[tuple[str, int, int]], elements: list[tuple[int, int, int, int, bool]]) -> list[Line]:
+    """The lines, after deciding which elements are furniture."""
+    n = len(elements)
+    dropped = [False] * n
+    for k in range(1, n):
+        dropped[k] = dropped[elements[k][0]] or elements[k][1] == DROPPED
+    total, in_main, deepest = [0] * n, [0] * n, [0] * n
+    for words, _, k in found:
+        if not dropped[k]:
+            total[k] += len(words)
+            in_main[k] += len(words) if elements[k][2] else 0
+            deepest[k] = elements[k][2]
+    for k in range(n - 1, 0, -1):
+        total[elements[k][0]] += total[k]
+        in_main[elements[k][0]] += in_main[k]
+        deepest[elements[k][0]] = max(deepest[elements[k][0]], deepest[k])
+    for k in range(1, n):
+        parent, kind, main, _, _ = elements[k]
+        if kind == DOUBTED:
+            most = 2 * total[k] > total[0]
+            if main:
+                # A form inside a short article is none, unless an article or nearly all is in it.
+                dropped[k] = not (most and (deepest[k] > main or 5 * total[k] > 4 * total[0]))
+            else:
+                dropped[k] = not (most or 0 < in_main[k] == in_main[0])
+        dropped[k] = dropped[k] or dropped[parent]
+    return [Line(w, linked, elements[k][2] > 0, dropped[k], elements[k][3], elements[k][4]) for w, linked, k in found]
 
 
 def stretches(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]]:
@@ -169,24 +246,36 @@ def stretches(lengths: list[int], window: int, surge: int) -> list[tuple[int, in
     return found
 
 
+def weight(line: Line) -> int:
+    """Characters outside of links, more for those in an article; none for furniture and lists of links."""
+    if line.skipped:
+        return 0
+    if line.main and line.heading:
+        return BOOST * len(line.text)
+    if 2 * line.linked > len(line.text):
+        return 0
+    return (BOOST if line.main else 1) * max(1, len(line.text) - line.linked)
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page, its blocks joined by two line ends; empty if there is none.
 
-    With an article (or main) element, only lines inside it carry text, and any
-    text makes a surge.  Otherwise lines made mostly of links carry none, and a
-    stretch has to surge above ``surge`` characters; if none does, the longest
-    window is taken.
+    The lines between surge and dive points are kept, on every page; lying in an
+    article (or main) element raises the weight of a line.  Lines with the same parent
+    as one that is kept join it.  If nothing surges above ``surge``, all lines that carry
+    text are taken, of the article if there is one.
     """
-    found = list(lines(page))
-    marked = any(main and not skipped for _, _, main, skipped in found)
-    lengths = []
-    for text, linked, main, skipped in found:
-        carries = not skipped and (main if marked else 2 * linked <= len(text))
-        lengths.append(len(text) if carries else 0)
-    if not any(lengths):
-        return ""
-    ranges = stretches(lengths, window, 0 if marked else surge) or stretches(lengths, window, 0)
-    return "\n\n".join(found[i][0] for a, b in ranges for i in range(a, b) if lengths[i])
+    found = lines(page)
+    weights = [weight(line) for line in found]
+    ranges = stretches(weights, window, surge)
+    if ranges:
+        kept = {i for a, b in ranges for i in range(a, b) if weights[i]}
+        parents = {found[i].parent for i in kept}
+        kept |= {i for i, line in enumerate(found) if weights[i] and line.parent in parents}
+    else:
+        marked = any(w and line.main for w, line in zip(weights, found))
+        kept = {i for i, line in enumerate(found) if weights[i] and (line.main or not marked)}
+    return "\n\n".join(found[i].text for i in sorted(kept))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -81,3 +81,29 @@ def test_odd_pages(spark):
 )
 def test_dropped_elements(page, text):
     assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=story><p>{FIRST}</p><p>{SECOND}</p></div><article><a href=x>Teaser</a></article>", f"{FIRST}\n\n{SECOND}"),
+        *[(f"<nav>Menu</nav><div class='{c}'><p>{FIRST}</p><p>{SECOND}</p></div>", f"{FIRST}\n\n{SECOND}")
+          for c in ("content has-sidebar", "no-sidebar", "with-menu", "search-result", "search")],
+        *[(f"<{t}><nav>Menu</nav><article><p>{FIRST}</p></article></{t}>", FIRST) for t in ("form", "fieldset", "div class=widget")],
+        (f"<main><form><div class=widget><article><p>{FIRST}</p></article></div></form></main>", FIRST),
+        (f"<main><article><p>{FIRST}</p></article><div class=related><article>Teaser</article></div></main>", FIRST),
+        (f"<article><p>{FIRST}</p></article><div class=comment-list><p>{SECOND}</p><p>{SECOND}</p></div>", FIRST),
+        (f"<article><p>{FIRST}</p></article><div class=related><article>{SECOND}</article></div>", FIRST),
+    ],
+)
+def test_whole_articles_are_kept(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_surge_and_dive_decide_inside_an_article():
+    links = "<div><p><a href=x>Some other story to read</a></p></div>" * 4
+    page = f"<article><section><p>{FIRST}</p><p>{SECOND}</p></section>{links}<div><p>Thanks!</p></div></article>"
+    assert html_text.main_text(page) == f"{FIRST}\n\n{SECOND}"
+    gap = "<aside>No text of the page</aside>" * 3
+    page = f"<div><p>{FIRST}</p><p>{SECOND}</p>{gap}<p>A closing line.</p></div><div><p>Imprint</p></div>"
+    assert html_text.main_text(page).startswith(f"{FIRST}\n\n{SECOND}\n\nA closing line.")
