@@ -46,16 +46,24 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     ).csv(path)
 
 
-def collect_lists(pairs: DataFrame, key: str, member: str, parts: int = 1) -> DataFrame:
+# The most members of a list; of a key with more, lists are dealt half full so that none exceeds it.
+LIST_SIZE = 10_000
+
+
+def collect_lists(pairs: DataFrame, key: str, member: str, parts: int = 1, size: int = LIST_SIZE) -> DataFrame:
     """Distinct members per key as sorted lists, ``parts`` of them for every key with as many members.
 
-    The layout depends on ``parts`` alone, never on the size of the data: with one
-    part every key is one row.  Where keys have too many members for a row, choose
-    more parts; members are dealt out by their hash.
+    A key with more than ``parts * size`` members gets as many lists of about half of
+    ``size`` as it needs, so no list grows with the data.  The layout of a key
+    follows from its own members: they are dealt out by their hash.
     """
-    part = F.pmod(F.xxhash64(member), F.lit(parts)).alias("part")
-    unique = pairs.select(key, part, member).dropna(subset=[key, member])
-    return unique.groupBy(key, "part").agg(F.sort_array(F.collect_set(member)).alias("members"))
+    unique = pairs.select(F.col(key).alias("_key"), F.col(member).alias("_member")).dropna().distinct()
+    counts = unique.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > parts * size)
+    # At most one row per ``size`` pairs.
+    long = counts.select("_key", F.ceil(2 * F.col("_n") / size).alias("_parts"))
+    part = F.pmod(F.xxhash64("_member"), F.coalesce("_parts", F.lit(parts).cast("long"))).alias("part")
+    dealt = unique.join(F.broadcast(long), "_key", "left").select(F.col("_key").alias(key), part, "_member")
+    return dealt.groupBy(key, "part").agg(F.sort_array(F.collect_list("_member")).alias("members"))
 
 
 def write_map(pairs: DataFrame, key: str, member: str, path: str, parts: int = 1) -> None:

@@ -127,3 +127,12 @@ def test_cluster_sessions_must_name_the_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Session())
+
+
+def test_no_list_grows_with_the_data(spark):
+    pairs = spark.range(30_000).selectExpr("id % 2 * (id % 100) as k", "id as m")
+    lists = sinks.collect_lists(pairs.union(pairs), "k", "m", size=500).collect()
+    assert max(len(r["members"]) for r in lists) <= 500
+    assert sum(r["k"] == 0 for r in lists) == 60 and all(sum(r["k"] == k for r in lists) == 1 for k in (1, 99))
+    assert sorted(m for r in lists for m in r["members"]) == list(range(30_000))
+    assert len(sinks.collect_lists(spark.range(20_001).selectExpr("1 as k", "id as m"), "k", "m").collect()) == 5
