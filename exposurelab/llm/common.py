@@ -12,6 +12,14 @@ from ..session import scratch_path
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+# Bytes that belong to no term become blanks, A-Z lower case.
+FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """Runs of digits, letters and bytes beyond ASCII, with A-Z in lower case."""
+    return text.translate(FOLDED).split()
+
 
 def fold_case(text: Column) -> Column:
     """A-Z in lower case; all other characters stay."""

@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crosspolytope, exact_dedup, html_text, mixing, packing, secrets, simhash, suffix_dedup, toxicity, url_filter
+from . import (
+    ball_search, crosspolytope, exact_dedup, filter_audit, html_text, license_scan, mixing, packing, secrets, simhash,
+    suffix_dedup, toxicity, url_filter,
+)
 
 VOCABULARY = "word_bpe_49k.json"
 CATEGORIES = ["low_quality", "toxic"]
@@ -324,3 +327,138 @@ select doc_id, octet_length(b) as n_bytes, coalesce(n_removed, 0) as n_removed,
     sha256(unhex(h)) as kept_sha256
 from d join kept using (doc_id) left join totals using (doc_id)
 """
+
+
+@query
+def op11_license_rules(spark: SparkSession, folder: str) -> DataFrame:
+    rows = license_scan.scan(table(spark, folder, "documents"))
+    starts = F.transform("phrases", lambda s: s["start"].cast("long"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(F.col("phrases.label")).alias("base_labels"),
+        joined(F.concat("phrases.label", "detections.label")).alias("labels"), "score",
+    )
+
+
+def _rule_values() -> str:
+    quote = lambda text: "'" + text.replace("'", "''") + "'"
+    rules = license_scan.parse_rules(license_scan.RULES)
+    rows = [(i, r.priority, license_scan.CONFIDENCE[r.priority], quote(r.label), quote(r.pattern)) for i, r in enumerate(rules)]
+    rows += [(-1, 0, license_scan.PHRASE_CONFIDENCE, quote(v), quote(license_scan.spaced(k))) for k, v in license_scan.PHRASES.items()]
+    return ", ".join(f"({', '.join(map(str, r))})" for r in rows)
+
+
+# Every rule on every text, without keywords.  Order -1: phrases.
+SQL["op11_license_rules"] = rf"""
+with rules(ord, priority, confidence, label, pattern) as (
+    values {_rule_values()}
+), texts as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+    from documents
+), spelled as (
+    select doc_id, len(words) as n_words, ' ' || array_to_string(words, '  ') || ' ' as t from texts
+), found as (
+    select doc_id, ord, priority, confidence, label, ms, string_split_regex(t, pattern) as ps
+    from (select doc_id, t, r.*, regexp_extract_all(t, pattern) as ms from spelled, rules r where regexp_matches(t, pattern))
+), numbered as (
+    select *, unnest(range(1, len(ms) + 1)) as i from found
+), placed as (
+    select doc_id, ord, priority, confidence, label, ms[i] as m,
+        (length(array_to_string(ps[1:i], '')) - length(replace(array_to_string(ps[1:i], ''), ' ', '')) + length(array_to_string(ms[1:i - 1], '')) - length(replace(array_to_string(ms[1:i - 1], ''), ' ', ''))) // 2 as a,
+        (length(ms[i]) - length(replace(ms[i], ' ', ''))) // 2 as size
+    from numbered
+), spans as (
+    select *, a + size as b from placed
+), standing as (
+    select * from spans d where ord = -1 or not exists (
+        select 1 from spans e where e.doc_id = d.doc_id and e.ord >= 0 and e.ord <> d.ord and e.a <= d.a and e.b >= d.b and (e.priority > d.priority
+            or e.priority = d.priority and (e.size > d.size or e.size = d.size and e.ord < d.ord)))
+), joined as (
+    select doc_id, count(*) filter (ord = -1) as n_base, min(a) filter (ord = -1) as first_word, max(a) filter (ord = -1) as last_word,
+        string_agg(distinct label, ',' order by label) filter (ord = -1) as base_labels, string_agg(distinct label, ',' order by label) as labels,
+        max(confidence) as score
+    from standing group by doc_id
+)
+select doc_id, n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+    coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from spelled left join joined using (doc_id)
+"""
+
+
+@query
+def op12_removal_potential(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+# Every order is walked through; Shapley values are the sums of what filters remove.
+SQL["op12_removal_potential"] = r"""
+with texts as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+        list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words
+    from documents
+), failed as (
+    select t.*, (len(words) < 100)::int + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::int
+        + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int + 8 * regexp_matches(text, '[#$%&*|]')::int
+        + 16 * coalesce(doc_id > min(doc_id) over (partition by text), false)::int as mask
+    from texts t
+), counted as (
+    select part, mask, count(*) as n, count(*) filter (doc_id in (select doc_id from labels where quality = 1)) as good,
+        count(*) filter (doc_id in (select doc_id from labels where toxic = 1)) as toxic
+    from failed group by part, mask
+), letters(f) as (
+    values ('A'), ('B'), ('C'), ('D'), ('E')
+), orders as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+    where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+    select filter_order, step::int as step, substr(filter_order, step, 1) as f, 1 << (ascii(substr(filter_order, step, 1)) - 65) as own,
+        list_sum(list_transform(string_split(substr(filter_order, 1, step), ''), lambda x: 1 << (ascii(x) - 65))) as upto
+    from orders, range(1, 6) s(step)
+), walked as (
+    select part, filter_order, step, f, coalesce(sum(n) filter (mask & upto = 0), 0) as kept,
+        coalesce(sum(n) filter (mask & upto = own), 0) as removed,
+        coalesce(sum(n) filter (mask & own > 0 and mask & upto <> own), 0) as redundant,
+        coalesce(sum(n) filter (mask = own), 0) as unique_fails,
+        coalesce(sum(good) filter (mask & upto = own), 0) as good_lost, coalesce(sum(toxic) filter (mask & upto = own), 0) as toxic_lost
+    from counted, (select filter_order, step, f, own::int as own, upto::int as upto from steps) group by part, filter_order, step, f
+)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+    unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+    (sum(removed) over (partition by part, f))::bigint as shapley
+from walked
+"""
+
+
+@query
+def op13_ball_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return ball_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op13_ball_tree"] = r"""
+with counted as (
+    select doc_id, t, count(*) as tf
+    from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents)
+    group by doc_id, t
+), lengths as (
+    select doc_id, sum(tf)::bigint as n from counted group by doc_id
+), stats as (
+    select count(*) as docs, sum(n)::bigint as l from lengths
+), asked as (
+    select item_id, t, count(*) as repeats
+    from (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)
+    group by item_id, t
+), weights as (
+    select t, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)::double))::bigint as w
+    from (select t, count(*) as df from counted group by t), stats
+), scored as (
+    select item_id, doc_id, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))))::bigint as score
+    from asked join weights using (t) join counted using (t) join lengths using (doc_id), stats group by item_id, doc_id
+)
+select item_id, rank::int as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 10
+"""
