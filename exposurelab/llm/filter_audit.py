@@ -20,6 +20,8 @@ from .common import map_rows, quoted
 
 # The 2 ** k coalitions are columns and the k! orders are rows.
 MAX_FILTERS = 6
+# Parts that rows without an id are spread over.
+NAMELESS = 1_000
 
 # The filters of the production query.
 FILTERS = "ABCDE"
@@ -68,10 +70,11 @@ def failure_counts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         .groupBy(quoted(id_col).alias("id"))
         .agg(*[F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(f) for f, c in (("is_good", "quality"), ("is_toxic", "toxic"))])
     )
-    # Rows without an id have no labels; joined, they would all meet in one task.
-    known = rows.filter(F.col("id").isNotNull()).join(flags, "id", "left").fillna(False, ["is_good", "is_toxic"])
-    nameless = rows.filter(F.col("id").isNull()).withColumns({"is_good": F.lit(False), "is_toxic": F.lit(False)})
-    texts = known.unionByName(nameless).groupBy("digest", "part", "mask", "is_good", "is_toxic").agg(
+    # Rows without an id find no labels; spread by their text they do not meet in one task.
+    spread = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(NAMELESS))).otherwise(0).cast("int")
+    known = rows.withColumn("salt", spread).join(flags.withColumn("salt", F.lit(0)), ["id", "salt"], "left")
+    known = known.fillna(False, ["is_good", "is_toxic"])
+    texts = known.groupBy("digest", "part", "mask", "is_good", "is_toxic").agg(
         F.sum("n").alias("n"),
         F.sum(F.when(F.col("id").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
         F.min("id").alias("first"),
