@@ -22,45 +22,40 @@ from .common import arrow_schema, quoted
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 WINDOW = 1024
-CACHED = 150_000
+CACHED = 300_000
 PIECES = (
     "start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary"
 )
 
 
-class Recent:
+class Recent(dict):
     """A table of what was made lately: two generations of at most ``size`` entries."""
 
     def __init__(self, make, size: int = CACHED):
+        super().__init__()
         self.make, self.size = make, size
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def all(self, keys: list[str]) -> list[bytes]:
-        found = list(map(self.young.get, keys))
-        if None in found:
-            for i, value in enumerate(found):
-                if value is None:
-                    found[i] = self.one(keys[i])
-        return found
-
-    def one(self, key: str) -> bytes:
-        value = self.young.get(key)
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
         if value is None:
-            value = self.old.get(key)
-            if value is None:
-                value = self.make(key)
-            if len(self.young) >= self.size:
-                self.old, self.young = self.young, {}
-            self.young[key] = value
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
+    def all(self, keys: list[str]) -> bytes:
+        return b"".join(map(self.__getitem__, keys))
+
 
 class WordTokenizer:
     """Token ids as little-endian 32-bit bytes, for byte-level vocabularies that drop white space.
 
     Such a tokenizer treats the words between blanks one by one, so recent words are
-    looked up.  A new word of Latin letters and signs is split by the tokenizer's own
+    looked up, in lower case and without the stop or comma behind them where that changes
+    nothing.  A new word of Latin letters and signs is split by the tokenizer's own
     pattern, whose parts are looked up again or go to its merges; other words go
     through the whole tokenizer.  Memory is bounded whatever the texts hold.
     """
@@ -75,22 +70,33 @@ class WordTokenizer:
         self.parts = Recent(self.part)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(self.words.all(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+        if SIMPLE_TEXT.fullmatch(text) and "<|" not in text:
+            # Most words are followed by a full stop or a comma; apart from it, far fewer are new.
+            text = text.lower()
+            if BESIDE.search(text):
+                text = ALONE.sub(r" \g<0> ", text)
+            else:
+                text = text.replace(".", " . ").replace(",", " , ")
+            return self.words.all(text.split())
+        return self.words.all(text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
 
     def word(self, word: str) -> bytes:
+        if LETTERS.fullmatch(word):
+            return self.part(word)
         plain = PLAIN.fullmatch(word)
         if plain:
             letters, signs = plain.groups()
-            made = self.parts.one(letters.lower())
-            return made + self.parts.one(signs) if signs else made
+            made = self.parts[letters.lower()]
+            return made + self.parts[signs] if signs else made
         if SIMPLE.fullmatch(word) and "<|" not in word:
-            return b"".join(self.parts.all(PATTERN.findall(word.lower())))
+            return self.parts.all(PATTERN.findall(word.lower()))
         return as_bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def part(self, part: str) -> bytes:
         if not part.isascii():
             part = part.encode().decode("latin-1").translate(BYTE_SIGNS)
-        return b"".join([self.spelled[t.id] for t in self.model.tokenize(part)])
+        spelled = self.spelled
+        return b"".join([spelled[t.id] for t in self.model.tokenize(part)])
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -99,6 +105,12 @@ def as_bytes(ids: list[int]) -> bytes:
 
 # Words whose case, normal form and classes of characters are the same in every library.
 SIMPLE = re.compile("[\x21-\x7e\xc0-\xff]*")
+SIMPLE_TEXT = re.compile("[\t\n\r\x20-\x7e\xc0-\xff]*")
+LETTERS = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+# Signs in a row are one part of a word, so that only lone stops and commas may be set apart.
+_SIGN = "!-/:-@\\[-`{-~\xd7\xf7"
+BESIDE = re.compile(f"[{_SIGN}][{_SIGN}]")
+ALONE = re.compile(f"(?<![{_SIGN}])[.,](?![{_SIGN}])")
 # Most of them: letters, then signs other than an apostrophe.
 PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 # Fixed value: how the vocabulary's tokenizer splits normalized text.
