@@ -4,7 +4,7 @@ Markup is stripped into one line per block; lines inside menus, notices, forms a
 other furniture carry no text.  Lengths, without links and raised inside an article
 element, are summed over a sliding window of lines.  Where the sum surges above a
 threshold a stretch of text begins, where it dives to zero it ends; the lines between
-are kept, and so are those beside them with the same parent.
+are kept, and so are those next to them with the same parent.
 """
 
 import html
@@ -126,7 +126,8 @@ def lines(page: str) -> list[Line]:
     """The blocks of a page in order, with the length in links and the place of each.
 
     Elements that may be furniture are judged at the end, by the text they hold:
-    one that holds all articles of the page, or most of its text, is a wrapper and stays.
+    one that holds all articles of the page is a wrapper and stays, on a page without
+    articles one beside which no text could surge.
     """
     page = without_raw(page)
     # Of each element: parent, kind of furniture, how many articles it is in, nearest container, heading.
@@ -218,12 +219,16 @@ def judged(found: list[tuple[str, int, int]], elements: list[tuple[int, int, int
     for k in range(1, n):
         parent, kind, main, _, _ = elements[k]
         if kind == DOUBTED:
-            most = 2 * total[k] > total[0]
             if main:
+                most = 2 * total[k] > total[0]
                 # A form inside a short article is none, unless an article or nearly all is in it.
                 dropped[k] = not (most and (deepest[k] > main or 5 * total[k] > 4 * total[0]))
+            elif in_main[0]:
+                # A wrapper holds every article; an advert may well be longer than the article beside it.
+                dropped[k] = in_main[k] < in_main[0]
             else:
-                dropped[k] = not (most or 0 < in_main[k] == in_main[0])
+                # Without an article it is the page, if nothing else could be.
+                dropped[k] = total[0] - total[k] > SURGE
         dropped[k] = dropped[k] or dropped[parent]
     return [Line(w, linked, elements[k][2] > 0, dropped[k], elements[k][3], elements[k][4]) for w, linked, k in found]
 
@@ -257,12 +262,25 @@ def weight(line: Line) -> int:
     return (BOOST if line.main else 1) * max(1, len(line.text) - line.linked)
 
 
+def joining(order: list[int], kept: set[int], found: list[Line]) -> set[int]:
+    """Lines that follow a kept one, with nothing but lines of the same parent between."""
+    made, last = set(), None
+    for i in order:
+        if i in kept:
+            last = found[i].parent
+        elif found[i].parent == last:
+            made.add(i)
+        else:
+            last = None
+    return made
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page, its blocks joined by two line ends; empty if there is none.
 
     The lines between surge and dive points are kept, on every page; lying in an
-    article (or main) element raises the weight of a line.  Lines with the same parent
-    as one that is kept join it.  If nothing surges above ``surge``, all lines that carry
+    article (or main) element raises the weight of a line.  Lines beside a kept
+    stretch join it as long as they have the same parent.  If nothing surges above ``surge``, all lines that carry
     text are taken, of the article if there is one.
     """
     found = lines(page)
@@ -270,8 +288,9 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     ranges = stretches(weights, window, surge)
     if ranges:
         kept = {i for a, b in ranges for i in range(a, b) if weights[i]}
-        parents = {found[i].parent for i in kept}
-        kept |= {i for i, line in enumerate(found) if weights[i] and line.parent in parents}
+        solid = [i for i, w in enumerate(weights) if w]
+        for order in (solid, solid[::-1]):
+            kept |= joining(order, kept, found)
     else:
         marked = any(w and line.main for w, line in zip(weights, found))
         kept = {i for i, line in enumerate(found) if weights[i] and (line.main or not marked)}

@@ -207,7 +207,7 @@ with articles as (
         generate_subscripts(string_split_regex(a, '</?(?:p|h1)>'), 1) as place
     from articles
 ), blocks as (
-    select page_id, place, trim(regexp_replace(replace(replace(regexp_replace(replace(piece, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) as block
+    select page_id, place, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(piece, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as block
     from pieces
 ), texts as (
     select page_id, string_agg(block, chr(10) || chr(10) order by place) as text from blocks where block <> '' group by page_id

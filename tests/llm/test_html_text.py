@@ -107,3 +107,32 @@ def test_surge_and_dive_decide_inside_an_article():
     gap = "<aside>No text of the page</aside>" * 3
     page = f"<div><p>{FIRST}</p><p>{SECOND}</p>{gap}<p>A closing line.</p></div><div><p>Imprint</p></div>"
     assert html_text.main_text(page).startswith(f"{FIRST}\n\n{SECOND}\n\nA closing line.")
+
+
+LONG_AD = "<p>Buy this now, it is cheap and good and you will like it.</p>" * 6
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *[(f"<div class='{c}'>{LONG_AD}</div><article><p>Short news.</p></article>", "Short news.")
+          for c in ("ad", "banner", "sidebar", "widget", "newsletter", "related", "promo-box", "cookie")],
+        (f"<article><h1>Title</h1><p>Short.</p></article><div class=ad>{LONG_AD}</div>", "Title\n\nShort."),
+        (f"<div class=banner>{LONG_AD}</div><main><p>Short news.</p></main><form>{LONG_AD}</form>", "Short news."),
+        (f"<form><div class=ad>{LONG_AD}</div><article><p>Short news.</p></article></form>", "Short news."),
+        (f"<div class=ad>{LONG_AD}</div><p>{FIRST}</p><p>{SECOND}</p>", f"{FIRST}\n\n{SECOND}"),
+        (f"<div class=widget><p>{FIRST}</p><p>{SECOND}</p></div><footer>Imprint</footer>", f"{FIRST}\n\n{SECOND}"),
+    ],
+)
+def test_short_articles_beside_long_adverts(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_windows_decide_without_article_elements():
+    """Scattered short lines before and after the text neither surge nor join it."""
+    teasers = "".join(f"<div><span>Teaser {i}</span></div><nav>x</nav><nav>x</nav><nav>x</nav>" for i in range(5))
+    page = f"<body>{teasers}<div><h2>Head</h2><p>{FIRST}</p><p>{SECOND}</p></div><nav>a</nav><nav>b</nav><nav>c</nav>{teasers}</body>"
+    assert html_text.main_text(page) == f"Head\n\n{FIRST}\n\n{SECOND}"
+    # A short line of the same container joins over a gap, one in a container of its own does not.
+    page = f"<div><p>{FIRST}</p><nav>a</nav><nav>b</nav><nav>c</nav><p>The end.</p></div><nav>a</nav><nav>b</nav><nav>c</nav><div>Tags</div>"
+    assert html_text.main_text(page) == f"{FIRST}\n\nThe end."
