@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import join_unique
 
 
 def _argmax(scores: Sequence[Column], classes: Sequence) -> Column:
@@ -65,7 +64,7 @@ def naive_bayes(
     sizes = [F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)]
     priors = docs.filter(~F.col(is_test)).agg(F.struct(*sizes).alias("p")).scalar()
     test = counts.filter(F.col(is_test)).select(key, "term", "n")
-    sums = join_unique(test, table, ["term"]).groupBy(key).agg(
+    sums = test.join(table, "term").groupBy(key).agg(
         F.sum("n").alias("_n"),
         *[F.sum(F.col("n") * F.log(F.col(f"c{i}") + F.lit(alpha))).alias(f"_s{i}") for i in range(k)],
     )
@@ -161,7 +160,7 @@ def naive_bayes_grid(
         .select("low", "high", F.col("_x.f").alias(fold), "_x.words", "_x.vocab")
     )
 
-    joined = join_unique(counts.select(key, fold, "term", "n"), table, ["term"])
+    joined = counts.select(key, fold, "term", "n").join(table, "term")
     with_counts = joined.withColumns({f"k{i}": outside(i, F.col(fold)) for i in range(k)})
     known = with_counts.filter(sum((F.col(f"k{i}") for i in range(k)), F.lit(0)) > 0)
     pairs = [(a, i) for a in range(n_alpha) for i in range(k)]

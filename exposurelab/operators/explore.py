@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_column
 from ..functions.times import round_time
-from .skew import ROWS_PER_TASK, join_unique
 from .stats import describe, summarise
 
 
@@ -154,8 +153,7 @@ def describe_dense(hourly: DataFrame, user: str, n_periods: Column) -> DataFrame
         .select(user, F.lit(0.0).alias("n_posts"), (n_periods - F.col("_seen")).cast("long").alias("n"))
         .filter(F.col("n") > 0)
     )
-    # A user has at most one row per period, so no user is large.
-    return summarise(seen.unionByName(zeros), [user], "n_posts", rows_per_task=None)
+    return summarise(seen.unionByName(zeros), [user], "n_posts")
 
 
 # ---- calendars ---------------------------------------------------------------
@@ -353,10 +351,10 @@ def distinct_members(lists: DataFrame, members: str, name: str = "member") -> Da
     return lists.select(F.explode(members).alias(name)).distinct()
 
 
-def once_or_repeating(pairs: DataFrame, key: str, member: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def once_or_repeating(pairs: DataFrame, key: str, member: str) -> DataFrame:
     """Distinct (key, member) with ``repeating``: the member occurs more than once overall."""
     counts = pairs.groupBy(member).agg((F.count(F.lit(1)) > 1).alias("repeating"))
-    return join_unique(pairs.select(key, member).distinct(), counts, [member], "inner", rows_per_task)
+    return pairs.select(key, member).distinct().join(counts, member)
 
 
 def once_repeating_sizes(flags: DataFrame, key: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_column
 from ..functions.times import epoch_us, seconds_to_us
-from .skew import ROWS_PER_TASK, SLICE, join_unique, running_weight, with_slices
+from .scan import SEGMENT_SECONDS, nearest, running_weight, step_segment
 
 
 def join_source(
@@ -38,59 +38,25 @@ def asof_neighbours(
     is_mark: Column,
     mark_id: str,
     allow_same_time: bool = True,
-    rows_per_task: int = ROWS_PER_TASK,
+    segment_seconds: float = SEGMENT_SECONDS,
 ) -> DataFrame:
     """Per row the last mark of the same user at or before it and the first after.
 
     Adds ``before_id, before_us, after_id, after_us``.  Ties in time go to the
     smallest id.  ``allow_same_time=False`` looks strictly before, so that a mark
-    does not find itself.
+    does not find itself.  Marks without a time are none.
 
-    One shuffle on the user and two running minimums; the pairs are never built.
-    Hot users are cut into time slices, and the nearest mark of the neighbouring
-    slices is carried over.
+    A segmented scan: the pairs are never built, a task holds one user's rows of
+    ``segment_seconds``, and the nearest marks of other segments are carried over.
     """
     rows = df.filter(F.col(user).isNotNull()).withColumn("_us", epoch_us(time))
-    sliced, cut = with_slices(rows, [user], "_us", rows_per_task)
-    past = F.when(is_mark, F.struct((-F.col("_us")).alias("t"), F.col(mark_id).alias("id")))
-    coming = F.when(is_mark, F.struct(F.col("_us").alias("t"), F.col(mark_id).alias("id")))
-    inside = Window.partitionBy(user, SLICE)
-    # Both frames start at the unbounded end, which Spark evaluates in one pass.
-    upward = inside.orderBy("_us").rangeBetween(
-        Window.unboundedPreceding, 0 if allow_same_time else -1
-    )
-    downward = inside.orderBy(F.desc("_us")).rangeBetween(Window.unboundedPreceding, -1)
-    matched = (
-        sliced.withColumn("_past", past)
-        .withColumn("_coming", coming)
-        .withColumn("_before", F.min("_past").over(upward))
-        .withColumn("_after", F.min("_coming").over(downward))
-    )
-    if cut:
-        per_slice = (
-            sliced.filter(is_mark)
-            .groupBy(user, SLICE)
-            .agg(F.min(past).alias("_p"), F.min(coming).alias("_c"))
-        )
-        # Slices without marks have to receive a carry as well.
-        every = sliced.select(user, SLICE).distinct().join(per_slice, [user, SLICE], "left")
-        up = Window.partitionBy(user).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-        down = Window.partitionBy(user).orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
-        carry = every.select(
-            user, SLICE, F.min("_p").over(up).alias("_carry_p"), F.min("_c").over(down).alias("_carry_c")
-        )
-        matched = (
-            matched.join(carry, [user, SLICE])
-            .withColumn("_before", F.coalesce("_before", "_carry_p"))
-            .withColumn("_after", F.coalesce("_after", "_carry_c"))
-            .drop("_carry_p", "_carry_c")
-        )
+    matched = nearest(rows, [user], "_us", is_mark, mark_id, allow_same_time, seconds_to_us(segment_seconds))
     return (
         matched.withColumn("before_id", F.col("_before.id"))
         .withColumn("before_us", -F.col("_before.t"))
         .withColumn("after_id", F.col("_after.id"))
         .withColumn("after_us", F.col("_after.t"))
-        .drop("_us", "_past", "_coming", "_before", "_after", SLICE)
+        .drop("_us", "_before", "_after")
     )
 
 
@@ -162,7 +128,7 @@ def counts_around(
     user: str,
     time: str,
     seconds: float,
-    rows_per_task: int = ROWS_PER_TASK,
+    segment_seconds: float = SEGMENT_SECONDS,
 ) -> DataFrame:
     """Per (user, moment) the number of posts, and of marks less than ``seconds`` away.
 
@@ -185,35 +151,28 @@ def counts_around(
         .agg(F.sum("change").alias("change"), F.sum("n_posts").alias("n_posts"))
     )
     return (
-        running_weight(moments, [user], "us", "change", rows_per_task)
+        running_weight(moments, [user], "us", "change", step_segment(F.col("us"), seconds_to_us(segment_seconds)))
         .filter("n_posts > 0")
         .select(user, "us", "n_posts", F.col("running").alias("n_marks"))
     )
 
 
-def keep_users(
-    df: DataFrame,
-    user: str,
-    label: str,
-    post: str,
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
+def keep_users(df: DataFrame, user: str, label: str, post: str) -> DataFrame:
     """Rows of users who met more than one label and more than one post."""
-    per_user = (
+    several = (F.col("_lo") < F.col("_hi")) & (F.col("_first") < F.col("_last"))
+    users = (
         df.filter(F.col(user).isNotNull())
-        .groupBy(user, post)
-        .agg(F.min(label).alias("_lo"), F.max(label).alias("_hi"))
         .groupBy(user)
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.count(post).alias("_n"))
-        .filter((F.col("_lo") < F.col("_hi")) & (F.col("_n") > 1))
+        .agg(
+            F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.min(post).alias("_first"), F.max(post).alias("_last")
+        )
+        .filter(several)
         .select(user)
     )
-    return join_unique(df, per_user, [user], "left_semi", rows_per_task)
+    return df.join(users, user, "left_semi")
 
 
-def keep_both_sides(
-    df: DataFrame, keys: Sequence[str], side: str, rows_per_task: int = ROWS_PER_TASK
-) -> DataFrame:
+def keep_both_sides(df: DataFrame, keys: Sequence[str], side: str) -> DataFrame:
     """Rows whose key group has more than one value of ``side``."""
     both = (
         df.dropna(subset=list(keys))
@@ -222,7 +181,7 @@ def keep_both_sides(
         .filter(F.col("_lo") < F.col("_hi"))
         .select(*keys)
     )
-    return join_unique(df, both, keys, "left_semi", rows_per_task)
+    return df.join(both, list(keys), "left_semi")
 
 
 def align_left(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
@@ -235,11 +194,17 @@ def align_outer(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def strict_lookup(keys: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """Inner lookup that raises when a key is missing from the table."""
-    missing = keys.join(table, on, "left_anti").limit(1).count()
-    if missing:
-        raise KeyError(f"some {on} has no match")
-    return keys.join(table, on, "inner")
+    """Inner lookup that raises when it runs and a key is missing from the table.
+
+    The check is part of the joined rows: each side is read once, and nothing runs while
+    the plan is built.  Null keys are missing, too.
+    """
+    found = table.withColumn("_found", F.lit(True))
+    joined = keys.join(found, on, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no match for {on} "), F.coalesce(F.col(on).cast("string"), F.lit("null"))))
+    # A filter on a nondeterministic error is neither folded nor dropped with unused columns.
+    checked = joined.filter(F.when(F.col("_found").isNull(), missing.cast("boolean")).otherwise(F.lit(True)))
+    return checked.drop("_found")
 
 
 def missing_keys(df: DataFrame, key: str, table: DataFrame, table_key: str) -> DataFrame:

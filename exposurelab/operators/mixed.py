@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.links import normal_quantile
 from ..session import scratch_path
 from ..sources.sinks import materialize, remove_table
-from .skew import running_weight
+from .scan import running_weight
 from .stats import value_weights
 
 FIXED_PRIOR_VARIANCE = 100.0

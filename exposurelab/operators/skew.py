@@ -1,65 +1,12 @@
-"""Keeping one hot key from becoming one huge task.
+"""Lookups in tables that are small beside the rows, however frequent some keys are."""
 
-Joins and windows put all rows of a key into one task.  These helpers look for
-keys with more rows than a task should hold, and give those keys a path of
-their own.  Every path returns the same rows; only the split differs.
-"""
-
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 4_000_000
-# Only the largest keys are treated apart.  A key outside the top HOT_KEYS holds
-# less than 1/HOT_KEYS of the rows, so what is left is balanced, and the list of
-# hot keys is small enough to broadcast whatever the size of the data.
-HOT_KEYS = 1_000
-MAX_SLICES = 1_000
 # Lookup tables: the longest one that is broadcast, and the copies of longer ones.
 BROADCAST_ROWS = 500_000
 SALTS = 32
 
-SLICE = "_slice"
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame | None:
-    """The keys with more than ``rows_per_task`` rows (HOT_KEYS at most), or None.
-
-    One pre-aggregated count; the result is a local frame ``keys + n_rows``.
-    """
-    counts = (
-        df.select(*keys).dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-        .filter(F.col("n_rows") > rows_per_task)
-        .orderBy(F.desc("n_rows"))
-        .limit(HOT_KEYS)
-    )
-    rows = counts.collect()
-    return df.sparkSession.createDataFrame(rows, counts.schema) if rows else None
-
-
-def join_unique(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    rows_per_task: int = ROWS_PER_TASK,
-) -> DataFrame:
-    """Join rows to a table with one row per key, however skewed the left side is.
-
-    Rows of hot keys meet their (at most HOT_KEYS) partners by broadcast and stay
-    where they are; all others take the ordinary join.
-    """
-    on = list(on)
-    hot = hot_keys(left, on, rows_per_task)
-    if hot is None:
-        return left.join(right, on, how)
-    marked = F.broadcast(hot.select(*on))
-    partners = F.broadcast(right.join(marked, on, "left_semi"))
-    usual = left.join(marked, on, "left_anti").join(right, on, how)
-    apart = left.join(marked, on, "left_semi").join(partners, on, how)
-    return usual.unionByName(apart)
-
 
 def lookup_join(
     left: DataFrame,
@@ -91,90 +38,3 @@ def salted_join(left: DataFrame, table: DataFrame, on: str, spread_by: str, how:
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return salted.join(copies, [on, "_salt"], how).drop("_salt")
-
-
-def with_slices(
-    df: DataFrame, keys: Sequence[str], order: str, rows_per_task: int | None = ROWS_PER_TASK
-) -> tuple[DataFrame, bool]:
-    """Add a slice number that cuts the rows of hot keys along ``order``.
-
-    Slices follow the order and equal values share a slice.  The cut points come
-    from mergeable quantile sketches (HOT_KEYS x MAX_SLICES numbers at most), so
-    slices are even whatever the distribution; any cut gives the same results.
-    Without keys the whole table is one group.  ``rows_per_task=None`` skips the
-    search, for callers who know that no key can be large.
-    """
-    keys = list(keys)
-    if rows_per_task is None:
-        return df.withColumn(SLICE, F.lit(0)), False
-    if keys:
-        hot = hot_keys(df, keys, rows_per_task)
-        if hot is None:
-            return df.withColumn(SLICE, F.lit(0)), False
-        biggest = hot.agg(F.max("n_rows")).first()[0]
-    else:
-        hot, biggest = None, df.count()
-        if biggest <= rows_per_task:
-            return df.withColumn(SLICE, F.lit(0)), False
-    pieces = min(MAX_SLICES, -(-biggest // rows_per_task))
-    shares = [i / pieces for i in range(1, pieces)] or [0.5]
-    source = df.join(F.broadcast(hot.select(*keys)), keys, "left_semi") if keys else df
-    cuts = source.groupBy(*keys).agg(F.percentile_approx(order, shares, 10_000).alias("_cuts"))
-    local = df.sparkSession.createDataFrame(cuts.collect(), cuts.schema)
-    # The number of cut points below the value: its place among them.
-    place = F.array_position(F.sort_array(F.array_append("_cuts", F.col(order))), F.col(order))
-    number = F.coalesce(place - 1, F.lit(0)).cast("int")
-    if keys:
-        joined = df.join(F.broadcast(local), keys, "left")
-    else:
-        points = local.first()["_cuts"]
-        joined = df.withColumn("_cuts", F.array(*[F.lit(p) for p in points]))
-    return joined.withColumn(SLICE, number).drop("_cuts"), True
-
-
-def running_weight(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str,
-    rows_per_task: int | None = ROWS_PER_TASK,
-) -> DataFrame:
-    """Cumulative weight along ``value`` inside each key, with the key's totals.
-
-    Adds ``running`` (weight of this and all smaller values), ``total`` and
-    ``total_sum`` (weight times value).  ``value`` must be unique per key.
-    Hot keys, or a hot table when there are no keys, are cut into slices: each
-    slice is summed by itself and the slices before it are added as an offset.
-    """
-    keys = list(keys)
-    sliced, cut = with_slices(df.withColumn("_product", F.col(weight) * F.col(value)), keys, value, rows_per_task)
-    inside = Window.partitionBy(*keys, SLICE)
-    along = inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (
-        sliced.withColumn("running", F.sum(weight).over(along))
-        .withColumn("total", F.sum(weight).over(inside))
-        .withColumn("total_sum", F.sum("_product").over(inside))
-        .drop("_product")
-    )
-    if not cut:
-        return rows.drop(SLICE)
-    # One row per slice: at most MAX_SLICES of them for a key.
-    per_slice = sliced.groupBy(*keys, SLICE).agg(
-        F.sum(weight).alias("_w"), F.sum("_product").alias("_ws")
-    )
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *keys,
-        SLICE,
-        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_w").over(whole).alias("_total"),
-        F.sum("_ws").over(whole).alias("_total_sum"),
-    )
-    return (
-        rows.join(offsets, [*keys, SLICE])
-        .withColumn("running", F.col("running") + F.col("_offset"))
-        .withColumn("total", F.col("_total"))
-        .withColumn("total_sum", F.col("_total_sum"))
-        .drop(SLICE, "_offset", "_total", "_total_sum")
-    )

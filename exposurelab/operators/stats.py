@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import ROWS_PER_TASK, running_weight
+from .scan import running_weight
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
@@ -33,10 +33,12 @@ def _quantile(value: str, share: float) -> Column:
     return low + (high - low) * part
 
 
-def summarise(weights: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float] | None = None, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+def summarise(
+    weights: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float] | None = None, segment: Column | None = None
+) -> DataFrame:
     """count, mean, std, min, quantiles and max from a ``value, n`` table."""
     quantiles = QUARTILES if quantiles is None else quantiles
-    ranked = running_weight(weights, keys, value, "n", rows_per_task)
+    ranked = running_weight(weights, keys, value, "n", segment)
     mean = F.col("total_sum") / F.col("total")
     squares = F.sum(F.col("n") * (F.col(value) - mean) * (F.col(value) - mean))
     count = F.sum("n")
@@ -50,20 +52,22 @@ def summarise(weights: DataFrame, keys: Sequence[str], value: str, quantiles: di
     )
 
 
-def describe(df: DataFrame, value: str, by: Sequence[str] = (), quantiles: dict[str, float] | None = None, rows_per_task: int | None = ROWS_PER_TASK) -> DataFrame:
+def describe(
+    df: DataFrame, value: str, by: Sequence[str] = (), quantiles: dict[str, float] | None = None, segment: Column | None = None
+) -> DataFrame:
     """Summary of a numeric column, overall or per key, with exact quantiles.
 
-    Values are collapsed to (value, count) first; ranks come from running sums
-    over slices of the value range, so that no task sees a whole hot group.
+    Values are collapsed to (value, count) first; ranks come from segmented
+    running sums, so that no task sees a whole hot group.  ``segment`` is a monotone function of the value.
     """
     real = df.withColumn(value, F.col(value).cast("double"))
-    return summarise(value_weights(real, list(by), value), list(by), value, quantiles, rows_per_task)
+    return summarise(value_weights(real, list(by), value), list(by), value, quantiles, segment)
 
 
-def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def ecdf(df: DataFrame, value: str, by: Sequence[str] = (), segment: Column | None = None) -> DataFrame:
     """Distinct values with their average rank divided by the number of rows."""
     keys = list(by)
-    ranked = running_weight(value_weights(df, keys, value), keys, value, "n", rows_per_task)
+    ranked = running_weight(value_weights(df, keys, value), keys, value, "n", segment)
     rank = F.col("running") - F.col("n") + (F.col("n") + 1) / 2
     return ranked.select(*keys, value, "n", (rank / F.col("total")).alias("ratio"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tk
 from ..functions.columns import as_column
 from ..functions.links import expit
+from .scan import numbered, text_segment
 from .skew import BROADCAST_ROWS, fits_broadcast, lookup_join, salted_join
 from .stats import describe
 
@@ -222,8 +223,8 @@ def subword_sequences(
 
 def category_codes(df: DataFrame, label: str, name: str = "code") -> DataFrame:
     """Distinct labels with codes in alphabetical order, from 0."""
-    labels = df.select(label).dropna().distinct()
-    return labels.select(label, (F.row_number().over(Window.orderBy(label)) - 1).alias(name))
+    labels = numbered(df.select(label).dropna().distinct(), [], label, text_segment(F.col(label)), name)
+    return labels.select(label, (F.col(name) - 1).cast("int").alias(name))
 
 
 def one_hot(df: DataFrame, label: str) -> DataFrame:

@@ -56,6 +56,19 @@ def neighbour_pairs(t):
     return match.neighbour_pairs(asof(t, allow_same_time=False), ["event_id"])
 
 
+@query("""
+with e as (select event_id, epoch_us(ts) as us, event_type = 'purchase' as is_mark from events where ts is not null),
+m as (select us, min(event_id) as id from e where is_mark group by us),
+n as (select e.*, max(case when is_mark then us end) over (order by us range between unbounded preceding and current row) as before_us,
+             min(case when is_mark then us end) over (order by us range between 1 following and unbounded following) as after_us from e)
+select n.event_id, b.id as before_id, n.before_us, a.id as after_id, n.after_us
+from n left join m b on b.us = n.before_us left join m a on a.us = n.after_us""")
+def asof_one_key(t):
+    """All events on one time line: no task may hold the only key."""
+    everyone = t.events.filter(F.col("ts").isNotNull()).withColumn("everyone", F.lit(1))
+    return match.asof_neighbours(everyone, "everyone", "ts", is_mark(), "event_id").select(COLUMNS)
+
+
 # ---- responses and the posts they answer ---------------------------------------
 
 def responses(t):

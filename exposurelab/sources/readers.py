@@ -5,9 +5,10 @@ import os
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.scan import numbered, text_segment, value_segment
 from .schema import MAP_OF_LISTS, POST
 
 # What Spark adds to the names of the files it writes; it differs on every run.
@@ -117,17 +118,17 @@ def fetch_backlog(lists: DataFrame, members: str, landed: DataFrame, landed_id:
 def lookup_batches(ids: DataFrame, key: str, size: int = 100, buckets: int = 64) -> DataFrame:
     """Distinct ids in batches of at most ``size``.
 
-    Ids are spread over buckets by digest and numbered inside their bucket, so an
-    id's bucket never depends on how many ids there are.  Choose ``buckets`` so that
-    one task can sort what falls into one.  Only the last batch of a
-    bucket is not full.
+    Ids are spread over buckets by digest and numbered inside their bucket by a
+    segmented scan, so an id's bucket never depends on how many ids there are and no
+    task sorts a whole bucket.  Only the last batch of a bucket is not full.
     """
     unique = ids.select(key).dropna().distinct()
     digest = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(key))
+    segment = text_segment(F.col(key)) if dict(unique.dtypes)[key] == "string" else value_segment(F.col(key))
+    spread = unique.withColumn("bucket", F.pmod(digest, F.lit(buckets)))
     return (
-        unique.withColumn("bucket", F.pmod(digest, F.lit(buckets)))
-        .withColumn("batch", F.floor((place - 1) / size).cast("long"))
+        numbered(spread, ["bucket"], key, segment, "_place")
+        .withColumn("batch", F.floor((F.col("_place") - 1) / size).cast("long"))
         .groupBy("bucket", "batch")
         .agg(F.sort_array(F.collect_list(key)).alias("ids"))
     )

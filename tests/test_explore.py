@@ -20,23 +20,30 @@ def values(spark):
     return pdf, spark.createDataFrame(pdf.astype({"v": object}).where(pdf.notna(), None).values.tolist(), "k string, v double").repartition(6).cache()
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 25])
-def test_describe_is_exact_on_both_paths(values, rows_per_task):
+SEGMENTS = [None, 10, 1000]
+
+
+def cut(width):
+    return None if width is None else F.floor(F.col("v") / width)
+
+
+@pytest.mark.parametrize("segment", SEGMENTS)
+def test_describe_is_exact_however_values_are_cut(values, segment):
     pdf, df = values
     names = {"q25": "25%", "q50": "50%", "q75": "75%"}
-    got = stats.describe(df, "v", ["k"], rows_per_task=rows_per_task).toPandas().set_index("k").sort_index()
+    got = stats.describe(df, "v", ["k"], segment=cut(segment)).toPandas().set_index("k").sort_index()
     expected = pdf.groupby("k")["v"].describe().sort_index()
     for c in ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]:
         assert np.allclose(got[c].astype(float), expected[names.get(c, c)], equal_nan=True), c
-    whole = stats.describe(df, "v", rows_per_task=rows_per_task).toPandas().iloc[0]
+    whole = stats.describe(df, "v", segment=cut(segment)).toPandas().iloc[0]
     for c, e in pdf["v"].describe().items():
         assert whole[{v: k for k, v in names.items()}.get(c, c)] == pytest.approx(e)
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 25])
-def test_ecdf_averages_ties(values, rows_per_task):
+@pytest.mark.parametrize("segment", SEGMENTS)
+def test_ecdf_averages_ties(values, segment):
     pdf, df = values
-    got = stats.ecdf(df, "v", rows_per_task=rows_per_task).toPandas().set_index("v")["ratio"].sort_index()
+    got = stats.ecdf(df, "v", segment=cut(segment)).toPandas().set_index("v")["ratio"].sort_index()
     v = pdf["v"].dropna()
     expected = (v.rank() / len(v)).groupby(v).first().sort_index()
     assert np.allclose(got, expected) and np.allclose(got.index, expected.index)
@@ -129,10 +136,9 @@ def test_profile_and_shape(spark):
     assert [tuple(r) for r in explore.top_values(df, "n", 1).collect()] == [(3, 2)]
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 3])
-def test_once_or_repeating(spark, rows_per_task):
+def test_once_or_repeating(spark):
     pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (3, "a")], "k int, m string")
-    flags = explore.once_or_repeating(pairs, "k", "m", rows_per_task)
+    flags = explore.once_or_repeating(pairs, "k", "m")
     got = {r["k"]: (r["n_once"], r["n_repeating"]) for r in explore.once_repeating_sizes(flags, "k").collect()}
     assert got == {1: (1, 1), 2: (1, 1), 3: (0, 1)}
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from exposurelab.operators import match, skew
+from exposurelab.operators import match, scan, skew
 
 
 @pytest.fixture(scope="module")
@@ -31,19 +31,58 @@ def brute(rows, same_time=True):
 
 
 @pytest.mark.parametrize("same_time", [True, False])
-@pytest.mark.parametrize("rows_per_task", [10**9, 40])
-def test_asof_equals_brute_force_with_and_without_slices(timeline, same_time, rows_per_task):
+@pytest.mark.parametrize("seconds", [86_400, 7, 1])
+def test_asof_equals_brute_force_however_time_is_cut(timeline, same_time, seconds):
     rows, df = timeline
-    got = match.asof_neighbours(df, "usr", "ts", F.col("mark"), "id", same_time, rows_per_task).collect()
+    got = match.asof_neighbours(df, "usr", "ts", F.col("mark"), "id", same_time, seconds).collect()
     assert {r["id"]: (r["before_id"], r["before_us"], r["after_id"], r["after_us"]) for r in got} == brute(rows, same_time)
 
 
-def test_hot_user_is_really_cut(timeline):
+def test_rows_and_marks_without_a_time(spark):
+    rows = [(1, 1, None, True), (2, 1, 5, False), (3, 1, 3, True), (4, 1, None, False)]
+    df = spark.createDataFrame(rows, "id int, usr int, second int, mark boolean").withColumn("ts", F.timestamp_seconds("second"))
+    got = {r["id"]: (r["before_id"], r["after_id"]) for r in match.asof_neighbours(df, "usr", "ts", F.col("mark"), "id").collect()}
+    assert got == {1: (None, None), 2: (3, None), 3: (3, None), 4: (None, None)}
+
+
+def test_nothing_runs_while_a_scan_is_planned(timeline, monkeypatch):
+    """No job before the first action, and a hot user's rows lie in many segments."""
     _, df = timeline
-    sliced, cut = skew.with_slices(df.withColumn("us", F.unix_micros("ts")), ["usr"], "us", 40)
-    assert cut
-    sizes = {r["usr"]: r["n"] for r in sliced.groupBy("usr").agg(F.count_distinct(skew.SLICE).alias("n")).collect()}
-    assert sizes[1] > 5 and sizes[10] == 1
+    tracker, group = df.sparkSession.sparkContext.statusTracker(), "scan-plan"
+    df.sparkSession.sparkContext.setJobGroup(group, group)
+    made = match.asof_neighbours(df, "usr", "ts", F.col("mark"), "id", True, 7)
+    counted = match.counts_around(df, df.filter("mark"), "usr", "ts", 13, 7)
+    batches = scan.numbered(df, ["usr"], "id", scan.step_segment(F.col("id"), 50), "n")
+    assert list(tracker.getJobIdsForGroup(group)) == []
+    assert made.count() == 802 and counted.count() > 0
+    numbers = {r["id"]: r["n"] for r in batches.collect()}
+    assert len(tracker.getJobIdsForGroup(group)) > 0
+    df.sparkSession.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    per_user = {}
+    for r in df.orderBy("id").collect():
+        per_user[r["usr"]] = per_user.get(r["usr"], 0) + 1
+        assert numbers[r["id"]] == per_user[r["usr"]]
+
+
+@pytest.mark.parametrize("resolution", [1, 4096])
+def test_value_segments_follow_the_order(spark, resolution):
+    rng = random.Random(2)
+    values = sorted({rng.choice([-1, 1]) * 10 ** rng.uniform(-9, 18) for _ in range(3000)} | {0.0, -0.0, 1e300})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").coalesce(1)
+    found = [r["s"] for r in rows.orderBy("i").select(scan.value_segment(F.col("v"), resolution).alias("s")).collect()]
+    assert found == sorted(found)
+
+
+@pytest.mark.parametrize("step", [None, 3, 1000])
+def test_running_weight_with_null_keys(spark, step):
+    segment = None if step is None else scan.step_segment(F.col("v"), step)
+    rng = random.Random(3)
+    weights = {(rng.choice([None, 1, 2]), v): rng.randrange(1, 5) for v in range(-60, 60) for _ in range(2)}
+    df = spark.createDataFrame([(k, v, n) for (k, v), n in weights.items()], "k int, v int, n int").repartition(5)
+    for r in scan.running_weight(df, ["k"], "v", "n", segment).collect():
+        mine = {v: n for (k, v), n in weights.items() if k == r["k"]}
+        assert r["running"] == sum(n for v, n in mine.items() if v <= r["v"])
+        assert r["total"] == sum(mine.values()) and r["total_sum"] == sum(v * n for v, n in mine.items())
 
 
 def test_near_marks_excludes_the_limit_itself(spark):
@@ -69,10 +108,10 @@ def test_range_join_equals_theta_join(timeline):
     assert sorted((r["id"], r["mark_id"]) for r in got) == sorted(expected)
 
 
-@pytest.mark.parametrize("rows_per_task", [10**9, 40])
-def test_counts_around_equal_counted_pairs(timeline, rows_per_task):
+@pytest.mark.parametrize("segment_seconds", [86_400, 5])
+def test_counts_around_equal_counted_pairs(timeline, segment_seconds):
     rows, df = timeline
-    counted = match.counts_around(df, df.filter("mark"), "usr", "ts", 13, rows_per_task).collect()
+    counted = match.counts_around(df, df.filter("mark"), "usr", "ts", 13, segment_seconds).collect()
     got = {(r["usr"], r["us"] // 10**6): (r["n_posts"], r["n_marks"]) for r in counted}
     expected = {}
     for _, u, s, _ in rows:
@@ -91,24 +130,12 @@ def test_lookup_join_takes_both_paths(spark, how):
     assert sorted(map(repr, sent.collect())) == sorted(map(repr, salted.collect()))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join_unique_takes_both_paths(spark, how):
-    left = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 50 + [2, 3, 3, 4, None])], "k int, i int")
-    right = spark.createDataFrame([(1, "a"), (2, "b"), (5, "e")], "k int, v string")
-    plain = left.join(right, ["k"], how)
-    split = skew.join_unique(left, right, ["k"], how, rows_per_task=10)
-    assert sorted(map(repr, plain.collect())) == sorted(map(repr, split.collect()))
-    assert skew.hot_keys(left, ["k"], 10).count() == 1
-    assert skew.hot_keys(left, ["k"], 60) is None
-
-
-@pytest.mark.parametrize("rows_per_task", [10**9, 20])
-def test_keep_users_and_sides(spark, rows_per_task):
+def test_keep_users_and_sides(spark):
     rows = [("hot", x % 2, x % 5) for x in range(60)] + [("one_label", 1, 1), ("one_label", 1, 2), ("one_post", 0, 1), ("one_post", 1, 1), (None, 0, 1), (None, 1, 2)]
     df = spark.createDataFrame(rows, "usr string, x int, post int")
-    kept = match.keep_users(df, "usr", "x", "post", rows_per_task)
+    kept = match.keep_users(df, "usr", "x", "post")
     assert {r["usr"]: r["n"] for r in kept.groupBy("usr").agg(F.count("*").alias("n")).collect()} == {"hot": 60}
-    sides = match.keep_both_sides(df, ["usr", "post"], "x", rows_per_task)
+    sides = match.keep_both_sides(df, ["usr", "post"], "x")
     assert {(r["usr"], r["post"]) for r in sides.collect()} == {("hot", p) for p in range(5)} | {("one_post", 1)}
 
 
@@ -116,8 +143,11 @@ def test_joins_refuse_shared_names_and_missing_keys(spark):
     a = spark.createDataFrame([(1, 2)], "id int, v int")
     with pytest.raises(ValueError):
         match.join_source(a, a, "id", "id")
-    with pytest.raises(KeyError):
-        match.strict_lookup(a, spark.createDataFrame([(2, 2)], "id int, w int"), "id")
+    strict = match.strict_lookup(a, spark.createDataFrame([(2, 2)], "id int, w int"), "id")
+    for run in (strict.collect, strict.count, strict.select("v").collect):
+        with pytest.raises(Exception, match="no match for id 1"):
+            run()
+    assert match.strict_lookup(a, spark.createDataFrame([(1, 2), (3, 2)], "id int, w int"), "id").collect() == [(1, 2, 2)]
     assert match.missing_keys(a, "id", spark.createDataFrame([(2,)], "k int"), "k").collect()[0]["k"] == 1
 
 
