@@ -1,18 +1,19 @@
 """Logistic model with random effects, fitted by variational updates on Spark.
 
-The rows are collapsed to binomial cells once.  The factors of random effects that
-share a grouping column are one table (level, means, variances) in the shared
-folder; an update joins these tables to the cells, sums per level, solves the
-level's factors one after the other and replaces the table.  The driver holds the
-fixed effects and one variance per factor.
+The rows are collapsed to binomial cells once.  The posterior is Gaussian in the fixed
+effects, in every random effect and in the log SD of every random factor.  An update joins the
+tables of levels to the cells and sums per level; from these sums a factor's precision
+takes a second-order step along the bound with its effects optimised out, and the
+effects follow in closed form.  The driver holds the fixed effects and two numbers
+per factor.
 """
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.links import normal_quantile
@@ -22,7 +23,9 @@ from .scan import running_weight
 from .stats import value_weights
 
 FIXED_PRIOR_VARIANCE = 100.0
-VARIANCE_PRIOR = 0.01
+LOG_SD_PRIOR_VARIANCE = 100.0
+# Steps of a log precision that are tried besides the second-order one.
+STEPS = [0.0, *(sign * size for size in (0.02, 0.1, 0.4, 1.0, 2.0) for sign in (-1, 1))]
 
 
 @dataclass
@@ -31,9 +34,11 @@ class MixedFit:
     means: np.ndarray
     covariance: np.ndarray
     sigmas: dict[str, float]
+    log_sds: dict[str, tuple[float, float]]
     effects: dict[str, DataFrame]
     sweeps: int
     change: float
+    bounds: list[float]
     frame: DataFrame
 
     def coefficients(self) -> DataFrame:
@@ -42,14 +47,76 @@ class MixedFit:
         return self.frame.sparkSession.createDataFrame([tuple(map(float, self.means))], ddl)
 
     def summary(self) -> DataFrame:
-        """Fixed effects with posterior SD, the SD of each random factor, and the sweeps of the fit."""
+        """Fixed effects with posterior SD; each random factor's SD with the SD of its logarithm; the fit."""
         sds = np.sqrt(np.diag(self.covariance))
         rows = [("fixed", n, float(m), float(s)) for n, m, s in zip(self.names, self.means, sds)]
-        rows += [("random", n, float(s), None) for n, s in self.sigmas.items()]
+        rows += [("random", n, self.sigmas[n], s) for n, (_, s) in self.log_sds.items()]
         rows += [("fit", "converged", 1.0, None), ("fit", "sweeps", float(self.sweeps), None)]
+        rows += [("fit", "bound", self.bounds[-1], None)]
         return self.frame.sparkSession.createDataFrame(rows, "kind string, name string, value double, sd double")
 
 
+@dataclass
+class Factor:
+    """Posterior of a random factor: its log SD is Gaussian, ``log_precision`` is log E[1 / SD^2]."""
+
+    name: str
+    key: str
+    log_precision: float = 0.0
+    spread: float = 0.1  # variance of the log SD
+    shift: float = 0.0  # part of the effects that went to a fixed effect
+    levels: float = 0.0
+    sums: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def precision(self) -> float:
+        return math.exp(self.log_precision)
+
+    @property
+    def log_sd(self) -> float:
+        return self.spread - self.log_precision / 2
+
+    def settle_spread(self) -> None:
+        """The variance of the log SD that is best at this precision."""
+        for _ in range(50):
+            self.spread = 1 / (2 * self.levels + (1 + 2 * self.spread - self.log_precision) / LOG_SD_PRIOR_VARIANCE)
+
+    def prior(self, step: float = 0.0) -> float:
+        """Terms of the bound in the precision alone, after a step."""
+        log_precision = self.log_precision + step
+        return self.levels * log_precision / 2 - (self.spread - log_precision / 2) ** 2 / (2 * LOG_SD_PRIOR_VARIANCE)
+
+    def bound(self) -> float:
+        """Prior and entropy of the effects and of the log SD."""
+        s = self.sums
+        log_sd = self.log_sd
+        effects = -self.levels * log_sd - self.precision * (s["m2"] + s["v"]) / 2 + s["log_v"] / 2 + self.levels / 2
+        prior = -(log_sd**2 + self.spread) / (2 * LOG_SD_PRIOR_VARIANCE) - math.log(LOG_SD_PRIOR_VARIANCE) / 2
+        return effects + prior + math.log(self.spread) / 2 + 0.5
+
+
+def one_row(spark: SparkSession, values: dict[str, float]) -> DataFrame:
+    """Numbers as a table of one row: as literals they would make Spark compile every update anew."""
+    numbers = ", ".join(f"{float(v)!r}D" for v in values.values())
+    return F.broadcast(spark.sql(f"select * from values ({numbers}) as t({', '.join(values)})"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def best_step(factor: Factor, gains: Sequence[float], slope: float, curvature: float) -> float:
+    """The second-order step if it lies beside the best step tried, else that."""
+    order = sorted(STEPS)
+    best = max(zip(STEPS, gains), key=lambda x: (x[1], -abs(x[0])))[0]
+    at = order.index(best)
+    if curvature < 0:
+        newton = -slope / curvature
+        if order[max(0, at - 1)] <= newton <= order[min(len(order) - 1, at + 1)]:
+            return newton
+    return best
+
+
 def fit_mixed_model(
     df: DataFrame,
     outcome: str,
@@ -62,17 +129,15 @@ def fit_mixed_model(
 
     ``fixed`` maps names to design columns (``lit(1)`` is the intercept);
     ``random`` maps names to (grouping column, covariate).  Mean-field updates
-    with the Jaakkola-Jordan bound; factor variances are point estimates.  The fit
-    ends when no fixed effect, random effect or factor SD moves by more than
-    ``tolerance`` in a sweep, and raises RuntimeError if ``max_sweeps`` do not get there.
+    with the Jaakkola-Jordan bound; log SDs have a normal prior.  The fit ends when a
+    sweep raises the evidence bound by less than ``tolerance``, and raises RuntimeError
+    if ``max_sweeps`` do not get there.
     """
     spark = df.sparkSession
     keys = list(dict.fromkeys(k for k, _ in random.values()))
     of_key = {k: [name for name, (own, _) in random.items() if own == k] for k in keys}
     f_cols = [f"f{i}" for i in range(len(fixed))]
     z_cols = {name: f"z{i}" for i, name in enumerate(random)}
-    m_cols = {name: f"m_{z}" for name, z in z_cols.items()}
-    v_cols = {name: f"v_{z}" for name, z in z_cols.items()}
     design = df.dropna(subset=[*keys, outcome]).select(
         *keys,
         F.col(outcome).cast("double").alias("_y"),
@@ -87,127 +152,155 @@ def fit_mixed_model(
     )
     p = len(f_cols)
     beta, cov = np.zeros(p), np.eye(p)
-    sigma2 = {name: 1.0 for name in random}
-    levels: dict[str, DataFrame] = {}
-    paths: dict[str, str] = {}
+    factors = {name: Factor(name, key) for name, (key, _) in random.items()}
+    tables: dict[str, tuple[DataFrame, str]] = {}
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
     # Random effects on the design of a fixed effect share their mean with it.
     gaps = [(name, i) for name in random for i in range(p)]
     row = cells.agg(*[F.max(F.abs(F.col(z_cols[n]) - F.col(f_cols[i]))).alias(f"g{j}") for j, (n, i) in enumerate(gaps)]).first()
     partner = {n: i for j, (n, i) in enumerate(gaps) if row[f"g{j}"] == 0}
 
+    def numbers() -> DataFrame:
+        values = {f"b_{i}": beta[i] for i in range(p)}
+        values |= {f"c_{i}_{j}": cov[i, j] * (1 if i == j else 2) for i, j in pairs}
+        for name, z in z_cols.items():
+            values |= {f"t_{z}": factors[name].precision, f"s_{z}": factors[name].shift}
+        return one_row(spark, values)
+
+    # The updates are SQL texts: hundreds of columns built one by one cost more than the jobs.
+    def solved(rows: DataFrame, names: list[str]) -> DataFrame:
+        """Adds pull, mean and variance of the effects from the sums of their key's table, one after the other."""
+        for at, name in enumerate(names):
+            z = z_cols[name]
+            # The residuals still hold the old effects; those already solved have moved since.
+            moved = "".join(f" - w_{y}_{z} * (m_{y} - old_{y})" for y in (z_cols[n] for n in names[:at]))
+            rows = rows.selectExpr("*", f"r_{z}{moved} + w_{z}_{z} * old_{z} as pull_{z}")
+            rows = rows.selectExpr("*", f"pull_{z} / (w_{z}_{z} + t_{z}) as m_{z}", f"1 / (w_{z}_{z} + t_{z}) as v_{z}")
+        return rows
+
+    def effects_of(key: str) -> DataFrame:
+        """``key`` with the posterior mean and variance of its factors' effects."""
+        zs = [z_cols[n] for n in of_key[key]]
+        rows = solved(tables[key][0].crossJoin(numbers()), of_key[key])
+        columns = [c for z in zs for c in (f"m_{z} - s_{z} as m_{z}", f"v_{z}", f"has_{z}")]
+        return rows.selectExpr(quoted(key), *columns)
+
     def state() -> DataFrame:
-        """Cells with the linear predictor's mean, and the bound's weight."""
+        """Cells with the linear predictor's mean, the bound's weight and the residual."""
         rows = cells
-        mean = sum((F.col(f) * float(b) for f, b in zip(f_cols, beta)), F.lit(0.0))
-        var = sum(
-            (F.col(f_cols[i]) * F.col(f_cols[j]) * float(cov[i, j]) for i in range(p) for j in range(p)),
-            F.lit(0.0),
-        )
         for key in keys:
-            rows = rows.join(levels[key], key, "left") if key in levels else rows
-        for name, (key, _) in random.items():
-            z, m, v = F.col(z_cols[name]), m_cols[name], v_cols[name]
-            if key in levels:
-                rows = rows.fillna({m: 0.0, v: sigma2[name]})
-            else:
-                rows = rows.withColumns({m: F.lit(0.0), v: F.lit(sigma2[name])})
-            mean, var = mean + z * F.col(m), var + z * z * F.col(v)
-        xi = F.sqrt(F.col("_mean") * F.col("_mean") + F.col("_var"))
-        lam = F.when(F.col("_xi") < 1e-6, 0.125).otherwise(F.tanh(F.col("_xi") / 2) / (F.col("_xi") * 4))
-        return (
-            rows.withColumn("_mean", mean)
-            .withColumn("_var", var)
-            .withColumn("_xi", xi)
-            .withColumn("_w", F.col("n") * lam * 2)
-            .withColumn("_gap", F.col("k") - F.col("n") / 2 - F.col("_w") * F.col("_mean"))
-        )
+            if key in tables:
+                rows = rows.join(effects_of(key).drop(*[f"has_{z_cols[n]}" for n in of_key[key]]), key, "left")
+        rows = rows.crossJoin(numbers())
+        fresh = [x for n, (key, _) in random.items() if key not in tables for x in (f"0D as m_{z_cols[n]}", f"1 / t_{z_cols[n]} as v_{z_cols[n]}")]
+        rows = rows.selectExpr("*", *fresh) if fresh else rows
+        zs = list(z_cols.values())
+        mean = " + ".join([f"{f} * b_{i}" for i, f in enumerate(f_cols)] + [f"{z} * m_{z}" for z in zs])
+        var = " + ".join([f"{f_cols[i]} * {f_cols[j]} * c_{i}_{j}" for i, j in pairs] + [f"{z} * {z} * v_{z}" for z in zs])
+        rows = rows.selectExpr("*", f"{mean} as _mean", f"{var} as _var").selectExpr("*", "sqrt(_mean * _mean + _var) as _xi")
+        rows = rows.selectExpr("*", "n * if(_xi < 1e-6, 0.25D, tanh(_xi / 2) / (_xi * 2)) as _w")
+        return rows.selectExpr("*", "k - n / 2 - _w * _mean as _gap")
 
     def update_fixed() -> float:
+        """New fixed effects; returns the bound's terms in the data and the old fixed effects."""
         nonlocal beta, cov
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        row = state().agg(
-            *[F.sum(F.col("_w") * F.col(f_cols[i]) * F.col(f_cols[j])).alias(f"p{i}_{j}") for i, j in pairs],
-            *[F.sum(F.col("_gap") * F.col(f)).alias(f"r{i}") for i, f in enumerate(f_cols)],
-        ).first()
-        if row["p0_0"] is None:
+        # The log of the logistic function at xi, minus xi / 2, and the linear term.
+        fit = "sum(n * (-log1p(exp(-_xi)) - _xi / 2) + (k - n / 2) * _mean) as fit"
+        sums = [f"sum(_w * {f_cols[i]} * {f_cols[j]}) as p{i}_{j}" for i, j in pairs]
+        sums += [f"sum(_gap * {f}) as r{i}" for i, f in enumerate(f_cols)]
+        row = state().selectExpr(fit, *sums).first()
+        if row["fit"] is None:
             return 0.0
+        bound = row["fit"] - (beta @ beta + np.trace(cov)) / (2 * FIXED_PRIOR_VARIANCE) + np.linalg.slogdet(cov)[1] / 2
+        bound += p / 2 - p * math.log(FIXED_PRIOR_VARIANCE) / 2
         weight = np.zeros((p, p))
         for i, j in pairs:
             weight[i, j] = weight[j, i] = row[f"p{i}_{j}"]
         cov = np.linalg.inv(weight + np.eye(p) / FIXED_PRIOR_VARIANCE)
-        new = cov @ (np.array([row[f"r{i}"] for i in range(p)]) + weight @ beta)
-        change = float(np.max(np.abs(new - beta)))
-        beta = new
-        return change
+        beta = cov @ (np.array([row[f"r{i}"] for i in range(p)]) + weight @ beta)
+        return bound
 
-    def update_levels(key: str) -> float:
-        """New effects of the factors of one grouping column, and their variances."""
+    def update_levels(key: str) -> None:
+        """New precisions and effects of the factors of one grouping column."""
         names = of_key[key]
-        cross = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-        sums = state().groupBy(key).agg(
-            *[F.sum(F.col("_w") * F.col(z_cols[a]) * F.col(z_cols[b])).alias(f"_w_{a}_{b}") for a, b in cross],
-            *[F.sum(F.col("_gap") * F.col(z_cols[a])).alias(f"_r_{a}") for a in names],
-            *[F.first(m_cols[a]).alias(f"_old_{a}") for a in names],
-        )
-        for i, a in enumerate(names):
-            # The gaps still hold the old effects; those already solved have moved since.
-            moved = sum((F.col(f"_w_{b}_{a}") * (F.col(m_cols[b]) - F.col(f"_old_{b}")) for b in names[:i]), F.lit(0.0))
-            own = F.col(f"_w_{a}_{a}")
-            precision = own + 1.0 / sigma2[a]
-            sums = sums.withColumn(m_cols[a], (F.col(f"_r_{a}") - moved + own * F.col(f"_old_{a}")) / precision)
-            sums = sums.withColumn(v_cols[a], 1 / precision)
-        table = sums.select(
-            key, *[m_cols[a] for a in names], *[v_cols[a] for a in names],
-            *[F.abs(F.col(m_cols[a]) - F.col(f"_old_{a}")).alias(f"_move_{a}") for a in names],
-            *[(F.col(f"_w_{a}_{a}") > 0).alias(f"_has_{a}") for a in names],
-        )
+        zs = [z_cols[n] for n in names]
+        cross = [(a, b) for i, a in enumerate(zs) for b in zs[i:]]
+        aggregates = [f"sum(_w * {a} * {b}) as w_{a}_{b}" for a, b in cross]
+        aggregates += [x for z in zs for x in (f"sum(_gap * {z}) as r_{z}", f"first(m_{z}) as old_{z}", f"first(v_{z}) as was_{z}")]
+        sums = state().groupBy(key).agg(*map(F.expr, aggregates))
+        sums = sums.selectExpr("*", *[f"w_{z}_{z} > 0 as has_{z}" for z in zs])
+        seen = Observation()
+        only = lambda z, c: f"coalesce(sum(if(has_{z}, {c}, null)), 0D)"
+        kinds = {"n": "1D", "m2": "old_{z} * old_{z}", "v": "was_{z}", "log_v": "ln(was_{z})"}
+        watched = sums.observe(seen, *[F.expr(f"{only(z, c.format(z=z))} as {kind}_{z}") for z in zs for kind, c in kinds.items()])
         path = scratch_path(spark, "mixed-levels")
-        written = materialize(table, path)
-        has = lambda a, c: F.coalesce(F.sum(F.when(F.col(f"_has_{a}"), c)), F.lit(0.0))
-        row = written.agg(
-            *[has(a, F.col(m_cols[a]) ** 2).alias(f"m_{a}") for a in names],
-            *[has(a, 1 - F.col(v_cols[a]) / sigma2[a]).alias(f"g_{a}") for a in names],
-            *[has(a, F.col(m_cols[a])).alias(f"t_{a}") for a in names],
-            *[has(a, F.lit(1.0)).alias(f"n_{a}") for a in names],
-            *[F.max(f"_move_{a}").alias(f"d_{a}") for a in names],
+        written = materialize(watched, path)
+        old, tables[key] = tables.get(key), (written, path)
+        for name in names:
+            factor, z = factors[name], z_cols[name]
+            factor.levels = seen.get[f"n_{z}"]
+            factor.sums = {c: seen.get[f"{c}_{z}"] for c in ("m2", "v", "log_v")}
+            # The sums are those of the old effects, before this update.
+            bounds.append(factor.bound())
+            factor.shift = 0.0
+        for name in names:
+            step_precision(key, name)
+        if old is not None:
+            remove_table(spark, old[1])
+
+    def step_precision(key: str, name: str) -> None:
+        """Second-order step of a factor's precision, its effects optimised out, from one pass over the levels."""
+        names, factor, z = of_key[key], factors[name], z_cols[name]
+        if not factor.levels:
+            return
+        factor.settle_spread()
+        rows = solved(tables[key][0].crossJoin(numbers()), names[: names.index(name) + 1]).filter(f"has_{z}")
+        at = [f"(w_{z}_{z} + t_{z} * {math.exp(step)!r}D)" for step in STEPS]
+        found = rows.selectExpr(
+            *[f"sum((pull_{z} * pull_{z} / {x} - ln({x})) / 2) as gain_{i}" for i, x in enumerate(at)],
+            *[f"sum(pull_{z} / {x}) as common_{i}" for i, x in enumerate(at)],
+            f"sum(t_{z} * (m_{z} * m_{z} + v_{z})) as held",
+            f"sum(t_{z} * t_{z} * v_{z} * (2 * m_{z} * m_{z} + v_{z})) as bent",
         ).first()
-        # The common part of the effects goes to the fixed effect, which saves many sweeps:
-        # the prior of a fixed effect is so wide that the bound only gains by it.
-        shift = {a: row[f"t_{a}"] / row[f"n_{a}"] if a in partner and row[f"n_{a}"] else 0.0 for a in names}
-        for a in names:
-            beta[partner.get(a, 0)] += shift[a]
-        levels[key] = written.drop(*[f"_move_{a}" for a in names]).withColumns(
-            {m_cols[a]: F.col(m_cols[a]) - F.lit(shift[a]) for a in names}
-        )
-        if key in paths:
-            remove_table(spark, paths[key])
-        paths[key] = path
-        change = 0.0
-        for a in names:
-            # The same fixed point as (sum of squares + variances) / levels, reached in fewer steps.
-            squares = row[f"m_{a}"] - row[f"n_{a}"] * shift[a] ** 2
-            new = (squares + 2 * VARIANCE_PRIOR) / (row[f"g_{a}"] + 2 * VARIANCE_PRIOR)
-            change = max(change, row[f"d_{a}"] or 0.0, abs(math.sqrt(new) - math.sqrt(sigma2[a])))
-            sigma2[a] = new
-        return change
+        gains = [found[f"gain_{i}"] + factor.prior(s) for i, s in enumerate(STEPS)]
+        # First and second derivative of that bound in the log precision.
+        slope = (factor.levels - found["held"]) / 2 + factor.log_sd / (2 * LOG_SD_PRIOR_VARIANCE)
+        curvature = (found["bent"] - found["held"]) / 2 - 1 / (4 * LOG_SD_PRIOR_VARIANCE)
+        step = best_step(factor, gains, slope, curvature)
+        factor.log_precision += step
+        factor.settle_spread()
+        if name in partner:
+            # The part that is common to all effects is better held by the fixed effect.
+            i = partner[name]
+            common = float(np.interp(step, *zip(*sorted((s, found[f"common_{i}"]) for i, s in enumerate(STEPS)))))
+            pulls = factor.precision * common - beta[i] / FIXED_PRIOR_VARIANCE
+            factor.shift = pulls / (factor.precision * factor.levels + 1 / FIXED_PRIOR_VARIANCE)
+            beta[i] += factor.shift
 
+    evidence: list[float] = []
     for sweep in range(1, max_sweeps + 1):
-        change = max([update_fixed(), *[update_levels(key) for key in keys]])
-        if sweep > 1 and change < tolerance:
+        bounds = [update_fixed()]
+        for key in keys:
+            update_levels(key)
+        evidence.append(float(sum(bounds)))
+        change = evidence[-1] - evidence[-2] if sweep > 1 else math.inf
+        if change < tolerance:
             break
     else:
-        raise RuntimeError(f"no convergence in {max_sweeps} sweeps; the last one moved by {change:.2g}")
+        raise RuntimeError(f"no convergence in {max_sweeps} sweeps; the last one raised the bound by {change:.2g}")
     return MixedFit(
         names=list(fixed),
         means=beta,
         covariance=cov,
-        sigmas={n: math.sqrt(s) for n, s in sigma2.items()},
+        sigmas={n: math.exp(f.log_sd) for n, f in factors.items()},
+        log_sds={n: (f.log_sd, math.sqrt(f.spread)) for n, f in factors.items()},
         effects={
-            n: levels[key].filter(f"_has_{n}").select(key, F.col(m_cols[n]).alias("mean"), F.sqrt(v_cols[n]).alias("sd"))
+            n: effects_of(key).filter(f"has_{z_cols[n]}").selectExpr(quoted(key), f"m_{z_cols[n]} as mean", f"sqrt(v_{z_cols[n]}) as sd")
             for n, (key, _) in random.items()
         },
         sweeps=sweep,
         change=change,
+        bounds=evidence,
         frame=cells,
     )
 

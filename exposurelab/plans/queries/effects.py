@@ -7,6 +7,7 @@ from ...functions.times import gap_seconds, round_time
 from ...operators import causal, glm, mixed
 from ...operators.match import keep_both_sides, keep_users
 from ...operators.stats import histogram
+from ...sources.readers import file_versions
 from .registry import Tables, query, rounded
 
 DAY = 86_400.0
@@ -273,12 +274,12 @@ def glm_covariates(t):
     return rounded(glm.covariate_glm(rows, "label", ["o_totalprice", "c_acctbal"]), 4)
 
 
-_fits: dict[tuple[str, str], mixed.MixedFit] = {}
+_fits: dict[tuple, mixed.MixedFit] = {}
 
 
 def reply_model(t: Tables) -> mixed.MixedFit:
-    """The fit that several queries report on; made once for a session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    """The fit that several queries report on; made once for a session and the files it reads."""
+    key = (t.spark.sparkContext.applicationId, file_versions(t.lineitem), file_versions(t.orders))
     if key not in _fits:
         _fits[key] = fit_reply_model(t)
     return _fits[key]

@@ -96,6 +96,17 @@ def read_entities(df: DataFrame, wanted: DataFrame, name: str = "entity") -> Dat
     )
 
 
+def file_versions(df: DataFrame) -> tuple[tuple[str, int, int], ...]:
+    """Path, size and time of change of the files a frame reads, from their listing."""
+    spark = df.sparkSession
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def landed_entities(spark: SparkSession, path: str, pattern: str = "*.ndjson", name: str = "entity") -> DataFrame:
     """Stems of the files in a folder (and below), without reading them."""
     files = (

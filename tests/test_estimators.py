@@ -148,6 +148,14 @@ def test_mixed_model_recovers_effects(spark):
         df, "y", {"intercept": one, "x": F.col("x")}, {"group": ("g", one), "user": ("u", one)}, tolerance=1e-3
     )
     assert fit.means[1] == pytest.approx(0.9, abs=0.15)
+    assert all(b >= a - 1e-6 for a, b in zip(fit.bounds, fit.bounds[1:])) and len(fit.bounds) == fit.sweeps
+    rows = {r["name"]: r for r in fit.summary().filter("kind = 'random'").collect()}
+    assert rows.keys() == {"group", "user"}
+    for name, levels in (("group", groups), ("user", users)):
+        # With all effects known, the log SD is known up to 1 / sqrt(2 levels).
+        assert rows[name]["sd"] == pytest.approx(1 / math.sqrt(2 * levels), rel=0.1)
+        truth = math.log({"group": mood, "user": bias}[name].std())
+        assert abs(fit.log_sds[name][0] - truth) < 4 * fit.log_sds[name][1]
     assert fit.sigmas["user"] == pytest.approx(bias.std(), abs=0.25)
     effects = fit.effects["user"].toPandas().set_index("u")["mean"].sort_index()
     assert np.corrcoef(effects, bias)[0, 1] > 0.9
@@ -158,6 +166,24 @@ def test_mixed_model_recovers_effects(spark):
     assert qq["n"].sum() == users and np.corrcoef(qq["sample"], qq["theoretical"])[0, 1] > 0.95
 
 
+def test_mixed_model_with_two_factors_of_one_key(spark):
+    """Bias and effect per user; the bound rises although both share their levels."""
+    rng = np.random.default_rng(12)
+    bias, effect = rng.normal(0, 0.5, 80), rng.normal(0, 0.9, 80)
+    rows = []
+    for _ in range(12000):
+        u, x = int(rng.integers(80)), int(rng.integers(2))
+        rows.append((u, x, int(rng.random() < 1 / (1 + math.exp(-(0.3 + bias[u] + (effect[u] - 0.4) * x))))))
+    df = spark.createDataFrame(rows, "u int, x int, y int")
+    fixed = {"intercept": F.lit(1), "x": F.col("x")}
+    fit = mixed.fit_mixed_model(df, "y", fixed, {"bias": ("u", F.lit(1)), "effect": ("u", F.col("x"))}, tolerance=1e-2)
+    assert all(b >= a - 1e-6 for a, b in zip(fit.bounds, fit.bounds[1:]))
+    assert fit.sigmas["effect"] == pytest.approx(effect.std(), abs=0.2) and fit.sigmas["bias"] == pytest.approx(bias.std(), abs=0.15)
+    assert fit.means[1] == pytest.approx(effect.mean() - 0.4, abs=0.15)
+    made = fit.effects["effect"].toPandas().set_index("u")["mean"].sort_index()
+    assert np.corrcoef(made, effect)[0, 1] > 0.85 and abs(made.mean()) < 0.02
+
+
 def test_difference_in_differences(spark):
     row = causal.difference_in_differences(
         spark.createDataFrame([(0.1, 0.2, 0.3)], "a double, b double, c double"), "a", "b", "c"
