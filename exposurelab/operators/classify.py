@@ -100,12 +100,19 @@ def naive_bayes_grid(
     ``counts`` carries ``label``, ``fold`` and the n-gram ``size``.  All settings
     come from one pass: the training counts of a fold are the total minus the
     fold's own; the score of an n-gram range is the sum of the scores of its
-    sizes; all alphas are sums over the same joined rows.
+    sizes; all alphas are sums over one histogram per document and size, of how often
+    which counts per class occur.  Rows of ``counts`` may repeat a term.  Terms travel as
+    two 64-bit hashes, since n-grams are long.
     """
     k, n_alpha = len(classes), len(alphas)
     smoothing = [max(float(a), LEAST_ALPHA) for a in alphas]
     cells = [(f, i) for f in range(folds) for i in range(k)]
-    table = counts.groupBy("term", "size").agg(
+    hashes = ["term_a", "term_b"]
+    counts = counts.select(
+        key, label, fold, "size", "n", F.xxhash64("term").alias("term_a"), F.xxhash64(F.lit(1), "term").alias("term_b")
+    )
+    table = counts.groupBy(*hashes).agg(
+        F.first("size").alias("size"),
         *[_of(label, c, F.col("n")).alias(f"c{i}") for i, c in enumerate(classes)],
         F.array(
             *[
@@ -160,11 +167,16 @@ def naive_bayes_grid(
         .select("low", "high", F.col("_x.f").alias(fold), "_x.words", "_x.vocab")
     )
 
-    joined = counts.select(key, fold, "term", "n").join(table, "term")
+    # A term of one fold only has no count outside of it, and most n-grams are such.
+    in_fold = lambda f: sum((F.get("by_fold", F.lit(f * k + i)) for i in range(k)), F.lit(0)) > 0
+    shared = table.filter(sum((in_fold(f).cast("int") for f in range(folds)), F.lit(0)) > 1)
+    joined = counts.select(key, fold, *hashes, "n").join(shared, hashes)
     with_counts = joined.withColumns({f"k{i}": outside(i, F.col(fold)) for i in range(k)})
     known = with_counts.filter(sum((F.col(f"k{i}") for i in range(k)), F.lit(0)) > 0)
+    # Terms with the same counts are one row, so logarithms are taken per row and not per term.
+    alike = known.groupBy(key, "size", *[f"k{i}" for i in range(k)]).agg(F.sum("n").alias("n"))
     pairs = [(a, i) for a in range(n_alpha) for i in range(k)]
-    sums = known.groupBy(key, "size").agg(
+    sums = alike.groupBy(key, "size").agg(
         F.sum("n").alias("m"),
         *[F.sum(F.col("n") * F.log(F.col(f"k{i}") + F.lit(smoothing[a]))).alias(f"s_{a}_{i}") for a, i in pairs],
     )

@@ -156,6 +156,14 @@ def ngram_rows(df: DataFrame, key: str, tokens: str, low: int, high: int, keep:
     )
 
 
+def ngram_occurrences(df: DataFrame, key: str, tokens: str, low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
+    """A row with ``n = 1`` per occurrence of an n-gram, made where the text lies; nothing is shuffled."""
+    by_size = df.select(key, *keep, F.explode(tk.ngram_sets(tokens, low, high)).alias("_g"))
+    return by_size.select(
+        key, *keep, F.col("_g.size").alias("size"), F.explode("_g.terms").alias("term"), F.lit(1).cast("long").alias("n")
+    )
+
+
 def english_stop_words() -> list[str]:
     """The stop words that Spark ML ships (needs a running session)."""
     from pyspark.ml.feature import StopWordsRemover

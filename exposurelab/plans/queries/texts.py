@@ -134,10 +134,10 @@ def labelled(t: Tables) -> DataFrame:
 
 def labelled_terms(t: Tables, high: int) -> tuple[DataFrame, DataFrame]:
     docs = labelled(t)
-    tokens = tx.prepare_terms(t.texts.join(docs, "doc_id"), "text", STOP_WORDS)
-    rows = tx.ngram_rows(tokens, "doc_id", "tokens", 1, high, keep=["quality", "is_test", "fold"])
+    kept = ["quality", "is_test", "fold"]
+    tokens = tx.prepare_terms(t.texts.join(docs, "doc_id"), "text", STOP_WORDS).select("doc_id", *kept, "tokens")
     # Read by the term table, the totals and the scores: tokenize once.
-    return docs, cut_lineage(rows)
+    return docs, tx.ngram_occurrences(cut_lineage(tokens), "doc_id", "tokens", 1, high, keep=kept)
 
 
 def predictions(t: Tables, **options) -> DataFrame:
@@ -191,8 +191,12 @@ def accuracy(t):
     return rounded(classify.accuracy(predictions(t), "quality", "predicted"))
 
 
-def grid(t: Tables) -> DataFrame:
-    docs, counts = labelled_terms(t, max(high for _, high in RANGES))
+def all_terms(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents and their terms of all n-gram sizes in the grid."""
+    return labelled_terms(t, max(high for _, high in RANGES))
+
+
+def grid(docs: DataFrame, counts: DataFrame) -> DataFrame:
     train = ~F.col("is_test")
     return classify.naive_bayes_grid(
         docs.filter(train), counts.filter(train), "doc_id", "quality", CLASSES, RANGES, ALPHAS
@@ -232,7 +236,7 @@ grid as (select low, high, alpha_index, alpha, fit_prior, avg(a) as mean_accurac
 
 @query(GRID + "select low, high, cast(alpha_index as int) as alpha_index, round(alpha, 6) as alpha, fit_prior, round(mean_accuracy, 4) as mean_accuracy from grid")
 def nb_grid(t):
-    return grid(t).select(
+    return grid(*all_terms(t)).select(
         "low", "high", "alpha_index", F.round("alpha", 6).alias("alpha"), "fit_prior", F.round("mean_accuracy", 4).alias("mean_accuracy")
     )
 
@@ -244,7 +248,7 @@ select * from grid order by round(mean_accuracy, 9) desc, low, high, alpha_index
 
 @query(BEST + "select low, high, cast(alpha_index as int) as alpha_index, round(alpha, 4) as alpha, fit_prior, round(mean_accuracy, 4) as mean_accuracy from best")
 def nb_best(t):
-    return rounded(classify.best_setting(grid(t)), 4)
+    return rounded(classify.best_setting(grid(*all_terms(t))), 4)
 
 
 @query(BEST + f""",
@@ -264,8 +268,8 @@ select a.x as quality, b.x as predicted, count(bpred.quality) as n from (values
 left join bpred on bpred.quality = a.x and bpred.predicted = b.x group by all""")
 def nb_best_confusion(t):
     """The best setting of the grid, fitted to all training documents and held against the others."""
-    best = classify.best_setting(grid(t)).first()
-    docs, counts = labelled_terms(t, best["high"])
+    docs, counts = all_terms(t)
+    best = classify.best_setting(grid(docs, counts)).first()
     chosen = counts.filter(F.col("size").between(best["low"], best["high"]))
     made = classify.naive_bayes(
         docs, chosen, "doc_id", "quality", CLASSES, alpha=best["alpha"], fit_prior=best["fit_prior"]
