@@ -5,14 +5,13 @@ user of their own conversation.  Some turns reply to, quote or repost the turn
 before; some do two of these at once, to show the precedence.
 """
 
-from functools import partial
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.times import format_post_time, parse_post_time
 from ...operators import explore, posts as op
-from ...operators.text import KeywordScorer, score_text
+from ...operators.scorer import keyword_scorer
 from ...plans import studies
 from ...session import scratch_path
 from ...sources.readers import read_posts
@@ -20,7 +19,7 @@ from ...sources.sinks import write_json
 from .registry import Tables, query, rounded
 
 ACCOUNT = "assistant"
-SCORER = partial(score_text, factory=KeywordScorer(["the", "and", "von", "de"], ["of", "to", "la", "un"]))
+SCORER = keyword_scorer(["the", "and", "von", "de"], ["of", "to", "la", "un"])
 
 
 def nested_posts(t: Tables) -> DataFrame:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import tokens as tk
-from ...operators import classify, explore, text as tx
-from ...session import cut_lineage
+from ...operators import classify, explore, scorer, text as tx, textmodel
+from ...session import cut_lineage, scratch_path
 from .exploring import draw_sql
 from .registry import Tables, query, rounded
 
@@ -251,7 +251,7 @@ def nb_best(t):
     return rounded(classify.best_setting(grid(*all_terms(t))), 4)
 
 
-@query(BEST + f""",
+BEST_CONFUSION = BEST + f""",
 brows as ({grams_sql(1, 6, 'kept', 'doc_id, quality, is_test')}),
 btf as (select doc_id, is_test, quality, term, count(*) as n from brows, best where size between low and high group by all),
 bterms as (select term, coalesce(sum(n) filter (where quality = 0), 0) as c0, coalesce(sum(n) filter (where quality = 1), 0) as c1
@@ -265,7 +265,10 @@ bscores as (select docs.quality, coalesce(s0, 0) - coalesce(m, 0) * ln(n0 + alph
             from docs left join bsums using (doc_id), btot, best, bprior where is_test),
 bpred as (select quality, case when w1 > w0 then 1 else 0 end as predicted from bscores)
 select a.x as quality, b.x as predicted, count(bpred.quality) as n from (values (0), (1)) a(x) cross join (values (0), (1)) b(x)
-left join bpred on bpred.quality = a.x and bpred.predicted = b.x group by all""")
+left join bpred on bpred.quality = a.x and bpred.predicted = b.x group by all"""
+
+
+@query(BEST_CONFUSION)
 def nb_best_confusion(t):
     """The best setting of the grid, fitted to all training documents and held against the others."""
     docs, counts = all_terms(t)
@@ -277,6 +280,98 @@ def nb_best_confusion(t):
     return classify.confusion(made, "quality", "predicted", CLASSES)
 
 
+# ---- stems in the classifier, models that are stored --------------------------------------
+
+STEMMED = f"list_filter(list_transform({TOKENS}, lambda w: case when length(w) > 4 then regexp_replace(w, '(ing|ed|s)$', '') else w end), lambda w: w not in ({', '.join(repr(w) for w in STOP_WORDS)}))"
+
+
+def stem_table(t: Tables) -> DataFrame:
+    """Stems of the labelled documents' tokens by a simple rule; a stem table is an input."""
+    tokens = tx.stem_tokens(t.texts.join(t.labels.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    long = tokens.filter(F.length("token") > 4).select("token").distinct()
+    return cut_lineage(long.select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem")))
+
+
+def stem_model(t: Tables, settings: textmodel.Settings, stems: DataFrame) -> textmodel.TextModel:
+    """Fitted to the training documents, stored, and read back."""
+    train = t.texts.join(labelled(t).filter(~F.col("is_test")), "doc_id")
+    path = scratch_path(t.spark, "text-model")
+    textmodel.fit_text_model(train, "doc_id", "text", "quality", settings, path, stems)
+    return textmodel.load_text_model(t.spark, path)
+
+
+def stem_predictions(t: Tables, settings: textmodel.Settings, stems: DataFrame) -> DataFrame:
+    test = labelled(t).filter("is_test").select("doc_id", "quality")
+    made = textmodel.predict(stem_model(t, settings, stems), t.texts.join(test, "doc_id"), "doc_id", "text")
+    return made.join(test, "doc_id")
+
+
+def stem_terms(t: Tables, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labelled documents and their stemmed terms of all n-gram sizes in the grid."""
+    docs = labelled(t)
+    tokens = textmodel.prepared(t.texts.join(docs, "doc_id"), "doc_id", "text", stems, STOP_WORDS).join(docs, "doc_id")
+    kept = ["quality", "is_test", "fold"]
+    high = max(high for _, high in RANGES)
+    return docs, tx.ngram_occurrences(cut_lineage(tokens), "doc_id", "tokens", 1, high, keep=kept)
+
+
+def stem_settings(**options) -> textmodel.Settings:
+    return textmodel.Settings(tuple(CLASSES), tuple(STOP_WORDS), **options)
+
+
+@query(predict_sql().replace(KEPT, STEMMED) + "select doc_id, quality, predicted, round(score_0, 4) as score_0, round(score_1, 4) as score_1 from pred")
+def nb_stem_predict(t):
+    return rounded(stem_predictions(t, stem_settings(), stem_table(t)), 4)
+
+
+@query(GRID.replace(KEPT, STEMMED) + "select low, high, cast(alpha_index as int) as alpha_index, round(alpha, 6) as alpha, fit_prior, round(mean_accuracy, 4) as mean_accuracy from grid")
+def nb_stem_grid(t):
+    return grid(*stem_terms(t, stem_table(t))).select(
+        "low", "high", "alpha_index", F.round("alpha", 6).alias("alpha"), "fit_prior", F.round("mean_accuracy", 4).alias("mean_accuracy")
+    )
+
+
+@query(BEST_CONFUSION.replace(KEPT, STEMMED))
+def nb_stem_best_confusion(t):
+    """The best setting of the grid with stems, refitted, stored, read back and held against the other documents."""
+    stems = stem_table(t)
+    best = classify.best_setting(grid(*stem_terms(t, stems))).first()
+    settings = stem_settings(low=best["low"], high=best["high"], alpha=best["alpha"], fit_prior=best["fit_prior"])
+    return classify.confusion(stem_predictions(t, settings, stems), "quality", "predicted", CLASSES)
+
+
+# ---- a trained scorer -----------------------------------------------------------------------
+
+BUCKET = "(('0x' || substr(md5(token), 1, 8))::bigint % 4096)"
+
+
+@query(f"""
+with word_rows as (select doc_id, unnest({WORDS}) as token from documents),
+buckets as (select doc_id, {BUCKET} as bucket, count(*) as n from word_rows group by all),
+model as (select bucket, ln((sum(n * toxic) + 1) / (sum(n * (1 - toxic)) + 1)) as w from buckets join labels using (doc_id) group by bucket),
+logits as (select doc_id, sum(n * coalesce(w, 0)) / sum(n) as z from buckets left join model using (bucket) group by doc_id),
+p as (select doc_id, 1 / (1 + exp(-coalesce(z, 0))) as p from documents left join logits using (doc_id))
+select doc_id, case when p >= 0.5 then 'NEGATIVE' else 'POSITIVE' end as label, round(greatest(p, 1 - p), 6) as score from p""")
+def hashed_scores(t):
+    """Every document scored in the JVM from a stored table of bucket weights (here log odds of the labels)."""
+    rows = t.texts.join(t.labels.select("doc_id", "toxic"), "doc_id")
+    counts = rows.select("toxic", F.explode(scorer.word_buckets("text")).alias("bucket")).groupBy("bucket").agg(
+        F.log((F.sum("toxic") + 1) / (F.sum(1 - F.col("toxic")) + 1)).alias("weight")
+    )
+    model = scorer.read_scorer(counts, scorer.BUCKETS).save(t.spark, scratch_path(t.spark, "scorer"))
+    return rounded(t.texts.select("doc_id", model("text").alias("s")).select("doc_id", "s.label", "s.score"))
+
+
+@query()
+def trained_scorer(t):
+    """A scorer fitted to the training documents, on those held out: predicted against toxic."""
+    split = explore.split(t.labels.select("doc_id", "toxic"), "doc_id")
+    rows = t.texts.join(split, "doc_id")
+    model = scorer.train_scorer(rows.filter(~F.col("is_test")), "text", F.col("toxic") == 1)
+    held = rows.filter("is_test").select("toxic", (model("text")["label"] == "NEGATIVE").cast("int").alias("predicted"))
+    return classify.confusion(held, "toxic", "predicted", [0, 1])
+
+
 # ---- sequences ----------------------------------------------------------------------------
 
 VOCAB = f"""

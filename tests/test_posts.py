@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from exposurelab.functions.times import parse_post_time
 from exposurelab.operators import posts as op
-from exposurelab.operators.text import KeywordScorer, score_text
+from exposurelab.operators.scorer import keyword_scorer
+from exposurelab.operators.text import score_text
+
+from .scorers import KeywordScorer
 from exposurelab.plans import studies
 from exposurelab.sources.readers import read_posts
 
@@ -121,6 +124,14 @@ def test_scorer_and_null_text(spark):
     assert got[3]["label"] == "POSITIVE"
 
 
+def test_keyword_scorer_needs_no_python(spark):
+    rows = [(1, "bad bad good"), (2, "good"), (3, None), (4, ""), (5, "Bad-good, BAD!"), (6, "none")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    made = df.withColumn("s", keyword_scorer(["bad"], ["good"])("t"))
+    assert by_id(df, scorer("t")) == {r["id"]: r["s"] for r in made.collect()}
+    assert "Python" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filter_passes_below_the_scorer(posts):
     plan = (
         posts.withColumn("s", scorer(op.visible_text())).filter("lang = 'en'")._jdf.queryExecution().optimizedPlan().toString()

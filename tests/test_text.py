@@ -1,11 +1,15 @@
+import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from exposurelab.functions import tokens as tk
-from exposurelab.operators import classify, text as tx
+from exposurelab.operators import classify, scorer as sc, text as tx, textmodel as tm
+
+from .scorers import LinearScorer
 
 
 @pytest.fixture(scope="module")
@@ -150,7 +154,7 @@ def test_scores_by_label(spark):
 
 
 def test_linear_scorer_runs_in_tasks(spark, docs):
-    scorer = tx.LinearScorer({"good": (1.0, -1.0), "bad": (-1.0, 0.0)}, [0.0, 0.0], ["p", "q"])
+    scorer = LinearScorer({"good": (1.0, -1.0), "bad": (-1.0, 0.0)}, [0.0, 0.0], ["p", "q"])
     got = {r["id"]: r["s"] for r in docs.select("id", tx.score_text("text", scorer, "p double, q double").alias("s")).collect()}
     assert got[1]["p"] == pytest.approx(1 / (1 + math.exp(-1 / 3))) and got[4]["q"] == 0.5
     assert F is not None
@@ -179,3 +183,73 @@ def test_scores_from_all_words(spark):
         rows = {r["d"]: r for r in tx.linear_scores(docs, "d", "text", weights, ["p", "q"], broadcast_rows=limit).collect()}
         assert rows[1]["p"] == pytest.approx(1 / (1 + math.exp(-1 / 3))) and rows[1]["q"] == pytest.approx(1 / (1 + math.exp(2 / 3)))
         assert rows[2]["p"] == rows[3]["q"] == 0.5
+
+
+def reviews(spark, n=600):
+    rng = random.Random(8)
+    good, bad, plain = ["fine", "great", "kind"], ["awful", "vile", "cruel"], ["day", "post", "text", "word", "line"]
+    rows = []
+    for i in range(n):
+        negative = i % 3 == 0
+        words = rng.choices(plain, k=8) + rng.choices(bad if negative else good, k=rng.randrange(1, 3))
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(negative)))
+    return spark.createDataFrame(rows, "id int, t string, y int").repartition(4)
+
+
+def test_trained_scorer_on_held_out_texts(spark, tmp_path):
+    df = reviews(spark)
+    scorer = sc.train_scorer(df.filter("id < 400"), "t", F.col("y") == 1, buckets=512)
+    stored = scorer.save(spark, str(tmp_path / "scorer"))
+    assert stored == scorer == sc.load_scorer(spark, str(tmp_path / "scorer"))
+    scored = df.filter("id >= 400").withColumn("s", stored("t"))
+    assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = scored.collect()
+    assert sum((r["s"]["label"] == "NEGATIVE") == (r["y"] == 1) for r in rows) / len(rows) > 0.97
+    assert all(0.5 <= r["s"]["score"] <= 1 for r in rows)
+
+
+def test_scorer_of_odd_texts(spark):
+    scorer = sc.HashedScorer(tuple(float(i) for i in range(8)), -0.25)
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "One one two"), (4, "one " * 50_000)], "id int, t string")
+    got = {r["id"]: r["l"] for r in df.select("id", scorer.logit("t").alias("l")).collect()}
+    bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8
+    assert got[1] == got[2] == -0.25
+    assert got[3] == pytest.approx(-0.25 + (2 * bucket("one") + bucket("two")) / 3) and got[4] == pytest.approx(-0.25 + bucket("one"))
+    with pytest.raises(ValueError):
+        sc.read_scorer(spark.createDataFrame([(9, 1.0)], "bucket int, weight double"), 8)
+    with pytest.raises(RuntimeError):
+        sc.train_scorer(reviews(spark, 60), "t", F.col("y") == 1, buckets=64, max_steps=1)
+
+
+def test_stored_model_predicts_like_the_fresh_one(spark, tmp_path):
+    df = reviews(spark)
+    stems = spark.createDataFrame([("great", "good"), ("fine", "good"), ("vile", "bad")], "token string, stem string")
+    settings = tm.Settings((0, 1), stop_words=("day", "post"), low=1, high=2, alpha=0.5)
+    fresh = tm.fit_text_model(df.filter("id < 400"), "id", "t", "y", settings, str(tmp_path / "m"), stems)
+    again = tm.load_text_model(spark, str(tmp_path / "m"))
+    assert again.settings == settings and again.words == fresh.words
+    rest = df.filter("id >= 400")
+    rows = {r["id"]: tuple(r) for r in tm.predict(fresh, rest, "id", "t").collect()}
+    assert rows == {r["id"]: tuple(r) for r in tm.predict(again, rest, "id", "t").collect()}
+    truth = {r["id"]: r["y"] for r in rest.collect()}
+    assert sum(rows[i][1] == y for i, y in truth.items()) / len(truth) > 0.97
+    vocabulary = {r["term"] for r in again.terms.collect()}
+    assert "good" in vocabulary and not {"great", "day"} & vocabulary
+    empty = spark.createDataFrame([(1, None), (2, ""), (3, "unseen")], "id int, t string")
+    prior = [math.log(n / sum(fresh.documents)) for n in fresh.documents]
+    for r in tm.predict(again, empty, "id", "t").collect():
+        assert (r["predicted"], [r["score_0"], r["score_1"]]) == (0, pytest.approx(prior))
+
+
+def test_models_that_are_foreign_or_unfinished(spark, tmp_path):
+    df, settings = reviews(spark, 30), tm.Settings((0, 1))
+    with pytest.raises(FileNotFoundError):
+        tm.load_text_model(spark, str(tmp_path / "none"))
+    tm.fit_text_model(df, "id", "t", "y", settings, str(tmp_path / "m"))
+    with pytest.raises(FileExistsError):
+        tm.fit_text_model(df, "id", "t", "y", settings, str(tmp_path / "m"))
+    foreign = spark.createDataFrame([('{"version": 99}',)], "manifest string")
+    foreign.write.parquet(str(tmp_path / "f" / "manifest"))
+    with pytest.raises(ValueError):
+        tm.load_text_model(spark, str(tmp_path / "f"))
