@@ -3,10 +3,8 @@
 Distinct fingerprints are filed into tiles by counts that bound their distance, above
 all by the number of bits that are set.  Pairs of tiles whose counts differ beyond the
 radius are skipped; the rest is compared by exclusive-or and bit counts in numpy.
-For alike texts that gives candidates, whose sets of shingles are compared after it.
 """
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -21,12 +19,8 @@ from .components import connected_components
 from .tiles import merge_labels, part_pairs, parts_for
 
 TILE = 2048
-SET_TILE = 1024
-TILE_SHINGLES = 1 << 18
 SEED = 42
 CHUNK = 65_535  # the most votes that 16-bit sums hold
-# Odd numbers that spread one hash over further words of a wide fingerprint.
-SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -39,14 +33,12 @@ class Close:
 
     shingle: int = 3
     radius: int = 2
-    repeats: bool = True
-    bits: int = 64
 
-    def node(self, words: np.ndarray, hashes: list[int]) -> bytes:
-        return words.astype(">u8").tobytes()
+    def node(self, word: np.ndarray) -> bytes:
+        return word.astype(">u8").tobytes()
 
-    def key(self, words: np.ndarray, n: int) -> list[int]:
-        return np.bitwise_count(words.view(np.uint16)).tolist()
+    def key(self, word: np.ndarray) -> list[int]:
+        return np.bitwise_count(word.view(np.uint16)).tolist()
 
     def steps(self) -> list[tuple[int, ...]]:
         near = product(range(-self.radius, self.radius + 1), repeat=4)
@@ -58,63 +50,8 @@ class Close:
         return lambda at: np.bitwise_count(x[at, None] ^ y[None, :]) <= self.radius
 
 
-@dataclass(frozen=True)
-class Alike:
-    """Texts whose sets of shingles have a Jaccard similarity of at least ``similarity``.
-
-    Wide fingerprints only find candidates, in ``radius`` bits; their sets are then
-    compared exactly.  Sets of that similarity differ in 0.15 of their bits on average,
-    those of four and five shingles in 0.19; the radius is five deviations above that.
-    The sizes of the sets have to be within the ratio, and equal sizes large enough
-    for one shingle to differ.  Filed by size, in steps of the ratio, and by bit count,
-    in steps of the radius; only neighbouring steps can be linked.  A node also holds
-    a digest of the set, so that texts of one node have the same shingles.
-    """
-
-    shingle: int = 5
-    similarity: float = 0.8
-    repeats: bool = False
-    bits: int = 256
-    radius: int = 80
-
-    def node(self, words: np.ndarray, hashes: list[int]) -> bytes:
-        same = xxhash.xxh3_128_digest(as_set(hashes).tobytes())
-        return words.astype("<u8").tobytes() + len(hashes).to_bytes(8, "little") + same
-
-    def key(self, words: np.ndarray, n: int) -> list[int]:
-        size = int(math.log(max(n, 1)) / -math.log(self.similarity) + 1e-9)
-        return [size, int(np.bitwise_count(words).sum()) // (self.radius + 1)]
-
-    def steps(self) -> list[tuple[int, ...]]:
-        return [d for d in product((-1, 0, 1), repeat=2) if d >= (0, 0)]
-
-    def apart(self, a: list[bytes], b: list[bytes]):
-        words = self.bits // 64
-        x, y = (np.frombuffer(b"".join(s), "<u8").reshape(len(s), words + 3) for s in (a, b))
-        sizes, others = x[:, words].astype(float), y[:, words].astype(float)
-
-        def linked(at):
-            far = np.zeros((len(x[at]), len(y)), np.uint16)
-            for w in range(words):
-                far += np.bitwise_count(x[at, w, None] ^ y[None, :, w])
-            p, q = sizes[at, None], others[None, :]
-            # Sets of one size differ in a shingle each, so they share at most p - 1 of p + 1.
-            shared, union = np.minimum(p, q) - (p == q), np.maximum(p, q) + (p == q)
-            return (far <= self.radius) & self.enough(shared, union)
-
-        return linked
-
-    def enough(self, shared, union):
-        return shared + 1e-9 >= self.similarity * union
-
-
-def as_set(hashes: list[int]) -> np.ndarray:
-    """Distinct shingle hashes in order."""
-    return np.unique(np.array(hashes, "<u8"))
-
-
-def shingle_hashes(text: str, scheme: Close | Alike = Close()) -> list[int]:
-    """XXH64 of every shingle, of each distinct one once unless the scheme counts repeats.
+def shingle_hashes(text: str, scheme: Close = Close()) -> list[int]:
+    """XXH64 of every shingle, repeats included.
 
     Words are runs of anything but space and \t-\r, A-Z in lower case.  Fewer words
     than a shingle: the whole sequence; none: nothing.
@@ -131,41 +68,33 @@ def shingle_hashes(text: str, scheme: Close | Alike = Close()) -> list[int]:
     starts = np.concatenate([[0], ends[:-1]])
     pairs = zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())
     hashes = [digest(joined[s:e], SEED) for s, e in pairs]
-    return hashes if scheme.repeats else list(set(hashes))
+    return hashes
 
 
-def fingerprint(hashes: list[int], scheme: Close | Alike = Close()) -> np.ndarray:
-    """The SimHash of shingle hashes as 64-bit words.
+def fingerprint(hashes: list[int]) -> np.ndarray:
+    """The SimHash of shingle hashes as one 64-bit word.
 
     Every shingle votes with its hash; a bit is set by more than half.  No shingles: zero.
     """
-    n_words = scheme.bits // 64
-    votes = np.zeros(scheme.bits, np.int64)
+    votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
-        one = np.array(hashes[at : at + CHUNK], np.uint64)
-        wide = np.empty((len(one), n_words), ">u8")
-        wide[:, 0] = one
-        for w in range(1, n_words):
-            mixed = (one ^ (one >> np.uint64(29))) * np.uint64(SPREAD[w % 4])
-            wide[:, w] = one = mixed ^ (mixed >> np.uint64(32))
-        bits = np.unpackbits(wide.view(np.uint8), axis=1)
+        bits = np.unpackbits(np.array(hashes[at : at + CHUNK], ">u8").view(np.uint8).reshape(-1, 8), axis=1)
         votes += bits.sum(axis=0, dtype=np.uint16)
     return np.packbits(votes * 2 > len(hashes)).view(">u8").astype(np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Close()) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close = Close()) -> DataFrame:
     """``id, text_hash, node, key`` of every document; null texts count as empty.
 
-    ``node`` holds the fingerprint (and, for alike texts, size and digest of the set);
-    ``key`` says which tiles to look in.
+    ``node`` holds the fingerprint, ``key`` says which tiles to look in.
     """
 
     def run(rows):
         made = []
         for key, text, text_hash in rows:
             hashes = shingle_hashes(text, scheme)
-            words = fingerprint(hashes, scheme)
-            made.append((key, text_hash, scheme.node(words, hashes), scheme.key(words, len(hashes))))
+            word = fingerprint(hashes)
+            made.append((key, text_hash, scheme.node(word), scheme.key(word)))
         return made
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -173,7 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_rows(texts, run, f"id {kind}, text_hash long, node binary, key array<int>")
 
 
-def linked(values: DataFrame, scheme: Close | Alike = Close(), tile: int = TILE) -> DataFrame:
+def linked(values: DataFrame, scheme: Close = Close(), tile: int = TILE) -> DataFrame:
     """``a, b``: links that span the groups of the distinct ``node, key`` rows.
 
     Every pair that can be linked is compared; of the links found in one pair of
@@ -183,8 +112,7 @@ def linked(values: DataFrame, scheme: Close | Alike = Close(), tile: int = TILE)
     steps = scheme.steps()
     key = [f"c{i}" for i in range(len(steps[0]))]
     filed = values.select("node", *[F.col("key")[i].alias(k) for i, k in enumerate(key)])
-    # The number of keys is bounded whatever the input: 17**4 for close fingerprints,
-    # and for alike ones five bit counts times the logarithm of the longest text.
+    # The number of keys is bounded whatever the input: 17**4.
     sizes, sizes_path = store(parts_for(filed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), tile), "tile-sizes")
     tiles = (
         filed.join(F.broadcast(sizes.filter("parts > 1").select(*key, "parts")), key, "left")
@@ -217,7 +145,7 @@ def linked(values: DataFrame, scheme: Close | Alike = Close(), tile: int = TILE)
     return links
 
 
-def compare_tiles(x: Sequence[bytes], y: Sequence[bytes], same: bool, scheme: Close | Alike) -> list[tuple[bytes, bytes]]:
+def compare_tiles(x: Sequence[bytes], y: Sequence[bytes], same: bool, scheme: Close) -> list[tuple[bytes, bytes]]:
     """Members of each group inside a pair of tiles, tied to one of its members."""
     everyone = list(x) if same else [*x, *y]
     offset = 0 if same else len(x)
@@ -232,95 +160,17 @@ def compare_tiles(x: Sequence[bytes], y: Sequence[bytes], same: bool, scheme: Cl
     return [(everyone[k], everyone[labels[k]]) for k in np.flatnonzero(labels != np.arange(len(labels)))]
 
 
-def confirmed(docs: DataFrame, prints: DataFrame, candidates: DataFrame, id_col: str, text_col: str, scheme: Alike, tile: int = SET_TILE, shingles: int = TILE_SHINGLES) -> DataFrame:
-    """``a, b``: links that span the groups whose sets of shingles are alike.
-
-    ``candidates`` has the groups (``node, component``) to look in.  The sets of one text
-    per node are read again and all pairs of a candidate group are compared in tiles
-    of at most about ``tile`` sets and ``shingles`` shingles.
-    """
-    spark = docs.sparkSession
-    first = prints.join(candidates, "node").groupBy("node", "component").agg(F.min(F.struct("text_hash", "id")).alias("s"))
-    first, first_path = store(first.select("node", "component", F.col("s.text_hash").alias("_hash"), F.col("s.id").alias("_first")), "set-texts")
-    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    wanted = texts.join(first, (F.col("text_hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_first")))
-
-    def read(rows):
-        return [(node, component, as_set(shingle_hashes(text, scheme)).tobytes()) for node, component, text in rows]
-
-    sets = map_rows(wanted.select("node", "component", "text"), read, "node binary, component binary, hashes binary")
-    sets, sets_path = store(sets, "sets")
-    counts = sets.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("hashes") / 8).alias("m"))
-    parts = F.ceil(F.greatest(F.col("n") / tile, F.col("m") / shingles)).cast("int")
-    # Only groups that need more than one tile, so no more of them than full tiles.
-    large, large_path = store(counts.select("component", parts.alias("parts")).filter("parts > 1"), "set-tiles")
-    tiles = (
-        sets.join(F.broadcast(large), "component", "left")
-        .withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int"))
-        .groupBy("component", "part")
-        .agg(F.collect_list(F.struct("node", "hashes")).alias("sets"))
-    )
-    tiles, tiles_path = store(tiles.select("component", "part", F.col("sets.node").alias("nodes"), F.col("sets.hashes").alias("hashes")), "tiles-of-sets")
-    pairs = part_pairs(large.withColumnsRenamed({"parts": "parts_a"}).withColumn("parts_b", F.col("parts_a")), "true").filter("part_a < part_b")
-    for s in "ab":
-        pairs = pairs.join(tiles.select("component", *[F.col(c).alias(f"{c}_{s}") for c in ("part", "nodes", "hashes")]), ["component", f"part_{s}"])
-    sides = ["nodes_a", "hashes_a", "nodes_b", "hashes_b"]
-    own = tiles.withColumnsRenamed({"nodes": "nodes_a", "hashes": "hashes_a"}).select(
-        *sides[:2], F.array().cast("array<binary>").alias("nodes_b"), F.array().cast("array<binary>").alias("hashes_b")
-    )
-
-    def compare(rows):
-        made = []
-        for row in rows:
-            made.extend(compare_sets(*row, scheme))
-        return made
-
-    links = map_rows(own.unionByName(pairs.select(*sides)), compare, "a binary, b binary", batch=16)
-    links, _ = store(links.distinct(), "links")
-    remove(spark, first_path, sets_path, large_path, tiles_path)
-    return links
-
-
-def compare_sets(x: Sequence[bytes], x_hashes: Sequence[bytes], y: Sequence[bytes], y_hashes: Sequence[bytes], scheme: Alike) -> list[tuple[bytes, bytes]]:
-    """Members of each group of alike sets, tied to one of its members; without ``y`` pairs inside ``x``."""
-    # Texts that came more than once are one node.
-    one, other = (dict(zip(nodes, hashes)) for nodes, hashes in ((x, x_hashes), (y, y_hashes)))
-    everyone = [*one, *other]
-    offset = len(one) if other else 0
-    sets = [np.frombuffer(h, "<u8") for h in (*one.values(), *other.values())]
-    sizes = np.array([len(s) for s in sets])
-    _, places = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    labels = np.arange(len(everyone))
-    held = np.zeros(int(places.max()) + 1 if len(places) else 1, np.uint32)
-    for i in range(len(one)):
-        after = offset or i + 1
-        if after == len(everyone) or (labels[after:] == labels[i]).all():
-            continue
-        mine = places[starts[i] : ends[i]]
-        held[mine] = 1
-        shared = np.add.reduceat(held[places[starts[after] :]], starts[after:] - starts[after])
-        held[mine] = 0
-        j = after + np.flatnonzero(scheme.enough(shared, sizes[i] + sizes[after:] - shared))
-        labels = merge_labels(labels, np.full(len(j), i), j)
-    return [(everyone[k], everyone[labels[k]]) for k in np.flatnonzero(labels != np.arange(len(labels)))]
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Close()) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close = Close()) -> DataFrame:
     """``id, node, component, root, text_hash``: the smallest id that links reach from each document.
 
     ``root`` is the same for all documents of a group, ``text_hash`` tells rows with equal ids apart.
-    Documents with equal fingerprints (for alike texts: equal sets of shingles) are linked,
-    those without words among them.
+    Documents with equal fingerprints are linked, those without words among them.
     Null ids take part but never name a component unless its ids are all null.
     Repeated rows come back as often as they came; an empty table gives no rows.
     """
     prints, _ = store(fingerprints(docs, id_col, text_col, scheme), "fingerprints")
     classes, _ = store(prints.groupBy("node", "key").agg(F.min("id").alias("first")), "classes")
     roots = connected_components(linked(classes.select("node", "key"), scheme))
-    if isinstance(scheme, Alike):
-        roots = connected_components(confirmed(docs, prints, roots, id_col, text_col, scheme))
     grouped = classes.join(roots, "node", "left").select(
         "node", "first", F.coalesce("component", "node").alias("root")
     )
@@ -329,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "node").select("id", "node", "component", "root", "text_hash")
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close | Alike = Alike()) -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Close = Close()) -> DataFrame:
     """One document of each group, the one with the smallest id, with all columns.
 
     Where rows repeat that id, the text with the smallest hash stays, and of identical

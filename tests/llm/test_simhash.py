@@ -48,42 +48,21 @@ def test_tiles_against_all_pairs(spark, tile):
             values.add(at)
             at ^= 1 << int(rng.integers(64)) | 1 << int(rng.integers(64))
     scheme = simhash.Close()
-    rows = [(np.array([v], ">u8").tobytes(), scheme.key(np.array([v], np.uint64), 1)) for v in values]
+    rows = [(np.array([v], ">u8").tobytes(), scheme.key(np.array([v], np.uint64))) for v in values]
     links = simhash.linked(spark.createDataFrame(rows, "node binary, key array<int>"), scheme, tile).collect()
     made = smallest_linked(values, [(int.from_bytes(a, "big"), int.from_bytes(b, "big")) for a, b in links])
     assert made == plain_groups({v: v for v in values})
 
 
-def changed(words, share, rng):
-    return [f"new{rng.integers(1 << 40)}" if rng.random() < share else w for w in words]
-
-
-def test_alike_texts_are_found_and_others_kept(spark):
-    rng = np.random.default_rng(5)
-    shingles = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
-    texts = []
-    for g in range(60):
-        words = [f"w{i}" for i in rng.zipf(1.3, int(rng.integers(60, 600))) % 5000]
-        texts += [words, changed(words, 0.01, rng), changed(words, 0.15, rng)]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.kept_documents(docs).collect()}
-    for i in range(0, len(texts), 3):
-        a, b, c = map(shingles, texts[i : i + 3])
-        assert i in kept and i + 2 in kept
-        if len(a & b) >= 0.85 * len(a | b):
-            assert i + 1 not in kept
-
-
 def test_odd_documents(spark):
-    for scheme in (simhash.Close(), simhash.Alike()):
-        rows = simhash.near_duplicates(odd_docs(spark), scheme=scheme).collect()
-        assert len(rows) == 10
-        found = {}
-        for r in rows:
-            found.setdefault(r["id"], []).append(r["component"])
-        assert found[2] == [1] and found[4] == [3] and found[6] == [6, 6]
-        assert sorted(found[None], key=str) == [3, None, None]
-        assert simhash.near_duplicates(no_docs(spark), scheme=scheme).count() == 0
+    rows = simhash.near_duplicates(odd_docs(spark)).collect()
+    assert len(rows) == 10
+    found = {}
+    for r in rows:
+        found.setdefault(r["id"], []).append(r["component"])
+    assert found[2] == [1] and found[4] == [3] and found[6] == [6, 6]
+    assert sorted(found[None], key=str) == [3, None, None]
+    assert simhash.near_duplicates(no_docs(spark)).count() == 0
     kept = simhash.kept_documents(odd_docs(spark))
     assert kept.columns == odd_docs(spark).columns
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 5, 6, None]
@@ -100,55 +79,15 @@ def test_components_of_every_shape(spark):
     assert connected_components(spark.createDataFrame([], "a string, b string")).count() == 0
 
 
-def test_alike_texts_are_confirmed_by_their_shingles(spark):
-    """Jaccard 0.8 exactly is removed, short texts included; 0.6 to 0.78 stay."""
-    texts, expected = [], []
-    for g in range(40):
-        nine = [f"g{g}w{i}" for i in range(9)]
-        many = [f"g{g}m{i}" for i in range(104)]
-        for size in (60, 70, 78):
-            # As many shingles behind the shared ones on either side: size of 100 are shared.
-            rest = (100 - size) // 2
-            shared = [f"g{g}s{size}x{i}" for i in range(size + 4)]
-            texts += [shared + [f"g{g}a{size}x{i}" for i in range(rest)], shared + [f"g{g}b{size}x{i}" for i in range(rest)]]
-            expected += [True, True]
-        texts += [nine, nine[:8], many, many[:84], many[:50]]
-        expected += [True, False, True, False, True]
-        three = [f"g{g}t{i}" for i in range(9)]
-        texts += [three, three[:7]]
-        expected += [True, True]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
-    kept = {r["doc_id"] for r in simhash.kept_documents(docs).collect()}
-    assert kept == {i for i, stays in enumerate(expected) if stays}
-
-
-def test_tiles_of_sets_against_all_pairs(spark):
-    rng = np.random.default_rng(8)
-    texts = []
-    for g in range(4):
-        words = [f"g{g}w{i}" for i in range(60)]
-        texts += [changed(words, 0.03, rng) for _ in range(12)]
-    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "id long, text string")
-    scheme = simhash.Alike()
-    prints = simhash.fingerprints(docs, "id", "text", scheme)
-    nodes = {r["id"]: bytes(r["node"]) for r in prints.collect()}
-    groups = spark.createDataFrame([(n, b"all") for n in set(nodes.values())], "node binary, component binary")
-    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
-    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    right = smallest_linked(set(nodes.values()), [(nodes[i], nodes[j]) for i, j in pairs])
-    assert 4 < len(set(right.values())) < len(right)
-    for tile, shingles in ((1024, 1 << 18), (5, 1 << 18), (1024, 300)):
-        links = simhash.confirmed(docs, prints, groups, "id", "text", scheme, tile, shingles).collect()
-        assert smallest_linked(set(nodes.values()), [(bytes(r["a"]), bytes(r["b"])) for r in links]) == right
-
-
-def test_kept_documents_against_all_pairs_of_shingle_sets(spark):
+def test_kept_documents_against_all_pairs(spark):
+    """The stage keeps the smallest id of each group that the contract's links make."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sets = {}
-    for r in docs.collect():
-        words = fold(r["text"] or "").split()
-        sets[r["doc_id"]] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-    ids = sorted(sets)
-    links = [(a, b) for a in ids for b in ids if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in docs.collect()}
     kept = {r["doc_id"] for r in simhash.kept_documents(docs).collect()}
-    assert kept == set(smallest_linked(ids, links).values())
+    assert kept == set(plain_groups(prints).values())
+
+
+def test_long_texts_vote_in_chunks():
+    hashes = [xxhash.xxh64_intdigest(str(i).encode(), 42) for i in range(simhash.CHUNK + 1000)]
+    right = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert int(simhash.fingerprint(hashes)[0]) == right and int(simhash.fingerprint([])[0]) == 0
