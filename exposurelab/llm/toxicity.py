@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows, quoted
+from .common import id_and_text, map_rows, quoted, remove, store
 
 SAMPLE = 8_192
 FEATURES = 512
@@ -76,11 +76,11 @@ def train(
     features: int = FEATURES,
     folds: int = FOLDS,
 ) -> Chain:
-    """Fit the chain on at most about ``sample`` labelled rows.
+    """Fit the chain on about ``sample`` labelled rows, twice as many where ids repeat.
 
     ``labels`` has the id and a 0/1 column for each category, in the order of the
     chain; null labels are left out of their category and equal label rows count once.  The sample is drawn by a
-    hash of the id.  Without any labelled row of both classes a category predicts
+    hash of the id; rows with the same id and text are one.  Without any labelled row of both classes a category predicts
     its share of ones (one half without labels).
     """
     known = labels.select(quoted(id_col).alias("_label_id"), *[quoted(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories)])
@@ -88,9 +88,16 @@ def train(
     total = known.count()
     share = int(min(1.0, sample / max(total, 1)) * (1 << 30))
     drawn = known.filter(F.pmod(F.xxhash64("_label_id"), F.lit(1 << 30)) < share)
-    text = id_and_text(docs, id_col, text_col)
+    text = id_and_text(docs, id_col, text_col).withColumn("_text", F.xxhash64("text"))
     # The sample is bounded by its parameter, so it can go to every task.
-    rows = text.join(F.broadcast(drawn), F.col("id") == F.col("_label_id")).drop("_label_id")
+    drawn = drawn.withColumnRenamed("_label_id", "id")
+    # An id may have many rows: equal ones count once, and of more than twice the sample a part is drawn.
+    pairs = text.select("id", "_text").join(F.broadcast(drawn.select("id").distinct()), "id").distinct()
+    pairs, pairs_path = store(pairs, "toxicity-pairs")
+    part = int(min(1.0, 2 * sample / max(pairs.count(), 1)) * (1 << 30))
+    pairs = pairs.filter(F.pmod(F.xxhash64("_text", "id"), F.lit(1 << 30)) < part)
+    rows = text.join(F.broadcast(pairs), ["id", "_text"]).dropDuplicates(["id", "_text"]).drop("_text")
+    rows, rows_path = store(rows.join(F.broadcast(drawn), "id"), "toxicity-sample")
     ys = [f"_y{i}" for i in range(len(categories))]
 
     def count(part):
@@ -123,6 +130,7 @@ def train(
 
     kind = docs.schema[id_col].dataType.simpleString()
     marked = map_rows(rows.select("id", "text", *ys), mark, f"id {kind}, found array<int>, y array<int>").collect()
+    remove(docs.sparkSession, pairs_path, rows_path)
     marked.sort(key=lambda r: (r[0], r[1]))
     x = np.zeros((len(marked), len(index)), np.float32)
     for k, r in enumerate(marked):
@@ -182,6 +190,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int
         if abs(now - new) <= 1e-8 * max(1.0, abs(now)):
             break
         now = new
+    else:
+        raise RuntimeError(f"no convergence in {steps} steps")
     return w[:-1], float(w[-1])
 
 

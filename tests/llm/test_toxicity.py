@@ -75,3 +75,22 @@ def test_odd_documents_and_labels(spark):
     assert toxicity.non_toxic(odd_docs(spark), chain).columns == odd_docs(spark).columns
     empty = toxicity.train(no_docs(spark), labels.limit(0), ["toxic"])
     assert empty.predict("anything")[0] == pytest.approx(0.5)
+
+
+def test_the_sample_is_bounded_however_often_an_id_comes(spark, monkeypatch):
+    """One labelled id on 5,000 different rows and one on 5,000 equal ones."""
+    docs = [(7, f"text {i} of one id") for i in range(5000)] + [(8, "the same text")] * 5000 + [(i, f"w{i} other") for i in range(9, 19)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7, 19)], "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, *rest: seen.append(len(x)) or fit(x, *rest))
+    toxicity.train(frame, labels, ["toxic"], sample=20)
+    # Twice the sample, as far as a draw by hash keeps to it.
+    assert 0 < seen[0] <= 80
+
+
+def test_fits_that_do_not_settle_raise():
+    x = np.random.default_rng(1).random((50, 3))
+    with pytest.raises(RuntimeError):
+        toxicity.fit_logistic(x, (x[:, 0] > 0.5).astype(int), steps=1)
