@@ -22,7 +22,7 @@ from .common import arrow_schema, quoted
 MAX_TOKENS = 2048
 MAX_SEGMENTS = 256
 WINDOW = 1024
-CACHED = 300_000
+CACHED = 150_000
 PIECES = (
     "start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary"
 )
