@@ -104,3 +104,73 @@ def normal_quantile(c) -> Column:
     p = as_column(c)
     found = bind(p, lambda v: bind(start(v), lambda x: refine(v, x)))
     return F.when((p > 0) & (p < 1), found)
+
+
+# Series of log(gamma(z + 1/2) / gamma(z)) - log(z) / 2 in 1/z, 1/z^3, ...
+HALF_STEP = (-1 / 8, 1 / 192, -1 / 640, 17 / 14336, -31 / 18432)
+HALF_STEP_FROM = 12
+
+
+def _log_half_step(z: Column) -> Column:
+    """log(gamma(z + 1/2) / gamma(z)) for z > 0, moved up to where the series is exact."""
+    far = z + HALF_STEP_FROM
+    below = F.lit(0.0)
+    for i in range(HALF_STEP_FROM):
+        below = below + F.log1p(0.5 / (z + i))
+    series = F.lit(0.0)
+    for coefficient in reversed(HALF_STEP):
+        series = series / (far * far) + coefficient
+    return 0.5 * F.log(far) + series / far - below
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function, with as many terms as its size asks for."""
+    nonzero = lambda c: F.when(c == 0, 1e-300).otherwise(c)
+
+    def turn(state, term):
+        d = 1 / nonzero(1 + term * state["d"])
+        c = nonzero(1 + term / state["c"])
+        return F.struct((state["total"] * d * c).alias("total"), c.alias("c"), d.alias("d"))
+
+    def step(state, m):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        return bind(turn(state, even), lambda s: turn(s, odd))
+
+    first = 1 / nonzero(1 - (a + b) * x / (a + 1))
+    start = F.struct(first.alias("total"), F.lit(1.0).alias("c"), first.alias("d"))
+    steps = F.sequence(F.lit(1), (60 + F.ceil(5 * F.sqrt(F.greatest(a, b)))).cast("int"))
+    return F.aggregate(steps, start, step, lambda s: s["total"])
+
+
+def student_p(t, freedom) -> Column:
+    """Two-sided p value of Student's t, P(|T| >= |t|); null for no degrees of freedom.
+
+    The work per row grows with the square root of the degrees of freedom, so
+    over the groups of a table it stays below one step per row of the table.
+    """
+    named = F.struct(
+        as_column(t).cast("double").alias("t"), as_column(freedom).cast("double").alias("f")
+    )
+
+    def tail(v):
+        share = F.struct((v["f"] / (v["f"] + v["t"] * v["t"])).alias("x"), (v["f"] / 2).alias("a"))
+
+        def inside(w):
+            a, x = w["a"], w["x"]
+            rest = v["t"] * v["t"] / (v["f"] + v["t"] * v["t"])
+            front = F.exp(_log_half_step(a) - 0.5 * math.log(math.pi) - a * F.log1p(v["t"] * v["t"] / v["f"]) + 0.5 * F.log(rest))
+            # The fraction settles fast on one side of the peak only.
+            swap = x > (a + 1) / (a + 2.5)
+            half = F.lit(0.5)
+            args = F.struct(
+                F.when(swap, half).otherwise(a).alias("a"),
+                F.when(swap, a).otherwise(half).alias("b"),
+                F.when(swap, rest).otherwise(x).alias("x"),
+            )
+            value = front * bind(args, lambda g: _beta_fraction(g["a"], g["b"], g["x"]) / g["a"])
+            return F.when(swap, 1 - value).otherwise(value)
+
+        return F.when(v["t"] == 0, 1.0).when(v["f"] > 0, bind(share, inside))
+
+    return F.when(named["f"] > 0, bind(named, tail))

@@ -1,11 +1,11 @@
 """Exact quantiles, summaries, histograms, distributions and correlations."""
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.links import student_p
 from .scan import running_weight
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -142,45 +142,9 @@ def pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     return pairs.groupBy(*by).agg(r.alias("r"), n.alias("n"), t.alias("t"))
 
 
-def student_two_sided(t: float, df: float) -> float:
-    """P(|T| >= |t|) for Student's t, by the continued fraction of the beta integral."""
-    x, a, b = df / (df + t * t), df / 2.0, 0.5
-    if x >= 1.0:
-        return 1.0
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - _beta_ratio(1.0 - x, b, a)
-    return _beta_ratio(x, a, b)
-
-
-def _beta_ratio(x: float, a: float, b: float) -> float:
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    tiny, c, d = 1e-300, 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1))
-    total = d
-    for m in range(1, 10_000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        change = 1.0
-        for term in (even, odd):
-            d = 1.0 / ((1.0 + term * d) or tiny)
-            c = (1.0 + term / c) or tiny
-            total *= d * c
-            change = d * c
-        if abs(change - 1.0) < 1e-15:
-            break
-    return front * total / a
-
-
-def pearson_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    """``pearson`` with the two-sided p value; one row passes the driver."""
-    row = pearson(df, x, y).first()
-    p = None
-    if row["t"] is not None and row["n"] > 2:
-        p = student_two_sided(row["t"], row["n"] - 2)
-    return df.sparkSession.createDataFrame(
-        [(row["r"], row["n"], row["t"], p)], "r double, n long, t double, p_value double"
-    )
+def pearson_test(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """``pearson`` with the two-sided p value, overall or per key."""
+    return pearson(df, x, y, by).withColumn("p_value", student_p("t", F.col("n") - 2))
 
 
 def zscores(df: DataFrame, columns: Sequence[str], suffix: str = "_norm") -> DataFrame:

@@ -8,7 +8,7 @@ from ...operators import causal, glm, mixed
 from ...operators.match import keep_both_sides, keep_users
 from ...operators.stats import histogram
 from ...sources.readers import file_versions
-from .registry import Tables, query, rounded
+from .registry import Tables, p_sql, query, rounded
 
 DAY = 86_400.0
 URGENT = ["1-URGENT", "2-HIGH"]
@@ -219,9 +219,13 @@ def score_association(t):
     return result.select(F.round("r", 6).alias("r"), "n", F.round("t", 4).alias("t"))
 
 
-@query()
+@query(f"""{SCORES},
+s as (select corr(a, b) as r, count(*) as n, corr(a, b) * sqrt((count(*) - 2) / (1 - corr(a, b) * corr(a, b))) as t from logits)
+select round(r, 6) as r, n, round(t, 4) as t, {p_sql('t', 'n - 2')} as p_value from s
+""")
 def score_association_test(t):
-    return causal.score_association(scored_exposures(t), *PAIR, test=True)
+    result = causal.score_association(scored_exposures(t), *PAIR, test=True)
+    return result.select(F.round("r", 6).alias("r"), "n", F.round("t", 4).alias("t"), F.round("p_value", 6).alias("p_value"))
 
 
 @query(f"""{SCORES}
@@ -254,24 +258,51 @@ def glm_probit_ate(t):
     return rounded(glm.glm_ate(rows, "day", "x", "y"), 4)
 
 
-@query()
-def glm_hourly_ate(t):
+def hourly_cells(t: Tables) -> DataFrame:
     """Hour strata on the event timeline: purchases treat, high values answer."""
-    rows = t.events.select(
+    return t.events.select(
         round_time("ts", "hour").alias("hour"),
         (F.col("event_type") == "purchase").cast("int").alias("x"),
         (F.col("value") > 50).cast("int").alias("y"),
     )
-    return rounded(glm.glm_ate(rows, "hour", "x", "y"), 4)
 
 
 @query()
-def glm_covariates(t):
+def glm_hourly_ate(t):
+    return rounded(glm.glm_ate(hourly_cells(t), "hour", "x", "y"), 4)
+
+
+def priority_rows(t: Tables) -> DataFrame:
     accounts = t.customer.select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
-    rows = t.orders.join(accounts, "o_custkey").select(
+    return t.orders.join(accounts, "o_custkey").select(
         F.col("o_orderpriority").isin(URGENT).cast("int").alias("label"), "o_totalprice", "c_acctbal"
     )
-    return rounded(glm.covariate_glm(rows, "label", ["o_totalprice", "c_acctbal"]), 4)
+
+
+@query()
+def glm_covariates(t):
+    return rounded(glm.covariate_glm(priority_rows(t), "label", ["o_totalprice", "c_acctbal"]), 4)
+
+
+@query("""
+with c as (select date_trunc('hour', ts + interval 30 minute) as hour, cast(event_type = 'purchase' as int) as x, cast(value > 50 as int) as y from events)
+select strftime(hour, '%Y-%m-%d %H') as stratum, round(sum(y), 3) + 0.0 as observed, round(sum(y), 3) + 0.0 as fitted from c where y is not null group by 1
+union all select null, sum(y) + 0.0, sum(y) + 0.0 from c where x = 1""")
+def glm_logit_margins(t):
+    """A logit fit on hour strata gives back the successes of every hour and of the treated."""
+    margins = glm.glm_margins(hourly_cells(t), "hour", "x", "y")
+    return rounded(margins.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH")).withColumnRenamed("hour", "stratum"), 3)
+
+
+@query("""
+with c as (select cast(o_orderpriority in ('1-URGENT', '2-HIGH') as int) as y, cast(o_totalprice as double) as p, cast(c_acctbal as double) as b
+  from orders join customer on o_custkey = c_custkey),
+m as (select avg(p) as mp, stddev_samp(p) as sp, avg(b) as mb, stddev_samp(b) as sb from c)
+select 'o_totalprice_norm' as term, round(sum(y * (p - mp) / sp), 3) as observed, round(sum(y * (p - mp) / sp), 3) as fitted from c, m
+union all select 'c_acctbal_norm', round(sum(y * (b - mb) / sb), 3), round(sum(y * (b - mb) / sb), 3) from c, m
+union all select 'intercept', sum(y) + 0.0, sum(y) + 0.0 from c""")
+def glm_covariate_margins(t):
+    return rounded(glm.covariate_margins(priority_rows(t), "label", ["o_totalprice", "c_acctbal"]), 3)
 
 
 _fits: dict[tuple, mixed.MixedFit] = {}

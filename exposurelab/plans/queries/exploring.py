@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ...functions.times import epoch_us, floor_time, round_time
 from ...operators import causal, explore, stats
-from .registry import Tables, query, rounded
+from .registry import Tables, p_sql, query, rounded
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
@@ -287,6 +287,18 @@ def score_pairs(t):
     return pairs.select("event_type", F.round("r", 6).alias("r"), "n", F.round("t", 4).alias("t"))
 
 
+@query(f"""
+with s as (select user_id % 50 as cohort, corr(value, k) as r, count(*) as n,
+       corr(value, k) * sqrt((count(*) - 2) / (1 - corr(value, k) * corr(value, k))) as t
+from (select user_id, value, cast(json_extract(props, '$.k') as double) as k from events) group by 1 having count(*) > 2)
+select cohort, n, round(r, 6) as r, {p_sql('t', 'n - 2')} as p_value from s""")
+def score_pairs_test(t):
+    """The association by cohort of users, with its p value."""
+    rows = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    cohorts = stats.pearson_test(rows.withColumn("cohort", F.col("user_id") % 50), "value", "k", ["cohort"])
+    return cohorts.filter("n > 2").select("cohort", "n", F.round("r", 6).alias("r"), F.round("p_value", 6).alias("p_value"))
+
+
 @query("""
 with v as (select event_type, value, cast(json_extract(props, '$.k') as double) as k from events),
 e as (select min(value) as lv, max(value) as hv, min(k) as lk, max(k) as hk from v)

@@ -56,3 +56,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
             for n, t in df.dtypes
         ]
     )
+
+
+def p_sql(t: str, freedom: str, steps: int = 2_000) -> str:
+    """Two-sided p value of Student's t in SQL: Simpson's rule on cos(angle)^(freedom - 1)."""
+    weight = f"case when i in (0, {steps}) then 1 when i % 2 = 1 then 4 else 2 end"
+    angle = f"atan(abs({t}) / sqrt({freedom}))"
+    area = f"list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * pow(cos(i * {angle} / {steps}), ({freedom}) - 1)))"
+    norm = f"exp(lgamma((({freedom}) + 1) / 2.0) - lgamma(({freedom}) / 2.0)) / sqrt(pi())"
+    return f"round(greatest(1 - 2 * {norm} * {area} * {angle} / {3 * steps}, 0), 6)"

@@ -121,6 +121,63 @@ def test_absorbed_glm_equals_dense_glm(spark, study):
             ).transform(df.select(F.col("y").cast("double"), F.col("x").cast("double"), F.col("g").cast("string")))
         ).groupBy("g").pivot("x", [0.0, 1.0]).agg(F.avg("prediction")).toPandas()
         assert row["ate"] == pytest.approx((fitted["1.0"] - fitted["0.0"]).mean(), abs=1e-6)
+        assert row["coefficient_se"] == pytest.approx(dense.summary.coefficientStandardErrors[0], rel=1e-5)
+        assert row["ate_se"] == pytest.approx(dense_ate_error(study[study["g"] < 90], row["coefficient"], dense, link), rel=1e-4)
+
+
+def dense_ate_error(data, beta, dense, link):
+    """Delta method with the whole information matrix; the fitted means come from plain Newton steps per stratum."""
+    normal = __import__("statistics").NormalDist()
+    mean = (lambda e: 1 / (1 + math.exp(-e))) if link == "logit" else normal.cdf
+    slope = (lambda e: mean(e) * (1 - mean(e))) if link == "logit" else normal.pdf
+    cells = data.groupby(["g", "x"])["y"].agg(["size", "sum"]).unstack("x", fill_value=0)
+    strata = []
+    for _, r in cells.iterrows():
+        n, k = (r["size", 0], r["size", 1]), (r["sum", 0], r["sum", 1])
+        if not 0 < sum(k) < sum(n):
+            strata.append(None)
+            continue
+        low, high = -12.0, 12.0
+        for _ in range(80):
+            a = (low + high) / 2
+            score = sum(slope(e) * (k[i] - n[i] * mean(e)) / (mean(e) * (1 - mean(e))) for i, e in enumerate((a, a + beta)) if n[i])
+            low, high = (a, high) if score > 0 else (low, a)
+        strata.append((a, n))
+    size = len(strata) + 1
+    information, gradient = np.zeros((size, size)), np.zeros(size)
+    for j, s in enumerate(strata):
+        if s is None:
+            information[j, j] = 1.0
+            continue
+        for arm, eta in enumerate((s[0], s[0] + beta)):
+            if not s[1][arm]:
+                continue
+            weight = s[1][arm] * slope(eta) ** 2 / (mean(eta) * (1 - mean(eta)))
+            row = np.zeros(size)
+            row[j], row[-1] = 1.0, arm
+            information += weight * np.outer(row, row)
+            gradient += (1 if arm else -1) * slope(eta) * row / len(strata)
+    return math.sqrt(gradient @ np.linalg.solve(information, gradient))
+
+
+def test_glm_margins_equal_the_data(spark, study):
+    rows = glm.glm_margins(spark.createDataFrame(study), "g", "x", "y").collect()
+    assert len(rows) == study["g"].nunique() + 1
+    for r in rows:
+        assert r["fitted"] == pytest.approx(r["observed"], abs=1e-4)
+    assert [r["observed"] for r in rows if r["g"] is None] == [study.loc[study["x"] == 1, "y"].sum()]
+
+
+def test_separated_strata_raise(spark):
+    rows = [(1, 0, 0), (1, 1, 1), (2, 0, 0), (2, 1, 1), (2, 1, 1), (3, 0, 0), (3, 1, 0)]
+    df = spark.createDataFrame(rows, "g int, x int, y int")
+    with pytest.raises(ValueError, match="separate"):
+        glm.glm_ate(df, "g", "x", "y")
+    with pytest.raises(ValueError, match="separate"):
+        glm.glm_ate(df.withColumn("x", 1 - F.col("x")), "g", "x", "y")
+    # Without a stratum that has both arms and both outcomes nothing is estimated.
+    row = glm.glm_ate(df.filter("g = 3"), "g", "x", "y").first()
+    assert (row["coefficient"], row["coefficient_se"], row["ate_se"], row["n_constant"]) == (0.0, None, None, 1)
 
 
 def test_glm_strata_without_variation(spark):

@@ -68,6 +68,8 @@ def test_pearson_against_numpy(spark):
     assert row["r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
     assert row["t"] == pytest.approx(row["r"] * np.sqrt(298 / (1 - row["r"] ** 2)))
     assert 0 < row["p_value"] < 1e-3
+    halves = stats.pearson_test(df.withColumn("h", F.col("x") > 0), "x", "y", ["h"]).collect()
+    assert len(halves) == 2 and all(0 < r["p_value"] <= 1 for r in halves)
 
 
 def test_zscores(spark):

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from exposurelab.functions import links, times, tokens
-from exposurelab.operators.stats import student_two_sided
 
 
 def one(spark, column, **values):
@@ -61,12 +60,23 @@ def test_links_invert(spark):
     assert one(spark, links.log1p("p"), p=0.5) == pytest.approx(math.log(1.5))
 
 
-def test_student_p_value():
+def test_student_p_value(spark):
     # Exact values: df=1 is the Cauchy distribution, df=2 has a closed form.
-    assert student_two_sided(1.0, 1) == pytest.approx(0.5, abs=1e-12)
-    assert student_two_sided(2.0, 2) == pytest.approx(1 - 2 / math.sqrt(6), abs=1e-12)
-    assert student_two_sided(0.0, 5) == 1.0
-    assert student_two_sided(1.96, 10**7) == pytest.approx(0.05, abs=1e-4)
+    rows = [(1.0, 1), (2.0, 2), (0.0, 5), (1.96, 10**7), (-30.0, 1), (2.5, 400), (1.0, 0), (None, 3), (0.5, 10**6)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t double, n long")
+    p = [r["p"] for r in df.orderBy("i").select(links.student_p("t", "n").alias("p")).collect()]
+    assert p[0] == pytest.approx(0.5, abs=1e-12)
+    assert p[1] == pytest.approx(1 - 2 / math.sqrt(6), abs=1e-12)
+    assert p[2] == 1.0
+    assert p[3] == pytest.approx(0.05, abs=1e-4)
+    assert p[4] == pytest.approx(2 * math.atan(1 / 30) / math.pi, rel=1e-10)
+    # By numeric integration of the density.
+    norm = math.exp(math.lgamma(200.5) - math.lgamma(200)) / math.sqrt(400 * math.pi)
+    steps = 20_000
+    area = sum((1 if i in (0, steps) else 4 if i % 2 else 2) * (1 + (2.5 * i / steps) ** 2 / 400) ** -200.5 for i in range(steps + 1))
+    assert p[5] == pytest.approx(1 - 2 * norm * area * 2.5 / steps / 3, rel=1e-8)
+    assert p[6] is None and p[7] is None
+    assert p[8] == pytest.approx(math.erfc(0.5 / math.sqrt(2)), abs=1e-6)
 
 
 def test_post_tokens(spark):
