@@ -1,5 +1,6 @@
 """Counts, checks, calendars, samples and set operations."""
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -8,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import as_column
 from ..functions.times import round_time
-from .stats import describe, summarise
+from .stats import QUARTILES, describe, summarise
 
 
 # ---- projections and filters -------------------------------------------------
@@ -224,6 +225,49 @@ def daily_band(df: DataFrame, time: str, value: str, by: Sequence[str] = (), z:
     )
 
 
+# Draws of 16 bits that one digest holds.
+DRAWS = 8
+# How many of 65,536 draws a Poisson count of mean 1 leaves at k or fewer, k = 0, 1, ...
+POISSON_STEPS = [int(65_536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+
+
+def bootstrap_band(
+    df: DataFrame, time: str, value: str, key: str, by: Sequence[str] = (), replicates: int = 200, level: float = 0.95, seed: str = ""
+) -> DataFrame:
+    """Mean per rounded day with a percentile bootstrap band.
+
+    Replicate b gives each row a Poisson weight of mean 1 that depends on ``key``,
+    b and ``seed`` alone, so a row never has to meet the others of its day: all
+    weighted sums are one aggregate that map tasks begin, and every run and
+    cluster draws the same.  A replicate without any row of a day is left out there.
+    """
+    keys = [*by, "day"]
+    rows = df.dropna(subset=[*by, time, value]).select(
+        *by, round_time(time, "day").alias("day"), F.col(value).cast("double").alias("_v"), F.col(key).cast("string").alias("_key")
+    )
+    blocks = -(-replicates // DRAWS)
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).withColumn(
+        "_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col("_block").cast("string"), "_key"))
+    )
+    sums = []
+    for i in range(DRAWS):
+        draw = F.conv(F.substring("_hash", 4 * i + 1, 4), 16, 10).cast("int")
+        weight = F.lit(0)
+        for step in POISSON_STEPS:
+            weight = weight + (draw >= step).cast("int")
+        sums += [F.sum(weight).alias(f"_w{i}"), F.sum(weight * F.col("_v")).alias(f"_s{i}")]
+    per_block = drawn.groupBy(*keys, "_block").agg(*sums, F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"))
+    means = F.array(*[
+        F.when(F.col("_block") * DRAWS + i < replicates, F.try_divide(F.col(f"_s{i}"), F.col(f"_w{i}"))) for i in range(DRAWS)
+    ])
+    spread = per_block.select(*keys, "_n", F.when(F.col("_block") == 0, F.col("_mean")).alias("_mean"), F.explode(means).alias("_m"))
+    tail = (1 - level) / 2
+    return spread.groupBy(*keys).agg(
+        F.max("_n").alias("n"), F.max("_mean").alias("mean"),
+        F.percentile("_m", F.lit(tail)).alias("low"), F.percentile("_m", F.lit(1 - tail)).alias("high"),
+    )
+
+
 # ---- profile -----------------------------------------------------------------
 
 def shape(df: DataFrame) -> DataFrame:
@@ -236,46 +280,49 @@ def shape(df: DataFrame) -> DataFrame:
     )
 
 
+def value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, value, n``: every distinct value of every column as text, nulls included.
+
+    One scan; map tasks count before anything is shuffled.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row per column: type, rows, missing, distinct, extremes and moments.
+    """One row per column: type, rows, missing, distinct, extremes, most frequent value, moments and quartiles.
 
-    One pass for all columns but the distinct counts, which need a pass each.
+    All of it comes from one table of (column, value, count), which a single scan
+    makes; its shuffle is read again for the quartiles.  ``top`` is the most
+    frequent value, among equals the first as text.  Moments and quartiles are of
+    numeric columns.  An empty table has no rows to explode and gives no profile.
     """
-    fields = {f.name: f.dataType for f in df.schema.fields if columns is None or f.name in columns}
-    parts = [F.count(F.lit(1)).alias("rows")]
-    for name, kind in fields.items():
-        numeric = isinstance(kind, T.NumericType)
-        real = F.col(name).cast("double") if numeric else F.lit(None).cast("double")
-        parts.append(
-            F.struct(
-                F.count(name).alias("present"),
-                F.min(name).cast("string").alias("smallest"),
-                F.max(name).cast("string").alias("largest"),
-                F.avg(real).alias("mean"),
-                F.stddev_samp(real).alias("std"),
-            ).alias(f"s_{name}")
-        )
-    stats = df.agg(*parts)
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.lit(kind.simpleString()).alias("type"),
-                    F.col("rows").alias("n_rows"),
-                    (F.col("rows") - F.col(f"s_{name}.present")).alias("n_missing"),
-                    *[F.col(f"s_{name}.{c}").alias(c) for c in ("smallest", "largest", "mean", "std")],
-                )
-                for name, kind in fields.items()
-            ]
-        )
-    ).alias("r")
-    profile = stats.select(rows).select("r.*")
-    distinct = None
-    for name in fields:
-        one = df.agg(F.count_distinct(name).alias("n_distinct")).select(F.lit(name).alias("column"), "n_distinct")
-        distinct = one if distinct is None else distinct.unionByName(one)
-    return profile.join(distinct, "column")
+    kinds = {f.name: f.dataType for f in df.schema.fields if columns is None or f.name in columns}
+    numeric = [c for c, k in kinds.items() if isinstance(k, T.NumericType)]
+    exact = [c for c in numeric if not isinstance(kinds[c], (T.FloatType, T.DoubleType))]
+    only = lambda names, kind: F.when(F.col("column").isin(names), F.expr(f"try_cast(value AS {kind})"))
+    counts = value_rows(df, list(kinds))
+    # Numbers are ordered as numbers, whole ones beyond the precision of doubles, too.
+    order = F.struct(only(numeric, "double").alias("real"), only(exact, "decimal(38, 18)").alias("exact"), F.col("value"))
+    present = F.col("value").isNotNull()
+    facts = counts.groupBy("column").agg(
+        F.sum("n").alias("n_rows"),
+        F.sum(F.when(present, 0).otherwise(F.col("n"))).alias("n_missing"),
+        F.count("value").alias("n_distinct"),
+        F.min(F.when(present, order))["value"].alias("smallest"),
+        F.max(F.when(present, order))["value"].alias("largest"),
+        F.min(F.when(present, F.struct((-F.col("n")).alias("less"), F.col("value")))).alias("_top"),
+    )
+    # The condition names the count, so that it stays behind the shuffle and both uses share it.
+    real = F.when(F.col("n") > 0, only(numeric, "double"))
+    reals = counts.filter(real.isNotNull()).select("column", real.alias("value"), "n")
+    moments = summarise(reals, ["column"], "value").select("column", "mean", "std", *QUARTILES)
+    types = F.create_map(*[F.lit(x) for c, k in kinds.items() for x in (c, k.simpleString())])
+    # Both sides have a row per column.
+    return facts.join(F.broadcast(moments), "column", "left").select(
+        "column", types[F.col("column")].alias("type"), "n_rows", "n_missing", "smallest", "largest",
+        "mean", "std", "n_distinct", F.col("_top.value").alias("top"), (-F.col("_top.less")).alias("top_n"), *QUARTILES,
+    )
 
 
 def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:

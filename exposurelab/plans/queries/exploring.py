@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ...functions.links import log1p
 from ...functions.times import epoch_us, floor_time, round_time
 from ...operators import causal, explore, stats
 from .registry import Tables, p_sql, query, rounded
@@ -348,20 +349,47 @@ def daily_band(t):
     return rounded(band.withColumn("day", epoch_us("day")).withColumnRenamed("day", "day_us"))
 
 
+def bootstrap_sql(replicates: int) -> str:
+    draw = "cast('0x' || substr(md5('band:' || b // 8 || ':' || event_id), 4 * (b % 8) + 1, 4) as int)"
+    weight = " + ".join(f"cast(u >= {step} as int)" for step in explore.POISSON_STEPS)
+    return f"""
+with r as (select event_type, {round_sql(US, DAY_US)} as day_us, event_id, ln(1 + value) as value from events where value is not null),
+d as (select event_type, day_us, value, b, {draw} as u from r, range({replicates}) as s(b)),
+w as (select *, {weight} as w from d),
+m as (select event_type, day_us, b, sum(w * value) / nullif(sum(w), 0) as m from w group by all)
+select event_type, day_us, n, mean, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high
+from m join (select event_type, day_us, count(*) as n, round(avg(value), 6) as mean from r group by all) using (event_type, day_us) group by all"""
+
+
+@query(bootstrap_sql(100))
+def bootstrap_band(t):
+    """Bands of the logarithm: its digits never end half way, so rounding is the same everywhere."""
+    band = explore.bootstrap_band(t.events.withColumn("value", log1p("value")), "ts", "value", "event_id", ["event_type"], replicates=100, seed="band")
+    return rounded(band.withColumn("day", epoch_us("day")).withColumnRenamed("day", "day_us"))
+
+
 # ---- profile --------------------------------------------------------------------------------
 
-@query("""
-select 'value' as "column", 'double' as type, count(*) as n_rows, count(*) - count(value) as n_missing,
-       cast(min(value) as varchar) as smallest, cast(max(value) as varchar) as largest, round(avg(value), 6) as mean,
-       round(stddev_samp(value), 6) as std, count(distinct value) as n_distinct from events
-union all
-select 'event_type', 'string', count(*), count(*) - count(event_type), min(event_type), max(event_type), null, null,
-       count(distinct event_type) from events
-union all
-select 'user_id', 'bigint', count(*), count(*) - count(user_id), cast(min(user_id) as varchar), cast(max(user_id) as varchar),
-       round(avg(user_id), 6), round(stddev_samp(user_id), 6), count(distinct user_id) from events""")
+# Types of the columns of the events; numbers have moments and quartiles.
+EVENT_COLUMNS = {
+    "event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double", "props": "string",
+}
+
+
+def profile_sql(column: str, kind: str) -> str:
+    number = kind in ("bigint", "double")
+    real = lambda e: f"round({e}, 6)" if number else "cast(null as double)"
+    quartiles = ", ".join(f"{real(f'quantile_cont(cast({column} as double), {q})')} as q{int(q * 100)}" for q in (0.25, 0.5, 0.75))
+    top = f"from (select cast({column} as varchar) as v, count(*) as n from events where {column} is not null group by 1) order by n desc, v limit 1"
+    return f"""select '{column}' as "column", '{kind}' as type, count(*) as n_rows, count(*) - count({column}) as n_missing,
+       cast(min({column}) as varchar) as smallest, cast(max({column}) as varchar) as largest,
+       {real(f'avg({column})' if number else '')} as mean, {real(f'stddev_samp({column})' if number else '')} as std,
+       count(distinct {column}) as n_distinct, (select v {top}) as top, (select n {top}) as top_n, {quartiles} from events"""
+
+
+@query(" union all ".join(profile_sql(c, k) for c, k in EVENT_COLUMNS.items()))
 def column_profile(t):
-    return rounded(explore.column_profile(t.events, ["value", "event_type", "user_id"]))
+    return rounded(explore.column_profile(t.events))
 
 
 @query("select user_id, count(*) as n from events group by user_id order by n desc, user_id limit 5")

@@ -138,6 +138,43 @@ def test_profile_and_shape(spark):
     assert [tuple(r) for r in explore.top_values(df, "n", 1).collect()] == [(3, 2)]
 
 
+def test_profile_of_every_type_in_one_scan(spark, tmp_path):
+    rows = [
+        (2**60 + 1, 1.5, "x", True, dt.date(2020, 1, 2)), (2**60, 10.0, "x", None, None),
+        (-5, 9.0, None, True, dt.date(2019, 1, 2)), (-5, None, "", False, dt.date(2019, 1, 2)),
+    ]
+    spark.createDataFrame(rows, "`a b` long, r double, s string, f boolean, d date").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    profile = explore.column_profile(df)
+    got = {r["column"]: r for r in profile.collect()}
+    assert (got["a b"]["smallest"], got["a b"]["largest"], got["a b"]["top"], got["a b"]["top_n"]) == ("-5", str(2**60 + 1), "-5", 2)
+    # Numbers by size, not by text.
+    assert (got["r"]["smallest"], got["r"]["largest"], got["r"]["q50"], got["r"]["n_missing"]) == ("1.5", "10.0", 9.0, 1)
+    assert (got["s"]["smallest"], got["s"]["top"], got["s"]["n_distinct"], got["s"]["q50"]) == ("", "x", 2, None)
+    assert (got["f"]["type"], got["f"]["smallest"], got["d"]["largest"]) == ("boolean", "false", "2020-01-02")
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert explore.column_profile(df.filter("r > 99")).count() == 0
+    assert final.count("FileScan") == 1 and "ReusedExchange" in final
+
+
+def test_bootstrap_band(spark):
+    rng = np.random.default_rng(3)
+    days = [dt.datetime(2020, 1, 1 + i % 2, 10) for i in range(800)]
+    data = pd.DataFrame({"id": range(800), "t": days, "v": rng.normal(5, 2, 800)})
+    df = spark.createDataFrame(data)
+    band = explore.bootstrap_band(df, "t", "v", "id", replicates=203, seed="a").orderBy("day").collect()
+    again = explore.bootstrap_band(df.repartition(7), "t", "v", "id", replicates=203, seed="a").orderBy("day").collect()
+    normal = explore.daily_band(df, "t", "v").orderBy("day").collect()
+    assert len(band) == 2
+    for b, a, n in zip(band, again, normal):
+        assert (b["n"], b["mean"]) == (n["n"], pytest.approx(n["mean"]))
+        assert (a["low"], a["high"]) == (pytest.approx(b["low"]), pytest.approx(b["high"]))
+        assert (b["low"], b["high"]) == (pytest.approx(n["low"], abs=0.06), pytest.approx(n["high"], abs=0.06))
+    odd = spark.createDataFrame([(1, dt.datetime(2020, 1, 1), None), (2, None, 1.0)], "id long, t timestamp, v double")
+    assert explore.bootstrap_band(odd, "t", "v", "id").count() == 0
+
+
 def test_once_or_repeating(spark):
     pairs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (3, "a")], "k int, m string")
     flags = explore.once_or_repeating(pairs, "k", "m")
