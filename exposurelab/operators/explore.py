@@ -285,7 +285,14 @@ def value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One scan; map tasks count before anything is shuffled.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+
+    def text(c):
+        # -0.0 and 0.0 are one value.
+        signless = F.col(f"`{c}`") + F.lit(0).cast(kinds[c]) if isinstance(kinds[c], T.FractionalType) else F.col(f"`{c}`")
+        return signless.cast("string").alias("value")
+
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text(c)) for c in columns])
     return df.select(F.inline(cells)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

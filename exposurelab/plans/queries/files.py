@@ -58,6 +58,15 @@ def map_document(t):
     )
 
 
+@query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
+def checkpoint_manifest(t):
+    """The second call finds the table of the same plan and reads it."""
+    path = scratch_path(t.spark, "checkpoint")
+    sums = lambda: t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    sinks.checkpoint_table(sums(), path)
+    return rounded(sinks.checkpoint_table(sums(), path), 4)
+
+
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
 def checkpoint_reload(t):
     """The second call reads what the first one wrote."""

@@ -10,7 +10,7 @@ from ..operators import causal, posts as op
 from ..operators.explore import prefixed
 from ..operators.glm import covariate_glm
 from ..operators.match import asof_neighbours, join_source, near_marks, neighbour_pairs
-from ..sources.sinks import materialize
+from ..sources.sinks import checkpoint_table
 
 ColumnScorer = Callable[[Column], Column]
 
@@ -22,7 +22,7 @@ def scored(posts: DataFrame, scorer: ColumnScorer) -> DataFrame:
 def source_features(sources: DataFrame, scorer: ColumnScorer, path: str | None = None, overwrite: bool = False) -> DataFrame:
     """Scored, flat source posts with ``source_`` columns only."""
     flat = op.flatten_posts(scored(sources, scorer), "source", "sentiment")
-    return prefixed(materialize(flat, path, overwrite) if path else flat, "source")
+    return prefixed(checkpoint_table(flat, path, overwrite) if path else flat, "source")
 
 
 def reply_analysis(
@@ -44,10 +44,10 @@ def reply_analysis(
     wanted = responses.filter(op.reply_scope(account, literal))
     flat = op.flatten_posts(scored(wanted, scorer), "response", "sentiment")
     if path:
-        flat = materialize(flat, at("responses_scored"), overwrite)
+        flat = checkpoint_table(flat, at("responses_scored"), overwrite)
     kept = flat.filter(F.col("interaction_type").isin(op.REPLY, op.QUOTE))
     joined = join_source(kept, source, "interaction_status_id", "source_status_id")
-    return materialize(joined, at("responses_with_source"), overwrite) if path else joined
+    return checkpoint_table(joined, at("responses_with_source"), overwrite) if path else joined
 
 
 def before_and_after(
@@ -94,7 +94,7 @@ def before_and_after(
     flat = op.flatten_posts(
         scored(joined, scorer), "response", "sentiment", keep=["side", "before_us", "after_us", *source.columns]
     ).withColumn("is_after", causal.is_after("response_created_at", "source_created_at"))
-    return materialize(flat, at("before_and_after"), overwrite) if path else flat
+    return checkpoint_table(flat, at("before_and_after"), overwrite) if path else flat
 
 
 def reply_report(study: DataFrame, frequency: str = "day", min_gap_seconds: float = 0) -> dict[str, DataFrame]:

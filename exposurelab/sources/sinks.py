@@ -1,8 +1,14 @@
 """Writers and the write-once, read-back checkpoint."""
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+from .readers import file_versions
 
 
 def has_success(df: DataFrame, path: str) -> bool:
@@ -23,6 +29,71 @@ def materialize(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Hidden from readers of the folder, as are all names that begin with an underscore.
+MANIFEST = "_manifest.json"
+
+
+def plan_digest(df: DataFrame) -> str:
+    """Digest of what a frame computes: its analysed plan and the versions of the files it reads.
+
+    Numbers of expressions differ between runs and are left out, and so are files
+    below the shared scratch folder, whose names do.  Rows that came from the
+    driver are known by their schema only.
+    """
+    spark = df.sparkSession
+    setting = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(2**31 - 1))
+    try:
+        plan = df._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set(setting, before)
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "#", plan)
+    scratch = shared_dir(spark).rstrip("/") + "/"
+    files = [f for f in file_versions(df) if scratch not in f[0]]
+    return hashlib.sha256(json.dumps([plan, files]).encode()).hexdigest()
+
+
+def manifest_of(df: DataFrame) -> dict:
+    return {"version": 1, "schema": json.loads(df.schema.json()), "plan": plan_digest(df)}
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    name = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFEST}")
+    if not name.getFileSystem(spark._jsc.hadoopConfiguration()).exists(name):
+        return None
+    stream = name.getFileSystem(spark._jsc.hadoopConfiguration()).open(name)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(text)
+
+
+def checkpoint_table(df: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """``materialize`` that knows what it wrote.
+
+    A manifest with the schema and the digest of the plan is written last.  A
+    table is reused only if its manifest says that the same plan on the same files
+    made it.  Without a success marker a write was broken off and is done again.
+    A finished table of another schema, plan or input, or without a manifest,
+    raises ValueError and stays as it is.
+    """
+    spark, wanted = df.sparkSession, manifest_of(df)
+    if not overwrite and has_success(df, path):
+        found = read_manifest(spark, path)
+        if found is None:
+            raise ValueError(f"the table at {path} has no manifest; choose another path or overwrite it")
+        wrong = [k for k in wanted if found.get(k) != wanted[k]]
+        if wrong:
+            raise ValueError(f"the table at {path} was made with another {', '.join(wrong)}; choose another path or overwrite it")
+    else:
+        df.write.mode("overwrite").parquet(path)
+        name = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MANIFEST}")
+        out = name.getFileSystem(spark._jsc.hadoopConfiguration()).create(name, True)
+        out.write(bytearray(json.dumps(wanted).encode()))
+        out.close()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove_table(spark: SparkSession, path: str) -> None:
     """Delete a scratch table of this run that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -136,3 +136,39 @@ def test_no_list_grows_with_the_data(spark):
     assert sum(r["k"] == 0 for r in lists) == 60 and all(sum(r["k"] == k for r in lists) == 1 for k in (1, 99))
     assert sorted(m for r in lists for m in r["members"]) == list(range(30_000))
     assert len(sinks.collect_lists(spark.range(20_001).selectExpr("1 as k", "id as m"), "k", "m").collect()) == 5
+
+
+def test_checkpoint_with_manifest(spark, tmp_path):
+    source, path = str(tmp_path / "source"), str(tmp_path / "table")
+    spark.range(10).write.parquet(source)
+    plan = lambda least=3: spark.read.parquet(source).filter(F.col("id") > least)
+    assert sinks.checkpoint_table(plan(), path).count() == 6
+    written = sinks.read_manifest(spark, path)
+    assert written["plan"] == sinks.plan_digest(plan()) and written["schema"]["fields"][0]["name"] == "id"
+    # Equal: reused, although the expressions have other numbers.
+    stamp = [p.stat().st_mtime_ns for p in sorted((tmp_path / "table").glob("part-*"))]
+    assert sinks.checkpoint_table(plan(), path).count() == 6
+    assert stamp == [p.stat().st_mtime_ns for p in sorted((tmp_path / "table").glob("part-*"))]
+    # Another constant, another schema, other input.
+    with pytest.raises(ValueError, match="another plan"):
+        sinks.checkpoint_table(plan(4), path)
+    with pytest.raises(ValueError, match="another schema, plan"):
+        sinks.checkpoint_table(plan().withColumn("x", F.lit(1)), path)
+    spark.range(20).write.mode("overwrite").parquet(source)
+    with pytest.raises(ValueError, match="another plan"):
+        sinks.checkpoint_table(plan(), path)
+    assert sinks.checkpoint_table(plan(), path, overwrite=True).count() == 16
+    # Broken off: written again.  Foreign: left alone.
+    (tmp_path / "table" / "_SUCCESS").unlink()
+    assert sinks.checkpoint_table(plan(5), path).count() == 14
+    foreign = str(tmp_path / "foreign")
+    spark.range(2).write.parquet(foreign)
+    with pytest.raises(ValueError, match="no manifest"):
+        sinks.checkpoint_table(plan(), foreign)
+    assert spark.read.parquet(foreign).count() == 2
+
+
+def test_manifest_sees_every_column_of_a_wide_plan(spark):
+    wide = lambda last: spark.range(1).select(*[F.lit(i).alias(f"c{i}") for i in range(60)], F.lit(last).alias("z"))
+    assert sinks.plan_digest(wide(1)) == sinks.plan_digest(wide(1))
+    assert sinks.plan_digest(wide(1)) != sinks.plan_digest(wide(2))
