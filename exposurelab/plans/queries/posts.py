@@ -213,7 +213,7 @@ def reply_study(t):
     )
 
 
-@query(f"""with {POSTS}, {SCORED},
+PAIRED = """
 users as (select *, coalesce(kind is not null and parent_name = 'assistant', false) as is_mark from scored where name <> 'assistant'),
 sides as (
   select r.*, 'before' as side, arg_max(m.parent_id, m.second) as mark_id, max(m.second) as mark_second
@@ -222,7 +222,10 @@ sides as (
   select r.*, 'after', arg_min(m.parent_id, m.second), min(m.second)
   from users r join users m on m.conv_id = r.conv_id and m.is_mark and m.second > r.second group by all),
 near as (select id from sides where abs(second - mark_second) < 3600),
-pairs as (select * from sides where id in (select id from near) and (is_reply or is_quote))
+pairs as (select * from sides where id in (select id from near) and (is_reply or is_quote))"""
+
+
+@query(f"""with {POSTS}, {SCORED}, {PAIRED}
 select cast(p.id as varchar) as response_status_id, p.side, p.label as response_label, p.score as response_score,
        cast(s.id as varchar) as source_status_id, s.label as source_label, cast(p.second > s.second as int) as is_after
 from pairs p join scored s on s.id = p.mark_id and s.name = 'assistant' where abs(p.second - s.second) < 600""")
@@ -239,3 +242,36 @@ def before_after_study(t):
 def reply_report(t):
     study = studies.reply_analysis(*accounts(t), ACCOUNT, SCORER, path=scratch_path(t.spark, "reply"))
     return rounded(studies.long_report(studies.reply_report(study)), 4)
+
+
+def measures_sql(part: str, source: str, measures: str, term: str = "cast(null as varchar)") -> str:
+    """Rows ``part, term, measure, value`` of the columns of a select."""
+    return " union all ".join(
+        f"select '{part}' as part, {term} as term, '{m}' as measure, round(cast({m} as double), 6) as value from {source}"
+        for m in measures.split()
+    )
+
+
+@query(f"""with {POSTS}, {SCORED}, {PAIRED},
+study as (
+  select cast(s.label = 'NEGATIVE' as int) as x, cast(p.label = 'NEGATIVE' as int) as y, cast(p.second > s.second as int) as is_after,
+         s.id as post, p.conv_id as usr
+  from pairs p join scored s on s.id = p.mark_id and s.name = 'assistant' where abs(p.second - s.second) < 600),
+both_sides as (
+  select * from study where (usr, post) in (select (usr, post) from study group by usr, post having count(distinct is_after) > 1)),
+sizes as (select count(*) as n, count(distinct usr) as n_users, count(distinct post) as n_posts from study),
+kept as (select count(*) as n, count(distinct usr) as n_users, count(distinct post) as n_posts from both_sides),
+arms as (select concat('x=', x, ', after=', is_after) as term, count(*) as n, avg(y) as rate from study group by x, is_after),
+r as (select x * 2 + is_after as k, avg(y) as rate from study group by 1),
+change as (select max(rate) filter (k = 3) - max(rate) filter (k = 2) - max(rate) filter (k = 1) + max(rate) filter (k = 0) as change from r),
+sides_of as (select x, post, usr, avg(y) filter (is_after = 0) as b, avg(y) filter (is_after = 1) as a from both_sides group by x, post, usr),
+by_user as (select x, post, a - b as d, a * (1 - a) + b * (1 - b) as v from sides_of),
+by_post as (select x, avg(d) as d, sum(v) / (count(v) * count(v)) as v from by_user group by x, post),
+by_label as (select x, avg(d) as d, sum(v) / (count(v) * count(v)) as v from by_post group by x),
+effect as (select max(d) filter (x = 1) - max(d) filter (x = 0) as ate, sum(v) as variance, sqrt(sum(v)) as std_error from by_label)
+{measures_sql("study", "sizes", "n n_users n_posts")} union all {measures_sql("both_sides", "kept", "n n_users n_posts")}
+union all {measures_sql("arms", "arms", "n rate", "term")} union all {measures_sql("difference", "change", "change")}
+union all {measures_sql("effect", "effect", "ate variance std_error")}""")
+def before_after_report(t):
+    study = studies.before_and_after(*accounts(t), ACCOUNT, SCORER, path=scratch_path(t.spark, "sides"))
+    return rounded(studies.long_report(studies.before_after_report(study)))

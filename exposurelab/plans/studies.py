@@ -9,7 +9,7 @@ from ..functions.times import epoch_us, parse_post_time, seconds_to_us
 from ..operators import causal, posts as op
 from ..operators.explore import prefixed
 from ..operators.glm import covariate_glm
-from ..operators.match import asof_neighbours, join_source, near_marks, neighbour_pairs
+from ..operators.match import asof_neighbours, join_source, keep_both_sides, near_marks, neighbour_pairs
 from ..sources.sinks import checkpoint_table
 
 ColumnScorer = Callable[[Column], Column]
@@ -116,6 +116,34 @@ def reply_report(study: DataFrame, frequency: str = "day", min_gap_seconds: floa
     }
 
 
+def before_after_report(study: DataFrame) -> dict[str, DataFrame]:
+    """Estimates on a before/after study: sizes, rates by arm and side, and the effect within users.
+
+    ``change`` is the change of the rate behind posts labelled negative minus that
+    behind the others, over all rows.  ``effect`` compares each user with
+    themselves and takes those with answers on both sides of a post.
+    """
+    ready = study.select(
+        causal.binarise("source_label").alias("x"), causal.binarise("response_label").alias("y"), "is_after",
+        F.col("source_status_id").alias("post"), F.col("response_user_id").alias("usr"),
+    )
+    both = keep_both_sides(ready, ["usr", "post"], "is_after")
+    sizes = lambda df: df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("usr").alias("n_users"), F.count_distinct("post").alias("n_posts")
+    )
+    arms = ready.groupBy(F.format_string("x=%d, after=%d", "x", "is_after").alias("term")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("y").alias("rate")
+    )
+    rate = lambda x, after: F.avg(F.when((F.col("x") == x) & (F.col("is_after") == after), F.col("y")))
+    return {
+        "study": sizes(ready),
+        "both_sides": sizes(both),
+        "arms": arms,
+        "difference": ready.agg((rate(1, 1) - rate(1, 0) - rate(0, 1) + rate(0, 0)).alias("change")),
+        "effect": causal.before_after_ate(both, "x", "post", "usr", "is_after", "y"),
+    }
+
+
 def long_report(report: dict[str, DataFrame]) -> DataFrame:
     """The parts of a report as rows ``part, term, measure, value``."""
     rows = []

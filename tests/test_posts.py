@@ -150,6 +150,29 @@ def test_reply_analysis(posts, sources, tmp_path):
     assert report["ate"].first()["n_strata"] == 1 and report["association"].first()["n"] == 4
 
 
+def test_before_after_report(spark):
+    rows = [
+        # post 1 is negative: ann turns negative, bob stays half; post 2 is not: ann stays, cat has one side only.
+        ("NEGATIVE", "1", "ann", 0, "POSITIVE"), ("NEGATIVE", "1", "ann", 1, "NEGATIVE"),
+        ("NEGATIVE", "1", "bob", 0, "NEGATIVE"), ("NEGATIVE", "1", "bob", 0, "POSITIVE"),
+        ("NEGATIVE", "1", "bob", 1, "NEGATIVE"), ("NEGATIVE", "1", "bob", 1, "POSITIVE"),
+        ("POSITIVE", "2", "ann", 0, "NEGATIVE"), ("POSITIVE", "2", "ann", 1, "NEGATIVE"),
+        ("POSITIVE", "2", "cat", 1, None),
+    ]
+    study = spark.createDataFrame(
+        rows, "source_label string, source_status_id string, response_user_id string, is_after int, response_label string"
+    )
+    got = {(r["part"], r["term"], r["measure"]): r["value"] for r in studies.long_report(studies.before_after_report(study)).collect()}
+    assert (got["study", None, "n"], got["study", None, "n_users"], got["both_sides", None, "n"]) == (9, 3, 8)
+    assert got["arms", "x=1, after=1", "rate"] == pytest.approx(2 / 3) and got["arms", "x=0, after=1", "rate"] == 0.5
+    assert got["difference", None, "change"] == pytest.approx((2 / 3 - 1 / 3) - (0.5 - 1))
+    # Within users: (1 + 0) / 2 behind post 1, nothing behind post 2; bob's halves leave a variance of 1/2 over 2 squared.
+    assert got["effect", None, "ate"] == pytest.approx(0.5)
+    assert got["effect", None, "variance"] == pytest.approx(0.125)
+    empty = studies.long_report(studies.before_after_report(study.limit(0))).collect()
+    assert {r["value"] for r in empty if r["part"] == "study"} == {0.0}
+
+
 def test_before_and_after(posts, sources):
     rows = studies.before_and_after(sources, posts, ACCOUNT, scorer, near_seconds=3600, band_seconds=600).collect()
     got = {(r["response_status_id"], r["side"], r["source_status_id"], r["is_after"]) for r in rows}
