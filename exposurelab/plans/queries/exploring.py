@@ -378,10 +378,12 @@ EVENT_COLUMNS = {
 
 def profile_sql(column: str, kind: str) -> str:
     number = kind in ("bigint", "double")
+    # Minus zero is zero.
+    name, column = column, f"({column} + 0::double)" if kind == "double" else column
     real = lambda e: f"round({e}, 6)" if number else "cast(null as double)"
     quartiles = ", ".join(f"{real(f'quantile_cont(cast({column} as double), {q})')} as q{int(q * 100)}" for q in (0.25, 0.5, 0.75))
     top = f"from (select cast({column} as varchar) as v, count(*) as n from events where {column} is not null group by 1) order by n desc, v limit 1"
-    return f"""select '{column}' as "column", '{kind}' as type, count(*) as n_rows, count(*) - count({column}) as n_missing,
+    return f"""select '{name}' as "column", '{kind}' as type, count(*) as n_rows, count(*) - count({column}) as n_missing,
        cast(min({column}) as varchar) as smallest, cast(max({column}) as varchar) as largest,
        {real(f'avg({column})' if number else '')} as mean, {real(f'stddev_samp({column})' if number else '')} as std,
        count(distinct {column}) as n_distinct, (select v {top}) as top, (select n {top}) as top_n, {quartiles} from events"""
