@@ -2,8 +2,8 @@
 
 Everything is DataFrame functions.  Places of matches come from splitting a text at
 a pattern: the lengths of the pieces between matches and of the matches add up to
-offsets.  Entropy slides over a candidate one character at a time: the sum of
-c*log2(c) over character counts changes only for the character that enters and the
+offsets.  Entropy slides over a candidate one character at a time: a table of counts
+and the sum of c*log2(c) over it change only for the character that enters and the
 one that leaves.
 """
 
@@ -48,6 +48,7 @@ ALLOWED = (
 )
 
 
+CHANGES = "array<struct<code:int,by:int,i:int>>"
 SPANS = "array<struct<start:int,kind:string,end:int,match:string>>"
 
 
@@ -69,25 +70,44 @@ def matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Co
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pieces = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,measured:int,match:string>>").alias("all"))
-
-    def step(state, item):
-        begin = state["at"] + F.length(item["piece"])
-        end = begin + F.length(item["match"])
-        span = F.struct(
-            begin.alias("start"), end.alias("end"), F.length(item["measured"]).alias("measured"), item["match"].alias("match")
-        )
-        return F.struct(end.alias("at"), F.array_append(state["all"], span).alias("all"))
+    # The piece before each match and the match itself; what follows the last match is cut off.
+    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(found))
 
-    zipped = F.arrays_zip(
-        F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"), groups.alias("measured")
-    )
-    spans = F.aggregate(zipped, start, step, lambda s: s["all"])
-    kept = F.filter(spans, lambda s: s["measured"] >= least)
-    return F.transform(
-        kept, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"), s["match"].alias("match"))
-    )
+    def spans(zipped):
+        ends = running_sums(F.transform(zipped, lambda z: F.length(z["piece"]) + F.length(z["match"])))
+        numbered = F.transform(zipped, lambda z, i: F.struct(z.alias("z"), i.alias("i")))
+        kept = F.filter(numbered, lambda x: F.length(x["z"]["measured"]) >= least)
+
+        def placed(x, all_ends):
+            end = F.get(all_ends, x["i"])
+            return F.struct(
+                (end - F.length(x["z"]["match"])).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["z"]["match"].alias("match")
+            )
+
+        return once(ends, lambda all_ends: F.transform(kept, lambda x: placed(x, all_ends)))
+
+    return once(F.arrays_zip(pieces.alias("piece"), found.alias("match"), groups.alias("measured")), spans)
+
+
+def once(value: Column, function) -> Column:
+    """``function`` of a variable that holds ``value``, so that it is made once however often it is used."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of an array up to each element: every round adds the element twice as far back.
+
+    The rounds are the logarithm of the length, so texts with very many matches
+    cost little more per match than others.
+    """
+    # A last round that reaches back beyond the start adds nothing.
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(numbers), F.lit(1)).cast("double"))).cast("int"))
+
+    def add(sums, j):
+        back = F.pow(F.lit(2.0), j).cast("int")
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(F.lit(0)))
+
+    return F.aggregate(rounds, numbers, add)
 
 
 def in_order(spans: Column, classes=CLASSES) -> Column:
@@ -103,35 +123,55 @@ def hot_stretch(chars: Column, window: int, bits: float) -> Column:
     """``first, last`` start of the windows whose Shannon entropy reaches ``bits``, or nulls.
 
     With n = ``window``, entropy is log2(n) - S/n for S = sum of c*log2(c) over the
-    counts c.  The first window fills up from nothing; each step adds one
-    character and, once the window is full, takes one away.  ``chars`` has to be a
-    variable of a lambda, so that it is not made anew in every step.
+    counts c.  A table of counts, one for each distinct character, slides along: a
+    step lets one character enter, or one leave before the next enters, and changes
+    one count and its part of S.  ``chars`` has to be a variable of a lambda, so that it
+    is not made anew in every step.
     """
     most = float(window) * (F.log2(F.lit(float(window))) - F.lit(float(bits)))
 
     def part(count):
         return F.when(count > 0, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
-    def occurrences(begin, size, char):
-        return F.size(F.filter(F.slice(chars, begin, size), lambda c: c == char))
-
-    def step(state, i):
-        # Places i-window+1 .. i are the window once character i has entered.
-        begin = F.greatest(i - (window - 1), F.lit(1))
-        before = occurrences(begin, i - begin, F.element_at(chars, i))
-        after = occurrences(begin + 1, i - begin, F.element_at(chars, begin))
-        grown = state["s"] + part(before + 1) - part(before)
-        full = i >= window
-        hot = full & (grown <= most + 1e-9)
-        start = i - window
-        return F.struct(
-            F.when(full, grown + part(after) - part(after + 1)).otherwise(grown).alias("s"),
-            F.when(hot, F.least(state["first"], start)).otherwise(state["first"]).alias("first"),
-            F.when(hot, start).otherwise(state["last"]).alias("last"),
+    def coded(known):
+        codes = F.transform(chars, lambda c: F.array_position(known, c).cast("int"))
+        return once(codes, lambda numbers: slide(numbers, F.size(known)))
+
+    def slide(codes, n):
+        def change(code, by, i):
+            return F.struct(code.alias("code"), F.lit(by).alias("by"), i.alias("i"))
+
+        enter = F.transform(codes, lambda code, i: change(code, 1, i + 1 - window))
+        leave = F.transform(codes, lambda code, i: change(code, -1, F.lit(-1)))
+        # The first window fills up; from then on one leaves before one enters.
+        turns = F.flatten(F.transform(
+            F.arrays_zip(leave.alias("out"), F.slice(enter, window + 1, F.size(codes)).alias("into")),
+            lambda both: F.when(both["into"].isNotNull(), F.array(both["out"], both["into"])).otherwise(F.array().cast(CHANGES)),
+        ))
+
+        def step(state, turn):
+            count = F.element_at(state["counts"], turn["code"])
+            s = state["s"] + part(count + turn["by"]) - part(count)
+            hot = (turn["i"] >= 0) & (s <= most + 1e-9)
+            return F.struct(
+                s.alias("s"),
+                F.concat(
+                    F.slice(state["counts"], 1, turn["code"] - 1), F.array(count + turn["by"]),
+                    F.slice(state["counts"], turn["code"] + 1, n),
+                ).alias("counts"),
+                F.when(hot, F.least(state["first"], turn["i"])).otherwise(state["first"]).alias("first"),
+                F.when(hot, turn["i"]).otherwise(state["last"]).alias("last"),
+            )
+
+        none = F.struct(
+            F.lit(0.0).alias("s"), F.array_repeat(F.lit(0), n).alias("counts"),
+            F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+        )
+        return F.aggregate(
+            F.concat(F.slice(enter, 1, window), turns), none, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))
         )
 
-    none = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars)), none, step)
+    return once(F.array_distinct(chars), coded)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes=CLASSES, allowed=ALLOWED) -> DataFrame:
