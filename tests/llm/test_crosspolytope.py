@@ -76,3 +76,48 @@ def test_query_on_the_tables(spark):
     found = {r["vec_id"]: r["n_links"] for r in QUERIES["op4_cross_polytope"](spark, folder).collect()}
     assert found.keys() == n.keys() and sum(found.values()) >= 0.99 * sum(n.values())
     assert all(found[i] <= n[i] for i in n)
+
+
+@pytest.mark.parametrize("d", [1, 3, 64, 100])
+@pytest.mark.parametrize("threshold", [0.98, 0.7])
+def test_sketches_never_part_a_pair(d, threshold):
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(300, d))
+    y = x + rng.normal(size=(300, d)) * rng.uniform(0, 0.3, (300, 1))
+    x, y = [v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y)]
+    a, b = [crosspolytope.sketches(v, 6, 7).view(np.int8).astype(np.float32) for v in (x, y)]
+    alike = np.einsum("ij,ij->i", x, y) >= threshold
+    assert alike.any()
+    assert (((a - b) ** 2).sum(axis=1)[alike] <= crosspolytope.sketch_radius(threshold)).all()
+
+
+def test_sketches_part_most_other_pairs():
+    x = np.random.default_rng(3).normal(size=(400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = crosspolytope.sketches(x, 6, 7).view(np.int8).astype(np.float32)
+    assert crosspolytope.close(a, a, crosspolytope.sketch_radius(0.98)).sum() <= 400 + 20
+
+
+def test_members_near_others_in_tiles(monkeypatch):
+    monkeypatch.setattr(crosspolytope, "PAIRS_AT_ONCE", 300)
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 7, 48, 49, 300, 1, 20, 3]
+    points = rng.integers(-9, 9, (sum(sizes), 16)).astype(np.float32)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    expected = []
+    for s, e in zip(ends, ends[1:]):
+        apart = ((points[s:e, None] - points[None, s:e]) ** 2).sum(axis=2) <= 450
+        expected += (apart.sum(axis=1) > 1).tolist()
+    assert crosspolytope.one_tile(points, ends, 450).tolist() == expected and 20 < sum(expected) < len(expected)
+    near = crosspolytope.two_tiles((points, ends[[0, 3, 9]]), (points, ends[[0, 4, 9]]), 450)
+    whole = ((points[:, None] - points[None]) ** 2).sum(axis=2) <= 450
+    block = np.zeros_like(whole)
+    block[: ends[3], : ends[4]] = block[ends[3] :, ends[4] :] = True
+    assert near[0].tolist() == (whole & block).any(axis=1).tolist() and near[1].tolist() == (whole & block).any(axis=0).tolist()
+
+
+def test_buckets_with_one_digest_keep_labels_apart():
+    row = lambda node, label, v: {"side": 0, "node": node, "n": 1, "label": label, "v": np.array(v, "<f4").tobytes(), "keys": [5, node]}
+    rows = [row(1, "a", [1, 0]), row(2, "b", [1, 0]), row(3, "a", [2, 0]), row(4, "b", [1, 0, 0]), row(6, "b", [3, 0])]
+    found = crosspolytope.compare_members(5, rows, False, 0.98, "<f4")
+    assert sorted(found) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (6, 1, 2)]
