@@ -222,12 +222,14 @@ def links(
     )
 
     def compare(part):
-        made = []
+        few = [r for r in part if len(r[3]) <= SMALL]
+        made = compare_few(few, threshold, real) if few else []
         for number, part_a, part_b, rows in part:
-            made.extend(compare_members(number, rows, part_a != part_b, threshold, real))
+            if len(rows) > SMALL:
+                made.extend(compare_members(number, rows, part_a != part_b, threshold, real))
         return made
 
-    found = map_rows(held, compare, "node long, n long, root long", batch=8)
+    found = map_rows(held, compare, "node long, n long, root long", batch=32)
     found, _ = store(found, "vector-links")
     counts = found.groupBy("node").agg(F.sum("n").alias("linked"))
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -282,6 +284,16 @@ def close(a: np.ndarray, b: np.ndarray, radius: float) -> np.ndarray:
     return (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * (a @ b.T) <= radius
 
 
+def pairs_within(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places ``i < j`` of all pairs inside runs that begin at some places and have some sizes."""
+    n = np.repeat(sizes, sizes)  # members of the run of every member
+    begin = np.repeat(begins, sizes)
+    member = begin + np.arange(len(n)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    i = np.repeat(member, n)
+    j = np.repeat(begin, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    return i[i < j], j[i < j]
+
+
 def one_tile(points: np.ndarray, ends: np.ndarray, radius: float) -> np.ndarray:
     """Members that lie near another of their tile."""
     near = np.zeros(len(points), bool)
@@ -293,12 +305,7 @@ def one_tile(points: np.ndarray, ends: np.ndarray, radius: float) -> np.ndarray:
     small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
     groups = np.split(small, np.flatnonzero(np.diff(np.cumsum(sizes[small] ** 2) // PAIRS_AT_ONCE)) + 1)
     for tiles in groups:
-        n = np.repeat(sizes[tiles], sizes[tiles])  # partners of every member
-        begin = np.repeat(ends[tiles], sizes[tiles])
-        member = begin + np.arange(len(n)) - np.repeat(np.cumsum(sizes[tiles]) - sizes[tiles], sizes[tiles])
-        i = np.repeat(member, n)
-        j = np.repeat(begin, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-        i, j = i[i < j], j[i < j]
+        i, j = pairs_within(ends[tiles], sizes[tiles])
         apart = points[i] - points[j]
         hit = np.einsum("ij,ij->i", apart, apart) <= radius
         near[i[hit]] = near[j[hit]] = True
@@ -316,6 +323,54 @@ def two_tiles(a: tuple, b: tuple, radius: float) -> list[np.ndarray]:
     return near
 
 
+def own_links(sent: np.ndarray, key: np.ndarray, p: np.ndarray, q: np.ndarray, weight: np.ndarray, links: np.ndarray) -> None:
+    """Adds the links of pairs whose smallest shared bucket is ``key``."""
+    for s in range(0, len(p), 20_000):
+        i, j, k = p[s : s + 20_000], q[s : s + 20_000], key[s : s + 20_000]
+        shared = (sent[i][:, :, None] == sent[j][:, None, :]).any(axis=2)
+        own = np.where(shared, sent[i], np.iinfo(np.int64).max).min(axis=1) == k
+        np.add.at(links, i[own], weight[j[own]])
+        np.add.at(links, j[own], weight[i[own]])
+
+
+def sent_to(rows: list, keys: np.ndarray) -> np.ndarray:
+    """Buckets of every member; a shorter list is filled up with the bucket it is in."""
+    width = max(len(r["keys"]) for r in rows)
+    fill = keys.tolist()
+    return np.array([r["keys"] + [k] * (width - len(r["keys"])) for r, k in zip(rows, fill)], np.int64)
+
+
+def compare_few(groups: list, threshold: float, real: str) -> list[tuple[int, int, int]]:
+    """The same as ``compare_members`` for many small tiles ``key, part_a, part_b, rows`` at once."""
+    rows = [r for g in groups for r in g[3]]
+    sizes = np.array([len(g[3]) for g in groups], np.int64)
+    of = np.repeat(np.arange(len(groups)), sizes)
+    key = np.array([g[0] for g in groups], np.int64)[of]
+    across = np.array([g[1] != g[2] for g in groups], bool)[of]
+    side = np.array([r["side"] for r in rows])
+    kinds: dict[tuple, int] = {}
+    kind = np.array([kinds.setdefault((r["label"], len(r["v"])), len(kinds)) for r in rows])
+    weight = np.array([r["n"] for r in rows], np.int64)
+    width = max(len(r["v"]) for r in rows)
+    # Vectors of another length are never compared; zeros behind a shorter one change no product.
+    x = np.stack([np.frombuffer(r["v"].ljust(width, b"\0"), real) for r in rows]).astype(np.float64)
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    i, j = pairs_within(np.cumsum(sizes) - sizes, sizes)
+    both = (kind[i] == kind[j]) & (~across[i] | (side[i] != side[j]))
+    i, j = i[both], j[both]
+    near = [np.empty(0, bool)]
+    for s in range(0, len(i), 50_000):
+        p, q = i[s : s + 50_000], j[s : s + 50_000]
+        near.append(np.einsum("ij,ij->i", x[p], x[q]) / (norm[p] * norm[q]) >= threshold)
+    near = np.concatenate(near)
+    i, j = i[near], j[near]
+    links = np.zeros(len(rows), np.int64)
+    own_links(sent_to(rows, key), key[i], i, j, weight, links)
+    labels = merge_labels(np.arange(len(rows)), i, j)
+    members = np.unique(np.concatenate([i, j]))
+    return [(rows[m]["node"], int(links[m]), rows[labels[m]]["node"]) for m in members.tolist()]
+
+
 def compare_members(key: int, rows: list, across: bool, threshold: float, real: str) -> list[tuple[int, int, int]]:
     """``node, links found here first, one member of its group`` for linked members of a tile, or across two."""
     rows = sorted(rows, key=lambda r: (r["side"], r["node"]))
@@ -330,9 +385,7 @@ def compare_members(key: int, rows: list, across: bool, threshold: float, real:
         return []
     weight = np.array([r["n"] for r in rows], np.int64)
     x = np.stack([np.frombuffer(r["v"], real) for r in rows]).astype(np.float64)
-    sent = np.full((len(rows), max(len(r["keys"]) for r in rows)), key, np.int64)
-    for m, r in enumerate(rows):
-        sent[m, : len(r["keys"])] = r["keys"]
+    sent = sent_to(rows, np.full(len(rows), key))
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     labels = np.arange(len(rows))
     links = np.zeros(len(rows), np.int64)
@@ -347,12 +400,7 @@ def compare_members(key: int, rows: list, across: bool, threshold: float, real:
         i, j = i[upper], j[upper]
         exact = np.einsum("ij,ij->i", x[i], x[j]) / (norm[i] * norm[j]) >= threshold
         i, j = i[exact], j[exact]
-        for s in range(0, len(i), 20_000):
-            p, q = i[s : s + 20_000], j[s : s + 20_000]
-            shared = (sent[p][:, :, None] == sent[q][:, None, :]).any(axis=2)
-            own = np.where(shared, sent[p], np.iinfo(np.int64).max).min(axis=1) == key
-            np.add.at(links, p[own], weight[q[own]])
-            np.add.at(links, q[own], weight[p[own]])
+        own_links(sent, np.full(len(i), key), i, j, weight, links)
         labels = merge_labels(labels, i, j)
         seen[i] = seen[j] = True
     members = np.flatnonzero(seen)

@@ -121,3 +121,21 @@ def test_buckets_with_one_digest_keep_labels_apart():
     rows = [row(1, "a", [1, 0]), row(2, "b", [1, 0]), row(3, "a", [2, 0]), row(4, "b", [1, 0, 0]), row(6, "b", [3, 0])]
     found = crosspolytope.compare_members(5, rows, False, 0.98, "<f4")
     assert sorted(found) == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (6, 1, 2)]
+    assert sorted(crosspolytope.compare_few([(5, 0, 0, rows)], 0.98, "<f4")) == sorted(found)
+
+
+def test_few_members_are_compared_like_many():
+    rng = np.random.default_rng(11)
+    groups = []
+    for g in range(40):
+        across = g % 3 == 0
+        rows = [
+            {"side": int(rng.integers(0, 2)) if across else 0, "node": 100 * g + m, "n": int(rng.integers(1, 4)), "label": "ab"[int(rng.integers(0, 2))],
+             "v": (np.eye(3)[int(rng.integers(0, 3))] + rng.normal(size=3) * 0.08).astype("<f4").tobytes(),
+             "keys": [g, *rng.integers(-3, 3, int(rng.integers(0, 4))).tolist()]}
+            for m in range(int(rng.integers(1, 9)))
+        ]
+        rows.sort(key=lambda r: r["side"])
+        groups.append((g, 0, int(across), rows))
+    many = [x for g, a, b, rows in groups for x in crosspolytope.compare_members(g, rows, a != b, 0.98, "<f4")]
+    assert sorted(crosspolytope.compare_few(groups, 0.98, "<f4")) == sorted(many) and len(many) > 20
