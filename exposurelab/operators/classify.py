@@ -34,9 +34,17 @@ def _of(label: str, c, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(F.col(label) == c, value)), F.lit(0))
 
 
-def term_table(counts: DataFrame, label: str, classes: Sequence, n: str = "n") -> DataFrame:
+# A term as two 64-bit hashes, since n-grams are long.
+HASHES = ["term_a", "term_b"]
+
+
+def term_hashes() -> list[Column]:
+    return [F.xxhash64("term").alias("term_a"), F.xxhash64(F.lit(1), "term").alias("term_b")]
+
+
+def term_table(counts: DataFrame, label: str, classes: Sequence, n: str = "n", by: Sequence[str] = ("term",)) -> DataFrame:
     """One row per term with its occurrences in each class (``c0, c1, ...``)."""
-    return counts.groupBy("term").agg(
+    return counts.groupBy(*by).agg(
         *[_of(label, c, F.col(n)).alias(f"c{i}") for i, c in enumerate(classes)]
     )
 
@@ -56,15 +64,17 @@ def naive_bayes(
     ``docs`` has one row per document with ``label`` and ``is_test``; ``counts``
     carries both columns too.  Terms that no training document has are ignored.
     A class without training documents scores minus infinity with a fitted prior.
+    Terms travel as two 64-bit hashes.
     """
     k, alpha = len(classes), max(alpha, LEAST_ALPHA)
-    table = term_table(counts.filter(~F.col(is_test)), label, classes)
+    counts = counts.filter(F.col("term").isNotNull()).select(key, label, is_test, "n", *term_hashes())
+    table = term_table(counts.filter(~F.col(is_test)), label, classes, by=HASHES)
     parts = [F.sum(f"c{i}").alias(f"n{i}") for i in range(k)]
     totals = table.agg(F.struct(*parts, F.count(F.lit(1)).alias("v")).alias("t")).scalar()
     sizes = [F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)]
     priors = docs.filter(~F.col(is_test)).agg(F.struct(*sizes).alias("p")).scalar()
-    test = counts.filter(F.col(is_test)).select(key, "term", "n")
-    sums = test.join(table, "term").groupBy(key).agg(
+    test = counts.filter(F.col(is_test)).select(key, *HASHES, "n")
+    sums = test.join(table, HASHES).groupBy(key).agg(
         F.sum("n").alias("_n"),
         *[F.sum(F.col("n") * F.log(F.col(f"c{i}") + F.lit(alpha))).alias(f"_s{i}") for i in range(k)],
     )
@@ -94,6 +104,7 @@ def naive_bayes_grid(
     alphas: Sequence[float],
     fold: str = "fold",
     folds: int = 5,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Mean cross-validated accuracy of every (n-gram range, alpha, prior) setting.
 
@@ -102,27 +113,26 @@ def naive_bayes_grid(
     fold's own; the score of an n-gram range is the sum of the scores of its
     sizes; all alphas are sums over one histogram per document and size, of how often
     which counts per class occur.  Rows of ``counts`` may repeat a term.  Terms travel as
-    two 64-bit hashes, since n-grams are long.
+    two 64-bit hashes, and once: the term table, its totals and the documents' scores read one
+    shuffle, of ``partitions`` partitions (Spark's number by default), and a document's terms meet again by one more.
     """
     k, n_alpha = len(classes), len(alphas)
     smoothing = [max(float(a), LEAST_ALPHA) for a in alphas]
     cells = [(f, i) for f in range(folds) for i in range(k)]
-    hashes = ["term_a", "term_b"]
-    counts = counts.select(
-        key, label, fold, "size", "n", F.xxhash64("term").alias("term_a"), F.xxhash64(F.lit(1), "term").alias("term_b")
-    )
-    table = counts.groupBy(*hashes).agg(
-        F.first("size").alias("size"),
-        *[_of(label, c, F.col("n")).alias(f"c{i}") for i, c in enumerate(classes)],
-        F.array(
-            *[
-                F.coalesce(
-                    F.sum(F.when((F.col(label) == classes[i]) & (F.col(fold) == f), F.col("n"))), F.lit(0)
-                )
-                for f, i in cells
-            ]
-        ).alias("by_fold"),
-    )
+    parted = lambda df, *by: df.repartition(*by) if partitions is None else df.repartition(partitions, *by)
+    # Size, fold and class are one number: every reader needs every column, so that all share the shuffle.
+    place = lambda c, values: F.coalesce(*[F.when(F.col(c) == v, F.lit(i)) for i, v in enumerate(values)], F.lit(len(values)))
+    kinds = (folds + 1) * (k + 1)
+    cell = (F.col("size") * kinds + place(fold, range(folds)) * (k + 1) + place(label, classes)).cast("long").alias("cell")
+    counts = parted(counts.filter(F.col("term").isNotNull()).select(key, cell, "n", *term_hashes()), *HASHES)
+    own_fold, own_class = F.floor(F.col("cell") % kinds / (k + 1)), F.col("cell") % (k + 1)
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    table = counts.groupBy(*HASHES).agg(
+        F.floor(F.first("cell") / kinds).cast("int").alias("size"),
+        F.count(key).alias("_keyed"),
+        *[total(own_class == i).alias(f"c{i}") for i in range(k)],
+        F.array(*[total((own_class == i) & (own_fold == f)) for f, i in cells]).alias("by_fold"),
+    ).filter("_keyed >= 0")
 
     def outside(i: int, f) -> Column:
         """Occurrences in class i outside fold f."""
@@ -170,10 +180,15 @@ def naive_bayes_grid(
     # A term of one fold only has no count outside of it, and most n-grams are such.
     in_fold = lambda f: sum((F.get("by_fold", F.lit(f * k + i)) for i in range(k)), F.lit(0)) > 0
     shared = table.filter(sum((in_fold(f).cast("int") for f in range(folds)), F.lit(0)) > 1)
-    joined = counts.select(key, fold, *hashes, "n").join(shared, hashes)
+    # Only the shared terms of a partition are held in memory.
+    joined = counts.select(key, own_fold.cast("int").alias(fold), *HASHES, "n").join(
+        shared.drop("_keyed").hint("shuffle_hash"), HASHES
+    )
     with_counts = joined.withColumns({f"k{i}": outside(i, F.col(fold)) for i in range(k)})
     known = with_counts.filter(sum((F.col(f"k{i}") for i in range(k)), F.lit(0)) > 0)
-    # Terms with the same counts are one row, so logarithms are taken per row and not per term.
+    # Terms with the same counts are one row, so logarithms are taken per row and not per term; all sums
+    # of a document follow where its terms lie, since rows of sums are wide.
+    known = parted(known.select(key, "size", *[f"k{i}" for i in range(k)], "n"), key)
     alike = known.groupBy(key, "size", *[f"k{i}" for i in range(k)]).agg(F.sum("n").alias("n"))
     pairs = [(a, i) for a in range(n_alpha) for i in range(k)]
     sums = alike.groupBy(key, "size").agg(
