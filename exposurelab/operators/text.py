@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tokens as tk
-from ..functions.columns import as_column
+from ..functions.columns import as_column, bind
 from ..functions.links import expit
 from .scan import numbered, text_segment
-from .skew import BROADCAST_ROWS, fits_broadcast, lookup_join, salted_join
+from .skew import BROADCAST_ROWS, lookup_join, split_repeated
 from .stats import describe
 
 VECTOR_ROWS = 20_000
@@ -63,15 +63,35 @@ def look_up_words(
 ) -> DataFrame:
     """Words of the texts with the columns of ``table(token, ...)`` and a number ``n``.
 
-    With a short table nothing is shuffled here: every word meets the table where
-    its text lies, and the caller's sums per text follow at once.  With a long one
-    words are counted per text first and then joined in salted copies.
+    Nothing is shuffled here for the words of a short table and for the frequent
+    words of a long one: they meet the table where their text lies, and the caller's
+    sums per text follow at once.
     """
-    if fits_broadcast(table, broadcast_rows):
-        explode = F.explode if how == "inner" else F.explode_outer
-        rows = df.select(key, explode(tk.words(text)).alias("token")).withColumn("n", F.lit(1).cast("long"))
-        return rows.join(F.broadcast(table), "token", how)
-    return salted_join(word_counts(df, key, tk.words(text), outer=how != "inner"), table, "token", key, how)
+    explode = F.explode if how == "inner" else F.explode_outer
+    rows = df.select(key, explode(tk.words(text)).alias("token")).withColumn("n", F.lit(1).cast("long"))
+    return lookup_join(rows, table, "token", key, how, broadcast_rows)
+
+
+def term_occurrences(df: DataFrame, key: str, terms: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``keep, term, n, first``: per term, ``n`` adds up to its occurrences and ``first`` to the (key, keep) that have it.
+
+    A row per occurrence, made where the text lies.  Only texts that share their key with
+    another are shuffled: what they have in common counts once.
+    """
+    once, several = split_repeated(df, key)
+
+    def marked(listed: Column) -> Column:
+        in_order = lambda arr: F.transform(
+            arr, lambda w, i: F.struct(w.alias("term"), ((i == 0) | (F.get(arr, i - 1) != w)).cast("long").alias("first"))
+        )
+        return bind(F.sort_array(listed), in_order)
+
+    one = F.lit(1).cast("long")
+    single = once.select(*keep, F.explode(marked(terms)).alias("_t")).select(
+        *keep, "_t.term", one.alias("n"), "_t.first"
+    )
+    shared = several.select(key, *keep, F.explode(terms).alias("term")).groupBy(key, *keep, "term").agg(F.count(F.lit(1)).alias("n"))
+    return single.unionByName(shared.select(*keep, "term", "n", one.alias("first")))
 
 
 def polarity(df: DataFrame, key: str, text: str, lexicon: DataFrame, name: str = "polarity", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -102,6 +122,35 @@ def stem_tokens(df: DataFrame, key: str, text: str, stems: DataFrame | None = No
     )
 
 
+def stemmed_texts(df: DataFrame, key: str, text: str, stems: DataFrame | None = None, name: str = "tokens") -> DataFrame:
+    """``key`` with the stemmed tokens of its texts as one array; texts without any have no row.
+
+    Only the tokens that a stem changes leave their text, and come back to their
+    places in it.  Texts that share their key are sorted by place and token.
+    """
+    once, several = split_repeated(df.select(key, text), key)
+    together = regroup_tokens(stem_tokens(several, key, text, stems), key, name=name)
+    if stems is None:
+        plain = once.select(key, tk.post_tokens(text).alias(name))
+    else:
+        changing = stems.filter(F.col("stem") != F.col("token"))
+        rows = once.select(key, F.posexplode(tk.post_tokens(text)).alias("pos", "token"))
+        changed = lookup_join(rows, changing, "token", key, "inner").groupBy(F.col(key).alias("_key")).agg(
+            F.sort_array(F.collect_list(F.struct("pos", "stem"))).alias("_changed")
+        )
+        # The tokens without a stem that changes them, up to each that has one, and what follows the last.
+        merge = lambda arr, at: F.concat(
+            F.flatten(F.transform(at, lambda c, i: F.concat(
+                F.slice(arr, F.coalesce(F.get(at, i - 1)["pos"] + 1, F.lit(0)) + 1, c["pos"] - F.coalesce(F.get(at, i - 1)["pos"] + 1, F.lit(0))),
+                F.array(c["stem"]),
+            ))),
+            F.slice(arr, F.element_at(at, -1)["pos"] + 2, F.size(arr)),
+        )
+        put = lambda arr: F.when(F.col("_changed").isNull(), arr).otherwise(merge(arr, F.col("_changed")))
+        plain = once.join(changed, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, bind(tk.post_tokens(text), put).alias(name))
+    return plain.filter(F.size(name) > 0).unionByName(together)
+
+
 def regroup_tokens(rows: DataFrame, key: str, token: str = "token", name: str = "tokens") -> DataFrame:
     """Token rows back to one array per text (a text is one row to begin with)."""
     packed = F.sort_array(F.collect_list(F.struct("pos", token)))
@@ -118,6 +167,21 @@ def ngram_rows(df: DataFrame, key: str, tokens: str, low: int, high: int, keep:
     )
 
 
+def ngram_totals(df: DataFrame, key: str, text: str, low: int, high: int, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """Per key and n-gram size the n-grams (``n``) and the different ones (``n_terms``), counted where the text lies.
+
+    Only texts that share their key are shuffled, by key and n-gram.
+    """
+    once, several = split_repeated(df.select(key, text), key)
+    by_size = prepare_terms(once, text, stop_words).select(key, F.explode(tk.ngram_sets("tokens", low, high)).alias("_g"))
+    long = lambda c: F.size(c).cast("long")
+    single = by_size.select(
+        key, F.col("_g.size").alias("size"), long("_g.terms").alias("n"), long(F.array_distinct("_g.terms")).alias("n_terms")
+    ).filter("n > 0")
+    rows = ngram_rows(prepare_terms(several, text, stop_words), key, "tokens", low, high)
+    return single.unionByName(rows.groupBy(key, "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms")))
+
+
 def ngram_occurrences(df: DataFrame, key: str, tokens: str, low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
     """A row with ``n = 1`` per occurrence of an n-gram, made where the text lies; nothing is shuffled."""
     by_size = df.select(key, *keep, F.explode(tk.ngram_sets(tokens, low, high)).alias("_g"))

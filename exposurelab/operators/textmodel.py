@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tk
 from ..sources.sinks import has_success, materialize
 from .classify import LEAST_ALPHA, _argmax, _log, term_table
-from .text import ngram_occurrences, regroup_tokens, stem_tokens
+from .text import ngram_occurrences, stemmed_texts
 
 VERSION = 1
 
@@ -42,7 +42,7 @@ class TextModel:
 
 def prepared(df: DataFrame, key: str, text: str, stems: DataFrame | None, stop_words: Sequence[str]) -> DataFrame:
     """``key, tokens``: stemmed tokens without stop words; texts without any token have no row."""
-    tokens = regroup_tokens(stem_tokens(df, key, text, stems), key)
+    tokens = stemmed_texts(df, key, text, stems)
     return tokens.withColumn("tokens", tk.drop_words("tokens", list(stop_words)))
 
 

@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions import tokens as tk
+from ...functions.columns import bind
 from ...operators import classify, explore, scorer, text as tx, textmodel
-from ...session import cut_lineage, scratch_path
+from ...session import scratch_path
+from ...sources.sinks import materialize
 from .exploring import draw_sql
 from .registry import Tables, query, rounded
 
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """Written once to the shared folder, for tables that are read more than once."""
+    return materialize(rows, scratch_path(rows.sparkSession, name))
+
+
 # Fixed values of these queries; the operators take any list.
 STOP_WORDS = ["the", "of", "and", "to", "in", "is", "that", "by", "on", "with", "for", "as", "it", "this", "be"]
 NUM_WORDS = 20_000
@@ -39,9 +47,9 @@ polarity as (select doc_id, coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0
 
 
 def labelled_words(t: Tables) -> DataFrame:
-    """Words per labelled document, counted after the labels have picked the documents."""
+    """Words of the labelled documents, after the labels have picked the documents."""
     labelled = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
-    return tx.word_counts(labelled, "doc_id", tk.words("text"), keep=["quality", "toxic"])
+    return tx.term_occurrences(labelled, "doc_id", tk.words("text"), keep=["quality", "toxic"]).withColumnRenamed("term", "token")
 
 
 def lexicon(t: Tables) -> DataFrame:
@@ -49,13 +57,15 @@ def lexicon(t: Tables) -> DataFrame:
     counts = labelled_words(t)
     good = F.sum(F.when(F.col("quality") == 1, F.col("n")))
     bad = F.coalesce(F.sum(F.when(F.col("quality") == 0, F.col("n"))), F.lit(0))
+    # The mean over the documents that have the word.
+    toxic = F.sum(F.col("first") * F.col("toxic")) / F.sum(F.when(F.col("toxic").isNotNull(), F.col("first")))
     words = counts.groupBy("token").agg(
         (F.lit(4.0) * (good - bad) / (F.sum("n") + 10)).alias("valence"),
-        F.avg(F.col("toxic").cast("double")).alias("subjectivity"),
+        toxic.alias("subjectivity"),
         good.alias("good"),
     ).filter("good > 0").drop("good")
     # A lexicon is an input; written once, it is not learnt again at every use.
-    return cut_lineage(words)
+    return stored(words, "lexicon")
 
 
 def polarity(t: Tables) -> DataFrame:
@@ -89,8 +99,8 @@ def tokenize_posts(t):
         .select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem"))
         .distinct()
     )
-    stems = cut_lineage(stems)
-    packed = tx.regroup_tokens(tx.stem_tokens(t.texts, "doc_id", "text", stems), "doc_id")
+    stems = stored(stems, "stems")
+    packed = tx.stemmed_texts(t.texts, "doc_id", "text", stems)
     return packed.select(
         "doc_id", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens")
     )
@@ -111,8 +121,13 @@ with k as (select doc_id, {KEPT} as toks from documents),
 g as ({grams_sql(1, 2, 'k')})
 select size, term, count(*) as n, count(distinct doc_id) as n_docs from g group by size, term""")
 def term_counts(t):
-    rows = tx.ngram_rows(tx.prepare_terms(t.texts, "text", STOP_WORDS), "doc_id", "tokens", 1, 2)
-    return rows.groupBy("size", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    tokens = tk.drop_words(tk.post_tokens("text"), STOP_WORDS)
+    rows = [
+        tx.term_occurrences(t.texts, "doc_id", bind(tokens, lambda arr: tk.ngrams(arr, n))).withColumn("size", F.lit(n))
+        for n in (1, 2)
+    ]
+    counts = rows[0].unionByName(rows[1]).groupBy("size", "term").agg(F.sum("n").alias("n"), F.sum("first").alias("n_docs"))
+    return counts.select("size", "term", "n", "n_docs")
 
 
 @query(f"""
@@ -120,8 +135,7 @@ with k as (select doc_id, {KEPT} as toks from documents),
 g as ({grams_sql(1, 6, 'k')})
 select doc_id, size, count(*) as n, count(distinct term) as n_terms from g group by doc_id, size""")
 def ngram_counts(t):
-    rows = tx.ngram_rows(tx.prepare_terms(t.texts, "text", STOP_WORDS), "doc_id", "tokens", 1, 6)
-    return rows.groupBy("doc_id", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms"))
+    return tx.ngram_totals(t.texts, "doc_id", "text", 1, 6, STOP_WORDS)
 
 
 # ---- classification -------------------------------------------------------------------
@@ -137,7 +151,8 @@ def labelled_terms(t: Tables, high: int) -> tuple[DataFrame, DataFrame]:
     kept = ["quality", "is_test", "fold"]
     tokens = tx.prepare_terms(t.texts.join(docs, "doc_id"), "text", STOP_WORDS).select("doc_id", *kept, "tokens")
     # Read by the term table, the totals and the scores: tokenize once.
-    return docs, tx.ngram_occurrences(cut_lineage(tokens), "doc_id", "tokens", 1, high, keep=kept)
+    tokens = stored(tokens, "tokens")
+    return docs, tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept)
 
 
 def predictions(t: Tables, **options) -> DataFrame:
@@ -196,10 +211,18 @@ def all_terms(t: Tables) -> tuple[DataFrame, DataFrame]:
     return labelled_terms(t, max(high for _, high in RANGES))
 
 
+# n-grams of one partition of the grid search: their table fits a task's memory.
+PARTITION_TERMS = 2_000_000
+
+
 def grid(docs: DataFrame, counts: DataFrame) -> DataFrame:
     train = ~F.col("is_test")
+    # At most one n-gram of each size begins at a token; unigrams are counted without building any other.
+    terms = counts.filter(train & (F.col("size") == 1)).count() * max(high for _, high in RANGES)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
     return classify.naive_bayes_grid(
-        docs.filter(train), counts.filter(train), "doc_id", "quality", CLASSES, RANGES, ALPHAS
+        docs.filter(train), counts.filter(train), "doc_id", "quality", CLASSES, RANGES, ALPHAS,
+        partitions=max(cores, math.ceil(terms / PARTITION_TERMS)),
     )
 
 
@@ -289,7 +312,7 @@ def stem_table(t: Tables) -> DataFrame:
     """Stems of the labelled documents' tokens by a simple rule; a stem table is an input."""
     tokens = tx.stem_tokens(t.texts.join(t.labels.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
     long = tokens.filter(F.length("token") > 4).select("token").distinct()
-    return cut_lineage(long.select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem")))
+    return stored(long.select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem")), "stems")
 
 
 def stem_model(t: Tables, settings: textmodel.Settings, stems: DataFrame) -> textmodel.TextModel:
@@ -312,7 +335,8 @@ def stem_terms(t: Tables, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = textmodel.prepared(t.texts.join(docs, "doc_id"), "doc_id", "text", stems, STOP_WORDS).join(docs, "doc_id")
     kept = ["quality", "is_test", "fold"]
     high = max(high for _, high in RANGES)
-    return docs, tx.ngram_occurrences(cut_lineage(tokens), "doc_id", "tokens", 1, high, keep=kept)
+    tokens = stored(tokens, "tokens")
+    return docs, tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept)
 
 
 def stem_settings(**options) -> textmodel.Settings:
@@ -426,7 +450,7 @@ def one_hot(t):
 def vectors(t: Tables) -> DataFrame:
     """The i-th most frequent word gets the i-th vector."""
     vocab = tx.vocabulary(t.texts, tk.words("text"), NUM_WORDS)
-    return cut_lineage(vocab).join(t.embeddings.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector")), "id")
+    return stored(vocab, "vocabulary").join(t.embeddings.select((F.col("vec_id") + 1).alias("id"), F.col("embedding").alias("vector")), "id")
 
 
 @query(f"""with {VOCAB},
@@ -452,5 +476,6 @@ from documents left join hits using (doc_id)""")
 def score_batch(t):
     """Two independent probabilities per document from the weights of all labelled words."""
     lean = lambda c: F.log((F.sum(F.col("n") * F.col(c)) + 1) / (F.sum(F.col("n") * (1 - F.col(c))) + 1)).alias(c)
-    model = cut_lineage(labelled_words(t).groupBy("token").agg(lean("quality"), lean("toxic")))
+    words = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select("quality", "toxic", F.explode(tk.words("text")).alias("token"))
+    model = stored(words.withColumn("n", F.lit(1).cast("long")).groupBy("token").agg(lean("quality"), lean("toxic")), "weights")
     return rounded(tx.linear_scores(t.texts, "doc_id", "text", model, ["quality", "toxic"]))
