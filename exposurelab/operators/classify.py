@@ -113,14 +113,14 @@ def naive_bayes_grid(
     fold's own; the score of an n-gram range is the sum of the scores of its
     sizes; all alphas are sums over one histogram per document and size, of how often
     which counts per class occur.  Rows of ``counts`` may repeat a term.  Terms travel as
-    two 64-bit hashes, and once: the term table, its totals and the documents' scores read one
-    shuffle, of ``partitions`` partitions (Spark's number by default), and a document's terms meet again by one more.
+    two 64-bit hashes, in ``partitions`` partitions (Spark's number by default); a document's
+    terms meet again before its sums are made.
     """
     k, n_alpha = len(classes), len(alphas)
     smoothing = [max(float(a), LEAST_ALPHA) for a in alphas]
     cells = [(f, i) for f in range(folds) for i in range(k)]
     parted = lambda df, *by: df.repartition(*by) if partitions is None else df.repartition(partitions, *by)
-    # Size, fold and class are one number: every reader needs every column, so that all share the shuffle.
+    # Size, fold and class travel as one number.
     place = lambda c, values: F.coalesce(*[F.when(F.col(c) == v, F.lit(i)) for i, v in enumerate(values)], F.lit(len(values)))
     kinds = (folds + 1) * (k + 1)
     cell = (F.col("size") * kinds + place(fold, range(folds)) * (k + 1) + place(label, classes)).cast("long").alias("cell")
@@ -129,10 +129,9 @@ def naive_bayes_grid(
     total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
     table = counts.groupBy(*HASHES).agg(
         F.floor(F.first("cell") / kinds).cast("int").alias("size"),
-        F.count(key).alias("_keyed"),
         *[total(own_class == i).alias(f"c{i}") for i in range(k)],
         F.array(*[total((own_class == i) & (own_fold == f)) for f, i in cells]).alias("by_fold"),
-    ).filter("_keyed >= 0")
+    )
 
     def outside(i: int, f) -> Column:
         """Occurrences in class i outside fold f."""
@@ -182,7 +181,7 @@ def naive_bayes_grid(
     shared = table.filter(sum((in_fold(f).cast("int") for f in range(folds)), F.lit(0)) > 1)
     # Only the shared terms of a partition are held in memory.
     joined = counts.select(key, own_fold.cast("int").alias(fold), *HASHES, "n").join(
-        shared.drop("_keyed").hint("shuffle_hash"), HASHES
+        shared.hint("shuffle_hash"), HASHES
     )
     with_counts = joined.withColumns({f"k{i}": outside(i, F.col(fold)) for i in range(k)})
     known = with_counts.filter(sum((F.col(f"k{i}") for i in range(k)), F.lit(0)) > 0)
