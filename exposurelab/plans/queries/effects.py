@@ -1,5 +1,7 @@
 """Effect estimators: orders are the posts, line items the responses."""
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,21 @@ DAY = 86_400.0
 URGENT = ["1-URGENT", "2-HIGH"]
 
 
+# Bytes of response files per partition, about a million rows: what a task sorts and groups does not grow with the files.
+PARTITION_BYTES = 16 * 2**20
+
+
+def met(responses: DataFrame, posts: DataFrame) -> DataFrame:
+    """Responses with their posts; large inputs in a number of partitions that follows the size of the files.
+
+    Spark's own number does not follow it, and its partitions are measured as compressed.
+    """
+    parts = math.ceil(sum(size for _, size, _ in file_versions(responses)) / PARTITION_BYTES)
+    if parts <= responses.sparkSession.sparkContext.defaultParallelism:
+        return responses.join(posts, "post")
+    return responses.repartition(parts, "post").join(posts.repartition(parts, "post"), "post")
+
+
 def exposures(t: Tables) -> DataFrame:
     """Responses with the treatment and time of the post they belong to."""
     posts = t.orders.select(
@@ -31,7 +48,7 @@ def exposures(t: Tables) -> DataFrame:
         F.col("l_returnflag").alias("response_label"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
     )
-    return responses.join(posts, "post")
+    return met(responses, posts)
 
 
 EXPOSURES = """
