@@ -24,6 +24,8 @@ from .stats import value_weights
 
 FIXED_PRIOR_VARIANCE = 100.0
 LOG_SD_PRIOR_VARIANCE = 100.0
+# The longest table of levels that is broadcast; longer ones are joined by a shuffle in every update.
+BROADCAST_LEVELS = 1_000_000
 # Steps of a log precision that are tried besides the second-order one.
 STEPS = [0.0, *(sign * size for size in (0.02, 0.1, 0.4, 1.0, 2.0) for sign in (-1, 1))]
 
@@ -144,20 +146,30 @@ def fit_mixed_model(
         *[c.cast("double").alias(f) for f, c in zip(f_cols, fixed.values())],
         *[c.cast("double").alias(z_cols[name]) for name, (_, c) in random.items()],
     )
+    first_path = scratch_path(spark, "mixed-cells")
     cells = materialize(
         design.groupBy(*keys, *f_cols, *z_cols.values()).agg(
             F.count(F.lit(1)).cast("double").alias("n"), F.sum("_y").alias("k")
         ),
-        scratch_path(spark, "mixed-cells"),
+        first_path,
     )
     p = len(f_cols)
     beta, cov = np.zeros(p), np.eye(p)
     factors = {name: Factor(name, key) for name, (key, _) in random.items()}
     tables: dict[str, tuple[DataFrame, str]] = {}
+    lengths: dict[str, int] = {}
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     # Random effects on the design of a fixed effect share their mean with it.
     gaps = [(name, i) for name in random for i in range(p)]
-    row = cells.agg(*[F.max(F.abs(F.col(z_cols[n]) - F.col(f_cols[i]))).alias(f"g{j}") for j, (n, i) in enumerate(gaps)]).first()
+    row = cells.agg(
+        *[F.max(F.abs(F.col(z_cols[n]) - F.col(f_cols[i]))).alias(f"g{j}") for j, (n, i) in enumerate(gaps)],
+        *[F.approx_count_distinct(k).alias(f"levels{j}") for j, k in enumerate(keys)],
+    ).first()
+    # Cells of a level of the longest table lie together, so the sums of an update are made where they lie.
+    # (Adaptive execution splits a level that is too large for a partition.)
+    longest = max(range(len(keys)), key=lambda j: row[f"levels{j}"])
+    cells = materialize(cells.hint("rebalance", keys[longest]), scratch_path(spark, "mixed-cells"))
+    remove_table(spark, first_path)
     partner = {n: i for j, (n, i) in enumerate(gaps) if row[f"g{j}"] == 0}
 
     def numbers() -> DataFrame:
@@ -190,7 +202,8 @@ def fit_mixed_model(
         rows = cells
         for key in keys:
             if key in tables:
-                rows = rows.join(effects_of(key).drop(*[f"has_{z_cols[n]}" for n in of_key[key]]), key, "left")
+                effects = effects_of(key).drop(*[f"has_{z_cols[n]}" for n in of_key[key]])
+                rows = rows.join(F.broadcast(effects) if lengths[key] <= BROADCAST_LEVELS else effects, key, "left")
         rows = rows.crossJoin(numbers())
         fresh = [x for n, (key, _) in random.items() if key not in tables for x in (f"0D as m_{z_cols[n]}", f"1 / t_{z_cols[n]} as v_{z_cols[n]}")]
         rows = rows.selectExpr("*", *fresh) if fresh else rows
@@ -232,10 +245,11 @@ def fit_mixed_model(
         seen = Observation()
         only = lambda z, c: f"coalesce(sum(if(has_{z}, {c}, null)), 0D)"
         kinds = {"n": "1D", "m2": "old_{z} * old_{z}", "v": "was_{z}", "log_v": "ln(was_{z})"}
-        watched = sums.observe(seen, *[F.expr(f"{only(z, c.format(z=z))} as {kind}_{z}") for z in zs for kind, c in kinds.items()])
+        watched = sums.observe(seen, *[F.expr(f"{only(z, c.format(z=z))} as {kind}_{z}") for z in zs for kind, c in kinds.items()], F.count(F.lit(1)).alias("rows"))
         path = scratch_path(spark, "mixed-levels")
         written = materialize(watched, path)
         old, tables[key] = tables.get(key), (written, path)
+        lengths[key] = seen.get["rows"]
         for name in names:
             factor, z = factors[name], z_cols[name]
             factor.levels = seen.get[f"n_{z}"]
