@@ -1,15 +1,17 @@
 """Multinomial naive Bayes, its grid search and the evaluation of predictions.
 
 ``counts`` tables have one row per (document, term) with the occurrences ``n``
-and the document's label.  Document-term rows meet the term table by a join on
-the term; the model is a table and never leaves the cluster.
+and the document's label.  Document-term rows meet the counts of their term in the task that
+has all of its rows (``termcount``); no table of terms leaves the cluster.
 """
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .termcount import Cells, Known, Settings, hits, known_terms, log_sums, place
 
 
 def _argmax(scores: Sequence[Column], classes: Sequence) -> Column:
@@ -34,14 +36,6 @@ def _of(label: str, c, value: Column) -> Column:
     return F.coalesce(F.sum(F.when(F.col(label) == c, value)), F.lit(0))
 
 
-# A term as two 64-bit hashes, since n-grams are long.
-HASHES = ["term_a", "term_b"]
-
-
-def term_hashes() -> list[Column]:
-    return [F.xxhash64("term").alias("term_a"), F.xxhash64(F.lit(1), "term").alias("term_b")]
-
-
 def term_table(counts: DataFrame, label: str, classes: Sequence, n: str = "n", by: Sequence[str] = ("term",)) -> DataFrame:
     """One row per term with its occurrences in each class (``c0, c1, ...``)."""
     return counts.groupBy(*by).agg(
@@ -49,44 +43,64 @@ def term_table(counts: DataFrame, label: str, classes: Sequence, n: str = "n", b
     )
 
 
+def count_terms(
+    counts: DataFrame,
+    key: str,
+    label: str,
+    classes: Sequence,
+    fold: str = "fold",
+    folds: int = 5,
+    is_test: str = "is_test",
+    partitions: int | None = None,
+    rounds: int = 1,
+) -> Known:
+    """Terms counted once for the grid search and for the test documents of the setting it finds."""
+    cells = Cells(folds, len(classes))
+    cell = cells.cell(label, classes, fold, range(folds), F.col(is_test))
+    return known_terms(counts.filter(F.col(is_test).isNotNull()), key, cell, cells, partitions, rounds)
+
+
 def naive_bayes(
     docs: DataFrame,
-    counts: DataFrame,
+    counts: DataFrame | Known,
     key: str,
     label: str,
     classes: Sequence,
     is_test: str = "is_test",
     alpha: float = 1.0,
     fit_prior: bool = True,
+    sizes: tuple[int, int] = (0, 255),
+    partitions: int | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """Predicted class and scores of the test documents.
 
     ``docs`` has one row per document with ``label`` and ``is_test``; ``counts``
-    carries both columns too.  Terms that no training document has are ignored.
+    carries both columns too, or is what ``count_terms`` made of it, of which n-grams of the ``sizes`` are taken.
+    Terms that no training document has are ignored.
     A class without training documents scores minus infinity with a fitted prior.
-    Terms travel as two 64-bit hashes.
+    Terms travel as 88 bits of hash, in as many ``rounds`` one after the other, and are counted when this is called.
     """
     k, alpha = len(classes), max(alpha, LEAST_ALPHA)
-    counts = counts.filter(F.col("term").isNotNull()).select(key, label, is_test, "n", *term_hashes())
-    table = term_table(counts.filter(~F.col(is_test)), label, classes, by=HASHES)
-    parts = [F.sum(f"c{i}").alias(f"n{i}") for i in range(k)]
-    totals = table.agg(F.struct(*parts, F.count(F.lit(1)).alias("v")).alias("t")).scalar()
-    sizes = [F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)]
-    priors = docs.filter(~F.col(is_test)).agg(F.struct(*sizes).alias("p")).scalar()
-    test = counts.filter(F.col(is_test)).select(key, *HASHES, "n")
-    sums = test.join(table, HASHES).groupBy(key).agg(
-        F.sum("n").alias("_n"),
-        *[F.sum(F.col("n") * F.log(F.col(f"c{i}") + F.lit(alpha))).alias(f"_s{i}") for i in range(k)],
-    )
-    rows = docs.filter(F.col(is_test)).join(sums, key, "left").withColumn("_t", totals).withColumn("_p", priors)
+    if not isinstance(counts, Known):
+        cells = Cells(0, k)
+        cell = cells.cell(label, classes, held=F.col(is_test))
+        counts = known_terms(counts.filter(F.col(is_test).isNotNull()), key, cell, cells, partitions, rounds)
+    low, high = sizes
+    words = [sum(int(w[:, i].sum()) for size, w in counts.words.items() if low <= size <= high) for i in range(k)]
+    vocabulary = sum(int(v[-1]) for size, v in counts.vocabulary.items() if low <= size <= high)
+    by_class = [F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)]
+    priors = docs.filter(~F.col(is_test)).agg(F.struct(*by_class).alias("p")).scalar()
+    sums = log_sums(counts, key, k, alpha, low, high)
+    rows = docs.filter(F.col(is_test)).join(sums, key, "left").withColumn("_p", priors)
     seen = sum((F.col(f"_p.d{i}") for i in range(k)), F.lit(0))
     scores = []
     for i in range(k):
-        words = F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) - F.coalesce(F.col("_n"), F.lit(0)) * F.log(
-            F.col(f"_t.n{i}") + F.lit(alpha) * F.col("_t.v")
+        score = F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) - F.coalesce(F.col("_n"), F.lit(0)) * F.log(
+            F.lit(words[i]) + F.lit(alpha) * F.lit(vocabulary)
         )
         prior = _log(F.try_divide(f"_p.d{i}", seen)) if fit_prior else F.lit(0.0)
-        scores.append(words + prior)
+        scores.append(score + prior)
     named = rows.withColumns({f"score_{i}": s for i, s in enumerate(scores)})
     cols = [F.col(f"score_{i}") for i in range(k)]
     return named.withColumn("predicted", _argmax(cols, classes)).select(
@@ -96,7 +110,7 @@ def naive_bayes(
 
 def naive_bayes_grid(
     docs: DataFrame,
-    counts: DataFrame,
+    counts: DataFrame | Known,
     key: str,
     label: str,
     classes: Sequence,
@@ -105,139 +119,57 @@ def naive_bayes_grid(
     fold: str = "fold",
     folds: int = 5,
     partitions: int | None = None,
+    rounds: int = 1,
 ) -> DataFrame:
     """Mean cross-validated accuracy of every (n-gram range, alpha, prior) setting.
 
-    ``counts`` carries ``label``, ``fold`` and the n-gram ``size``.  All settings
-    come from one pass: the training counts of a fold are the total minus the
+    ``counts`` carries ``label``, ``fold`` and the n-gram ``size``, or is the listed form of
+    ``ngram_occurrences``, or what ``count_terms`` made of either.  All settings come from one count: the training counts of a fold are the total minus the
     fold's own; the score of an n-gram range is the sum of the scores of its
-    sizes; all alphas are sums over one histogram per document and size, of how often
-    which counts per class occur.  Rows of ``counts`` may repeat a term.  Terms travel as
-    two 64-bit hashes, in ``partitions`` partitions (Spark's number by default); a document's
-    terms meet again before its sums are made.
+    sizes.  Rows of ``counts`` may repeat a term.  Terms travel as 88 bits of hash, in ``partitions``
+    partitions (Spark's number by default) that are dealt over ``rounds`` one after the other, and are counted when
+    this is called; a document's known terms meet again before its sums are made.
     """
-    k, n_alpha = len(classes), len(alphas)
+    k = len(classes)
     smoothing = [max(float(a), LEAST_ALPHA) for a in alphas]
-    cells = [(f, i) for f in range(folds) for i in range(k)]
-    parted = lambda df, *by: df.repartition(*by) if partitions is None else df.repartition(partitions, *by)
-    # Size, fold and class travel as one number.
-    place = lambda c, values: F.coalesce(*[F.when(F.col(c) == v, F.lit(i)) for i, v in enumerate(values)], F.lit(len(values)))
-    kinds = (folds + 1) * (k + 1)
-    cell = (F.col("size") * kinds + place(fold, range(folds)) * (k + 1) + place(label, classes)).cast("long").alias("cell")
-    counts = parted(counts.filter(F.col("term").isNotNull()).select(key, cell, "n", *term_hashes()), *HASHES)
-    own_fold, own_class = F.floor(F.col("cell") % kinds / (k + 1)), F.col("cell") % (k + 1)
-    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
-    table = counts.groupBy(*HASHES).agg(
-        F.floor(F.first("cell") / kinds).cast("int").alias("size"),
-        *[total(own_class == i).alias(f"c{i}") for i in range(k)],
-        F.array(*[total((own_class == i) & (own_fold == f)) for f, i in cells]).alias("by_fold"),
+    known = counts
+    if not isinstance(known, Known):
+        cells = Cells(folds, k)
+        known = known_terms(counts, key, cells.cell(label, classes, fold, range(folds)), cells, partitions, rounds)
+    # Ranges without any n-gram have no settings.
+    tried = [(lo, hi) for lo, hi in ranges if any(lo <= size <= hi and v[-1] for size, v in known.vocabulary.items())]
+    within = lambda values, lo, hi: sum(v for size, v in values.items() if lo <= size <= hi)
+    words = [within(known.words, lo, hi)[:, :k] for lo, hi in tried]
+    sizes = np.zeros((folds + 1, k))
+    for r in docs.groupBy(place(fold, range(folds)).alias("_fold")).agg(
+        *[F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)]
+    ).collect():
+        sizes[r["_fold"]] = [r[f"d{i}"] for i in range(k)]
+    others = sizes.sum(0) - sizes[:folds]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        priors = np.log(others / others.sum(1, keepdims=True))
+    settings = Settings(
+        tried, smoothing,
+        np.array([w.sum(0) - w[:folds] for w in words]).reshape(len(tried), folds, k),
+        np.array([within(known.vocabulary, lo, hi)[:folds] for lo, hi in tried]).reshape(len(tried), folds),
+        np.where(np.isnan(priors), -np.inf, priors),
     )
-
-    def outside(i: int, f) -> Column:
-        """Occurrences in class i outside fold f."""
-        place = (f * k + i) if isinstance(f, int) else (f * k + F.lit(i))
-        return F.col(f"c{i}") - F.get("by_fold", F.lit(place) if isinstance(place, int) else place)
-
-    # Per n-gram size and fold: words per class and vocabulary outside the fold.
-    size_stats = table.groupBy("size").agg(
-        *[F.sum(outside(i, f)).alias(f"n_{f}_{i}") for f, i in cells],
-        *[
-            F.count_if(sum((outside(i, f) for i in range(k)), F.lit(0)) > 0).alias(f"v_{f}")
-            for f in range(folds)
-        ],
-    )
-    span = F.array(*[F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high")) for lo, hi in ranges])
-
-    def spread(df: DataFrame, carry: Sequence[str]) -> DataFrame:
-        """A row per range that the row's n-gram size belongs to."""
-        inside = F.filter(span, lambda r: (r["low"] <= F.col("size")) & (F.col("size") <= r["high"]))
-        return df.select(*carry, F.explode(inside).alias("_r")).select(*carry, "_r.low", "_r.high")
-
-    stat_names = [c for c in size_stats.columns if c != "size"]
-    range_stats = (
-        spread(size_stats, stat_names)
-        .groupBy("low", "high")
-        .agg(*[F.sum(c).alias(c) for c in stat_names])
-        .select(
-            "low", "high",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(f).alias("f"),
-                            F.array(*[F.col(f"n_{f}_{i}") for i in range(k)]).alias("words"),
-                            F.col(f"v_{f}").alias("vocab"),
-                        )
-                        for f in range(folds)
-                    ]
-                )
-            ).alias("_x"),
-        )
-        .select("low", "high", F.col("_x.f").alias(fold), "_x.words", "_x.vocab")
-    )
-
-    # A term of one fold only has no count outside of it, and most n-grams are such.
-    in_fold = lambda f: sum((F.get("by_fold", F.lit(f * k + i)) for i in range(k)), F.lit(0)) > 0
-    shared = table.filter(sum((in_fold(f).cast("int") for f in range(folds)), F.lit(0)) > 1)
-    # Only the shared terms of a partition are held in memory.
-    joined = counts.select(key, own_fold.cast("int").alias(fold), *HASHES, "n").join(
-        shared.hint("shuffle_hash"), HASHES
-    )
-    with_counts = joined.withColumns({f"k{i}": outside(i, F.col(fold)) for i in range(k)})
-    known = with_counts.filter(sum((F.col(f"k{i}") for i in range(k)), F.lit(0)) > 0)
-    # Terms with the same counts are one row, so logarithms are taken per row and not per term; all sums
-    # of a document follow where its terms lie, since rows of sums are wide.
-    known = parted(known.select(key, "size", *[f"k{i}" for i in range(k)], "n"), key)
-    alike = known.groupBy(key, "size", *[f"k{i}" for i in range(k)]).agg(F.sum("n").alias("n"))
-    pairs = [(a, i) for a in range(n_alpha) for i in range(k)]
-    sums = alike.groupBy(key, "size").agg(
-        F.sum("n").alias("m"),
-        *[F.sum(F.col("n") * F.log(F.col(f"k{i}") + F.lit(smoothing[a]))).alias(f"s_{a}_{i}") for a, i in pairs],
-    )
-    sum_names = ["m", *[f"s_{a}_{i}" for a, i in pairs]]
-    per_range = spread(sums, [key, *sum_names]).groupBy(key, "low", "high").agg(
-        *[F.sum(c).alias(c) for c in sum_names]
-    )
-    every = docs.select(key, label, fold, F.explode(span).alias("_r")).select(key, label, fold, "_r.low", "_r.high")
-    fold_sizes = docs.groupBy(fold).agg(*[F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)])
-    all_sizes = docs.agg(F.struct(*[F.count_if(F.col(label) == c).alias(f"d{i}") for i, c in enumerate(classes)])).scalar()
-    rows = (
-        every.join(per_range, [key, "low", "high"], "left")
-        .join(range_stats, ["low", "high", fold])
-        .join(fold_sizes, fold)
-        .withColumn("_d", all_sizes)
-    )
-    settings = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(a).alias("alpha_index"),
-                    F.lit(float(alphas[a])).alias("alpha"),
-                    F.lit(smoothing[a]).alias("smoothing"),
-                    *[F.coalesce(f"s_{a}_{i}", F.lit(0.0)).alias(f"s{i}") for i in range(k)],
-                )
-                for a in range(n_alpha)
-            ]
-        )
-    ).alias("_a")
-    prior_sizes = [(F.col(f"_d.d{i}") - F.col(f"d{i}")).alias(f"p{i}") for i in range(k)]
-    long = rows.select(label, fold, "low", "high", "words", "vocab", F.coalesce("m", F.lit(0)).alias("m"), *prior_sizes, settings)
-    words = [
-        F.col(f"_a.s{i}") - F.col("m") * F.log(F.get("words", F.lit(i)) + F.col("_a.smoothing") * F.col("vocab"))
-        for i in range(k)
-    ]
-    fitted = [w + _log(F.try_divide(f"p{i}", sum((F.col(f"p{j}") for j in range(k)), F.lit(0)))) for i, w in enumerate(words)]
-    hit = lambda scores: (_argmax(scores, classes) == F.col(label)).cast("int")
-    both = F.array(
-        F.struct(F.lit(True).alias("fit_prior"), hit(fitted).alias("hit")),
-        F.struct(F.lit(False).alias("fit_prior"), hit(words).alias("hit")),
+    places = docs.select(
+        key, F.when(F.col(label).isNull(), F.lit(-1)).otherwise(place(label, classes)).alias("_class"),
+        place(fold, range(folds)).alias("_fold"),
     )
+    parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    span = F.get(F.array(*[F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high")) for lo, hi in tried or ranges]), F.col("range"))
     return (
-        long.select("low", "high", fold, "_a.alpha_index", "_a.alpha", F.explode(both).alias("_b"))
-        .groupBy("low", "high", "alpha_index", "alpha", "_b.fit_prior", fold)
-        .agg(F.avg("_b.hit").alias("accuracy"))
-        .groupBy("low", "high", "alpha_index", "alpha", "fit_prior")
+        hits(known, places, key, settings, parts)
+        .withColumn("accuracy", F.try_divide("_hits", "_rows"))
+        .groupBy("range", "alpha_index", "fit_prior")
         .agg(F.avg("accuracy").alias("mean_accuracy"))
+        .withColumn("_r", span)
+        .select(
+            "_r.low", "_r.high", "alpha_index", F.get(F.array(*[F.lit(float(a)) for a in alphas]), F.col("alpha_index")).alias("alpha"),
+            "fit_prior", "mean_accuracy",
+        )
     )
 
 

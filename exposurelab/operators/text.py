@@ -182,8 +182,17 @@ def ngram_totals(df: DataFrame, key: str, text: str, low: int, high: int, stop_w
     return single.unionByName(rows.groupBy(key, "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_terms")))
 
 
-def ngram_occurrences(df: DataFrame, key: str, tokens: str, low: int, high: int, keep: Sequence[str] = ()) -> DataFrame:
-    """A row with ``n = 1`` per occurrence of an n-gram, made where the text lies; nothing is shuffled."""
+def ngram_occurrences(
+    df: DataFrame, key: str, tokens: str, low: int, high: int, keep: Sequence[str] = (), listed: bool = False
+) -> DataFrame:
+    """A row with ``n = 1`` per occurrence of an n-gram, made where the text lies; nothing is shuffled.
+
+    In the ``listed`` form a text is one row: ``low``, ``high`` and the hashes of its tokens in their order, from
+    which ``classify`` makes the n-grams of these sizes where it counts them.
+    """
+    if listed:
+        hashes = F.transform(tokens, lambda w: F.xxhash64(w)).alias("words")
+        return df.select(key, *keep, F.lit(low).alias("low"), F.lit(high).alias("high"), hashes)
     by_size = df.select(key, *keep, F.explode(tk.ngram_sets(tokens, low, high)).alias("_g"))
     return by_size.select(
         key, *keep, F.col("_g.size").alias("size"), F.explode("_g.terms").alias("term"), F.lit(1).cast("long").alias("n")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import tokens as tk
 from ...functions.columns import bind
 from ...operators import classify, explore, scorer, text as tx, textmodel
+from ...operators.skew import fits_broadcast
 from ...session import scratch_path
 from ...sources.sinks import materialize
 from .exploring import draw_sql
@@ -149,15 +150,32 @@ def labelled(t: Tables) -> DataFrame:
 def labelled_terms(t: Tables, high: int) -> tuple[DataFrame, DataFrame]:
     docs = labelled(t)
     kept = ["quality", "is_test", "fold"]
-    tokens = tx.prepare_terms(t.texts.join(docs, "doc_id"), "text", STOP_WORDS).select("doc_id", *kept, "tokens")
-    # Read by the term table, the totals and the scores: tokenize once.
-    tokens = stored(tokens, "tokens")
-    return docs, tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept)
+    tokens = tx.prepare_terms(t.texts.join(lookup(docs), "doc_id"), "text", STOP_WORDS).select("doc_id", *kept, "tokens")
+    # Read by every round of counting: tokenize and hash once.
+    return docs, stored(tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept, listed=True), "tokens")
+
+
+def lookup(docs: DataFrame) -> DataFrame:
+    """Rows per document that are broadcast up to a bound, so that no text is shuffled to meet them."""
+    return F.broadcast(docs) if fits_broadcast(docs) else docs
+
+
+# Terms of one partition of a count, which fit a task's memory, and the most rounds that a count is dealt over.
+PARTITION_TERMS = 2_000_000
+COUNT_ROUNDS = 6
+
+
+def dealt(counts: DataFrame) -> dict[str, int]:
+    """Partitions and rounds for the terms of texts in the listed form."""
+    terms = counts.agg(F.sum(F.size("words") * (F.col("high") - F.col("low") + 1))).first()[0] or 0
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    partitions = max(cores, math.ceil(terms / PARTITION_TERMS))
+    return {"partitions": partitions, "rounds": min(COUNT_ROUNDS, math.ceil(partitions / cores))}
 
 
 def predictions(t: Tables, **options) -> DataFrame:
     docs, counts = labelled_terms(t, 1)
-    return classify.naive_bayes(docs, counts, "doc_id", "quality", CLASSES, **options)
+    return classify.naive_bayes(docs, counts, "doc_id", "quality", CLASSES, **dealt(counts), **options)
 
 
 LABELLED = f"""
@@ -211,18 +229,14 @@ def all_terms(t: Tables) -> tuple[DataFrame, DataFrame]:
     return labelled_terms(t, max(high for _, high in RANGES))
 
 
-# n-grams of one partition of the grid search: their table fits a task's memory.
-PARTITION_TERMS = 2_000_000
-
-
-def grid(docs: DataFrame, counts: DataFrame) -> DataFrame:
+def grid(docs: DataFrame, counts: DataFrame | classify.Known) -> DataFrame:
     train = ~F.col("is_test")
-    # At most one n-gram of each size begins at a token; unigrams are counted without building any other.
-    terms = counts.filter(train & (F.col("size") == 1)).count() * max(high for _, high in RANGES)
-    cores = docs.sparkSession.sparkContext.defaultParallelism
+    options = {}
+    if isinstance(counts, DataFrame):
+        counts = counts.filter(train)
+        options = dealt(counts)
     return classify.naive_bayes_grid(
-        docs.filter(train), counts.filter(train), "doc_id", "quality", CLASSES, RANGES, ALPHAS,
-        partitions=max(cores, math.ceil(terms / PARTITION_TERMS)),
+        docs.filter(train), counts, "doc_id", "quality", CLASSES, RANGES, ALPHAS, **options
     )
 
 
@@ -295,10 +309,12 @@ left join bpred on bpred.quality = a.x and bpred.predicted = b.x group by all"""
 def nb_best_confusion(t):
     """The best setting of the grid, fitted to all training documents and held against the others."""
     docs, counts = all_terms(t)
-    best = classify.best_setting(grid(docs, counts)).first()
-    chosen = counts.filter(F.col("size").between(best["low"], best["high"]))
+    # The terms of the test documents are counted along, for the setting that is found.
+    known = classify.count_terms(counts, "doc_id", "quality", CLASSES, **dealt(counts))
+    best = classify.best_setting(grid(docs, known)).first()
     made = classify.naive_bayes(
-        docs, chosen, "doc_id", "quality", CLASSES, alpha=best["alpha"], fit_prior=best["fit_prior"]
+        docs, known, "doc_id", "quality", CLASSES,
+        alpha=best["alpha"], fit_prior=best["fit_prior"], sizes=(best["low"], best["high"]),
     )
     return classify.confusion(made, "quality", "predicted", CLASSES)
 
@@ -335,8 +351,7 @@ def stem_terms(t: Tables, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = textmodel.prepared(t.texts.join(docs, "doc_id"), "doc_id", "text", stems, STOP_WORDS).join(docs, "doc_id")
     kept = ["quality", "is_test", "fold"]
     high = max(high for _, high in RANGES)
-    tokens = stored(tokens, "tokens")
-    return docs, tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept)
+    return docs, stored(tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept, listed=True), "tokens")
 
 
 def stem_settings(**options) -> textmodel.Settings:

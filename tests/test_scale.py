@@ -82,3 +82,35 @@ def test_large_files_are_dealt_by_their_size(spark, tmp_path, monkeypatch):
     made = effects.met(responses, posts)
     assert f"{3 * cores})" in "".join(exchanges(made)) or f", {3 * cores}" in "".join(exchanges(made))
     assert made.count() == 50
+
+
+def listed_and_rows(spark, n=60):
+    words = ["red", "car", "sun", "sea", "oak"]
+    texts = [(i, i % 2 if i % 13 else None, i % 5, i % 4 == 0, [words[(i * j + j // 3) % 5] for j in range(i % 9)] + [f"w{i % 7}"]) for i in range(n)]
+    df = spark.createDataFrame(texts, "d int, y int, fold int, is_test boolean, tokens array<string>").repartition(3)
+    keep = ["y", "fold", "is_test"]
+    rows = tx.ngram_occurrences(df, "d", "tokens", 1, 3, keep=keep)
+    return df.drop("tokens"), tx.ngram_occurrences(df, "d", "tokens", 1, 3, keep=keep, listed=True), rows
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    return {f for f in files.split() if "shuffle" in f}
+
+
+def test_refit_takes_the_terms_that_the_grid_counted(spark):
+    docs, listed, rows = listed_and_rows(spark)
+    before = shuffle_files(spark)
+    known = classify.count_terms(listed, "d", "y", [0, 1], partitions=6, rounds=3)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    # Three rounds of terms were shuffled, and their files are gone; what is left is of the few totals.
+    left = [f.rpartition("/")[2] for f in shuffle_files(spark) - before if f.endswith(".data")]
+    assert len({f.split("_")[1] for f in left}) <= 1
+    for low, high in [(1, 1), (2, 3), (1, 3)]:
+        got = classify.naive_bayes(docs, known, "d", "y", [0, 1], alpha=0.5, sizes=(low, high)).collect()
+        chosen = rows.filter(F.col("size").between(low, high))
+        for wanted in (classify.naive_bayes(docs, chosen, "d", "y", [0, 1], alpha=0.5), classify.naive_bayes(docs, chosen, "d", "y", [0, 1], alpha=0.5, rounds=2)):
+            assert {r["d"]: (r["predicted"], round(r["score_0"], 9), round(r["score_1"], 9)) for r in got} == {
+                r["d"]: (r["predicted"], round(r["score_0"], 9), round(r["score_1"], 9)) for r in wanted.collect()
+            }
+    assert sum(int(v[-1]) for v in known.vocabulary.values()) == rows.filter("not is_test").select("size", "term").distinct().count()
