@@ -36,6 +36,11 @@ def fits_broadcast(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return table.limit(rows + 1).count() <= rows
 
 
+def lookup(rows: DataFrame) -> DataFrame:
+    """Narrow rows that are broadcast up to a bound, so that no text is shuffled to meet them."""
+    return F.broadcast(rows) if fits_broadcast(rows) else rows
+
+
 def split_join(
     left: DataFrame, table: DataFrame, on: str, spread_by: str, how: str = "inner", rows: int = FREQUENT_ROWS
 ) -> DataFrame:

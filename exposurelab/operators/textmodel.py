@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import tokens as tk
 from ..sources.sinks import has_success, materialize
 from .classify import LEAST_ALPHA, _argmax, _log, term_table
+from .skew import lookup
 from .text import ngram_occurrences, stemmed_texts
 
 VERSION = 1
@@ -47,9 +48,13 @@ def prepared(df: DataFrame, key: str, text: str, stems: DataFrame | None, stop_w
 
 
 def fit_text_model(
-    df: DataFrame, key: str, text: str, label: str, settings: Settings, path: str, stems: DataFrame | None = None
+    df: DataFrame, key: str, text: str, label: str, settings: Settings, path: str, stems: DataFrame | None = None,
+    tokens: DataFrame | None = None,
 ) -> TextModel:
-    """Fit to labelled texts (``key`` unique) and store below ``path``; a model there is an error."""
+    """Fit to labelled texts (``key`` unique) and store below ``path``; a model there is an error.
+
+    ``tokens`` is what ``prepared`` made of these texts or more with the same stems and stop words, if it is stored already.
+    """
     spark = df.sparkSession
     path = path.rstrip("/")
     if has_success(df, f"{path}/manifest"):
@@ -57,7 +62,9 @@ def fit_text_model(
     none = spark.createDataFrame([], "token string, stem string")
     kept_stems = materialize(none if stems is None else stems.select("token", "stem"), f"{path}/stems", overwrite=True)
     labelled = df.dropna(subset=[key, label])
-    tokens = prepared(labelled, key, text, kept_stems, settings.stop_words).join(labelled.select(key, label), key)
+    if tokens is None:
+        tokens = prepared(labelled, key, text, kept_stems, settings.stop_words)
+    tokens = tokens.select(key, "tokens").join(lookup(labelled.select(key, label)), key)
     counts = ngram_occurrences(tokens, key, "tokens", settings.low, settings.high, keep=[label])
     terms = materialize(term_table(counts, label, settings.classes), f"{path}/terms", overwrite=True)
     k = len(settings.classes)
@@ -87,12 +94,20 @@ def load_text_model(spark: SparkSession, path: str) -> TextModel:
     )
 
 
-def predict(model: TextModel, df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, predicted, score_0, ...`` of every text; those without a known term score the priors."""
+def predict(model: TextModel, df: DataFrame, key: str, text: str, tokens: DataFrame | None = None) -> DataFrame:
+    """``key, predicted, score_0, ...`` of every text; those without a known term score the priors.
+
+    ``tokens`` is as in ``fit_text_model``.  Terms meet the model's as two 64-bit hashes.
+    """
     s, k = model.settings, len(model.settings.classes)
     alpha = max(s.alpha, LEAST_ALPHA)
-    tokens = prepared(df, key, text, model.stems, s.stop_words)
-    known = ngram_occurrences(tokens, key, "tokens", s.low, s.high).join(model.terms, "term")
+    if tokens is None:
+        tokens = prepared(df, key, text, model.stems, s.stop_words)
+    else:
+        tokens = tokens.select(key, "tokens").join(lookup(df.select(key).distinct()), key, "left_semi")
+    hashes = [F.xxhash64("term").alias("term_a"), F.xxhash64(F.lit(1), "term").alias("term_b")]
+    terms = model.terms.filter(F.col("term").isNotNull()).select(*hashes, *[f"c{i}" for i in range(k)])
+    known = ngram_occurrences(tokens, key, "tokens", s.low, s.high).select(key, "n", *hashes).join(terms, ["term_a", "term_b"])
     sums = known.groupBy(key).agg(
         F.sum("n").alias("_n"), *[F.sum(F.col("n") * F.log(F.col(f"c{i}") + F.lit(alpha))).alias(f"_s{i}") for i in range(k)]
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ...functions import tokens as tk
 from ...functions.columns import bind
 from ...operators import classify, explore, scorer, text as tx, textmodel
-from ...operators.skew import fits_broadcast
+from ...operators.skew import lookup
 from ...session import scratch_path
 from ...sources.sinks import materialize
 from .exploring import draw_sql
@@ -155,11 +155,6 @@ def labelled_terms(t: Tables, high: int) -> tuple[DataFrame, DataFrame]:
     return docs, stored(tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept, listed=True), "tokens")
 
 
-def lookup(docs: DataFrame) -> DataFrame:
-    """Rows per document that are broadcast up to a bound, so that no text is shuffled to meet them."""
-    return F.broadcast(docs) if fits_broadcast(docs) else docs
-
-
 # Terms of one partition of a count, which fit a task's memory, and the most rounds that a count is dealt over.
 PARTITION_TERMS = 2_000_000
 COUNT_ROUNDS = 6
@@ -326,30 +321,36 @@ STEMMED = f"list_filter(list_transform({TOKENS}, lambda w: case when length(w) >
 
 def stem_table(t: Tables) -> DataFrame:
     """Stems of the labelled documents' tokens by a simple rule; a stem table is an input."""
-    tokens = tx.stem_tokens(t.texts.join(t.labels.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    tokens = tx.stem_tokens(t.texts.join(lookup(t.labels.select("doc_id")), "doc_id", "left_semi"), "doc_id", "text")
     long = tokens.filter(F.length("token") > 4).select("token").distinct()
     return stored(long.select("token", F.regexp_replace("token", "(ing|ed|s)$", "").alias("stem")), "stems")
 
 
-def stem_model(t: Tables, settings: textmodel.Settings, stems: DataFrame) -> textmodel.TextModel:
+def stem_model(
+    t: Tables, settings: textmodel.Settings, stems: DataFrame, tokens: DataFrame | None = None
+) -> textmodel.TextModel:
     """Fitted to the training documents, stored, and read back."""
-    train = t.texts.join(labelled(t).filter(~F.col("is_test")), "doc_id")
+    train = t.texts.join(lookup(labelled(t).filter(~F.col("is_test"))), "doc_id")
     path = scratch_path(t.spark, "text-model")
-    textmodel.fit_text_model(train, "doc_id", "text", "quality", settings, path, stems)
+    textmodel.fit_text_model(train, "doc_id", "text", "quality", settings, path, stems, tokens)
     return textmodel.load_text_model(t.spark, path)
 
 
-def stem_predictions(t: Tables, settings: textmodel.Settings, stems: DataFrame) -> DataFrame:
+def stem_predictions(
+    t: Tables, settings: textmodel.Settings, stems: DataFrame, tokens: DataFrame | None = None
+) -> DataFrame:
     test = labelled(t).filter("is_test").select("doc_id", "quality")
-    made = textmodel.predict(stem_model(t, settings, stems), t.texts.join(test, "doc_id"), "doc_id", "text")
+    texts = t.texts.join(lookup(test), "doc_id")
+    made = textmodel.predict(stem_model(t, settings, stems, tokens), texts, "doc_id", "text", tokens)
     return made.join(test, "doc_id")
 
 
 def stem_terms(t: Tables, stems: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labelled documents and their stemmed terms of all n-gram sizes in the grid."""
+    """Labelled documents and their stemmed terms of all n-gram sizes in the grid, with the tokens."""
     docs = labelled(t)
-    tokens = textmodel.prepared(t.texts.join(docs, "doc_id"), "doc_id", "text", stems, STOP_WORDS).join(docs, "doc_id")
-    kept = ["quality", "is_test", "fold"]
+    texts = t.texts.join(lookup(docs), "doc_id")
+    tokens = textmodel.prepared(texts, "doc_id", "text", stems, STOP_WORDS).join(lookup(docs), "doc_id")
+    kept = ["quality", "is_test", "fold", "tokens"]
     high = max(high for _, high in RANGES)
     return docs, stored(tx.ngram_occurrences(tokens, "doc_id", "tokens", 1, high, keep=kept, listed=True), "tokens")
 
@@ -374,9 +375,10 @@ def nb_stem_grid(t):
 def nb_stem_best_confusion(t):
     """The best setting of the grid with stems, refitted, stored, read back and held against the other documents."""
     stems = stem_table(t)
-    best = classify.best_setting(grid(*stem_terms(t, stems))).first()
+    docs, counts = stem_terms(t, stems)
+    best = classify.best_setting(grid(docs, counts)).first()
     settings = stem_settings(low=best["low"], high=best["high"], alpha=best["alpha"], fit_prior=best["fit_prior"])
-    return classify.confusion(stem_predictions(t, settings, stems), "quality", "predicted", CLASSES)
+    return classify.confusion(stem_predictions(t, settings, stems, counts), "quality", "predicted", CLASSES)
 
 
 # ---- a trained scorer -----------------------------------------------------------------------

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from exposurelab.functions import tokens as tk
 from exposurelab.operators import classify, skew
 from exposurelab.operators import text as tx
-from exposurelab.plans.queries import effects
+from exposurelab.operators import textmodel as tm
+from exposurelab.plans.queries import effects, texts as text_queries
 
 TEXTS = [(1, "Going going gone by the red cars"), (1, "red cars wanted"), (2, "red cars"), (None, "red"), (None, "cars"), (3, ""), (4, None)]
 
@@ -114,3 +115,19 @@ def test_refit_takes_the_terms_that_the_grid_counted(spark):
                 r["d"]: (r["predicted"], round(r["score_0"], 9), round(r["score_1"], 9)) for r in wanted.collect()
             }
     assert sum(int(v[-1]) for v in known.vocabulary.values()) == rows.filter("not is_test").select("size", "term").distinct().count()
+
+
+def test_a_model_takes_tokens_that_are_stored(spark, tmp_path):
+    df = spark.createDataFrame([(i, ["red cars going", "blue car gone", "", None][i % 4], i % 2 if i % 11 else None) for i in range(40)], "d int, t string, y int")
+    stems = spark.createDataFrame([("cars", "car"), ("going", "go")], "token string, stem string")
+    settings = tm.Settings((0, 1), stop_words=("blue",), low=1, high=2)
+    tokens = tx.ngram_occurrences(tm.prepared(df, "d", "t", stems, ["blue"]), "d", "tokens", 1, 2, keep=["tokens"], listed=True)
+    # The texts are not read a second time.
+    bare = df.withColumn("t", F.lit("nothing of this counts"))
+    fresh = tm.fit_text_model(df.filter("d < 30"), "d", "t", "y", settings, str(tmp_path / "a"), stems)
+    again = tm.fit_text_model(bare.filter("d < 30"), "d", "t", "y", settings, str(tmp_path / "b"), stems, tokens)
+    assert (again.words, again.documents, again.vocabulary) == (fresh.words, fresh.documents, fresh.vocabulary)
+    assert Counter(map(tuple, again.terms.collect())) == Counter(map(tuple, fresh.terms.collect()))
+    wanted = tm.predict(fresh, df.filter("d >= 30"), "d", "t")
+    assert Counter(map(tuple, tm.predict(again, bare.filter("d >= 30"), "d", "t", tokens).collect())) == Counter(map(tuple, wanted.collect()))
+    assert "term#" not in "".join(exchanges(wanted))
