@@ -131,3 +131,52 @@ def test_a_model_takes_tokens_that_are_stored(spark, tmp_path):
     wanted = tm.predict(fresh, df.filter("d >= 30"), "d", "t")
     assert Counter(map(tuple, tm.predict(again, bare.filter("d >= 30"), "d", "t", tokens).collect())) == Counter(map(tuple, wanted.collect()))
     assert "term#" not in "".join(exchanges(wanted))
+
+
+def test_grid_in_rounds_counts_all_terms(spark):
+    docs, listed, rows = listed_and_rows(spark)
+    train = ~F.col("is_test")
+    found = lambda counts, **more: Counter(
+        (r["low"], r["high"], r["alpha_index"], r["fit_prior"], round(r["mean_accuracy"], 9))
+        for r in classify.naive_bayes_grid(docs.filter(train), counts.filter(train), "d", "y", [0, 1], [(1, 1), (2, 3), (1, 3)], [0.5, 2.0], **more).collect()
+    )
+    wanted = found(rows)
+    assert len(wanted) == 12
+    assert found(listed) == found(listed, partitions=7, rounds=3) == found(rows, rounds=2) == wanted
+    before = shuffle_files(spark)
+    cells = classify.Cells(5, 2)
+    classify.known_terms(listed, "d", cells.cell("y", [0, 1], "fold", range(5)), cells, 7, 3)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    left = {f.rpartition("/")[2].split("_")[1] for f in shuffle_files(spark) - before if f.endswith(".data")}
+    assert len(left) <= 1
+
+
+def test_texts_are_not_shuffled_to_meet_their_labels(spark):
+    class Given:
+        labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+        texts = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("red cars going").alias("text")).repartition(3)
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stems = spark.createDataFrame([("cars", "car")], "token string, stem string")
+        plans = []
+        stored, text_queries.stored = text_queries.stored, lambda rows, name: plans.append(exchanges(rows)) or rows
+        text_queries.labelled_terms(Given, 2)
+        docs, terms = text_queries.stem_terms(Given, stems)
+        assert not plans[0] and not [x for x in plans[1] if "text" in x]
+        assert {tuple(r["tokens"]) for r in terms.collect()} == {("red", "car", "going")} and terms.count() == docs.count() == 40
+    finally:
+        text_queries.stored = stored
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rounds_follow_the_terms(spark, monkeypatch):
+    _, listed, _ = listed_and_rows(spark)
+    terms = listed.agg(F.sum(3 * F.size("words"))).first()[0]
+    cores = spark.sparkContext.defaultParallelism
+    assert text_queries.dealt(listed) == {"partitions": cores, "rounds": 1}
+    monkeypatch.setattr(text_queries, "PARTITION_TERMS", terms / (3 * cores))
+    assert text_queries.dealt(listed) == {"partitions": 3 * cores, "rounds": 3}
+    monkeypatch.setattr(text_queries, "PARTITION_TERMS", 1)
+    assert text_queries.dealt(listed) == {"partitions": terms, "rounds": text_queries.COUNT_ROUNDS}
+    assert text_queries.dealt(listed.filter("false"))["rounds"] == 1
