@@ -180,3 +180,14 @@ def test_rounds_follow_the_terms(spark, monkeypatch):
     monkeypatch.setattr(text_queries, "PARTITION_TERMS", 1)
     assert text_queries.dealt(listed) == {"partitions": terms, "rounds": text_queries.COUNT_ROUNDS}
     assert text_queries.dealt(listed.filter("false"))["rounds"] == 1
+
+
+def test_best_setting_of_a_count_like_that_of_rows(spark):
+    docs, listed, rows = listed_and_rows(spark)
+    train, ranges = ~F.col("is_test"), [(1, 1), (2, 3), (1, 3)]
+    known = classify.count_terms(listed, "d", "y", [0, 1], partitions=6, rounds=2)
+    best = [
+        classify.best_setting(classify.naive_bayes_grid(docs.filter(train), counts, "d", "y", [0, 1], ranges, [0.5, 2.0])).first()
+        for counts in (known, rows.filter(train))
+    ]
+    assert best[0] == best[1]
